@@ -15,7 +15,7 @@ from tallybook.functions.expressions import (
     share,
     share_pct,
 )
-from tallybook.operators.quantiles import exact_quantiles
+from tallybook.operators.quantiles import exact_medians
 from tallybook.spec import CatalogSpec
 
 # The reported quantiles of the score.
@@ -59,14 +59,15 @@ def cardinalities(df: DataFrame, columns: list[str], approximate: bool = False)
 
 def numeric_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """min, max, mean and exact median per column, one row each."""
-    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot(
-        [], columns, "column_name", "value"
-    )
-    ranges = long.groupBy("column_name").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")
+    measures = {"min": F.min, "max": F.max, "mean": F.avg}
+    wide = df.agg(
+        *(
+            F.struct(*(f(F.col(c).cast("double")).alias(m) for m, f in measures.items())).alias(c)
+            for c in columns
+        )
     )
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["column_name"]).drop("n")
-    return ranges.join(medians, "column_name", "left").orderBy("column_name")
+    ranges = wide.unpivot([], columns, "column_name", "facts").select("column_name", "facts.*")
+    return ranges.join(exact_medians(df, columns), "column_name", "left").orderBy("column_name")
 
 
 def value_count(df: DataFrame, column: str, value, name: str = "n") -> DataFrame:

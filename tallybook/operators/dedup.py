@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import content_key
 from tallybook.operators.lookup import join_key_values, key_counts
-from tallybook.session import materialise, sized_broadcast
+from tallybook.session import bounded_count, materialise
 from tallybook.spec import CatalogSpec
 
 _HASH = "_row_hash"
@@ -25,9 +25,14 @@ def _suspect_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
     return key_counts(hashes, [_HASH], _COPIES).where(F.col(_COPIES) > 1).select(_HASH)
 
 
-def _split_by_suspicion(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a hash of their own, and rows that share theirs."""
-    suspects = sized_broadcast(materialise(_suspect_hashes(df, columns)), row_bytes=16)
+def _split_by_suspicion(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with a hash of their own, and the rows that share theirs, if any."""
+    suspects = materialise(_suspect_hashes(df, columns))
+    count = bounded_count(suspects, row_bytes=16)
+    if count == 0:
+        return df, None
+    if count is not None:
+        suspects = F.broadcast(suspects)
     hashed = df.withColumn(_HASH, F.xxhash64(*columns))
     alone = hashed.join(suspects, _HASH, "left_anti").drop(_HASH)
     shared = hashed.join(suspects, _HASH, "left_semi").drop(_HASH)
@@ -37,47 +42,82 @@ def _split_by_suspicion(df: DataFrame, columns: list[str]) -> tuple[DataFrame, D
 def flag_exact_repeats(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Mark every member, the first included, of a group of equal rows."""
     alone, shared = _split_by_suspicion(df, columns)
+    alone = alone.withColumn(name, F.lit(False))
+    if shared is None:
+        return alone
+    shared = materialise(shared)
     counted = join_key_values(shared, key_counts(shared, columns, _COPIES), columns, _COPIES)
-    counted = counted.withColumn(name, F.col(_COPIES) > 1).drop(_COPIES)
-    return alone.withColumn(name, F.lit(False)).unionByName(counted)
+    return alone.unionByName(counted.withColumn(name, F.col(_COPIES) > 1).drop(_COPIES))
 
 
-def flag_key_repeats(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Mark every row whose key occurs more than once."""
-    repeated = key_counts(df, keys, _COPIES).where(F.col(_COPIES) > 1)
-    marked = join_key_values(df, repeated, keys, _COPIES)
+def flag_key_repeats(
+    df: DataFrame, keys: list[str], name: str, weights: DataFrame | None = None
+) -> DataFrame:
+    """Mark every row whose key occurs more than once.
+
+    `weights` may hold the keys with a `_copies` weight to be summed, where
+    counting the keys of `df` itself would compute `df` once more.
+    """
+    if weights is None:
+        weights = df.select(*keys, F.lit(1).alias(_COPIES))
+    counts = weights.groupBy(*keys).agg(F.sum(_COPIES).alias(_COPIES))
+    marked = join_key_values(df, counts.where(F.col(_COPIES) > 1), keys, _COPIES)
     return marked.withColumn(name, F.col(_COPIES).isNotNull()).drop(_COPIES)
 
 
+def _without_repeats(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """`df` with one of each group of equal rows, and the groups that lost rows."""
+    alone, shared = _split_by_suspicion(df, columns)
+    if shared is None:
+        return alone, None
+    groups = materialise(key_counts(shared, columns, _COPIES))
+    return alone.unionByName(groups.select(*columns)), groups.where(F.col(_COPIES) > 1)
+
+
 def drop_exact_repeats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keep one of each group of rows equal in `columns`.
 
     `columns` are the raw ones: derived columns follow from them, so the kept
-    copy does not depend on which one it is.
+    copy does not depend on which one it is. Copies shrink to a counted group
+    on the map side, however many there are.
     """
-    alone, shared = _split_by_suspicion(df, columns)
-    return alone.unionByName(shared.dropDuplicates(columns))
+    return _without_repeats(df.select(*columns), columns)[0]
+
+
+def distinct_with_key_flag(
+    df: DataFrame, columns: list[str], keys: list[str], name: str
+) -> DataFrame:
+    """Drop exact repeats and mark the repeated keys of what is left.
+
+    The keys are counted on `df` itself, less the removed copies: two columns
+    are read for it instead of deduplicating once more.
+    """
+    df = df.select(*columns)
+    distinct, groups = _without_repeats(df, columns)
+    weights = df.select(*keys, F.lit(1).cast("bigint").alias(_COPIES))
+    if groups is not None:
+        weights = weights.unionByName(groups.select(*keys, (1 - F.col(_COPIES)).alias(_COPIES)))
+    return flag_key_repeats(distinct, keys, name, weights)
 
 
 def exact_repeat_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows in duplicate groups, rows a dedup removes, rows before and after."""
     _, shared = _split_by_suspicion(df, columns)
-    groups = key_counts(shared, columns, "n").where(F.col("n") > 1)
-    removed = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_groups"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows_removed"),
-        F.lit(0).cast("bigint").alias("rows_before"),
-    )
+    zero = F.lit(0).cast("bigint")
     total = df.agg(
-        F.lit(0).cast("bigint").alias("rows_in_groups"),
-        F.lit(0).cast("bigint").alias("rows_removed"),
-        F.count(F.lit(1)).alias("rows_before"),
-    )
-    return (
-        removed.unionByName(total)
-        .agg(*(F.sum(c).alias(c) for c in ("rows_in_groups", "rows_removed", "rows_before")))
-        .withColumn("rows_after", F.col("rows_before") - F.col("rows_removed"))
+        zero.alias("rows_in_groups"), zero.alias("rows_removed"), F.count(F.lit(1)).alias("rows_before")
     )
+    if shared is not None:
+        groups = key_counts(shared, columns).where(F.col("n") > 1)
+        removed = groups.agg(
+            F.coalesce(F.sum("n"), zero).alias("rows_in_groups"),
+            F.coalesce(F.sum(F.col("n") - 1), zero).alias("rows_removed"),
+            zero.alias("rows_before"),
+        )
+        total = total.unionByName(removed)
+    return total.agg(
+        *(F.sum(c).alias(c) for c in ("rows_in_groups", "rows_removed", "rows_before"))
+    ).withColumn("rows_after", F.col("rows_before") - F.col("rows_removed"))
 
 
 def key_repeat_stats(df: DataFrame, keys: list[str]) -> DataFrame:

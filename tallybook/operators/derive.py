@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import flag, period_of, tier_of
 from tallybook.operators.dedup import (
-    drop_exact_repeats,
+    distinct_with_key_flag,
     flag_exact_repeats,
     flag_key_repeats,
     one_row_per_key,
@@ -46,9 +46,13 @@ def add_row_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
 def add_derived_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     """All derived columns, both duplicate flags included."""
-    raw = spec.raw_columns(df.columns)
+    columns = spec.raw_columns(df.columns)
+    raw = df.select(*columns)
     flagged = flag_key_repeats(
-        flag_exact_repeats(df.select(*raw), raw, spec.exact_repeat), spec.key, spec.key_repeat
+        flag_exact_repeats(raw, columns, spec.exact_repeat),
+        spec.key,
+        spec.key_repeat,
+        raw.select(*spec.key, F.lit(1).alias("_copies")),
     )
     return add_row_fields(flagged, spec)
 
@@ -56,8 +60,7 @@ def add_derived_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 def primary_dataset(raw: DataFrame, spec: CatalogSpec) -> DataFrame:
     """Exact duplicates removed, key repeats kept and flagged."""
     columns = spec.raw_columns(raw.columns)
-    distinct = drop_exact_repeats(raw.select(*columns), columns)
-    flagged = flag_key_repeats(distinct, spec.key, spec.key_repeat)
+    flagged = distinct_with_key_flag(raw, columns, spec.key, spec.key_repeat)
     # distinct rows cannot repeat, so their flag needs no further pass
     return add_row_fields(flagged.withColumn(spec.exact_repeat, F.lit(False)), spec)
 

@@ -19,7 +19,7 @@ from tallybook.functions.expressions import (
     tier_of,
 )
 from tallybook.operators.frame import TARGET
-from tallybook.operators.quantiles import exact_quantiles
+from tallybook.operators.quantiles import exact_medians
 from tallybook.operators.splits import is_recognised
 from tallybook.spec import CatalogSpec
 
@@ -151,7 +151,9 @@ def creator_buckets(predictions: DataFrame, frame: DataFrame, spec: CatalogSpec)
         .agg(*(F.sum(c).alias(c) for c in ("n", "y", "yy", "ee", "ae")))
     )
     n = F.col("n").cast("double")
-    total = F.col("yy") - F.col("y") * F.col("y") / n
+    spread = F.col("yy") - F.col("y") * F.col("y") / n
+    # what cancellation leaves of a constant target is no spread
+    total = F.when(spread > F.col("yy") * 1e-12, spread).otherwise(0.0)
     return sums.select(
         "model", "bucket", "n", _r2(F.col("ee"), total).alias("r2"), (F.col("ae") / n).alias("mae")
     ).orderBy("model", "bucket")
@@ -169,9 +171,8 @@ def bucket_exclusions(predictions: DataFrame, spec: CatalogSpec) -> DataFrame:
 def label_inspection(frame: DataFrame, spec: CatalogSpec, label: str) -> DataFrame:
     """Distribution of creator score and target under one creator label."""
     rows = frame.where(F.col("creator") == label)
-    long = rows.select(F.col(spec.creator_score).alias("creator_score"), TARGET).unpivot(
-        [], ["creator_score", TARGET], "measure", "value"
-    )
+    named = rows.select(F.col(spec.creator_score).alias("creator_score"), TARGET)
+    long = named.unpivot([], named.columns, "measure", "value")
     facts = long.groupBy("measure").agg(
         F.count("value").alias("n"),
         F.count_distinct("value").alias("n_distinct"),
@@ -180,7 +181,7 @@ def label_inspection(frame: DataFrame, spec: CatalogSpec, label: str) -> DataFra
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
     )
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["measure"]).drop("n")
+    medians = exact_medians(named, named.columns, "measure")
     return facts.join(medians, "measure", "left").orderBy("measure")
 
 

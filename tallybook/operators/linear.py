@@ -92,23 +92,28 @@ def _union(models: list[ModelSpec], pick) -> list[str]:
     return list(dict.fromkeys(c for m in models for c in pick(m)))
 
 
-def _shifts(frame: DataFrame, numeric: list[str]) -> tuple[dict[str, float], list[str]]:
-    """A constant near the mean of each feature, and the features with gaps."""
+def _profile(frame: DataFrame, numeric: list[str]) -> tuple[dict[str, float], dict[str, int]]:
+    """A constant near the mean of each feature; distinct values of those with gaps."""
     if not numeric:
-        return {}, []
+        return {}, {}
     facts = frame.agg(
         *(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)),
         *(F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(numeric)),
+        *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(numeric)),
     ).first()
     shifts = {c: facts[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
-    return shifts, [c for i, c in enumerate(numeric) if facts[f"g{i}"]]
+    return shifts, {c: facts[f"d{i}"] for i, c in enumerate(numeric) if facts[f"g{i}"]}
 
 
-def train_medians(train: DataFrame, features: list[str]) -> dict[int, dict[str, float]]:
-    """Median of each feature over the training rows of each seed."""
+def train_medians(train: DataFrame, features: dict[str, int]) -> dict[int, dict[str, float]]:
+    """Median of each feature over the training rows of each seed.
+
+    `features` gives a bound on the distinct values of each.
+    """
     medians: dict[int, dict[str, float]] = {}
-    for feature in features:
-        for row in exact_quantiles(train, feature, {"median": 0.5}, ["seed"]).collect():
+    for feature, distinct in features.items():
+        found = exact_quantiles(train, feature, {"median": 0.5}, ["seed"], distinct=distinct)
+        for row in found.collect():
             medians.setdefault(row.seed, {})[feature] = row.median
     return medians
 
@@ -257,17 +262,19 @@ def _solve(
     )
 
 
-def fit_models(rows: DataFrame, models: list[ModelSpec]) -> list[Fit]:
+def fit_models(
+    rows: DataFrame, models: list[ModelSpec], frame: DataFrame | None = None
+) -> list[Fit]:
     """Fit every model on the training rows of every seed.
 
-    `rows` are modeling rows with `seed` and `is_test` (see `splits.folds`).
-    Medians, means, deviations and level vocabularies come from training rows.
+    `rows` are modeling rows with `seed` and `is_test` (see `splits.folds`);
+    `frame`, if given, is the same rows once. Medians, means, deviations and level vocabularies come from training rows.
     """
     numeric = _union(models, lambda m: m.numeric)
     categorical = _union(models, lambda m: m.categorical)
     train = rows.where(~F.col("is_test"))
     # the shift only keeps the sums well conditioned; it cancels in the fit
-    shifts, gaps = _shifts(rows, numeric)
+    shifts, gaps = _profile(rows if frame is None else frame, numeric)
     fills = train_medians(train, gaps)
     sums = _training_sums(train, numeric, categorical, shifts, fills)
     return [

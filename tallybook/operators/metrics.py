@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.expressions import flag, ratio, rounded, share
+from tallybook.functions.expressions import flag, ratio, share
 from tallybook.operators.lookup import key_counts
-from tallybook.operators.quantiles import exact_quantiles
+from tallybook.operators.quantiles import exact_medians
 from tallybook.spec import CatalogSpec
 
 METRICS = [
@@ -57,11 +57,8 @@ def wide_medians(df: DataFrame, spec: CatalogSpec) -> DataFrame:
         size.cast("double").alias("median_size"),
         F.col(spec.creator_score).cast("double").alias("median_creator_score"),
     ]
-    long = df.select(*columns).unpivot(
-        [], ["median_size", "median_creator_score"], "metric", "measure"
-    )
-    medians = exact_quantiles(long, "measure", {"value": 0.5}, ["metric"])
-    return medians.select("metric", "value")
+    named = df.select(*columns)
+    return exact_medians(named, named.columns, "metric", "value")
 
 
 def repeat_share(df: DataFrame, spec: CatalogSpec) -> DataFrame:
@@ -104,7 +101,3 @@ def compare_kpis(base: DataFrame, other: DataFrame, base_name: str, other_name:
         "rel_delta_pct", ratio(delta, F.col(base_name)) * 100.0
     )
 
-
-def rounded_kpis(kpis: DataFrame, digits: int = 6) -> DataFrame:
-    numbers = [c for c, kind in kpis.dtypes if kind == "double"]
-    return kpis.withColumns({c: rounded(F.col(c), digits) for c in numbers})

@@ -1,27 +1,30 @@
 """Exact quantiles of wide-valued columns without one task holding them all.
 
 `median` and `percentile` keep a value-to-count map of the whole group in one
-buffer. That suits a score of a hundred values or a group of known size, not a
-measurement with as many values as rows. Where a group is too large for that,
-it is narrowed to a bracket around each wanted rank, and only the bracket is
-sorted.
+buffer, which suits a score of a hundred values. A group with more distinct
+values is reduced to value counts and sorted, which can spill; and one too wide
+for a single sort is first narrowed to a bracket around each wanted rank.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.session import is_small, join_null_safe, materialise
 
-# Values one aggregation buffer or sort task may hold.
-BUFFER_ROWS = 1_000_000
+# Distinct values per group up to which an aggregation buffer, then a sort, serves.
+BUFFER_VALUES = 10_000
+SORT_VALUES = 4_000_000
 # Cut points a sketch gives per pass, and its rank precision.
 GRID = 512
 PRECISION = 20_000
 MAX_PASSES = 8
 
-_V, _N = "_value", "_count"
+_V, _N, _ALL = "_value", "_count", "_all"
 
 
 def _rank_of(p: Column, total: Column, take) -> Column:
@@ -39,21 +42,46 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     by: list[str] | tuple[str, ...] = (),
-    buffer_rows: int = BUFFER_ROWS,
+    sort_values: int = SORT_VALUES,
+    distinct: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group of `by`, one column per
-    entry of `probs`, plus `n`, the number of values that are not NULL."""
+    entry of `probs`, plus `n`, the number of values that are not NULL.
+
+    `distinct` bounds the distinct values per group where the caller knows it;
+    otherwise they are estimated first.
+    """
     by = list(by)
     values = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    widest = sizes.agg(F.max("n")).first()[0]
-    if widest is None or widest <= buffer_rows:
-        picked = values.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile(_V, list(probs.values())).alias("_q")
+    if distinct is None:
+        sizes = values.groupBy(*by).agg(F.approx_count_distinct(_V).alias("n"))
+        distinct = sizes.agg(F.max("n")).first()[0] or 0
+    if distinct <= min(BUFFER_VALUES, sort_values):
+        # counting values first spares the buffer an update per row
+        picked = _value_counts(values, by).groupBy(*by).agg(
+            F.sum(_N).alias("n"), F.percentile(_V, list(probs.values()), F.col(_N)).alias("_q")
         )
         at = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
         return picked.select(*by, "n", *at)
-    return _quantiles_by_bracket(values, probs, by, buffer_rows)
+    if not by:
+        # a generated key stays a join key; a literal would be folded away
+        values = values.select("*", F.explode(F.array(F.lit(1))).alias(_ALL))
+    route = _quantiles_by_sort if distinct <= sort_values else _quantiles_by_bracket
+    found = route(values, probs, by or [_ALL], sort_values)
+    return found.select(*by, "n", *probs)
+
+
+def exact_medians(
+    df: DataFrame, columns: list[str], label: str = "column_name", value: str = "median"
+) -> DataFrame:
+    """Median of each column, as `label, value` rows."""
+    numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    long = numbers.unpivot([], columns, label, _V)
+    return exact_quantiles(long, _V, {value: 0.5}, [label]).select(label, value)
+
+
+def _value_counts(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N))
 
 
 def _running(keys: list[str]):
@@ -64,24 +92,48 @@ def _running(keys: list[str]):
     )
 
 
+def _covers(rank: Column) -> Column:
+    """The run of copies of this value covers the rank."""
+    return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(_N))
+
+
 def _at_rank(rank: Column) -> Column:
-    """The value whose run of copies covers the rank."""
-    return F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(_N)), F.col(_V)))
+    return F.max(F.when(_covers(rank), F.col(_V)))
+
+
+def _quantiles_by_sort(
+    values: DataFrame, probs: dict[str, float], by: list[str], sort_values: int
+) -> DataFrame:
+    counts = _value_counts(values, by)
+    ranked = counts.withColumn("_upto", F.sum(_N).over(_running(by)))
+    sizes = counts.groupBy(*by).agg(F.sum(_N).alias("n"))
+    ranked = join_null_safe(ranked, sizes, by, "inner")
+    ranks = {
+        name: [_rank_of(F.lit(float(p)), F.col("n"), take) for take in (F.floor, F.ceil)]
+        for name, p in probs.items()
+    }
+    wanted = reduce(or_, (_covers(rank) for pair in ranks.values() for rank in pair))
+    picked = ranked.where(wanted).groupBy(*by, "n").agg(
+        *(
+            F.struct(_at_rank(low).alias("low"), _at_rank(high).alias("high")).alias(name)
+            for name, (low, high) in ranks.items()
+        )
+    )
+    quantiles = [
+        _interpolate(F.col(f"{name}.low"), F.col(f"{name}.high"), F.lit(float(p)), F.col("n"))
+        for name, p in probs.items()
+    ]
+    return picked.select(*by, "n", *(q.alias(name) for q, name in zip(quantiles, probs)))
 
 
 def _bracketed(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     """Each value with the brackets of its group."""
     small = is_small(brackets, row_bytes=128)
-    if not by:
-        # at most one bracket per wanted quantile
-        one = F.lit(1)
-        values, brackets = values.withColumn("_all", one), brackets.withColumn("_all", one)
-        return join_null_safe(values, brackets, ["_all"], "inner", broadcast=True).drop("_all")
     return join_null_safe(values, brackets, by, "inner", broadcast=small)
 
 
 def _quantiles_by_bracket(
-    values: DataFrame, probs: dict[str, float], by: list[str], buffer_rows: int
+    values: DataFrame, probs: dict[str, float], by: list[str], sort_values: int
 ) -> DataFrame:
     """Narrow [low, high] around each wanted pair of ranks, then sort inside.
 
@@ -107,14 +159,14 @@ def _quantiles_by_bracket(
     )
     brackets = materialise(brackets)
     for _ in range(MAX_PASSES):
-        too_wide = F.col("_distinct") > buffer_rows
+        too_wide = F.col("_distinct") > sort_values
         if brackets.where(too_wide).limit(1).count() == 0:
             break
-        brackets = materialise(_narrowed(values, brackets, by, buffer_rows))
+        brackets = materialise(_narrowed(values, brackets, by, sort_values))
     inside = _bracketed(values, brackets, by).where(F.col(_V).between(F.col("_low"), F.col("_high")))
     keys = [*by, "_prob"]
     facts = ["_p", "_total", "_from", "_to", "_before"]
-    counts = inside.groupBy(*keys, *facts, _V).agg(F.count(F.lit(1)).alias(_N))
+    counts = _value_counts(inside, [*keys, *facts])
     ranked = counts.withColumn("_upto", F.col("_before") + F.sum(_N).over(_running(keys)))
     picked = ranked.groupBy(*keys, "_p", "_total").agg(
         _at_rank(F.col("_from")).alias("_a"), _at_rank(F.col("_to")).alias("_b")
@@ -128,11 +180,11 @@ def _quantiles_by_bracket(
     )
 
 
-def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str], buffer_rows: int) -> DataFrame:
+def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str], sort_values: int) -> DataFrame:
     """One narrowing pass over the brackets that are still too wide."""
     keys = [*by, "_prob"]
     state = [c for c in brackets.columns if c not in keys]
-    wide = brackets.where(F.col("_distinct") > buffer_rows)
+    wide = brackets.where(F.col("_distinct") > sort_values)
     inside = _bracketed(values, wide, by).where(F.col(_V).between(F.col("_low"), F.col("_high")))
     grid = [i / GRID for i in range(GRID + 1)]
     cuts = inside.groupBy(*keys, *state).agg(F.percentile_approx(_V, grid, PRECISION).alias("_cuts"))
@@ -166,5 +218,5 @@ def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str], buffer_rows
         F.when(holds, first).otherwise(F.col("_before")).alias("_before"),
         F.when(holds, F.col("_kept")).otherwise(F.col("_inside")).alias("_inside"),
     )
-    done = brackets.where(F.col("_distinct") <= buffer_rows)
+    done = brackets.where(F.col("_distinct") <= sort_values)
     return done.unionByName(renewed.select(*brackets.columns))

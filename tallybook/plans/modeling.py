@@ -57,7 +57,7 @@ def hold_out(
     find = grouped_cuts if unit == GROUP else row_cuts
     cuts = find(frame, seeds, test_size)
     rows = folds(frame, unit, cuts)
-    fits = fit_models(rows, [BASELINE, *models] if baseline else models)
+    fits = fit_models(rows, [BASELINE, *models] if baseline else models, frame)
     predictions = predict(rows.where(F.col("is_test")).drop("is_test"), fits)
     return Holdout(rows, cuts, fits, predictions)
 
@@ -188,7 +188,7 @@ def reduced_ols(
     """
     spark = frame.sparkSession
     rows = folds(frame, GROUP, grouped_cuts(frame, [seed], test_size))
-    fit = fit_models(rows, [model])[0]
+    fit = fit_models(rows, [model], frame)[0]
     return ols_summary(spark, fit, level)
 
 

@@ -10,11 +10,16 @@ from __future__ import annotations
 ORACLES: dict[str, str] = {}
 
 
-def r(expression: str, digits: int = 6) -> str:
+def r(expression: str, digits: int) -> str:
     """Half-up rounding, the same in both engines."""
     return f"floor(({expression})::DOUBLE * 1e{digits} + 0.5) / 1e{digits}"
 
 
+def near(expression: str, digits: int = 6) -> str:
+    """Rounding for comparison, its edge off the exact half."""
+    return f"floor(({expression})::DOUBLE * 1e{digits} + 0.50001) / 1e{digits}"
+
+
 def pct(condition: str, digits: int) -> str:
     return r(f"100.0::DOUBLE * avg(CASE WHEN {condition} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", digits)
 
@@ -27,10 +32,8 @@ SCORE = "CASE WHEN l_discount = 0 THEN 0 ELSE CAST(l_quantity * 2 AS INTEGER) EN
 
 LINES = f"""
 lines AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
-           CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
-           CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
-           date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS row_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           CAST(round(l_extendedprice * 100) AS BIGINT)) AS row_id,
          l_partkey AS item,
          nullif(s_name, 'Supplier#000000002') AS creator,
          s_acctbal AS creator_score,
@@ -149,8 +152,8 @@ ORACLES["dq_cardinality"] = f"WITH {LINES}\n" + _union(
 )
 ORACLES["dq_ranges"] = f"WITH {LINES}\n" + _union(
     [
-        f"""SELECT '{c}' AS column_name, {r(f'min({c})')} AS "min", {r(f'max({c})')} AS "max",
-            {r(f'avg({c})')} AS "mean", {r(f'median({c}::DOUBLE)')} AS "median" FROM lines"""
+        f"""SELECT '{c}' AS column_name, {near(f'min({c})')} AS "min", {near(f'max({c})')} AS "max",
+            {near(f'avg({c})')} AS "mean", {near(f'median({c}::DOUBLE)')} AS "median" FROM lines"""
         for c in ("creator_score", "m1", "m2", "measure", "score", "size_units", "year_raw")
     ]
 )
@@ -158,8 +161,8 @@ _Q = {"p0": 0, "p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75
       "p90": 0.9, "p99": 0.99, "p100": 1}
 ORACLES["dq_score_distribution"] = f"""WITH {LINES}
 SELECT count(*) AS n, {num("score = 0")} AS n_zero, {pct("score = 0", 3)} AS pct_zero,
-       {r("avg(score)")} AS mean, {r("median(score)")} AS median, {r("skewness(score)")} AS skew,
-       {", ".join(f"{r(f'quantile_cont(score, {p})')} AS {name}" for name, p in _Q.items())}
+       {near("avg(score)")} AS mean, {near("median(score)")} AS median, {near("skewness(score)")} AS skew,
+       {", ".join(f"{near(f'quantile_cont(score, {p})')} AS {name}" for name, p in _Q.items())}
 FROM lines"""
 ORACLES["dq_zero_sentinel"] = f"""WITH {LINES}
 SELECT 'zero' AS finding, {num("measure = 0")} AS n FROM lines
@@ -174,7 +177,7 @@ _SIDES = {"with_category": "category IS NOT NULL", "without_category": "category
 ORACLES["dq_avail_bias"] = f"WITH {LINES}\n" + _union(
     [
         f"SELECT '{name}' AS measure, "
-        + ", ".join(f"{r(text.replace('@', f'FILTER (WHERE {c})'))} AS {side}" for side, c in _SIDES.items())
+        + ", ".join(f"{near(text.replace('@', f'FILTER (WHERE {c})'))} AS {side}" for side, c in _SIDES.items())
         + " FROM lines"
         for name, text in {
             "n": "count(*) @",
@@ -271,11 +274,11 @@ def _kpis(source: str) -> str:
 
 
 ORACLES["kpi_summary"] = f"""{FIELDS}, k AS ({_kpis("f")})
-SELECT metric, {r("value")} AS value FROM k"""
+SELECT metric, {near("value")} AS value FROM k"""
 ORACLES["kpi_compare"] = f"""{FIELDS}, {ONE_PER_KEY}, a AS ({_kpis("f")}), b AS ({_kpis("sens")})
-SELECT a.metric, {r("a.value")} AS "primary", {r("b.value")} AS sensitivity,
-       {r("b.value - a.value")} AS abs_delta,
-       {r("(b.value - a.value) / nullif(a.value, 0) * 100.0")} AS rel_delta_pct
+SELECT a.metric, {near("a.value")} AS "primary", {near("b.value")} AS sensitivity,
+       {near("b.value - a.value")} AS abs_delta,
+       {near("(b.value - a.value) / nullif(a.value, 0) * 100.0")} AS rel_delta_pct
 FROM a JOIN b ON a.metric = b.metric"""
 
 # --- segment queries ------------------------------------------------------
@@ -394,8 +397,8 @@ ORACLES["group_ids"] = f"WITH {LINES} SELECT row_id, {GROUP} AS group_id FROM li
 ORACLES["group_size_summary"] = f"""{ORDER_FRAME},
 s AS (SELECT count(*) AS n FROM mf GROUP BY group_id),
 t AS (SELECT n FROM s ORDER BY n DESC LIMIT 10)
-SELECT count(*) AS n_groups, {r("median(n)")} AS median_group_size,
-       {r("quantile_cont(n, 0.9)")} AS p90_group_size, {r("quantile_cont(n, 0.99)")} AS p99_group_size,
+SELECT count(*) AS n_groups, {near("median(n)")} AS median_group_size,
+       {near("quantile_cont(n, 0.9)")} AS p90_group_size, {near("quantile_cont(n, 0.99)")} AS p99_group_size,
        (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FROM t) AS ten_largest_group_sizes,
        {r("max(n)::DOUBLE / sum(n)::DOUBLE * 100.0", 3)} AS largest_group_pct,
        CAST(sum(n) AS BIGINT) AS total_rows
@@ -458,7 +461,9 @@ pred AS (SELECT *, 'baseline' AS model, p0 AS prediction FROM wide
          UNION ALL SELECT *, 'model_a', pa FROM wide
          UNION ALL SELECT *, 'model_b', pb FROM wide)"""
 ACCURACY = """count(*) AS n,
-  1.0 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*)) AS r2,
+  CASE WHEN max(target) > min(target)
+    THEN 1.0 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*))
+    WHEN sum(abs(target - prediction)) = 0 THEN 1.0 ELSE 0.0 END AS r2,
   avg(abs(target - prediction)) AS mae,
   sqrt(avg((target - prediction) * (target - prediction))) AS rmse"""
 
@@ -467,7 +472,7 @@ def held(unit: str = "group_id", seeds: str = "[42]", frame: str = FRAME) -> str
     return f"{frame}, {folds(unit, seeds)}, {FITS}"
 
 
-ROUNDED = f"n, {r('r2')} AS r2, {r('mae')} AS mae, {r('rmse')} AS rmse"
+ROUNDED = f"n, {near('r2')} AS r2, {near('mae')} AS mae, {near('rmse')} AS rmse"
 ORACLES["baseline_eval"] = f"""{held()},
 e AS (SELECT seed, model, {ACCURACY} FROM pred WHERE model = 'baseline' GROUP BY seed, model)
 SELECT seed, model, {ROUNDED} FROM e"""
@@ -475,7 +480,7 @@ ORACLES["model_eval"] = f"{held()},\ne AS (SELECT model, {ACCURACY} FROM pred GR
     [
         f"SELECT '{m}' AS metric, "
         + ", ".join(
-            f"{r(f"max({m}) FILTER (WHERE model = '{name}')")} AS {name}"
+            f"{near(f"max({m}) FILTER (WHERE model = '{name}')")} AS {name}"
             for name in ("baseline", "model_a", "model_b")
         )
         + " FROM e"
@@ -484,7 +489,7 @@ ORACLES["model_eval"] = f"{held()},\ne AS (SELECT model, {ACCURACY} FROM pred GR
 )
 ORACLES["onehot_fit"] = f"""{FRAME}, {folds()},
 fit AS (SELECT segment, avg(target) AS y FROM rows_ WHERE NOT is_test GROUP BY segment)
-SELECT t.segment, {r("max(y)")} AS fitted, count(*) AS n
+SELECT t.segment, {near("max(y)")} AS fitted, count(*) AS n
 FROM rows_ t JOIN fit ON t.segment = fit.segment WHERE is_test GROUP BY t.segment"""
 SWEEP = f"""{held(seeds=SEEDS)},
 e AS (SELECT seed, model, {ACCURACY} FROM pred GROUP BY seed, model),
@@ -498,8 +503,8 @@ sw AS (SELECT seed, {", ".join(
     for name in ("baseline", "model_a", "model_b") for m in ("r2", "mae", "rmse"))}
   FROM e GROUP BY seed)"""
 ORACLES["sweep"] = f"""{SWEEP}
-SELECT sw.seed, n_train, n_test, n_train_groups, n_test_groups, {r("test_mean_target")} AS test_mean_target,
-       {", ".join(f"{r(f'{name}_{m}')} AS {name}_{m}"
+SELECT sw.seed, n_train, n_test, n_train_groups, n_test_groups, {near("test_mean_target")} AS test_mean_target,
+       {", ".join(f"{near(f'{name}_{m}')} AS {name}_{m}"
                   for name in ("baseline", "model_a", "model_b") for m in ("r2", "mae", "rmse"))}
 FROM sw JOIN comp ON sw.seed = comp.seed"""
 _FACTS = [
@@ -512,7 +517,7 @@ _FACTS = [
     for how in ("min", "max")
 ]
 ORACLES["sweep_summary"] = f"""{SWEEP}, j AS (SELECT * FROM sw JOIN comp USING (seed))\n""" + _union(
-    [f"SELECT '{s}' AS subject, '{f}' AS fact, {r(e)} AS value FROM j" for s, f, e in _FACTS]
+    [f"SELECT '{s}' AS subject, '{f}' AS fact, {near(e)} AS value FROM j" for s, f, e in _FACTS]
 )
 _NUMERIC = ("m1", "m2", "measure", "size_scaled", "creator_score")
 ORACLES["model_conditions"] = f"{FRAME}, {folds()}\n" + _union(
@@ -535,15 +540,15 @@ con AS (SELECT lev.seed, lev.segment, lev.n, lev.m1_, lev.m2_, lev.my, ref.n AS
         JOIN slope ON lev.seed = slope.seed)"""
 ORACLES["coefs"] = f"""{held()}, {CONTRASTS}
 SELECT slope.seed, 'model_a' AS model, 'numeric' AS kind, 'measure' AS feature,
-       NULL::VARCHAR AS level, {r("a1 * sd1")} AS coef FROM slope JOIN tot ON slope.seed = tot.seed
-UNION ALL SELECT slope.seed, 'model_b', 'numeric', 'measure', NULL, {r("b1 * sd1")}
+       NULL::VARCHAR AS level, {near("a1 * sd1")} AS coef FROM slope JOIN tot ON slope.seed = tot.seed
+UNION ALL SELECT slope.seed, 'model_b', 'numeric', 'measure', NULL, {near("b1 * sd1")}
   FROM slope JOIN tot ON slope.seed = tot.seed
-UNION ALL SELECT slope.seed, 'model_b', 'numeric', 'creator_score', NULL, {r("b2 * sd2")}
+UNION ALL SELECT slope.seed, 'model_b', 'numeric', 'creator_score', NULL, {near("b2 * sd2")}
   FROM slope JOIN tot ON slope.seed = tot.seed
 UNION ALL SELECT seed, 'model_a', CASE WHEN segment = 'N' THEN 'reference' ELSE 'level' END,
-  'segment', segment, {r("ca")} FROM con
+  'segment', segment, {near("ca")} FROM con
 UNION ALL SELECT seed, 'model_b', CASE WHEN segment = 'N' THEN 'reference' ELSE 'level' END,
-  'segment', segment, {r("cb")} FROM con"""
+  'segment', segment, {near("cb")} FROM con"""
 OLS = f"""{held()}, {CONTRASTS},
 fitted AS (SELECT xs.*, my + a1 * (x1 - m1_) AS p FROM xs JOIN slope ON xs.seed = slope.seed
            JOIN lev ON xs.seed = lev.seed AND xs.segment = lev.segment WHERE NOT is_test),
@@ -560,7 +565,7 @@ t AS (
   UNION ALL SELECT 'const', my + a1 * (mean1 - m1_),
     sqrt(s2 * (1.0::DOUBLE / lev.n + (mean1 - m1_) * (mean1 - m1_) / sxx))
     FROM lev, slope, tot, s WHERE segment = 'N')
-SELECT term, {r("coef")} AS coef, {r("std_error")} AS std_error, {r("coef / std_error")} AS t_value FROM t"""
+SELECT term, {near("coef")} AS coef, {near("std_error")} AS std_error, {near("coef / std_error")} AS t_value FROM t"""
 _LL = "(-n / 2.0::DOUBLE * (ln(2 * pi()) + ln(sse / n) + 1))"
 _STATISTICS = {
     "n": "n",
@@ -574,28 +579,28 @@ _STATISTICS = {
     "bic": f"-2 * {_LL} + ln(n) * (w + 1)",
 }
 ORACLES["reduced_ols_statistics"] = f"{OLS}\n" + _union(
-    [f"SELECT '{k}' AS statistic, {r(e, 4)} AS value FROM s" for k, e in _STATISTICS.items()]
+    [f"SELECT '{k}' AS statistic, {near(e, 4)} AS value FROM s" for k, e in _STATISTICS.items()]
 )
 
 # --- diagnostics ----------------------------------------------------------
 
 ORACLES["bound_diag"] = f"""{held(seeds=SEEDS)}
-SELECT seed, model, count(*) AS n, {r("min(prediction)")} AS min_prediction,
-       {r("max(prediction)")} AS max_prediction,
+SELECT seed, model, count(*) AS n, {near("min(prediction)")} AS min_prediction,
+       {near("max(prediction)")} AS max_prediction,
        {num("prediction < 0")} AS n_below_0, {pct("prediction < 0", 3)} AS pct_below_0,
        {num("prediction > 100")} AS n_above_100, {pct("prediction > 100", 3)} AS pct_above_100
 FROM pred WHERE model <> 'baseline' GROUP BY seed, model"""
 ORACLES["range_compression"] = f"""{held()}
-SELECT model, {r("min(prediction)")} AS min_prediction, {r("max(prediction)")} AS max_prediction,
-       {r("stddev_pop(prediction)")} AS sd_prediction, {r("min(target)")} AS min_target,
-       {r("max(target)")} AS max_target, {r("stddev_pop(target)")} AS sd_target
+SELECT model, {near("min(prediction)")} AS min_prediction, {near("max(prediction)")} AS max_prediction,
+       {near("stddev_pop(prediction)")} AS sd_prediction, {near("min(target)")} AS min_target,
+       {near("max(target)")} AS max_target, {near("stddev_pop(target)")} AS sd_target
 FROM pred GROUP BY model"""
 ORACLES["tier_compression"] = f"""{held()}
 SELECT model, CASE WHEN target <= 33 THEN 'low' WHEN target <= 66 THEN 'moderate' ELSE 'high' END AS tier,
-       count(*) AS n, {r("avg(abs(target - prediction))")} AS mae,
-       {r("avg(prediction)")} AS mean_prediction, {r("avg(target)")} AS mean_target
+       count(*) AS n, {near("avg(abs(target - prediction))")} AS mae,
+       {near("avg(prediction)")} AS mean_prediction, {near("avg(target)")} AS mean_target
 FROM pred GROUP BY ALL"""
-RESIDUALS = f"""{r("avg(abs(target - prediction))")} AS mae, {r("avg(prediction - target)")} AS bias,
+RESIDUALS = f"""{near("avg(abs(target - prediction))")} AS mae, {near("avg(prediction - target)")} AS bias,
        count(*) AS n"""
 ORACLES["residuals_segment"] = f"""{held()}
 SELECT model, segment, {RESIDUALS} FROM pred GROUP BY model, segment"""
@@ -614,7 +619,7 @@ b AS (SELECT pred.*, CASE WHEN k <= 1 THEN '1' WHEN k <= 2 THEN '2' WHEN k <= 5
         WHEN k <= 20 THEN '6-20' WHEN k <= 100 THEN '21-100' ELSE '100+' END AS bucket
       FROM pred JOIN cnt ON pred.creator = cnt.creator),
 e AS (SELECT model, bucket, {ACCURACY} FROM b GROUP BY model, bucket)
-SELECT model, bucket, n, {r("r2")} AS r2, {r("mae")} AS mae FROM e"""
+SELECT model, bucket, n, {near("r2")} AS r2, {near("mae")} AS mae FROM e"""
 _LEFT_OUT = f"creator IS NULL OR creator IN {PLACEHOLDERS}"
 ORACLES["bucket_exclusions"] = f"""{held()}
 SELECT model, {num(_LEFT_OUT)} AS n_excluded, {pct(_LEFT_OUT, 1)} AS pct_excluded
@@ -624,14 +629,14 @@ ORACLES["creator_exclusion"] = f"""{held()},
 e AS (SELECT model, {ACCURACY} FROM pred GROUP BY model),
 x AS (SELECT model, {ACCURACY} FROM pred WHERE NOT {_ONE} GROUP BY model),
 s AS (SELECT model, avg(CASE WHEN {_ONE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0 AS p FROM pred GROUP BY model)
-SELECT e.model, e.n, {r("e.r2")} AS r2_full, x.n AS n_without, {r("x.r2")} AS r2_without,
-       {r("p")} AS creator_pct
+SELECT e.model, e.n, {near("e.r2")} AS r2_full, x.n AS n_without, {near("x.r2")} AS r2_without,
+       {near("p")} AS creator_pct
 FROM e JOIN x ON e.model = x.model JOIN s ON e.model = s.model"""
 ORACLES["label_inspection"] = f"{FRAME}\n" + _union(
     [
         f"""SELECT '{c}' AS measure, count({c}) AS n, count(DISTINCT {c}) AS n_distinct,
-            {r(f"min({c})")} AS "min", {r(f"max({c})")} AS "max", {r(f"avg({c})")} AS "mean",
-            {r(f"stddev_samp({c})")} AS sd, {r(f"median({c})")} AS "median"
+            {near(f"min({c})")} AS "min", {near(f"max({c})")} AS "max", {near(f"avg({c})")} AS "mean",
+            {near(f"stddev_samp({c})")} AS sd, {near(f"median({c})")} AS "median"
             FROM mf WHERE creator = 'Supplier#000000000'"""
         for c in ("creator_score", "target")
     ]
@@ -647,8 +652,8 @@ FROM pred GROUP BY ALL"""
 ORACLES["split_comparison"] = f"""WITH g AS (
   {held(seeds=SEEDS)} SELECT seed, model, {ACCURACY} FROM pred GROUP BY seed, model),
 rnd AS ({held("row_key")} SELECT model, {ACCURACY} FROM pred GROUP BY model)
-SELECT g.model, {r("median(g.r2)")} AS grouped_median_r2,
-       {r("max(g.r2) FILTER (WHERE g.seed = 42)")} AS grouped_seed_r2, {r("max(rnd.r2)")} AS random_seed_r2
+SELECT g.model, {near("median(g.r2)")} AS grouped_median_r2,
+       {near("max(g.r2) FILTER (WHERE g.seed = 42)")} AS grouped_seed_r2, {near("max(rnd.r2)")} AS random_seed_r2
 FROM g JOIN rnd ON g.model = rnd.model WHERE g.model <> 'baseline' GROUP BY g.model"""
 SENS_FRAME = FRAME.replace("FROM f WHERE period", "FROM sens WHERE period").replace(
     ",\nmf AS", f", {ONE_PER_KEY},\nmf AS"

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.expressions import rounded
 from tallybook.operators import audit, dedup, derive, evaluate, linear, metrics, segments, splits
 from tallybook.operators.frame import TARGET, frame_notes, modeling_frame
 from tallybook.plans import datasets, modeling, tables
@@ -40,9 +39,15 @@ def query(function: Query) -> Query:
 
 
 def neat(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded: their last bits follow the order of summation."""
+    """Doubles rounded for comparison: their last bits follow the order of summation.
+
+    The rounding edge lies a little below the half, so that a mean which ends
+    in an exact 5 does not fall on either side of it by chance.
+    """
+    scale = float(10**digits)
     numbers = [c for c, kind in df.dtypes if kind == "double"]
-    return df.withColumns({c: rounded(F.col(c), digits) for c in numbers})
+    edge = {c: F.floor(F.col(c) * scale + 0.50001) / F.lit(scale) for c in numbers}
+    return df.withColumns(edge)
 
 
 def _fields(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -233,6 +238,14 @@ def publish_reconcile(spark, folder):
     return publish.reconcile(tables.lines(spark, folder, "score"), published, LINES, "lines")
 
 
+def _both(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Lines and one line per key, as published: written, then read."""
+    needed = ["row_id", "item", "creator", "creator_score"]
+    rows = materialise(_fields(spark, folder, *needed))
+    kept = derive.sensitivity_dataset(rows.withColumn(LINES.key_repeat, F.lit(True)), LINES)
+    return {"primary": rows, "sensitivity": materialise(kept)}
+
+
 # --- metrics --------------------------------------------------------------
 
 
@@ -244,11 +257,9 @@ def kpi_summary(spark, folder):
 
 @query
 def kpi_compare(spark, folder):
-    needed = ["row_id", "item", "creator", "creator_score"]
-    rows = _fields(spark, folder, *needed).withColumn(LINES.key_repeat, F.lit(False))
-    kept = derive.sensitivity_dataset(rows, LINES)
-    base = metrics.kpi_summary(rows.drop(LINES.key_repeat), LINES)
-    other = metrics.kpi_summary(kept, LINES)
+    both = _both(spark, folder)
+    base = metrics.kpi_summary(both["primary"], LINES)
+    other = metrics.kpi_summary(both["sensitivity"], LINES)
     return neat(metrics.compare_kpis(base, other, "primary", "sensitivity"))
 
 
@@ -307,10 +318,7 @@ def q8b_tier_top_categories(spark, folder):
 
 @query
 def q9_dataset_compare(spark, folder):
-    rows = _fields(spark, folder, "row_id", "item", "creator")
-    rows = rows.withColumn(LINES.key_repeat, F.lit(False))
-    both = {"primary": rows, "sensitivity": derive.sensitivity_dataset(rows, LINES)}
-    return segments.compare_datasets(both, LINES)
+    return segments.compare_datasets(_both(spark, folder), LINES)
 
 
 @query
@@ -653,7 +661,5 @@ def split_comparison(spark, folder):
 
 @query
 def sensitivity_model(spark, folder):
-    rows = _fields(spark, folder, "row_id", "item", "creator", "creator_score")
-    rows = rows.withColumn(LINES.key_repeat, F.lit(False))
-    both = {"primary": rows, "sensitivity": derive.sensitivity_dataset(rows, LINES)}
-    return neat(modeling.compare_dataset_models(both, LINES, [MODEL_A, MODEL_B]))
+    models = [MODEL_A, MODEL_B]
+    return neat(modeling.compare_dataset_models(_both(spark, folder), LINES, models))

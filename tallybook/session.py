@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only below this many bytes, by its counted rows.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# An input with at least this many splits is never redistributed.
+FEW_SPLITS = 32
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -29,13 +31,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute `df` once and keep it on shared storage.
+    """Write `df` to the shared folder and read it back.
 
-    Used where later steps must see the very same rows (sketch-derived bounds)
-    or would each recompute a shuffle. Survives the loss of executors.
+    Used where several steps need the same computed rows. Unlike a checkpoint
+    the written table keeps its size and columns readable apart, and like one it
+    survives the loss of executors.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal an input of a few splits to all cores; larger inputs stay as read.
+
+    `df` must be a plain scan. A small file arrives as one or two tasks, which
+    would then do all the work that follows.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,18 +57,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/tallybook/{uuid.uuid4().hex}/{name}"
 
 
-def is_small(df: DataFrame, row_bytes: int) -> bool:
-    """Whether the counted rows stay below `BROADCAST_BYTES`.
+def bounded_count(df: DataFrame, row_bytes: int) -> int | None:
+    """Rows of `df` if they may be broadcast, None if they are too many.
 
     `df` should be materialised: it is counted here and read again by its user.
     """
     most = BROADCAST_BYTES // row_bytes
-    return df.limit(most + 1).count() <= most
+    count = df.limit(most + 1).count()
+    return count if count <= most else None
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only for a side that was counted to be small."""
-    return F.broadcast(df) if is_small(df, row_bytes) else df
+def is_small(df: DataFrame, row_bytes: int) -> bool:
+    return bounded_count(df, row_bytes) is not None
 
 
 def join_null_safe(
