@@ -112,7 +112,9 @@ def train_medians(train: DataFrame, features: dict[str, int]) -> dict[int, dict[
     """
     medians: dict[int, dict[str, float]] = {}
     for feature, distinct in features.items():
-        found = exact_quantiles(train, feature, {"median": 0.5}, ["seed"], distinct=distinct)
+        found = exact_quantiles(
+            train, feature, {"median": 0.5}, ["seed"], distinct=distinct, few_groups=True
+        )
         for row in found.collect():
             medians.setdefault(row.seed, {})[feature] = row.median
     return medians

@@ -44,12 +44,15 @@ def exact_quantiles(
     by: list[str] | tuple[str, ...] = (),
     sort_values: int = SORT_VALUES,
     distinct: int | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group of `by`, one column per
     entry of `probs`, plus `n`, the number of values that are not NULL.
 
     `distinct` bounds the distinct values per group where the caller knows it;
-    otherwise they are estimated first.
+    otherwise they are estimated first. `few_groups` says that the groups are
+    bounded by the query (a list of columns, of seeds), so that one row per group
+    may be broadcast.
     """
     by = list(by)
     values = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
@@ -66,8 +69,10 @@ def exact_quantiles(
     if not by:
         # a generated key stays a join key; a literal would be folded away
         values = values.select("*", F.explode(F.array(F.lit(1))).alias(_ALL))
-    route = _quantiles_by_sort if distinct <= sort_values else _quantiles_by_bracket
-    found = route(values, probs, by or [_ALL], sort_values)
+    if distinct <= sort_values:
+        found = _quantiles_by_sort(values, probs, by or [_ALL], few_groups or not by)
+    else:
+        found = _quantiles_by_bracket(values, probs, by or [_ALL], sort_values)
     return found.select(*by, "n", *probs)
 
 
@@ -76,8 +81,10 @@ def exact_medians(
 ) -> DataFrame:
     """Median of each column, as `label, value` rows."""
     numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    distinct = max(numbers.agg(*(F.approx_count_distinct(c) for c in columns)).first())
     long = numbers.unpivot([], columns, label, _V)
-    return exact_quantiles(long, _V, {value: 0.5}, [label]).select(label, value)
+    found = exact_quantiles(long, _V, {value: 0.5}, [label], distinct=distinct, few_groups=True)
+    return found.select(label, value)
 
 
 def _value_counts(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,12 +109,12 @@ def _at_rank(rank: Column) -> Column:
 
 
 def _quantiles_by_sort(
-    values: DataFrame, probs: dict[str, float], by: list[str], sort_values: int
+    values: DataFrame, probs: dict[str, float], by: list[str], few_groups: bool
 ) -> DataFrame:
     counts = _value_counts(values, by)
     ranked = counts.withColumn("_upto", F.sum(_N).over(_running(by)))
     sizes = counts.groupBy(*by).agg(F.sum(_N).alias("n"))
-    ranked = join_null_safe(ranked, sizes, by, "inner")
+    ranked = join_null_safe(ranked, sizes, by, "inner", broadcast=few_groups)
     ranks = {
         name: [_rank_of(F.lit(float(p)), F.col("n"), take) for take in (F.floor, F.ceil)]
         for name, p in probs.items()

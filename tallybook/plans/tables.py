@@ -127,13 +127,16 @@ LINE_JOINS = {
 }
 
 
-def lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """One observation per line item; all columns if none are named."""
+def lines(spark: SparkSession, folder: str, *columns: str, costly: bool = False) -> DataFrame:
+    """One observation per line item; all columns if none are named.
+
+    `costly` says that much is computed per row, so that few splits would keep
+    most cores idle. The row identity alone is costly.
+    """
     known = _line_columns()
     chosen = {c: known[c] for c in columns or known}
     df = table(spark, folder, "lineitem")
-    if "row_id" in chosen:
-        # the row identity and what is computed from it are the costly part
+    if costly or "row_id" in chosen:
         df = spread(df, "l_orderkey")
     for name, (left, right) in LINE_JOINS.items():
         if any(needed == name for _, needed in chosen.values()):

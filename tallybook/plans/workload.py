@@ -50,11 +50,11 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(edge)
 
 
-def _fields(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def _fields(spark: SparkSession, folder: str, *columns: str, costly: bool = False) -> DataFrame:
     """Lines with row-level derived fields, from the columns they need."""
     needed = {"score", "category", "segment", "year_raw", "period_raw", "size_units", "measure"}
     names = [c for c in tables._line_columns() if c in needed | set(columns)]
-    return derive.add_row_fields(tables.lines(spark, folder, *names), LINES)
+    return derive.add_row_fields(tables.lines(spark, folder, *names, costly=costly), LINES)
 
 
 # --- data quality ---------------------------------------------------------
@@ -131,7 +131,7 @@ def dq_cardinality(spark, folder):
 
 @query
 def dq_ranges(spark, folder):
-    return neat(audit.numeric_ranges(tables.lines(spark, folder, *NUMERIC), NUMERIC))
+    return neat(audit.numeric_ranges(tables.lines(spark, folder, *NUMERIC, costly=True), NUMERIC))
 
 
 @query
@@ -251,7 +251,7 @@ def _both(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 @query
 def kpi_summary(spark, folder):
-    fields = _fields(spark, folder, "item", "creator", "creator_score")
+    fields = _fields(spark, folder, "item", "creator", "creator_score", costly=True)
     return neat(metrics.kpi_summary(fields, LINES))
 
 
