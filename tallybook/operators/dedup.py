@@ -7,47 +7,80 @@ duplicates is deduplicated without moving its rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import content_key
 from tallybook.operators.lookup import join_key_values, key_counts
-from tallybook.session import bounded_count, materialise
+from tallybook.session import join_null_safe, materialise
 from tallybook.spec import CatalogSpec
 
 _HASH = "_row_hash"
+_CHECK = "_row_check"
 _COPIES = "_copies"
 
 
-def _suspect_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Row hashes that occur more than once."""
-    hashes = df.select(F.xxhash64(*columns).alias(_HASH))
-    return key_counts(hashes, [_HASH], _COPIES).where(F.col(_COPIES) > 1).select(_HASH)
-
-
 def _split_by_suspicion(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Rows with a hash of their own, and the rows that share theirs, if any."""
-    suspects = materialise(_suspect_hashes(df, columns))
-    count = bounded_count(suspects, row_bytes=16)
-    if count == 0:
+    hashes = df.select(F.xxhash64(*columns).alias(_HASH))
+    suspects = materialise(key_counts(hashes, [_HASH], _COPIES).where(F.col(_COPIES) > 1))
+    if not suspects.limit(1).count():
         return df, None
-    if count is not None:
-        suspects = F.broadcast(suspects)
     hashed = df.withColumn(_HASH, F.xxhash64(*columns))
-    alone = hashed.join(suspects, _HASH, "left_anti").drop(_HASH)
-    shared = hashed.join(suspects, _HASH, "left_semi").drop(_HASH)
-    return alone, shared
+    marked = join_key_values(hashed, suspects, [_HASH], _COPIES).drop(_HASH)
+    is_shared = F.col(_COPIES).isNotNull()
+    return marked.where(~is_shared).drop(_COPIES), marked.where(is_shared).drop(_COPIES)
+
+
+@dataclass(frozen=True)
+class Distinct:
+    """Rows without exact repeats, and the groups that lost rows, if any."""
+
+    rows: DataFrame
+    groups: DataFrame | None
+
+
+def distinct_rows(df: DataFrame, columns: list[str]) -> Distinct:
+    """Keep one of each group of rows equal in `columns`.
+
+    `columns` are the raw ones: derived columns follow from them, so the kept
+    copy does not depend on which one it is. Copies shrink to a counted group
+    on the map side, however many there are.
+    """
+    df = df.select(*columns)
+    alone, shared = _split_by_suspicion(df, columns)
+    if shared is None:
+        return Distinct(alone, None)
+    groups = materialise(key_counts(shared, columns, _COPIES))
+    return Distinct(alone.unionByName(groups.select(*columns)), groups.where(F.col(_COPIES) > 1))
+
+
+def drop_exact_repeats(df: DataFrame, columns: list[str]) -> DataFrame:
+    return distinct_rows(df, columns).rows
 
 
 def flag_exact_repeats(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Mark every member, the first included, of a group of equal rows."""
+    """Mark every member, the first included, of a group of equal rows.
+
+    Groups are counted on whole rows but meet their rows on two hashes, so that
+    no wide row is broadcast or joined on. Should two groups ever agree in both
+    hashes, the rows are joined on all columns instead.
+    """
     alone, shared = _split_by_suspicion(df, columns)
     alone = alone.withColumn(name, F.lit(False))
     if shared is None:
         return alone
-    shared = materialise(shared)
-    counted = join_key_values(shared, key_counts(shared, columns, _COPIES), columns, _COPIES)
-    return alone.unionByName(counted.withColumn(name, F.col(_COPIES) > 1).drop(_COPIES))
+    hashes = {_HASH: F.xxhash64(*columns), _CHECK: F.xxhash64(F.lit(name), *columns)}
+    groups = key_counts(shared, columns, _COPIES).withColumns(hashes)
+    keys = materialise(groups.select(*hashes, _COPIES))
+    if key_counts(keys, [*hashes]).where(F.col("n") > 1).limit(1).count():
+        counted = join_null_safe(shared, groups.drop(*hashes), columns, "left")
+    else:
+        counted = join_key_values(shared.withColumns(hashes), keys, [*hashes], _COPIES)
+    flagged = counted.withColumn(name, F.col(_COPIES) > 1)
+    return alone.unionByName(flagged.select(*alone.columns))
 
 
 def flag_key_repeats(
@@ -61,57 +94,34 @@ def flag_key_repeats(
     if weights is None:
         weights = df.select(*keys, F.lit(1).alias(_COPIES))
     counts = weights.groupBy(*keys).agg(F.sum(_COPIES).alias(_COPIES))
-    marked = join_key_values(df, counts.where(F.col(_COPIES) > 1), keys, _COPIES)
+    repeated = materialise(counts.where(F.col(_COPIES) > 1))
+    marked = join_key_values(df, repeated, keys, _COPIES)
     return marked.withColumn(name, F.col(_COPIES).isNotNull()).drop(_COPIES)
 
 
-def _without_repeats(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """`df` with one of each group of equal rows, and the groups that lost rows."""
-    alone, shared = _split_by_suspicion(df, columns)
-    if shared is None:
-        return alone, None
-    groups = materialise(key_counts(shared, columns, _COPIES))
-    return alone.unionByName(groups.select(*columns)), groups.where(F.col(_COPIES) > 1)
-
-
-def drop_exact_repeats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Keep one of each group of rows equal in `columns`.
-
-    `columns` are the raw ones: derived columns follow from them, so the kept
-    copy does not depend on which one it is. Copies shrink to a counted group
-    on the map side, however many there are.
-    """
-    return _without_repeats(df.select(*columns), columns)[0]
-
-
-def distinct_with_key_flag(
-    df: DataFrame, columns: list[str], keys: list[str], name: str
-) -> DataFrame:
-    """Drop exact repeats and mark the repeated keys of what is left.
+def flag_keys_of_distinct(df: DataFrame, distinct: Distinct, keys: list[str], name: str) -> DataFrame:
+    """Mark the repeated keys among the distinct rows of `df`.
 
     The keys are counted on `df` itself, less the removed copies: two columns
     are read for it instead of deduplicating once more.
     """
-    df = df.select(*columns)
-    distinct, groups = _without_repeats(df, columns)
     weights = df.select(*keys, F.lit(1).cast("bigint").alias(_COPIES))
-    if groups is not None:
-        weights = weights.unionByName(groups.select(*keys, (1 - F.col(_COPIES)).alias(_COPIES)))
-    return flag_key_repeats(distinct, keys, name, weights)
+    if distinct.groups is not None:
+        removed = distinct.groups.select(*keys, (1 - F.col(_COPIES)).alias(_COPIES))
+        weights = weights.unionByName(removed)
+    return flag_key_repeats(distinct.rows, keys, name, weights)
 
 
-def exact_repeat_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_stats(df: DataFrame, groups: DataFrame | None) -> DataFrame:
     """One row: rows in duplicate groups, rows a dedup removes, rows before and after."""
-    _, shared = _split_by_suspicion(df, columns)
     zero = F.lit(0).cast("bigint")
     total = df.agg(
         zero.alias("rows_in_groups"), zero.alias("rows_removed"), F.count(F.lit(1)).alias("rows_before")
     )
-    if shared is not None:
-        groups = key_counts(shared, columns).where(F.col("n") > 1)
+    if groups is not None:
         removed = groups.agg(
-            F.coalesce(F.sum("n"), zero).alias("rows_in_groups"),
-            F.coalesce(F.sum(F.col("n") - 1), zero).alias("rows_removed"),
+            F.coalesce(F.sum(_COPIES), zero).alias("rows_in_groups"),
+            F.coalesce(F.sum(F.col(_COPIES) - 1), zero).alias("rows_removed"),
             zero.alias("rows_before"),
         )
         total = total.unionByName(removed)
@@ -120,6 +130,12 @@ def exact_repeat_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     ).withColumn("rows_after", F.col("rows_before") - F.col("rows_removed"))
 
 
+def exact_repeat_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    _, shared = _split_by_suspicion(df, columns)
+    groups = None if shared is None else key_counts(shared, columns, _COPIES)
+    return repeat_stats(df, None if groups is None else groups.where(F.col(_COPIES) > 1))
+
+
 def key_repeat_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: repeated keys, rows under them, size of the largest group."""
     n = F.col("n")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import flag, period_of, tier_of
 from tallybook.operators.dedup import (
-    distinct_with_key_flag,
+    distinct_rows,
     flag_exact_repeats,
     flag_key_repeats,
+    flag_keys_of_distinct,
     one_row_per_key,
+    repeat_stats,
 )
 from tallybook.spec import CatalogSpec
 
@@ -57,12 +59,18 @@ def add_derived_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     return add_row_fields(flagged, spec)
 
 
-def primary_dataset(raw: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """Exact duplicates removed, key repeats kept and flagged."""
-    columns = spec.raw_columns(raw.columns)
-    flagged = distinct_with_key_flag(raw, columns, spec.key, spec.key_repeat)
+def primary_with_stats(raw: DataFrame, spec: CatalogSpec) -> tuple[DataFrame, DataFrame]:
+    """Exact duplicates removed, key repeats kept and flagged; and what was removed."""
+    raw = raw.select(*spec.raw_columns(raw.columns))
+    distinct = distinct_rows(raw, raw.columns)
+    flagged = flag_keys_of_distinct(raw, distinct, spec.key, spec.key_repeat)
     # distinct rows cannot repeat, so their flag needs no further pass
-    return add_row_fields(flagged.withColumn(spec.exact_repeat, F.lit(False)), spec)
+    primary = add_row_fields(flagged.withColumn(spec.exact_repeat, F.lit(False)), spec)
+    return primary, repeat_stats(raw, distinct.groups)
+
+
+def primary_dataset(raw: DataFrame, spec: CatalogSpec) -> DataFrame:
+    return primary_with_stats(raw, spec)[0]
 
 
 def sensitivity_dataset(primary: DataFrame, spec: CatalogSpec) -> DataFrame:

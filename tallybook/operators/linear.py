@@ -21,7 +21,7 @@ from tallybook.operators.quantiles import exact_quantiles
 from tallybook.spec import ModelSpec
 
 # Sums that may come to the driver; wider designs are refused.
-MAX_MARGINS = 500_000
+MAX_MARGINS = 200_000
 BASELINE = ModelSpec("baseline")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.session import is_small, join_null_safe, materialise
+from tallybook.session import is_small, join_null_safe
 
 # Keys with the greatest weight that travel to the rows. Every other key then
 # holds less than 1/HOT_KEYS of all rows, which one task can join.
@@ -15,15 +15,15 @@ HOT_KEYS = 1000
 def join_key_values(
     rows: DataFrame, values: DataFrame, keys: list[str], weight: str, hot_keys: int = HOT_KEYS
 ) -> DataFrame:
-    """Left join `values` (one row per key) to `rows`; NULL keys match.
+    """Left join `values` (one row per key, materialised) to `rows`; NULL keys match.
 
-    Values that are few are broadcast. Otherwise a hot key would gather its rows
-    in one task: AQE splits a skewed join partition only where the join reads the shuffle
-    directly. So the heaviest keys, at most `hot_keys` of them, are broadcast and
-    their rows never shuffle; the rest meet in an ordinary shuffle join.
+    Values measured to be small are broadcast. Otherwise a hot key would gather
+    its rows in one task, as AQE splits a skewed join partition only where the
+    join reads the shuffle directly. So the heaviest keys, at most `hot_keys` of
+    them, are broadcast and their rows never shuffle; the rest, each with less
+    than 1/`hot_keys` of all rows, meet in an ordinary shuffle join.
     """
-    values = materialise(values)
-    if is_small(values, row_bytes=256):
+    if is_small(values):
         return join_null_safe(rows, values, keys, "left", broadcast=True)
     hot = values.orderBy(F.desc(weight), *(F.asc_nulls_last(k) for k in keys)).limit(hot_keys)
     on_hot = join_null_safe(rows, hot, keys, "inner", broadcast=True)

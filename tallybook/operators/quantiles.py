@@ -135,7 +135,7 @@ def _quantiles_by_sort(
 
 def _bracketed(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
     """Each value with the brackets of its group."""
-    small = is_small(brackets, row_bytes=128)
+    small = is_small(brackets)
     return join_null_safe(values, brackets, by, "inner", broadcast=small)
 
 

@@ -20,6 +20,7 @@ SWEEP_SEEDS = [1, 7, 21, 42, 73, 101, 202, 314, 512, 999]
 SEED = 42
 # Hex digits counted: 65,536 prefixes, each with that share of the units.
 PREFIX = 4
+TOP_GROUPS = 10
 GROUP = "group_id"
 ROW = "row_key"
 ROW_GROUP = "__row_"
@@ -80,11 +81,13 @@ def split_cuts(
     chosen = prefixes.where(holds).select(
         "seed", "_prefix", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_rank")
     )
-    # one prefix per seed
+    # one prefix per seed; equal hashes are counted before the sort
     inside = hashed.join(F.broadcast(chosen), ["seed", "_prefix"])
-    order = F.row_number().over(by_seed.orderBy("_hash"))
-    cut = inside.withColumn("_order", order).where(F.col("_order") == F.col("_rank"))
-    return {r.seed: r["_hash"] for r in cut.select("seed", "_hash").collect()}
+    upto = F.sum("_n").over(by_seed.orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0))
+    counted = inside.groupBy("seed", "_rank", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    reached = counted.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_rank"))
+    cut = reached.groupBy("seed").agg(F.min("_hash").alias("_hash"))
+    return {r.seed: r["_hash"] for r in cut.collect()}
 
 
 def grouped_cuts(
@@ -133,18 +136,14 @@ def group_size_summary(frame: DataFrame) -> DataFrame:
         F.max("size").alias("largest"),
         F.sum(size * groups).alias("total_rows"),
     )
-    top = sizes.orderBy(F.desc("size")).limit(10).agg(F.collect_list("size").alias("top"))
-    ten = F.sort_array("top", asc=False).alias("ten_largest_group_sizes")
-    both = facts.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one")
-    return both.select(
-        "n_groups",
-        "median_group_size",
-        "p90_group_size",
-        "p99_group_size",
-        ten,
-        rounded(F.col("largest") / F.col("total_rows") * 100.0, 3).alias("largest_group_pct"),
-        "total_rows",
+    largest = sizes.orderBy(F.desc("size")).limit(TOP_GROUPS).select("size")
+    both = facts.unionByName(largest, allowMissingColumns=True)
+    summary = both.agg(
+        *(F.max(c).alias(c) for c in facts.columns),
+        F.sort_array(F.collect_list("size"), asc=False).alias("ten_largest_group_sizes"),
     )
+    pct = rounded(F.col("largest") / F.col("total_rows") * 100.0, 3)
+    return summary.withColumn("largest_group_pct", pct).drop("largest")
 
 
 def placeholder_census(df: DataFrame, spec: CatalogSpec) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import count_where
 from tallybook.operators.dedup import exact_repeat_stats, repeats_left
-from tallybook.operators.derive import primary_dataset, sensitivity_dataset
+from tallybook.operators.derive import primary_with_stats, sensitivity_dataset
 from tallybook.sources.csv import CsvLayout, load_raw
 from tallybook.sources.manifest import file_digests, validate_manifest
 from tallybook.sources.publish import publish_tables, publish_views, write_datasets
@@ -30,8 +30,8 @@ def build_datasets(raw: DataFrame, spec: CatalogSpec, folder: str) -> Built:
     The sensitivity dataset starts from the written primary one, so the raw
     table is cleaned once.
     """
-    stats = exact_repeat_stats(raw, spec.raw_columns(raw.columns))
-    primary = write_datasets({"primary": primary_dataset(raw, spec)}, folder)["primary"]
+    primary, stats = primary_with_stats(raw, spec)
+    primary = write_datasets({"primary": primary}, folder)["primary"]
     sensitivity = write_datasets({"sensitivity": sensitivity_dataset(primary, spec)}, folder)
     return Built(primary, sensitivity["sensitivity"], stats)
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only below this many bytes, by its counted rows.
+# A side is broadcast only below this many measured bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # An input with at least this many splits is never redistributed.
 FEW_SPLITS = 32
@@ -57,18 +57,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/tallybook/{uuid.uuid4().hex}/{name}"
 
 
-def bounded_count(df: DataFrame, row_bytes: int) -> int | None:
-    """Rows of `df` if they may be broadcast, None if they are too many.
+def is_small(df: DataFrame) -> bool:
+    """Whether the values of `df` were measured to fit a broadcast.
 
-    `df` should be materialised: it is counted here and read again by its user.
+    `df` should be materialised: it is measured here and read again by its user.
     """
-    most = BROADCAST_BYTES // row_bytes
-    count = df.limit(most + 1).count()
-    return count if count <= most else None
-
-
-def is_small(df: DataFrame, row_bytes: int) -> bool:
-    return bounded_count(df, row_bytes) is not None
+    size = F.lit(0).cast("bigint")
+    for name, kind in df.dtypes:
+        by_value = kind in ("string", "binary") or not kind.isidentifier()
+        text = F.col(name) if kind in ("string", "binary") else F.to_json(F.struct(name))
+        size = size + (F.coalesce(F.octet_length(text), F.lit(0)) + 16 if by_value else F.lit(16))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return total <= BROADCAST_BYTES
 
 
 def join_null_safe(

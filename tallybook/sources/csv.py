@@ -11,11 +11,12 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.functions.expressions import all_of, count_where
+from tallybook.session import materialise
 
 _LINE = "_line"
 _FILE = "_file"
@@ -154,49 +155,60 @@ def load_profile(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame
     by_file = (
         read_fields(spark, path, layout)
         .groupBy(_FILE)
-        .agg(
-            count_where(header).alias("headers"),
-            count_where(~header & ~kinds & ~wide).alias("rows"),
-            count_where(wide).alias("bad"),
-            F.min(F.when(wide, F.col(_LINE))).alias("example"),
-        )
+        .agg(count_where(header).alias("headers"), *_line_counts(header, kinds, wide))
     )
     return by_file.agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("n_malformed"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_malformed").alias("n_malformed"),
         F.min("example").alias("example"),
         count_where(F.col("headers") != 1).alias("n_files_without_header"),
     )
 
 
+def _line_counts(header: Column, kinds: Column, wide: Column) -> list[Column]:
+    return [
+        count_where(~header & ~kinds & ~wide).alias("n_rows"),
+        count_where(wide).alias("n_malformed"),
+        F.min(F.when(wide, F.col(_LINE))).alias("example"),
+    ]
+
+
 def load_raw(
     spark: SparkSession, path: str, layout: CsvLayout, validate_shape: bool = True
 ) -> DataFrame:
-    """Typed rows of all files under `path`.
+    """Typed rows of all files under `path`, written once to the shared folder.
 
-    Lines with too many fields are left out with a warning that counts them.
-    With `validate_shape`, a wrong column list, header or row count raises
-    `SchemaError`; check digests beforehand with `sources.manifest`.
+    The text is parsed a single time: the lines are counted while the typed rows
+    are written, and what follows reads the written columns. Lines with too many
+    fields are left out with a warning that counts them. With `validate_shape`, a
+    wrong column list, header or row count raises `SchemaError`; check digests
+    beforehand with `sources.manifest`.
     """
     if validate_shape:
         check_columns(header_of(spark, path, layout), layout)
-    profile = load_profile(spark, path, layout).first()
-    if profile.n_malformed:
+    header, kinds, wide = is_header(layout), is_type_line(layout), is_too_wide(layout)
+    seen = Observation()
+    fields = read_fields(spark, path, layout)
+    n_files = len(fields.inputFiles())
+    observed = fields.observe(
+        seen, count_where(header).alias("n_headers"), *_line_counts(header, kinds, wide)
+    )
+    data = observed.where(~header & ~kinds & ~wide).select(*layout.names)
+    rows = materialise(cast_fields(standardise_missing(data, layout.missing), layout))
+    found = seen.get
+    if found["n_malformed"]:
         warnings.warn(
-            f"{profile.n_malformed} malformed row(s) left out of {path}; "
-            f"one of them: {profile.example!r}",
+            f"{found['n_malformed']} malformed row(s) left out of {path}; "
+            f"one of them: {found['example']!r}",
             stacklevel=2,
         )
     if validate_shape:
-        if profile.n_files_without_header:
-            raise SchemaError(f"{profile.n_files_without_header} file(s) without the header line")
-        if layout.expected_rows is not None and profile.n_rows != layout.expected_rows:
-            raise SchemaError(f"expected {layout.expected_rows} rows, found {profile.n_rows}")
-    fields = read_fields(spark, path, layout).where(
-        ~is_header(layout) & ~is_type_line(layout) & ~is_too_wide(layout)
-    )
-    return cast_fields(standardise_missing(fields.select(*layout.names), layout.missing), layout)
+        if found["n_headers"] != n_files:
+            raise SchemaError(f"{n_files - found['n_headers']} file(s) without the header line")
+        if layout.expected_rows is not None and found["n_rows"] != layout.expected_rows:
+            raise SchemaError(f"expected {layout.expected_rows} rows, found {found['n_rows']}")
+    return rows
 
 
 def malformed_rows(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:

@@ -18,7 +18,7 @@ def write_datasets(datasets: dict[str, DataFrame], folder: str) -> dict[str, Dat
     for name, df in datasets.items():
         path = f"{folder.rstrip('/')}/{name}.parquet"
         df.write.mode("overwrite").parquet(path)
-        written[name] = df.sparkSession.read.parquet(path)
+        written[name] = df.sparkSession.read.schema(df.schema).parquet(path)
     return written
 
 

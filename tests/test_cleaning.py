@@ -106,7 +106,7 @@ def test_hot_copies_and_keys(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_key_values_reach_hot_cold_and_null_keys(spark, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(lookup, "is_small", lambda df, row_bytes: False)
+        monkeypatch.setattr(lookup, "is_small", lambda df: False)
     rows = spark.range(1000).select(
         "id",
         F.when(F.col("id") < 400, F.lit(None).cast("bigint")).otherwise(F.col("id") % 50).alias("k"),
