@@ -18,25 +18,28 @@ from tallybook.spec import CatalogSpec
 
 
 def row_level_fields(spec: CatalogSpec, columns: list[str]) -> dict[str, Column]:
-    """Derivations that need one row only, for the input columns present."""
-
-    def has(*names: str) -> bool:
-        return all(name in columns for name in names)
-
-    year = F.col(spec.year).try_cast("int") if has(spec.year) else F.lit(None).cast("int")
-    fallback = F.col(spec.period_fallback).try_cast("int") if has(spec.period_fallback) else None
-    score, measure = F.col(spec.score), F.col(spec.measure)
-    period = period_of(year, spec.period_width)
-    fields = {
-        spec.year_value: year,
-        spec.period: period if fallback is None else F.coalesce(period, fallback),
-        spec.size_scaled: F.col(spec.size) / F.lit(spec.size_divisor),
-        spec.tier: tier_of(score, spec.tier_bounds, spec.tier_labels),
-        spec.is_high: flag(score >= spec.high_min),
-        spec.has_category: F.col(spec.category).isNotNull(),
-        spec.is_sentinel_year: flag(year == spec.sentinel_year),
-    }
-    if has(spec.measure):
+    """Derivations that need one row only, as far as their inputs are present."""
+    fields: dict[str, Column] = {}
+    periods = []
+    if spec.year in columns:
+        year = F.col(spec.year).try_cast("int")
+        fields[spec.year_value] = year
+        fields[spec.is_sentinel_year] = flag(year == spec.sentinel_year)
+        periods.append(period_of(year, spec.period_width))
+    if spec.period_fallback in columns:
+        periods.append(F.col(spec.period_fallback).try_cast("int"))
+    if periods:
+        fields[spec.period] = F.coalesce(*periods)
+    if spec.size in columns:
+        fields[spec.size_scaled] = F.col(spec.size) / F.lit(spec.size_divisor)
+    if spec.score in columns:
+        score = F.col(spec.score)
+        fields[spec.tier] = tier_of(score, spec.tier_bounds, spec.tier_labels)
+        fields[spec.is_high] = flag(score >= spec.high_min)
+    if spec.category in columns:
+        fields[spec.has_category] = F.col(spec.category).isNotNull()
+    if spec.measure in columns:
+        measure = F.col(spec.measure)
         quality = F.when(measure.isNull(), "missing").when(measure == 0, spec.zero_label)
         fields[spec.measure_quality] = quality.otherwise("ok")
     return fields

@@ -51,9 +51,10 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _fields(spark: SparkSession, folder: str, *columns: str, costly: bool = False) -> DataFrame:
-    """Lines with row-level derived fields, from the columns they need."""
-    needed = {"score", "category", "segment", "year_raw", "period_raw", "size_units", "measure"}
-    names = [c for c in tables._line_columns() if c in needed | set(columns)]
+    """Lines with row-level derived fields. Columns of the line itself are always
+    there; those that need a join only if named."""
+    own = {"score", "segment", "year_raw", "period_raw", "size_units", "measure"}
+    names = [c for c in tables._line_columns() if c in own | set(columns)]
     return derive.add_row_fields(tables.lines(spark, folder, *names, costly=costly), LINES)
 
 
@@ -170,7 +171,7 @@ def dq_avail_bias(spark, folder):
 
 @query
 def dq_period_mix(spark, folder):
-    return audit.period_mix(_fields(spark, folder), LINES)
+    return audit.period_mix(_fields(spark, folder, "category"), LINES)
 
 
 @query
@@ -240,7 +241,7 @@ def publish_reconcile(spark, folder):
 
 def _both(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Lines and one line per key, as published: written, then read."""
-    needed = ["row_id", "item", "creator", "creator_score"]
+    needed = ["row_id", "item", "creator", "creator_score", "category"]
     rows = materialise(_fields(spark, folder, *needed))
     kept = derive.sensitivity_dataset(rows.withColumn(LINES.key_repeat, F.lit(True)), LINES)
     return {"primary": rows, "sensitivity": materialise(kept)}
@@ -251,7 +252,8 @@ def _both(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 @query
 def kpi_summary(spark, folder):
-    fields = _fields(spark, folder, "item", "creator", "creator_score", costly=True)
+    needed = ["item", "creator", "creator_score", "category"]
+    fields = _fields(spark, folder, *needed, costly=True)
     return neat(metrics.kpi_summary(fields, LINES))
 
 
@@ -273,17 +275,17 @@ def q1_period_score(spark, folder):
 
 @query
 def q2_category_score(spark, folder):
-    return segments.score_by_category(_fields(spark, folder), LINES)
+    return segments.score_by_category(_fields(spark, folder, "category"), LINES)
 
 
 @query
 def q3_category_high_share(spark, folder):
-    return segments.high_share_by_category(_fields(spark, folder), LINES)
+    return segments.high_share_by_category(_fields(spark, folder, "category"), LINES)
 
 
 @query
 def q4_period_coverage(spark, folder):
-    return segments.coverage_by_period(_fields(spark, folder), LINES)
+    return segments.coverage_by_period(_fields(spark, folder, "category"), LINES)
 
 
 @query
@@ -293,27 +295,27 @@ def q5_segment_score(spark, folder):
 
 @query
 def q6_period_category_rank(spark, folder):
-    return segments.category_rank_by_period(_fields(spark, folder), LINES)
+    return segments.category_rank_by_period(_fields(spark, folder, "category"), LINES)
 
 
 @query
 def q6_top_ranks(spark, folder):
-    return segments.category_rank_by_period(_fields(spark, folder), LINES, top=3)
+    return segments.category_rank_by_period(_fields(spark, folder, "category"), LINES, top=3)
 
 
 @query
 def q7_period_category_share(spark, folder):
-    return segments.category_share_by_period(_fields(spark, folder), LINES)
+    return segments.category_share_by_period(_fields(spark, folder, "category"), LINES)
 
 
 @query
 def q8a_tier_coverage(spark, folder):
-    return segments.coverage_by_tier(_fields(spark, folder), LINES)
+    return segments.coverage_by_tier(_fields(spark, folder, "category"), LINES)
 
 
 @query
 def q8b_tier_top_categories(spark, folder):
-    return segments.top_categories_by_tier(_fields(spark, folder), LINES, top=2)
+    return segments.top_categories_by_tier(_fields(spark, folder, "category"), LINES, top=2)
 
 
 @query
@@ -404,8 +406,10 @@ def ingest_manifest(spark, folder):
 
 
 def _line_frame(spark: SparkSession, folder: str, *models: ModelSpec) -> DataFrame:
-    fields = _fields(spark, folder, "row_id", "creator", "creator_score", "m1", "m2")
-    return modeling_frame(fields, LINES, list(models or (MODEL_A, MODEL_B)))
+    chosen = list(models or (MODEL_A, MODEL_B))
+    features = [c for m in chosen for c in m.features]
+    fields = _fields(spark, folder, "row_id", "creator", "creator_score", *features)
+    return modeling_frame(fields, LINES, chosen)
 
 
 def _order_frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,7 +475,7 @@ def modeling_sample(spark, folder):
 
 @query
 def modeling_notes(spark, folder):
-    return frame_notes(_fields(spark, folder, "creator"), LINES)
+    return frame_notes(_fields(spark, folder, "creator", "category"), LINES)
 
 
 def _held(spark: SparkSession, folder: str, seeds: list[int] | None = None, **options):
