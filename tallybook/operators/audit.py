@@ -9,7 +9,6 @@ from tallybook.functions.expressions import (
     bin_index,
     count_where,
     flag,
-    label_order,
     rounded,
     sample_skewness,
     share,
@@ -224,7 +223,3 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
         .withColumn("bin_low", F.lit(float(low)) + F.col("bin") * F.lit(width))
         .orderBy("bin")
     )
-
-
-def tier_sort(spec: CatalogSpec) -> Column:
-    return label_order(F.col(spec.tier), spec.tier_labels)

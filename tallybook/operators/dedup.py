@@ -167,7 +167,7 @@ def one_row_per_key(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     order.append(F.xxhash64(*raw))
     kept = first_per_key(df, spec.key, order)
     # recomputed: one row per key leaves no repeats
-    return kept.withColumn(spec.key_repeat, F.lit(False)).select(*df.columns)
+    return kept.withColumn(spec.key_repeat, F.lit(False))
 
 
 def repeats_left(df: DataFrame, keys: list[str]) -> DataFrame:

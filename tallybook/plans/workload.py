@@ -206,7 +206,7 @@ def primary_dataset(spark, folder):
 @query
 def sensitivity_dataset(spark, folder):
     rows = derive.add_row_fields(tables.lines(spark, folder), LINES)
-    return derive.sensitivity_dataset(rows.withColumn(LINES.key_repeat, F.lit(True)), LINES)
+    return derive.sensitivity_dataset(rows, LINES)
 
 
 def _built(spark: SparkSession, folder: str) -> datasets.Built:
@@ -243,7 +243,7 @@ def _both(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Lines and one line per key, as published: written, then read."""
     needed = ["row_id", "item", "creator", "creator_score", "category"]
     rows = materialise(_fields(spark, folder, *needed))
-    kept = derive.sensitivity_dataset(rows.withColumn(LINES.key_repeat, F.lit(True)), LINES)
+    kept = derive.sensitivity_dataset(rows, LINES)
     return {"primary": rows, "sensitivity": materialise(kept)}
 
 

@@ -93,7 +93,18 @@ def test_dedup_statistics(raw):
     assert tuple(dedup.exact_repeat_stats(distinct, raw.columns).first()) == (0, 0, 5, 5)
 
 
-def test_hot_copies_and_keys(spark):
+def test_selection_works_without_the_other_columns(spark):
+    df = spark.createDataFrame(
+        [("Song A", "Artist X", 2010, "single", 99), ("Song A", "Artist X", 2005, "album", 1)],
+        "track string, artist_1 string, release_date int, album_type string, popularity_score int",
+    )
+    assert [r.popularity_score for r in derive.sensitivity_dataset(df, MUSIC).collect()] == [1]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_hot_copies_and_keys(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(lookup, "is_small", lambda df: False)
     rows = spark.range(3000).select(
         F.when(F.col("id") < 1000, F.lit(0)).otherwise(F.col("id")).alias("k"),
         F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.col("id").cast("string")).alias("v"),

@@ -120,6 +120,27 @@ def test_constant_and_aliased_columns(spark, rows):
         modeling.ols_summary(spark, fit)
 
 
+def test_coefficient_tables(spark, rows):
+    fits = linear.fit_models(rows, [LEVELS])
+    numeric = linear.numeric_coefficients(spark, fits).collect()
+    assert [r.coef for r in numeric] == sorted(r.coef for r in numeric) and len(numeric) == 2
+    every = linear.level_coefficients(spark, fits).collect()
+    assert {(r.feature, r.level): r.coef for r in every if r.kind == "reference"} == {
+        ("c", "r"): 0.0,
+        ("d", "1"): 0.0,
+    }
+    ends = linear.level_coefficients(spark, fits, top=1).collect()
+    coefs = [r.coef for r in every if r.kind == "level"]
+    assert {r.coef for r in ends if r.kind == "level"} == {max(coefs), min(coefs)}
+
+
+def test_compared_splits_and_datasets(rows):
+    frame = rows.drop("seed", "is_test").withColumn("row_key", F.md5(F.col("x2").cast("string")))
+    model = ModelSpec("model_a", ("x1", "x2"), {"c": "r"})
+    row = modeling.compare_splits(frame, [model], [1, 2, 3], seed=1).first()
+    assert row.model == "model_a" and None not in tuple(row)
+
+
 def test_many_seeds_fit_like_one(rows):
     frame = rows.drop("seed", "is_test")
     held = modeling.hold_out(frame, [LEVELS], [1, 2, 3])

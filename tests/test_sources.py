@@ -138,6 +138,14 @@ def test_publish_replaces_earlier_tables(spark):
     assert publish.run_query(spark, count).first().n == 1
 
 
+def test_saved_tables_are_replaced(spark):
+    rows = _music(spark, [("a", "x", 10, None), ("b", "y", 50, "pop")])
+    for expected in (rows, rows.limit(1)):
+        publish.publish_tables({"saved_catalog": expected})
+        assert spark.table("saved_catalog").count() == expected.count()
+    spark.sql("DROP TABLE saved_catalog")
+
+
 def test_reconcile_finds_lost_rows_and_bad_scores(spark):
     source = _music(spark, [("a", "x", 10, None), ("b", "y", 50, None)])
     bad = _music(spark, [("a", "x", 101, None)])
