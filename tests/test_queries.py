@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from tallybook.plans.oracle import ORACLES
+from tallybook.plans.workload import QUERIES
 from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
 NO_TWIN = {
     "coef_ends",
     "ingest_manifest",
@@ -29,8 +30,10 @@ def con():
 
 
 def test_twins_are_complete():
-    assert set(QUERIES) - set(entry_module.oracle_sql()) == NO_TWIN
-    assert set(entry_module.oracle_sql()) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == NO_TWIN
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
