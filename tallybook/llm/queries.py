@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybook.llm import mixing
+from tallybook.llm import mixing, neighbours, packing, shards, topk
+from tallybook.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +26,48 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    store = shards.write_store(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=2,
+        folder=scratch_path(spark, "token-shards"),
+    )
+    found = shards.get(store, docs)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1
+    )
+    return packed.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+@query
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
