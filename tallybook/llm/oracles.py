@@ -51,3 +51,70 @@ WITH sizes AS (
 )
 SELECT doc_id, size, source_size, target, copies * size + part AS taken, copies, part FROM parts
 """
+
+ORACLES["op10_repeats"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 19], ' ')) AS run
+    FROM texts, unnest(range(1, len(words) - 18)) AS u(pos)
+), repeats AS (
+    SELECT doc_id, pos FROM windows
+    QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, pos + step AS pos FROM repeats, range(20) AS r(step)
+), single AS (
+    SELECT doc_id, pos, words[pos] AS word FROM texts, unnest(range(1, len(words) + 1)) AS u(pos)
+), kept AS (
+    SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.pos) AS kept, count(*) AS n
+    FROM single AS s ANTI JOIN gone AS g ON s.doc_id = g.doc_id AND s.pos = g.pos
+    GROUP BY s.doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts AS t LEFT JOIN kept AS k ON t.doc_id = k.doc_id
+"""
+
+ORACLES["op2_top_k"] = r"""
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id,
+       row_number() OVER (PARTITION BY q.vec_id
+           ORDER BY list_inner_product(q.vec, c.vec) DESC, c.vec_id)::INT AS rank,
+       c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+FROM vectors AS q JOIN vectors AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+QUALIFY rank <= 10
+"""
+
+ORACLES["op5_jaccard_join"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 3], ' ') AS shingle
+    FROM texts, unnest(range(1, greatest(len(words) - 2, 2))) AS u(pos)
+    WHERE len(words) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+    FROM shingles AS a JOIN shingles AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT x, y FROM met AS o JOIN sizes AS a ON a.doc_id = x JOIN sizes AS b ON b.doc_id = y
+    WHERE 100 * common >= 85 * (a.n + b.n - common)
+), reach AS (
+    SELECT doc_id AS node, doc_id AS seen FROM documents
+    UNION
+    SELECT node, y FROM reach JOIN links ON x = seen
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(seen) AS component_id
+FROM documents AS d JOIN reach ON node = d.doc_id LEFT JOIN sizes AS s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id, n
+"""

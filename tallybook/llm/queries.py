@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import mixing, neighbours, packing, shards, topk
+from tallybook.llm import jaccard, mixing, neighbours, packing, repeats, shards, topk, toxicity
 from tallybook.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,32 @@ def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, folder, "documents"), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, folder, "documents"), size=4, percent=85)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """A third of all documents, whose labels no model learns from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train_model(docs, table(spark, folder, "labels"), ~held_out())
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        F.col("toxic_flag").alias("predicted"),
+    )

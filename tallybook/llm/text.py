@@ -84,12 +84,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def words(texts: pa.Array, fold: bool = False) -> Words:
-    """All words of the texts; `fold` lower-cases A-Z first."""
+def words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE) -> Words:
+    """All words of the texts; `fold` lower-cases A-Z first, `gaps` marks the bytes between words."""
     data, limits = text_bytes(texts)
     if fold:
         data = FOLD[data]
-    inside = ~SPACE[data]
+    inside = ~gaps[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     before[limits[:-1][limits[:-1] < len(data)]] = False
