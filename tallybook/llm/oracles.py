@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express."""
 
+from tallybook.llm import licences
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_mixing"] = r"""
@@ -118,3 +120,47 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(seen) AS component_id
 FROM documents AS d JOIN reach ON node = d.doc_id LEFT JOIN sizes AS s ON s.doc_id = d.doc_id
 GROUP BY d.doc_id, n
 """
+
+_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licences.TEMPLATES.items()))
+ORACLES["op9_licences"] = rf"""
+WITH passages AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS passage FROM documents
+    UNION ALL
+    SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+), units AS (
+    SELECT doc_id, passage, row_number() OVER () AS unit FROM passages
+), templates AS (
+    SELECT col0 AS licence, col1 AS passage FROM (VALUES {_TEMPLATES})
+), texts AS (
+    SELECT doc_id, unit, NULL AS licence, passage FROM units
+    UNION ALL
+    SELECT NULL, NULL, licence, passage FROM templates
+), split AS (
+    SELECT doc_id, unit, licence, regexp_extract_all(
+               translate(passage, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[a-z0-9]+') AS words
+    FROM texts
+), pairs AS (
+    SELECT doc_id, unit, licence, words[i] || ' ' || words[i + 1] AS pair, len(words) - 1 AS size
+    FROM split, unnest(range(1, len(words))) AS u(i)
+), counted AS (
+    SELECT doc_id, unit, licence, pair, size, count(*) AS n FROM pairs GROUP BY ALL
+), scores AS (
+    SELECT a.doc_id, a.unit, b.licence,
+           2 * sum(least(a.n, b.n))::DOUBLE / (a.size + b.size) AS score
+    FROM counted AS a JOIN counted AS b ON a.pair = b.pair
+    WHERE a.licence IS NULL AND b.licence IS NOT NULL
+    GROUP BY a.doc_id, a.unit, a.size, b.licence, b.size
+), best AS (
+    SELECT doc_id, unit, licence, score FROM scores WHERE score >= {licences.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) = 1
+), single AS (
+    SELECT doc_id, count(*) AS n_passages,
+           array_to_string(list_sort(list_distinct(list(licence))), ',') AS licences,
+           max(score) AS best_score
+    FROM best GROUP BY doc_id
+)
+SELECT DISTINCT d.doc_id, coalesce(n_passages, 0)::BIGINT AS n_passages,
+       coalesce(licences, '') AS licences, best_score
+FROM documents AS d LEFT JOIN single AS s ON d.doc_id = s.doc_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import jaccard, mixing, neighbours, packing, repeats, shards, topk, toxicity
+from tallybook.llm import disclosure, jaccard, licences, mixing, neighbours, packing, repeats, shards, topk, toxicity
 from tallybook.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,20 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxic_score").alias("score"),
         F.col("toxic_flag").alias("predicted"),
     )
+
+
+@query
+def op6_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    spans = disclosure.all_spans(table(spark, folder, "documents"))
+    counts = [disclosure.count_kind(F.col("base"), k).alias(f"n_{k}") for k in disclosure.KINDS]
+    return spans.select(
+        "doc_id",
+        *counts,
+        F.sha2(disclosure.listed(F.col("base")), 256).alias("base_sha256"),
+        disclosure.listed(F.concat("base", "terms")).alias("spans"),
+    )
+
+
+@query
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.document_licences(table(spark, folder, "documents"))
