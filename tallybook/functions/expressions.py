@@ -19,8 +19,10 @@ def rounded(value: Column, digits: int) -> Column:
     `F.round` works on the decimal text of a double and so differs from other
     engines on values such as 1.005.
     """
-    scale = float(10**digits)
-    return F.floor(value.cast("double") * scale + 0.5) / F.lit(scale)
+    number, scale = value.cast("double"), float(10**digits)
+    # beyond 2^53 a double has no digits to round; infinite and NaN stay as they are
+    fits = F.abs(number) < F.lit(2.0**53 / scale)
+    return F.when(fits, F.floor(number * scale + 0.5) / F.lit(scale)).otherwise(number)
 
 
 def count_where(condition: Column) -> Column:

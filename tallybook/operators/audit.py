@@ -14,6 +14,7 @@ from tallybook.functions.expressions import (
     share,
     share_pct,
 )
+from tallybook.operators.dedup import exact_repeat_stats
 from tallybook.operators.quantiles import exact_medians
 from tallybook.spec import CatalogSpec
 
@@ -125,7 +126,9 @@ def flag_counts(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
 
 def exact_repeats_left(df: DataFrame, spec: CatalogSpec) -> DataFrame:
-    return df.agg(count_where(F.col(spec.exact_repeat)).alias("remaining_exact_repeats"))
+    """Rows of groups that are still equal in all raw columns, whatever their flag says."""
+    stats = exact_repeat_stats(df, spec.raw_columns(df.columns))
+    return stats.select(F.col("rows_in_groups").alias("remaining_exact_repeats"))
 
 
 def score_distribution(df: DataFrame, spec: CatalogSpec) -> DataFrame:
@@ -216,10 +219,16 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     """Equal-width counts over [low, high]; the top edge is in the last bin."""
     width = (high - low) / bins
     value = F.col(column)
-    return (
+    counted = (
         df.where(value.between(low, high))
         .groupBy(bin_index(value, low, width, bins).cast("bigint").alias("bin"))
         .agg(_rows().alias("n"))
+    )
+    # empty bins count 0
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return (
+        every.join(counted, "bin", "left")
+        .select("bin", F.coalesce("n", F.lit(0)).alias("n"))
         .withColumn("bin_low", F.lit(float(low)) + F.col("bin") * F.lit(width))
         .orderBy("bin")
     )

@@ -40,10 +40,10 @@ def _r2(residual: Column, total: Column) -> Column:
 
 
 def accuracy(predictions: DataFrame, by: list[str] | tuple[str, ...] = ("model",)) -> DataFrame:
-    """n, R2, MAE and RMSE on raw predictions."""
+    """n, R2, MAE and RMSE on raw predictions of rows with a known target."""
     error = _y() - _p()
     sums = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(error).alias("n"),
         F.sum(error * error).alias("_residual"),
         (F.var_pop(_y()) * F.count(_y())).alias("_total"),
         F.avg(F.abs(error)).alias("mae"),

@@ -12,7 +12,7 @@ import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,7 +274,8 @@ def fit_models(
     """
     numeric = _union(models, lambda m: m.numeric)
     categorical = _union(models, lambda m: m.categorical)
-    train = rows.where(~F.col("is_test"))
+    # a row without a target teaches nothing
+    train = rows.where(~F.col("is_test") & F.col(TARGET).isNotNull())
     # the shift only keeps the sums well conditioned; it cancels in the fit
     shifts, gaps = _profile(rows if frame is None else frame, numeric)
     fills = train_medians(train, gaps)
@@ -300,14 +301,19 @@ def numeric_coefficients(spark: SparkSession, fits: list[Fit]) -> DataFrame:
 
 
 def level_coefficients(spark: SparkSession, fits: list[Fit], top: int | None = None) -> DataFrame:
-    """Contrasts to the reference levels; with `top` only the ends of the list."""
+    """Contrasts to the reference levels; with `top` only the ends of each fit's list."""
     rows = coefficient_rows(spark, fits).where(F.col("kind") != "numeric")
     if top is not None:
         levels = rows.where(F.col("kind") == "level")
-        highest = levels.orderBy(F.desc("coef"), "feature", "level").limit(top)
-        lowest = levels.orderBy("coef", "feature", "level").limit(top)
-        rows = highest.unionByName(lowest).unionByName(rows.where(F.col("kind") == "reference"))
-        rows = rows.dropDuplicates(["seed", "model", "feature", "level"])
+        fit = Window.partitionBy("seed", "model")
+        ends = levels.withColumns(
+            {
+                "_high": F.row_number().over(fit.orderBy(F.desc("coef"), "feature", "level")),
+                "_low": F.row_number().over(fit.orderBy("coef", "feature", "level")),
+            }
+        ).where((F.col("_high") <= top) | (F.col("_low") <= top))
+        references = rows.where(F.col("kind") == "reference")
+        rows = ends.drop("_high", "_low").unionByName(references)
     return rows.orderBy("seed", "model", F.desc("coef"), "feature", "level")
 
 

@@ -7,28 +7,32 @@ from pyspark.sql import functions as F
 
 from tallybook.session import is_small, join_null_safe
 
-# Keys with the greatest weight that travel to the rows. Every other key then
-# holds less than 1/HOT_KEYS of all rows, which one task can join.
-HOT_KEYS = 1000
+# Rows of one key that one task should join; a heavier key is dealt to several.
+TASK_ROWS = 1_000_000
+_PARTS = "_parts"
+_PART = "_part"
 
 
 def join_key_values(
-    rows: DataFrame, values: DataFrame, keys: list[str], weight: str, hot_keys: int = HOT_KEYS
+    rows: DataFrame, values: DataFrame, keys: list[str], weight: str, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Left join `values` (one row per key, materialised) to `rows`; NULL keys match.
 
-    Values measured to be small are broadcast. Otherwise a hot key would gather
-    its rows in one task, as AQE splits a skewed join partition only where the
-    join reads the shuffle directly. So the heaviest keys, at most `hot_keys` of
-    them, are broadcast and their rows never shuffle; the rest, each with less
-    than 1/`hot_keys` of all rows, meet in an ordinary shuffle join.
+    Values measured to be small are broadcast. Otherwise every key whose `weight`, its
+    number of rows, is above `task_rows` is dealt to as many parts as that takes: its
+    rows by their place, its value once for each part. There are at most
+    rows / `task_rows` such keys, and their list is what travels to the rows.
     """
     if is_small(values):
         return join_null_safe(rows, values, keys, "left", broadcast=True)
-    hot = values.orderBy(F.desc(weight), *(F.asc_nulls_last(k) for k in keys)).limit(hot_keys)
-    on_hot = join_null_safe(rows, hot, keys, "inner", broadcast=True)
-    others = join_null_safe(rows, hot.select(*keys), keys, "left_anti", broadcast=True)
-    return on_hot.unionByName(join_null_safe(others, values, keys, "left"))
+    parts = F.ceil(F.col(weight) / F.lit(float(task_rows))).cast("int")
+    heavy = values.where(F.col(weight) > task_rows).select(*keys, parts.alias(_PARTS))
+    marked = join_null_safe(rows, heavy, keys, "left", broadcast=is_small(heavy))
+    place = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(_PARTS), F.lit(1)).cast("bigint"))
+    dealt = marked.withColumn(_PART, place).drop(_PARTS)
+    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)).cast("bigint") - 1)
+    copied = values.withColumn(_PART, F.explode(every))
+    return join_null_safe(dealt, copied, [*keys, _PART], "left").drop(_PART)
 
 
 def key_counts(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:

@@ -87,7 +87,7 @@ DERIVED = (
 
 # --- data quality ---------------------------------------------------------
 
-ORACLES["dq_row_count"] = "SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns FROM lineitem"
+ORACLES["dq_row_count"] = "SELECT count(*) AS n_rows, (SELECT count(*)::INTEGER FROM (DESCRIBE lineitem)) AS n_columns FROM lineitem"
 
 
 def _union(parts: list[str]) -> str:
@@ -201,7 +201,8 @@ def _histogram(where: str, low: int, width: int, bins: int) -> str:
     return f"""WITH {LINES},
 h AS (SELECT CAST(least(floor((score - {low}) / {width}.0::DOUBLE), {bins - 1}) AS BIGINT) AS bin
       FROM lines WHERE {where})
-SELECT bin, count(*) AS n, {low}.0::DOUBLE + bin * {width}.0::DOUBLE AS bin_low FROM h GROUP BY bin"""
+SELECT b.bin, count(h.bin) AS n, {low}.0::DOUBLE + b.bin * {width}.0::DOUBLE AS bin_low
+FROM range({bins}) AS b(bin) LEFT JOIN h ON h.bin = b.bin GROUP BY b.bin"""
 
 
 ORACLES["dq_histogram"] = _histogram("score BETWEEN 0 AND 100", 0, 2, 50)
@@ -430,6 +431,7 @@ SELECT count(*) AS input_rows, {num("period IS NULL")} AS rows_dropped_missing_p
        {num("period IS NOT NULL AND measure = 0")} AS measures_treated_as_missing,
        {num("period IS NOT NULL AND category IS NULL")} AS rows_with_unknown_category,
        count(period) AS output_rows,
+       {num("period IS NOT NULL AND score IS NULL")} AS rows_without_target,
        {num("period IS NOT NULL AND creator IS NULL")} AS rows_missing_creator,
        {num(f"period IS NOT NULL AND creator IN {PLACEHOLDERS}")} AS rows_with_placeholder_creator
 FROM f"""

@@ -8,47 +8,56 @@ from tallybook.sources.csv import CsvLayout
 from tallybook.spec import CatalogSpec, ModelSpec
 
 # Header names in file order with their types.
-MUSIC_COLUMNS = """
-track string
-artist_1 string
-artist_1_pop double
-artist_2 string
-artist_2_pop double
-artist_3 string
-artist_3_pop double
-artist_1_genre_1 string
-artist_1_genre_2 string
-artist_1_genre_3 string
-artist_2_genre_1 string
-artist_2_genre_2 string
-artist_2_genre_3 string
-artist_3_genre_1 string
-artist_3_genre_2 string
-artist_3_genre_3 string
-release_date int
-release_decade int
-danceability string
-energy string
-speechiness string
-acousticness string
-instrumentalness string
-liveness string
-popularity string
-duration string
-album_type string
-popularity_score int
-key string
-loudness double
-valence double
-tempo double
-duration_ms bigint
-time_signature int
-"""
+MUSIC_COLUMNS = (
+    ("track", "string"),
+    ("artist_1", "string"),
+    ("artist_1_pop", "double"),
+    ("artist_2", "string"),
+    ("artist_2_pop", "double"),
+    ("artist_3", "string"),
+    ("artist_3_pop", "double"),
+    ("artist_1_genre_1", "string"),
+    ("artist_1_genre_2", "string"),
+    ("artist_1_genre_3", "string"),
+    ("artist_2_genre_1", "string"),
+    ("artist_2_genre_2", "string"),
+    ("artist_2_genre_3", "string"),
+    ("artist_3_genre_1", "string"),
+    ("artist_3_genre_2", "string"),
+    ("artist_3_genre_3", "string"),
+    ("release_date", "int"),
+    ("release_decade", "int"),
+    ("danceability", "string"),
+    ("energy", "string"),
+    ("speechiness", "string"),
+    ("acousticness", "string"),
+    ("instrumentalness", "string"),
+    ("liveness", "string"),
+    ("popularity", "string"),
+    ("duration", "string"),
+    ("album_type", "string"),
+    ("popularity_score", "int"),
+    ("key", "string"),
+    ("loudness", "double"),
+    ("valence", "double"),
+    ("tempo", "double"),
+    ("duration_ms", "bigint"),
+    ("time_signature", "int"),
+)
 
 # Columns that must exist whatever else changed.
 MUSIC_REQUIRED = (
-    "track artist_1 artist_1_pop artist_1_genre_1 release_date popularity "
-    "popularity_score album_type tempo duration_ms time_signature"
+    "track",
+    "artist_1",
+    "artist_1_pop",
+    "artist_1_genre_1",
+    "release_date",
+    "popularity",
+    "popularity_score",
+    "album_type",
+    "tempo",
+    "duration_ms",
+    "time_signature",
 )
 
 # Digest and row count of the published file.
@@ -56,8 +65,8 @@ MUSIC_SHA256 = "4045adda473d6cd4fde6f3a11253faf37d7ee26fd122bcfd5c8a6c1fc5441974
 MUSIC_ROWS = 277_938
 
 MUSIC_LAYOUT = CsvLayout(
-    columns=tuple(tuple(line.split()) for line in MUSIC_COLUMNS.split("\n") if line),
-    required=tuple(MUSIC_REQUIRED.split()),
+    columns=MUSIC_COLUMNS,
+    required=MUSIC_REQUIRED,
     expected_rows=MUSIC_ROWS,
 )
 
@@ -100,11 +109,27 @@ MUSIC_MODEL_B = MUSIC_MODEL_A.plus("model_b", "artist_1_pop")
 MUSIC_TABLES = {"primary": "tracks_primary", "sensitivity": "tracks_sensitivity"}
 
 # Columns of the cardinality and range audits.
-MUSIC_CATEGORICAL_AUDIT = tuple(
-    "danceability energy speechiness acousticness instrumentalness liveness popularity "
-    "duration album_type time_signature key artist_1_genre_1".split()
+MUSIC_CATEGORICAL_AUDIT = (
+    "danceability",
+    "energy",
+    "speechiness",
+    "acousticness",
+    "instrumentalness",
+    "liveness",
+    "popularity",
+    "duration",
+    "album_type",
+    "time_signature",
+    "key",
+    "artist_1_genre_1",
 )
-MUSIC_NUMERIC_AUDIT = tuple(
-    "artist_1_pop release_date popularity_score loudness valence tempo duration_ms".split()
+MUSIC_NUMERIC_AUDIT = (
+    "artist_1_pop",
+    "release_date",
+    "popularity_score",
+    "loudness",
+    "valence",
+    "tempo",
+    "duration_ms",
 )
 MUSIC_PAIRS = {"artist_2": "artist_2_pop", "artist_3": "artist_3_pop"}

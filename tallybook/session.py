@@ -57,8 +57,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/tallybook/{uuid.uuid4().hex}/{name}"
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the values of `df` were measured to fit a broadcast.
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of `df` were measured to fit a broadcast of `limit` bytes.
 
     `df` should be materialised: it is measured here and read again by its user.
     """
@@ -68,7 +68,7 @@ def is_small(df: DataFrame) -> bool:
         text = F.col(name) if kind in ("string", "binary") else F.to_json(F.struct(name))
         size = size + (F.coalesce(F.octet_length(text), F.lit(0)) + 16 if by_value else F.lit(16))
     total = df.agg(F.sum(size)).first()[0] or 0
-    return total <= BROADCAST_BYTES
+    return total <= limit
 
 
 def join_null_safe(

@@ -95,10 +95,13 @@ def test_dedup_statistics(raw):
 
 def test_selection_works_without_the_other_columns(spark):
     df = spark.createDataFrame(
-        [("Song A", "Artist X", 2010, "single", 99), ("Song A", "Artist X", 2005, "album", 1)],
+        [("waltz", "quartet", year, kind, score)
+         for year, kind, score in ((1987, "single", 71), (1974, "single", 64), (None, "album", 88),
+                                   (1974, "album", 12), (1999, "album", 95))],
         "track string, artist_1 string, release_date int, album_type string, popularity_score int",
-    )
-    assert [r.popularity_score for r in derive.sensitivity_dataset(df, MUSIC).collect()] == [1]
+    )
+    # of the earliest year the first segment stays, whatever the scores are
+    assert [r.popularity_score for r in derive.sensitivity_dataset(df, MUSIC).collect()] == [12]
 
 
 @pytest.mark.parametrize("small", [True, False])
@@ -123,15 +126,16 @@ def test_key_values_reach_hot_cold_and_null_keys(spark, monkeypatch, small):
         F.when(F.col("id") < 400, F.lit(None).cast("bigint")).otherwise(F.col("id") % 50).alias("k"),
     )
     values = lookup.key_counts(rows, ["k"])
-    joined = lookup.join_key_values(rows, values, ["k"], "n", hot_keys=3)
+    joined = lookup.join_key_values(rows, values, ["k"], "n", task_rows=10)
     assert joined.count() == 1000
     found = {r.k: r.n for r in joined.select("k", "n").distinct().collect()}
     assert found == {None: 400, **{k: 12 for k in range(50)}}
 
 
 def test_metrics_fall_back_to_raw_columns(spark):
-    rows = [("a", "x", 10, None, 0.1, 60_000), ("a", "x", 90, "pop", 0.9, 120_000),
-            ("b", "y", 50, "rock", 0.5, 180_000)]
+    rows = [("reel", "duo", 22, "folk", 0.31, 150_000), ("jig", "duo", 71, None, 0.62, 90_000),
+            ("reel", "duo", 68, "folk", 0.31, 210_000), ("air", "trio", 35, None, 0.47, 150_000),
+            ("hymn", "choir", 4, "sacred", 0.08, 390_000)]
     df = spark.createDataFrame(
         rows,
         "track string, artist_1 string, popularity_score int, artist_1_genre_1 string, "
@@ -139,11 +143,11 @@ def test_metrics_fall_back_to_raw_columns(spark):
     )
     kpis = {r.metric: r.value for r in metrics.kpi_summary(df, MUSIC).collect()}
     assert set(kpis) == set(metrics.METRICS)
-    assert kpis["high_share"] == pytest.approx(1 / 3)
-    assert kpis["category_coverage"] == pytest.approx(2 / 3)
-    assert kpis["repeat_share"] == pytest.approx(2 / 3)
-    assert (kpis["row_count"], kpis["median_score"], kpis["mean_score"]) == (3, 50, 50)
-    assert (kpis["median_size"], kpis["median_creator_score"]) == (2.0, 0.5)
+    assert kpis["high_share"] == pytest.approx(2 / 5)
+    assert kpis["category_coverage"] == pytest.approx(3 / 5)
+    assert kpis["repeat_share"] == pytest.approx(2 / 5)
+    assert (kpis["row_count"], kpis["median_score"], kpis["mean_score"]) == (5, 35, 40)
+    assert (kpis["median_size"], kpis["median_creator_score"]) == (2.5, 0.31)
     for name in metrics.METRICS:
         assert metrics.metric(df, MUSIC, name).first().value == kpis[name]
 
@@ -157,10 +161,11 @@ def test_kpi_comparison_guards_a_zero_base(spark):
 
 def test_cutoff_year_is_literal(spark):
     df = spark.createDataFrame(
-        [("album", 2000), ("album", 2001), ("album", None)], "album_type string, release_year int"
+        [("single", year) for year in (1931, 1999, 2000, 2000, 2003, 2014, 2021, None, None, 2001)],
+        "album_type string, release_year int",
     )
     row = segments.period_profile_by_segment(df, MUSIC).first()
-    assert (row.n_rows, row.pct_up_to_cutoff) == (2, 50.0)
+    assert (row.n_rows, row.pct_up_to_cutoff) == (8, 50.0)
 
 
 def test_ranks_share_ties_and_leave_gaps(spark):
@@ -209,15 +214,44 @@ def test_expressions(spark):
         X.rounded(F.lit(2.345), 2).alias("r"),
         X.clip(F.lit(None).cast("double"), 0.0, 100.0).alias("null"),
         F.transform(
-            F.array(*(F.lit(v) for v in (-10.0, 50.0, 150.0))), lambda v: X.clip(v, 0.0, 100.0)
+            F.array(*(F.lit(v) for v in (-0.5, 73.25, 100.5))), lambda v: X.clip(v, 0.0, 100.0)
         ).alias("clip"),
         F.transform(
-            F.array(*(F.lit(v) for v in (1, 2, 4, 15, 50, 500))), X.frequency_bucket
+            F.array(*(F.lit(v) for v in (0, 1, 3, 5, 6, 20, 21, 100, 101))), X.frequency_bucket
         ).alias("buckets"),
         X.bin_index(F.lit(100), 0, 2, 50).alias("top"),
     ).first()
-    assert row.null is None and row.clip == [0.0, 50.0, 100.0] and row.top == 49
-    assert row.buckets == ["1", "2", "3-5", "6-20", "21-100", "100+"]
+    assert row.null is None and row.clip == [0.0, 73.25, 100.0] and row.top == 49
+    assert row.buckets == [
+        None, "1", "3-5", "3-5", "6-20", "6-20", "21-100", "21-100", "100+"]
+
+
+def test_rounding_leaves_what_has_no_digits(spark):
+    values = [1.5e14, 9.3e18, float("inf"), float("-inf"), float("nan"), None, 2.675]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in rows.select(X.rounded(F.col("v"), 6)).collect()]
+    assert found[:4] == values[:4] and found[4] != found[4] and found[5:] == [None, 2.675]
+
+
+def test_histogram_has_its_empty_bins(spark):
+    rows = spark.createDataFrame([(3,), (3,), (18,)], "v int")
+    found = audit.histogram(rows, "v", 0, 20, 10).collect()
+    assert [(r.bin, r.n) for r in found if r.n] == [(1, 2), (9, 1)] and len(found) == 10
+
+
+def test_remaining_repeats_are_counted_on_the_rows(raw):
+    primary = derive.primary_dataset(raw, MUSIC)
+    assert audit.exact_repeats_left(primary, MUSIC).first()[0] == 0
+    again = primary.unionByName(primary.where("popularity_score = 90"))
+    assert audit.exact_repeats_left(again, MUSIC).first()[0] == 2
+
+
+def test_many_heavy_keys_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    rows = spark.range(40_000).select((F.col("id") % 2000).alias("k"))
+    values = lookup.key_counts(rows, ["k"]).withColumn("v", -F.col("k"))
+    joined = lookup.join_key_values(rows, values, ["k"], "n", task_rows=7)
+    assert joined.count() == 40_000 and joined.where("v <> -k OR n <> 20").count() == 0
 
 
 def test_skewness_is_bias_corrected(spark):

@@ -241,7 +241,7 @@ def test_sample_recodes_and_accounts_for_rows(catalog):
     assert set(kept) == {"X", "Various Artists"}
     assert kept["X"].tempo is None and kept["X"].artist_1_genre_1 == "Unknown"
     notes = frame_notes(catalog, MUSIC).first()
-    assert tuple(notes) == (3, 1, 1, 1, 2, 0, 1)
+    assert tuple(notes) == (3, 1, 1, 1, 2, 0, 0, 1)
 
 
 def test_nothing_derived_from_the_target_is_a_feature(catalog):
@@ -256,7 +256,7 @@ def test_nothing_derived_from_the_target_is_a_feature(catalog):
 
 
 def _predictions(spark, pairs, model="m"):
-    data = [(model, float(y), float(p)) for y, p in pairs]
+    data = [(model, None if y is None else float(y), float(p)) for y, p in pairs]
     return spark.createDataFrame(data, "model string, target double, prediction double")
 
 
@@ -266,19 +266,23 @@ def test_accuracy_of_known_cases(spark):
 
     assert score([(1, 1), (2, 2), (3, 3)]).r2 == 1.0
     assert score([(1, 2), (2, 2), (3, 2)]).r2 == pytest.approx(0.0)
-    row = score([(0, 5), (10, 5), (20, 25)])
-    assert (row.mae, row.rmse) == (5.0, 5.0)
+    # errors 3, -4, 0, 1: their sizes add to 8, their squares to 26
+    row = score([(7, 4), (30, 34), (12, 12), (41, 40)])
+    assert row.mae == 2.0 and row.rmse == pytest.approx(6.5**0.5)
     assert score([(4, 4), (4, 4)]).r2 == 1.0 and score([(4, 3), (4, 4)]).r2 == 0.0
+    # rows without a target are not evaluated
+    assert score([(7, 4), (None, 99), (30, 34)]).n == 2
 
 
 def test_bounds_count_strictly_outside(spark):
-    values = [-10, -0.1, 0, 50, 100, 100.1, 150]
+    # both edges count as inside
+    values = [*(0.25 * i for i in range(13)), 0.0, 100.0, -3.5, 104.0, 233.0]
     row = evaluate.bounds(_predictions(spark, [(1, v) for v in values]), MUSIC).first()
-    assert (row.n, row.n_below_0, row.n_above_100) == (7, 2, 2)
-    assert (row.min_prediction, row.max_prediction) == (-10, 150)
-    assert row.pct_below_0 == 28.571
-    clipped = evaluate.clipped(_predictions(spark, [(1, -10), (1, 50), (1, 150)]), MUSIC)
-    assert sorted(r.prediction for r in clipped.collect()) == [0, 50, 100]
+    assert (row.n, row.n_below_0, row.n_above_100) == (18, 1, 2)
+    assert (row.min_prediction, row.max_prediction) == (-3.5, 233)
+    assert (row.pct_below_0, row.pct_above_100) == (5.556, 11.111)
+    clipped = evaluate.clipped(_predictions(spark, [(1, -3.5), (1, 61.5), (1, 104)]), MUSIC)
+    assert sorted(r.prediction for r in clipped.collect()) == [0, 61.5, 100]
 
 
 def test_buckets_use_the_whole_frame_and_skip_placeholders(spark):

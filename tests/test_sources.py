@@ -128,12 +128,13 @@ def _music(spark, rows):
 
 
 def test_publish_replaces_earlier_tables(spark):
-    primary = _music(spark, [("a", "x", 10, None), ("b", "y", 50, "pop"), ("c", "z", 90, "rock")])
+    scores = (17, 3, 64, 88, 41)
+    primary = _music(spark, [(f"tune {s}", "band", s, "folk" if s > 40 else None) for s in scores])
     publish.publish_views({MUSIC_TABLES["primary"]: primary})
-    publish.publish_views({MUSIC_TABLES["sensitivity"]: primary.limit(2)})
+    publish.publish_views({MUSIC_TABLES["sensitivity"]: primary.limit(4)})
     assert {"tracks_primary", "tracks_sensitivity"} <= set(publish.published_tables(spark))
     count = "SELECT count(*) AS n FROM tracks_primary"
-    assert publish.run_query(spark, count).first().n == 3
+    assert publish.run_query(spark, count).first().n == 5
     publish.publish_views({MUSIC_TABLES["primary"]: primary.limit(1)})
     assert publish.run_query(spark, count).first().n == 1
 
