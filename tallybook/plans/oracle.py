@@ -356,6 +356,15 @@ t AS (SELECT line FROM b ORDER BY line LIMIT 5)
 SELECT (SELECT count(*) FROM b) AS n_malformed,
        (SELECT string_agg(line, '|' ORDER BY line) FROM t) AS examples"""
 
+ORACLES["ingest_manifest"] = """
+WITH t AS (
+  SELECT c_custkey // 1000 AS block,
+         string_agg(c_custkey || ',' || c_name, chr(10) ORDER BY c_custkey) || chr(10) AS text
+  FROM customer GROUP BY block)
+SELECT 'block=' || block AS file, sha256(text) AS digest, strlen(text) AS n_bytes,
+       sha256(text) AS found, 'ok' AS status
+FROM t"""
+
 # --- splits ---------------------------------------------------------------
 
 PLACEHOLDERS = "('Supplier#000000000', 'Supplier#000000001')"

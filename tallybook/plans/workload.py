@@ -406,8 +406,25 @@ def ingest_bad_rows(spark, folder):
 
 @query
 def ingest_manifest(spark, folder):
-    digests = manifest.file_digests(spark, f"{folder.rstrip('/')}/*.parquet")
-    return manifest.validate_manifest(digests, digests.select("file", "digest"))
+    """Files of a thousand customer keys each against digests made from their rows."""
+    path = scratch_path(spark, "customers-text")
+    names = tables.table(spark, folder, "customer").select(
+        F.floor(F.col("c_custkey") / 1000).alias("block"),
+        "c_custkey",
+        F.concat_ws(",", "c_custkey", "c_name").alias("line"),
+    )
+    one_file = names.repartition("block").sortWithinPartitions("block", "c_custkey")
+    one_file.select("block", "line").write.partitionBy("block").text(path)
+    found = manifest.file_digests(spark, path).withColumn(
+        "file", F.regexp_extract("file", "^([^/]+)/part-", 1)
+    )
+    found = materialise(found.where("file <> ''"))
+    # a block is bounded: its lines fit one value
+    by_key = F.array_sort(F.collect_list(F.struct("c_custkey", "line")))
+    text = F.concat(F.array_join(F.transform(by_key, lambda r: r["line"]), "\n"), F.lit("\n"))
+    expected = names.groupBy("block").agg(F.sha2(text, 256).alias("digest"))
+    expected = expected.withColumn("file", F.concat(F.lit("block="), "block"))
+    return manifest.validate_manifest(found, expected.select("file", "digest"))
 
 
 # --- splits ---------------------------------------------------------------

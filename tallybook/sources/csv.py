@@ -11,15 +11,17 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.functions.expressions import all_of, count_where
+from tallybook.functions.expressions import all_of, count_where, flag
 from tallybook.session import materialise
 
 _LINE = "_line"
 _FILE = "_file"
+_KIND = "_kind"
+_FAILED = "_failed"
 EXAMPLES = 5
 
 # Literal missing tokens, then the default tokens of data frames.
@@ -114,20 +116,23 @@ def standardise_missing(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
     )
 
 
-def cast_fields(df: DataFrame, layout: CsvLayout) -> DataFrame:
-    """Declared types; a value that does not parse is NULL, as is NaN."""
+def _typed(name: str, kind: str) -> Column:
+    """The text column as `kind`; what does not parse is NULL, as is NaN."""
+    text = F.col(name)
+    if kind in ("int", "bigint"):
+        # "2010.0" is a whole number written as a double, 2.7 is none
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(text.try_cast(kind), whole)
+    if kind == "double":
+        number = text.try_cast("double")
+        return F.when(~F.isnan(number), number)
+    return text.try_cast(kind)
 
-    def typed(name: str, kind: str) -> Column:
-        text = F.col(name)
-        if kind in ("int", "bigint"):
-            # "2010.0" is a whole number written as a double
-            return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
-        if kind == "double":
-            number = text.try_cast("double")
-            return F.when(~F.isnan(number), number)
-        return text.try_cast(kind)
 
-    return df.select(*(typed(name, kind).alias(name) for name, kind in layout.columns))
+def cast_fields(df: DataFrame, layout: CsvLayout) -> DataFrame:
+    """Declared types; a value that does not parse is NULL, as is NaN."""
+    return df.select(*(_typed(name, kind).alias(name) for name, kind in layout.columns))
 
 
 def check_columns(found: list[str], layout: CsvLayout) -> None:
@@ -174,41 +179,101 @@ def _line_counts(header: Column, kinds: Column, wide: Column) -> list[Column]:
     ]
 
 
+def has_open_quote(layout: CsvLayout) -> Column:
+    """A quote that the line does not close: a quoted line break was taken for the end."""
+
+    def odd(text: Column) -> Column:
+        return (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+
+    # a line of the right width keeps the quote in its last field
+    last = F.col(layout.names[-1])
+    return flag(odd(F.col(_LINE))) | flag(last.startswith('"') & odd(last))
+
+
 def load_raw(
     spark: SparkSession, path: str, layout: CsvLayout, validate_shape: bool = True
 ) -> DataFrame:
     """Typed rows of all files under `path`, written once to the shared folder.
 
-    The text is parsed a single time: the lines are counted while the typed rows
-    are written, and what follows reads the written columns. Lines with too many
-    fields are left out with a warning that counts them. With `validate_shape`, a
-    wrong column list, header or row count raises `SchemaError`; check digests
+    The text is parsed a single time: all lines are written with their kind and file,
+    and counted per file on these narrow columns. Lines with too many fields are left out
+    with a warning that counts them, values that do not parse are NULL with a warning that
+    counts them per column. A line that leaves a quote open raises `RawDataError`: set
+    `multi_line` for such files. With `validate_shape`, a wrong column list, header, row
+    count or more than one type line in a file raises `SchemaError`; check digests
     beforehand with `sources.manifest`.
     """
     if validate_shape:
         check_columns(header_of(spark, path, layout), layout)
-    header, kinds, wide = is_header(layout), is_type_line(layout), is_too_wide(layout)
-    seen = Observation()
     fields = read_fields(spark, path, layout)
-    n_files = len(fields.inputFiles())
-    observed = fields.observe(
-        seen, count_where(header).alias("n_headers"), *_line_counts(header, kinds, wide)
+    kind = (
+        F.when(is_header(layout), "header")
+        .when(is_type_line(layout), "types")
+        .when(is_too_wide(layout), "wide")
+        .when(has_open_quote(layout) & F.lit(not layout.multi_line), "open")
+        .otherwise("data")
+    )
+    known = standardise_missing(fields.withColumn(_KIND, kind), layout.missing)
+    typed = {name: _typed(name, kind) for name, kind in layout.columns}
+    is_data = F.col(_KIND) == "data"
+    failed = F.filter(
+        F.array(
+            *(F.when(is_data & F.col(n).isNotNull() & t.isNull(), F.lit(n)) for n, t in typed.items())
+        ),
+        lambda name: name.isNotNull(),
     )
-    data = observed.where(~header & ~kinds & ~wide).select(*layout.names)
-    rows = materialise(cast_fields(standardise_missing(data, layout.missing), layout))
-    found = seen.get
-    if found["n_malformed"]:
+    lines = materialise(
+        known.select(
+            *(t.alias(n) for n, t in typed.items()),
+            _KIND,
+            _FILE,
+            F.when(F.col(_KIND).isin("wide", "open"), F.col(_LINE)).alias(_LINE),
+            F.when(F.size(failed) > 0, failed).alias(_FAILED),
+        )
+    )
+    _check_lines(lines, path, layout, validate_shape)
+    return lines.where(is_data).select(*layout.names)
+
+
+def _check_lines(lines: DataFrame, path: str, layout: CsvLayout, validate_shape: bool) -> None:
+    """Warn of lines and values left out; raise if the files cannot be trusted."""
+
+    def of(kind: str) -> Column:
+        return count_where(F.col(_KIND) == kind)
+
+    by_file = lines.groupBy(_FILE).agg(
+        *(of(k).alias(k) for k in ("header", "types", "wide", "open", "data")),
+        F.min(_LINE).alias("example"),
+    )
+    found = by_file.agg(
+        *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("wide", "open", "data")),
+        F.min("example").alias("example"),
+        count_where(F.col("header") != 1).alias("without_header"),
+        count_where(F.col("types") > 1).alias("many_types"),
+    ).first()
+    if found["open"] and not layout.multi_line:
+        raise RawDataError(
+            f"{found['open']} line(s) of {path} leave a quote open, one of them "
+            f"{found['example']!r}: read files with quoted line breaks with multi_line"
+        )
+    if found["wide"]:
         warnings.warn(
-            f"{found['n_malformed']} malformed row(s) left out of {path}; "
+            f"{found['wide']} malformed row(s) left out of {path}; "
             f"one of them: {found['example']!r}",
-            stacklevel=2,
+            stacklevel=3,
         )
+    failed = lines.where(F.col(_FAILED).isNotNull()).select(F.explode(_FAILED).alias("column"))
+    counts = failed.groupBy("column").count().orderBy("column").collect()
+    if counts:
+        told = ", ".join(f"{r['column']}: {r['count']}" for r in counts)
+        warnings.warn(f"value(s) of {path} that do not parse are NULL ({told})", stacklevel=3)
     if validate_shape:
-        if found["n_headers"] != n_files:
-            raise SchemaError(f"{n_files - found['n_headers']} file(s) without the header line")
-        if layout.expected_rows is not None and found["n_rows"] != layout.expected_rows:
-            raise SchemaError(f"expected {layout.expected_rows} rows, found {found['n_rows']}")
-    return rows
+        if found["without_header"]:
+            raise SchemaError(f"{found['without_header']} file(s) without the header line")
+        if found["many_types"]:
+            raise SchemaError(f"{found['many_types']} file(s) with more than one type line")
+        if layout.expected_rows is not None and found["data"] != layout.expected_rows:
+            raise SchemaError(f"expected {layout.expected_rows} rows, found {found['data']}")
 
 
 def malformed_rows(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:

@@ -2,58 +2,70 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.sources.csv import RawDataError
 
-# A whole file is one value of the binary source, which ends at 2 GB. Larger
-# files get a digest of their lines instead, computed from parallel splits.
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
+# Bytes of a file that a task holds at once.
+BLOCK_BYTES = 8 * 1024 * 1024
+SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:/*")
+GLOB = re.compile(r"[*?\[{]")
 
 
 class HashMismatchError(RawDataError):
     """A file's digest is not the expected one, or the file is absent."""
 
 
-def file_digests(
-    spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """`file, n_bytes, digest` of every file under `path`.
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path within it."""
+    if uri.startswith("file:"):
+        uri = "file:///" + SCHEME.sub("", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def _root(path: str) -> str:
+    """The folder that relative names start from, without scheme or pattern."""
+    plain = "/" + SCHEME.sub("", path).strip("/")
+    parts = plain.split("/")
+    fixed = next((i for i, part in enumerate(parts) if GLOB.search(part)), len(parts))
+    return "/".join(parts[:fixed]) + "/"
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """`file, n_bytes, digest` of every file under `path`: the SHA-256 of its content.
 
-    The digest is the SHA-256 of the content up to `whole_file_bytes`, above
-    that `lines:<count>:<xor>:<sum>` over 64-bit hashes of line and its copies.
+    `file` is the name relative to `path`, or the base name if that is the file. Files of
+    any size are streamed in blocks, each by one task.
     """
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .withColumn("file", F.regexp_extract("path", "([^/]+)$", 1))
-    )
-    whole = listed.where(F.col("length") <= whole_file_bytes).select(
-        "file", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest")
-    )
-    large = [r.path for r in listed.where(F.col("length") > whole_file_bytes).select("path").collect()]
-    if not large:
-        return whole
-    line_hash = F.xxhash64("value")
-    by_lines = (
-        spark.read.text(large)
-        .withColumn("file", F.col("_metadata.file_name"))
-        .withColumn("n_bytes", F.col("_metadata.file_size"))
-        .groupBy("file", "n_bytes")
-        .agg(
-            F.concat_ws(
-                ":",
-                F.lit("lines"),
-                F.count(F.lit(1)).cast("string"),
-                F.hex(F.bit_xor(line_hash)),
-                # a sum of halves cannot overflow and tells copies apart
-                F.sum(F.shiftright(line_hash, 32)).cast("string"),
-            ).alias("digest")
-        )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    below = F.split("path", re.escape(_root(path)), 2)
+    name = F.coalesce(F.get(below, F.lit(1)), F.regexp_extract("path", "([^/]+)$", 1))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                system, place = opened(uri)
+                total = hashlib.sha256()
+                with system.open_input_stream(place) as source:
+                    while block := source.read(BLOCK_BYTES):
+                        total.update(block)
+                found.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("length"), pa.array(found, pa.string())],
+                names=["file", "n_bytes", "digest"],
+            )
+
+    return listed.select("path", name.alias("file"), "length").mapInArrow(
+        digest, "file string, n_bytes long, digest string"
     )
-    return whole.unionByName(by_lines)
 
 
 def compare_manifest(digests: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from tools.check import TABLES, compare
 FOLDER = "/root/testdata/sf0.001"
 NO_TWIN = {
     "coef_ends",
-    "ingest_manifest",
     "reduced_ols_inference",
     "sweep_wide",
 }

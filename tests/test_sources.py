@@ -1,6 +1,7 @@
 """Loading, checking and publishing raw files."""
 
 import hashlib
+from dataclasses import replace
 
 import pytest
 
@@ -114,12 +115,43 @@ def test_absent_file_fails_the_manifest(spark, tmp_path):
         manifest.validate_manifest(found, expected)
 
 
-def test_large_files_get_a_line_digest(spark, tmp_path):
-    path = write(tmp_path, "x", "y", "x")
-    one = manifest.file_digests(spark, path, whole_file_bytes=1).first().digest
-    write(tmp_path, "x", "y", "z")
-    other = manifest.file_digests(spark, path, whole_file_bytes=1).first().digest
-    assert one.startswith("lines:3:") and one != other
+def test_files_are_told_by_their_relative_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "BLOCK_BYTES", 3)
+    for folder in ("north", "south"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, HEADER, folder, name="part.txt")
+    found = manifest.file_digests(spark, str(tmp_path))
+    rows = {r.file: r.digest for r in found.collect()}
+    assert rows == {
+        f"{f}/part.txt": hashlib.sha256((tmp_path / f / "part.txt").read_bytes()).hexdigest()
+        for f in ("north", "south")
+    }
+    manifest.validate_manifest(found, found.select("file", "digest"))
+
+
+def test_quoted_line_breaks_are_not_split(spark, tmp_path):
+    for line in ('1,2.5,"two', '1,"two'):
+        path = write(tmp_path, HEADER, KINDS, line, 'lines",3.0', "4,5.0,x")
+        with pytest.raises(csv.RawDataError, match="quote open"):
+            csv.load_raw(spark, path, LAYOUT)
+    path = write(tmp_path, HEADER, KINDS, '1,2.5,"two', 'lines"', "4,5.0,x")
+    whole = replace(LAYOUT, multi_line=True)
+    rows = csv.load_raw(spark, path, whole).collect()
+    assert sorted(map(tuple, rows)) == [(1, 2.5, "two\nlines"), (4, 5.0, "x")]
+
+
+def test_values_that_do_not_parse_are_counted(spark, tmp_path):
+    path = write(tmp_path, HEADER, KINDS, "2.7,1.0,x", "oops,1.5,y", "3.0,much,z", "4,NaN,w")
+    with pytest.warns(UserWarning, match="a: 2, b: 1"):
+        rows = csv.load_raw(spark, path, LAYOUT).collect()
+    assert sorted((str(r.a), r.c) for r in rows) == [
+        ("3", "z"), ("4", "w"), ("None", "x"), ("None", "y")]
+
+
+def test_a_file_has_one_type_line(spark, tmp_path):
+    path = write(tmp_path, HEADER, KINDS, "string,string,string", "1,1.0,x")
+    with pytest.raises(csv.SchemaError, match="more than one type line"):
+        csv.load_raw(spark, path, LAYOUT)
 
 
 def _music(spark, rows):
