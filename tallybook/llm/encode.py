@@ -4,24 +4,52 @@ from __future__ import annotations
 
 import os
 import re
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
-# Distinct space-separated parts whose ids one worker remembers.
-REMEMBERED = 1_000_000
+from tallybook.llm.text import FOLD, run_hashes, text_bytes
+
+# Distinct parts whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 # Parts encoded in one call.
 ROW_PARTS = 2000
-MARKS = ".,"
+
+
+class Ids(NamedTuple):
+    """Ids of several texts: text i has ids[bounds[i] : bounds[i + 1]]."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+
+
+def marked(*values: int) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+# Bytes that end a white-space character, or lead one of two or three bytes.
+WHITE = marked(9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
+LEADS_TWO, LEADS_THREE = marked(0xC2), marked(0xE1, 0xE2, 0xE3)
+MARKS = marked(*b".,!?;:")
+LETTERS = marked(*range(65, 91), *range(97, 123))
+# What a part follows: a space, nothing (or a line break), or the part before it.
+SPACED, FIRST, NEXT = range(3)
+KINDS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as unsigned 32-bit integers, equal to the library's.
 
-    The tokenizers used here never join characters across the left edge of a space
-    that follows a non-space. Parts cut there are encoded once and remembered; a
-    text with a space after other white space is encoded whole.
+    The tokenizers used here never join characters across the left edge of a space that
+    follows a non-space, around a single line break between non-spaces, or between a
+    letter and a mark that ends a word. Texts are cut there; each distinct part is encoded
+    once and remembered by its hash. A text with a space after what may be other white
+    space is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -29,62 +57,120 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd = re.compile(r"\s ")
         self.white = re.compile(r"\s")
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self.plain(list(MARKS))))
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+        self.line = self.plain(["\n"])[0]
+        self.lowers = self.plain(["A"]) == self.plain(["a"])
 
     def plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, parts: set[str]) -> None:
-        new = parts.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = parts
-        # a closing mark after a letter is a token of its own: "word," needs only "word"
-        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
-        bare = list({p[:-1] for p in marked}.difference(self.known).union(new.difference(marked)))
-        self.known.update(zip(bare, self.apart(bare)))
-        self.known.update((p, self.known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def apart(self, parts: list[str]) -> list[bytes]:
-        """Ids of " " + part for each part; parts without white space are encoded in rows."""
-        out = [b""] * len(parts)
-        simple = [i for i, p in enumerate(parts) if p and not self.white.search(p)]
-        rest = sorted(set(range(len(parts))).difference(simple))
-        for i, ids in zip(rest, self.plain([" " + parts[i] for i in rest])):
-            out[i] = ids
-        for first in range(0, len(simple), ROW_PARTS):
-            row = simple[first : first + ROW_PARTS]
-            found = self.tokenizer.encode(
-                " " + " ".join(parts[i] for i in row), add_special_tokens=False
-            )
+    def rows(self, parts: list[str], gap: str) -> list[bytes]:
+        """Ids of distinct parts without white space, each after `gap`, encoded in rows."""
+        out = []
+        for first in range(0, len(parts), ROW_PARTS):
+            row = parts[first : first + ROW_PARTS]
+            found = self.tokenizer.encode(gap + gap.join(row), add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            # a token begins at the space before its part or within the part
-            begins = np.cumsum([0] + [len(parts[i]) + 1 for i in row])
+            # a token begins at the gap before its part or within the part
             at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(at, begins) * 4
+            if gap == "\n" and self.line:
+                own = ids != np.frombuffer(self.line, "<u4")[0]
+                ids, at = ids[own], at[own]
+            begins = np.cumsum([0] + [len(p) + 1 for p in row])
+            cuts = (np.searchsorted(at, begins) * 4).tolist()
             raw = ids.tobytes()
-            for i, a, b in zip(row, cuts[:-1].tolist(), cuts[1:].tolist()):
-                out[i] = raw[a:b]
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; of a null text none."""
-        out = [b""] * len(texts)
-        cut = {}
-        for i, text in enumerate(texts):
-            if text and self.odd.search(text):
-                out[i] = self.plain([text])[0]
-            elif text:
-                cut[i] = text.split(" ")
-        heads = dict(zip(cut, self.plain([parts[0] for parts in cut.values()])))
-        self.learn(set().union(*cut.values()))
-        for i, parts in cut.items():
-            out[i] = heads[i] + b"".join(map(self.known.__getitem__, parts[1:]))
-        return out
+    def __call__(self, texts: pa.Array) -> Ids:
+        """Ids of all texts; a null text has none."""
+        data, limits = text_bytes(texts)
+        if not len(data):
+            return Ids(np.empty(0, "<u4"), np.zeros(len(limits), np.int64))
+        if self.lowers:
+            data = FOLD[data]
+        starts, ends, kinds, text, odd_texts = cut(data, limits)
+        hashes = run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+        hashes ^= KINDS[kinds]
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        held = self.recall(distinct.tolist(), starts[at], ends[at], kinds[at], data)
+        pool = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        counts = sizes[which]
+        total = np.cumsum(counts)
+        begin = (np.cumsum(sizes) - sizes)[which] - total + counts
+        ids = pool[np.repeat(begin, counts) + np.arange(total[-1])]
+        per_text = np.bincount(text, weights=counts, minlength=len(limits) - 1).astype(np.int64)
+        found = Ids(ids, np.concatenate([[0], np.cumsum(per_text)]))
+        return self.replaced(found, texts, odd_texts) if len(odd_texts) else found
+
+    def recall(self, keys: list[int], starts, ends, kinds, data) -> list[bytes]:
+        """Ids of distinct parts, encoding those not remembered."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        held = list(map(self.known.get, keys))
+        missing = [i for i, ids in enumerate(held) if ids is None]
+        if self.older:
+            for i in missing:
+                held[i] = self.older.get(keys[i])
+        new = [i for i in missing if held[i] is None]
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        odd = [not p or self.white.search(p) is not None for p in texts]
+        for kind, gap in enumerate((" ", "\n")):
+            some = [j for j, i in enumerate(new) if kinds[i] == kind and not odd[j]]
+            for j, ids in zip(some, self.rows([texts[j] for j in some], gap)):
+                held[new[j]] = ids
+        rest = [j for j, i in enumerate(new) if kinds[i] == 2 or odd[j]]
+        alone = [(" " if kinds[new[j]] == 0 else "") + texts[j] for j in rest]
+        for j, ids in zip(rest, self.plain(alone)):
+            held[new[j]] = ids
+        self.known.update((keys[i], held[i]) for i in missing)
+        return held
+
+    def replaced(self, found: Ids, texts: pa.Array, which: np.ndarray) -> Ids:
+        """`found` with the ids of some texts encoded whole."""
+        chosen = texts.take(pa.array(which)).to_pylist()
+        whole = dict(zip(which.tolist(), self.plain(chosen)))
+        rows = [
+            np.frombuffer(whole[i], "<u4") if i in whole else found.ids[a:b]
+            for i, (a, b) in enumerate(zip(found.bounds[:-1], found.bounds[1:]))
+        ]
+        return Ids(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+
+
+def cut(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, kinds and texts of all parts, and the texts that must stay whole."""
+    n = len(data)
+    begins, finishes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    begins[limits[:-1]] = True
+    finishes[limits[1:]] = True
+    back = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)])
+    one, two, three, ahead = back[2:-2], back[1:-3], back[:-4], back[4:]
+    inner = ~begins[:n]
+    space = data == 32
+    odd = space & inner & (WHITE[one] | LEADS_TWO[two] | LEADS_THREE[three])
+    letter = LETTERS[one] | ((two == 0xC3) & (one != 0x97) & (one != 0xB7) & (one >= 0x80))
+    line = (data == 10) & inner & ~finishes[1:] & ~WHITE[one] & ~WHITE[ahead]
+    line &= ~LEADS_TWO[two] & ~LEADS_THREE[three] & (ahead < 0x80)
+    line_next = np.append(line[1:], False)
+    mark = MARKS[data] & inner & letter & (finishes[1:] | (ahead == 32) | line_next)
+    firsts = limits[:-1][np.diff(limits) > 0]
+    at = [firsts, np.flatnonzero(space) + 1, np.flatnonzero(mark | line), np.flatnonzero(line) + 1]
+    kind = np.repeat([FIRST, SPACED, NEXT, FIRST], [len(x) for x in at])
+    is_text = np.repeat([True, False, False, False], [len(x) for x in at])
+    starts = np.concatenate(at)
+    order = np.argsort(2 * starts + is_text, kind="stable")
+    starts, kind, is_text = starts[order], kind[order], is_text[order]
+    text = np.flatnonzero(np.diff(limits) > 0)[np.cumsum(is_text) - 1]
+    ends = limits[1:][text]
+    follows = ~is_text[1:]
+    ends[:-1][follows] = (starts[1:] - (kind[1:] == SPACED))[follows]
+    odd_texts = np.unique(np.searchsorted(limits, np.flatnonzero(odd), "right") - 1)
+    return starts, ends, kind, text, odd_texts
 
 
 def encoder(path: str) -> Encoder:

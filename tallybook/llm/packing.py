@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.encode import encoder
+from tallybook.llm.encode import Ids, encoder
 from tallybook.llm.text import pieces
 from tallybook.session import is_small, materialise
 
@@ -54,7 +54,7 @@ def cuts(tokens: int, size: int) -> list[int]:
 
 
 def cut_documents(
-    docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end_id: int, size: int
+    docs: DataFrame, encode: Callable[[pa.Array], Ids], end_id: int, size: int
 ) -> DataFrame:
     """Pieces of all documents with their ids and their place within task and class."""
     end = np.array([end_id], "<u4").tobytes()
@@ -66,8 +66,9 @@ def cut_documents(
             for part in pieces(batch):
                 rows = []
                 keys = part.column("doc_id").to_pylist()
-                for key, ids in zip(keys, encode(part.column("text").to_pylist())):
-                    ids += end
+                found = encode(part.column("text"))
+                for key, a, b in zip(keys, found.bounds[:-1], found.bounds[1:]):
+                    ids = found.ids[a:b].tobytes() + end
                     start, tokens = 0, len(ids) // 4
                     for n in cuts(tokens, size):
                         place = seen.get(n, 0)
@@ -201,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048) -> Data
     """Pieces with `ids` (little-endian unsigned 32-bit) and their place: `sequence_id`, `offset`."""
     spark = docs.sparkSession
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: pa.Array) -> Ids:
         return encoder(tokenizer)(texts)
 
     found = materialise(cut_documents(docs, encode, end_id, size))
