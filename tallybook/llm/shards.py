@@ -156,10 +156,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> St
         for batch in batches:
             for part in pieces(batch):
                 keys += part.column("doc_id").to_pylist()
-                for ids in encode(part.column("text").to_pylist()):
-                    ids += end
-                    lengths.append(len(ids) // 4)
-                    payload.append(np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
+                found = encode(part.column("text"))
+                for a, b in zip(found.bounds[:-1], found.bounds[1:]):
+                    lengths.append(int(b - a) + 1)
+                    payload.append(found.ids[a:b].astype(f"<u{width}").tobytes() + end[:width])
         if keys:
             offsets = np.cumsum([0, *lengths]).astype("<u8")
             head = struct.pack(SHARD_HEAD, b"TKS1", width, len(keys), int(offsets[-1]))
