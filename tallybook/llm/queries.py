@@ -75,8 +75,7 @@ def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    kept = repeats.without_repeats(table(spark, folder, "documents"), size=20)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return repeats.kept_digests(table(spark, folder, "documents"), size=20)
 
 
 @query

@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.llm.occurrences import repeated_values
 from tallybook.llm.text import Words, pieces, text_bytes, windows, words
 from tallybook.session import is_small, materialise
 
@@ -39,6 +40,8 @@ SEED_WORDS = 6
 # Windows a task compares at once.
 WINDOWS_HELD = 2_000_000
 LAST = 2**63 - 1
+# A table is broadcast only below this many measured bytes.
+SMALL = 16 << 20
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def anchors(found: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def scan(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: `key, row_id, n_words, digest` of all words, and its distinct `anchors`."""
+    """Per row: `key, has_id, row_id, n_words, digest` of all words, and its `anchors`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,16 +98,18 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
+                        part.column("has_id"),
                         part.column("row_id"),
                         pa.array(np.diff(found.bounds).astype(np.int64)),
                         pa.array(digests, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), values),
                     ],
-                    names=["key", "row_id", "n_words", "digest", "anchors"],
+                    names=["key", "has_id", "row_id", "n_words", "digest", "anchors"],
                 )
 
-    return docs.select("key", "row_id", "text").mapInArrow(
-        read, "key long, row_id long, n_words long, digest binary, anchors array<long>"
+    has_id = F.col("doc_id").isNotNull().alias("has_id")
+    return docs.select("key", has_id, "row_id", "text").mapInArrow(
+        read, "key long, has_id boolean, row_id long, n_words long, digest binary, anchors array<long>"
     )
 
 
@@ -174,15 +179,20 @@ def window_batch(hashes, check, key, row_id, first, last) -> pa.RecordBatch:
 
 def joined(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join with a written table that is broadcast only if it was measured small."""
-    return rows.join(F.broadcast(side) if is_small(side) else side, key, how)
+    return rows.join(F.broadcast(side) if is_small(side, SMALL) else side, key, how)
 
 
-def repeated_spans(docs: DataFrame, size: int = 20) -> DataFrame:
+def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `docs` whose `row_id` is among those chosen, before any text moves."""
+    ids = chosen.select("row_id")
+    return joined(docs, ids, "row_id", "left_semi")
+
+
+def repeated_spans(docs: DataFrame, scanned: DataFrame, size: int = 20) -> DataFrame:
     """`row_id, spans`: the words, first to last, that belong to repeated windows.
 
-    `docs` are `identified` rows. Rows without repeats are absent.
+    `docs` are `identified` rows and `scanned` their `scan`. Rows without repeats are absent.
     """
-    scanned = materialise(scan(docs, size))
     # whole copies
     groups = scanned.where(F.col("n_words") >= size).groupBy("digest")
     groups = groups.agg(F.min("key").alias("first_key"), F.count("*").alias("rows"))
@@ -194,11 +204,11 @@ def repeated_spans(docs: DataFrame, size: int = 20) -> DataFrame:
         .distinct()
     )
     left = joined(scanned.select("row_id", "anchors"), copies.select("row_id"), "row_id", "left_anti")
-    postings = left.select("row_id", F.explode("anchors").alias("seed"))
-    again = materialise(postings.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    seeds = joined(postings, again, "seed", "left_semi")
+    again = materialise(repeated_values(left, "anchors").withColumnRenamed("value", "seed"))
+    seeds = joined(left.select("row_id", F.explode("anchors").alias("seed")), again, "seed", "left_semi")
     seeds = materialise(seeds.groupBy("row_id").agg(F.collect_set("seed").alias("seeds")))
-    found = materialise(compare_windows(joined(docs, seeds, "row_id"), size))
+    candidates = only(docs, seeds).join(seeds, "row_id")
+    found = materialise(compare_windows(candidates, size))
     equal = Window.partitionBy("hash", "check")
     earliest = F.min(F.struct("key", "first")).over(equal)
     open_ = found.where("hash IS NOT NULL").withColumn("earliest", earliest)
@@ -213,10 +223,9 @@ def repeated_spans(docs: DataFrame, size: int = 20) -> DataFrame:
     return spans.unionByName(whole).groupBy("row_id").agg(F.collect_set("span").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
-    """Per row `doc_id, n_words, n_removed, kept`: the other words, joined by one space."""
-    rows = identified(docs)
-    spans = materialise(repeated_spans(rows, size))
+def cut_spans(marked: DataFrame) -> DataFrame:
+    """Per row `doc_id, row_id, n_words, n_removed, kept`: the words outside `spans`, joined
+    by one space."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,14 +233,14 @@ def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
                 data, limits = text_bytes(part.column("text"))
                 held = part.column("spans").to_pylist()
                 total, removed, kept = [], [], []
-                for spans_here, a, b in zip(held, limits[:-1], limits[1:]):
+                for spans, a, b in zip(held, limits[:-1], limits[1:]):
                     found = data[a:b].tobytes().split()
                     gone = 0
                     total.append(len(found))
-                    if spans_here:
+                    if spans:
                         edges = np.zeros(len(found) + 1, np.int64)
-                        np.add.at(edges, [s["first"] for s in spans_here], 1)
-                        np.add.at(edges, [s["last"] + 1 for s in spans_here], -1)
+                        np.add.at(edges, [s["first"] for s in spans], 1)
+                        np.add.at(edges, [s["last"] + 1 for s in spans], -1)
                         keep = np.cumsum(edges[:-1]) == 0
                         found = list(compress(found, keep))
                         gone = len(keep) - len(found)
@@ -240,12 +249,43 @@ def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row_id"),
                         pa.array(total, pa.int64()),
                         pa.array(removed, pa.int64()),
                         pa.array(kept, pa.binary()).cast(pa.string()),
                     ],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
+                    names=["doc_id", "row_id", "n_words", "n_removed", "kept"],
                 )
 
-    marked = joined(rows, spans, "row_id", "left").select("doc_id", "text", "spans")
-    return marked.mapInArrow(read, "doc_id long, n_words long, n_removed long, kept string")
+    return marked.select("doc_id", "row_id", "text", "spans").mapInArrow(
+        read, "doc_id long, row_id long, n_words long, n_removed long, kept string"
+    )
+
+
+def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
+    """Per row `doc_id, n_words, n_removed, kept`, the text left of it."""
+    rows = identified(docs)
+    spans = materialise(repeated_spans(rows, materialise(scan(rows, size)), size))
+    return cut_spans(joined(rows, spans, "row_id", "left")).drop("row_id")
+
+
+def kept_digests(docs: DataFrame, size: int = 20) -> DataFrame:
+    """Per row `doc_id, n_words, n_removed, kept_sha256` (hex) of the text left of it.
+
+    Texts without repeats were digested when they were scanned and are not moved again.
+    """
+    rows = identified(docs)
+    scanned = materialise(scan(rows, size))
+    spans = materialise(repeated_spans(rows, scanned, size))
+    cut = cut_spans(only(rows, spans).join(spans, "row_id"))
+    # repeated rows are cut alike
+    cut = cut.groupBy("row_id").agg(
+        F.max("n_removed").alias("n_removed"), F.max(F.sha2("kept", 256)).alias("cut_sha256")
+    )
+    doc_id = F.when(F.col("has_id"), F.col("key")).alias("doc_id")
+    return joined(scanned.drop("anchors"), materialise(cut), "row_id", "left").select(
+        doc_id,
+        "n_words",
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("cut_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"),
+    )
