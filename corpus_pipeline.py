@@ -37,18 +37,22 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Of documents linked by five-word shingles at a similarity of 0.8 the first one stays."""
     linked = jaccard.link_documents(docs, size=5, percent=80)
     gone = linked.where("doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id")
-    nulls = linked.where("doc_id IS NULL").agg(F.max(F.col("component_id").isNotNull())).first()[0]
     gone = materialise(gone.distinct())
-    kept = docs.join(F.broadcast(gone) if is_small(gone) else gone, "doc_id", "left_anti")
+    # documents without an id are one document; it goes if another one is like it
+    nulls = linked.where("doc_id IS NULL").agg(F.max(F.col("component_id").isNotNull())).first()[0]
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    rows = docs.select(own, "doc_id", "text")
+    kept = rows.join(F.broadcast(gone) if is_small(gone) else gone, "doc_id", "left_anti")
     kept = kept.where("doc_id IS NOT NULL") if nulls else kept
     # rows that share a doc_id are one document: its first text stays
-    many = linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    many = materialise(many.withColumnRenamed("doc_id", "_many"))
+    many = linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    many = materialise(many.select(F.col("doc_id").alias("many")))
     side = F.broadcast(many) if is_small(many) else many
-    same = F.col("doc_id").eqNullSafe(F.col("_many"))
+    same = F.col("doc_id").eqNullSafe(F.col("many"))
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    several = kept.join(side, same, "left_semi").withColumn("_place", F.row_number().over(first))
-    return kept.join(side, same, "left_anti").unionByName(several.where("_place = 1").drop("_place"))
+    several = kept.join(side, same, "left_semi").withColumn("place", F.row_number().over(first))
+    once = kept.join(side, same, "left_anti").select("own.*")
+    return once.unionByName(several.where("place = 1").select("own.*"))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

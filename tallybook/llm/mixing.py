@@ -7,7 +7,8 @@ times, and a seeded choice of them once more, so that the source's words meet
 its target. The choice orders documents by a hash; the one bucket of hashes at
 the cut gets an equal fraction of one repetition.
 
-Null text has size 0 and is never taken. A null source is a source of its own,
+Null or empty text has size 0: its row is repeated with its source but adds no words, and
+a source without words is left out. A null source is a source of its own,
 ranked last. Rows are judged one by one: repeated rows are taken alike. An empty
 table gives an empty result. Only `doc_id`, `text` and `source` are read.
 """
@@ -156,16 +157,18 @@ def mixed_documents(
     sizes = keyed(docs.select("doc_id", "source", "text"), seed)
     sizes = materialise(sizes.selectExpr("source", "_size AS size", "_bucket AS bucket"))
     plan = materialise(mixing_plan(sizes, weights, share, epochs))
-    rows = decided(keyed(docs, seed), plan)
-    whole = F.col("_copies") + F.when((F.col("_part") >= F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)
+    # the columns of docs are nested, so that none clashes with those of the plan
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    rows = decided(keyed(docs.select(own, "doc_id", "source", "text"), seed), plan)
+    full = (F.col("_part") >= F.col("_size")) & (F.col("_size") > 0)
     cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
     again = F.concat(
-        F.array_repeat(F.lit(False), whole.cast("int")),
+        F.array_repeat(F.lit(False), (F.col("_copies") + F.when(full, 1).otherwise(0)).cast("int")),
         F.array_repeat(F.lit(True), F.when(cut, 1).otherwise(0)),
     )
     rows = rows.withColumn("_cut_here", F.explode(again))
     # words keep the white space before them
     gap = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
     first = F.concat_ws("", F.slice(F.split("text", gap), 1, F.col("_part").cast("int")))
-    text = F.when(F.col("_cut_here"), first).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("_cut_here"), first).otherwise(F.col("text")).alias("text")
+    return rows.select(*(text if c == "text" else F.col(f"own.`{c}`") for c in docs.columns))
