@@ -284,14 +284,24 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model | None:
     return model
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
 def logistic_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and offset of a lightly damped logistic regression on one input."""
-    beta = np.array([1.0, 0.0])
+    """Slope and offset of a logistic regression on one input, held near slope 1, offset 0.
+
+    Newton steps are bounded: a few separable texts would drive them apart.
+    """
+    start, held = np.array([1.0, 0.0]), np.array([1.0, 0.1])
+    beta = start.copy()
     design = np.column_stack([x, np.ones(len(x))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ beta))
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag([0.1, 0.01])
-        beta = beta - np.linalg.solve(curve, design.T @ (p - y) + np.array([0.1, 0.01]) * (beta - [1.0, 0.0]))
+    for _ in range(100):
+        p = logistic(design @ beta)
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(held)
+        move = np.linalg.solve(curve, design.T @ (p - y) + held * (beta - start))
+        beta = beta - np.clip(move, -0.5, 0.5)
+        beta[0] = max(beta[0], 0.05)
     return beta
 
 
@@ -316,7 +326,8 @@ def train_model(docs: DataFrame, labels: DataFrame, may_learn: Column) -> bytes:
             model = train(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks), toxic)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return bytes(ordered.mapInArrow(fit, "model binary").first().model)
+    fitted = ordered.mapInArrow(fit, "model binary").first()
+    return pickle.dumps(None) if fitted is None else bytes(fitted.model)
 
 
 def score(docs: DataFrame, model: bytes, threshold: float = 0.7) -> DataFrame:
@@ -333,7 +344,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = 0.7) -> DataFrame:
                     inputs = lexicon.inputs(net["word_odds"], net["gram_odds"])
                     slope, offset = net["scale"]
                     z = logits(net, inputs, lexicon.which, lexicon.bounds) * slope + offset
-                    found = 1 / (1 + np.exp(-z.astype(float)))
+                    found = logistic(z.astype(float))
                 flag = (found >= threshold).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(found), pa.array(flag)], names=[*names, "toxic_score", "toxic_flag"]
