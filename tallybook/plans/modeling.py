@@ -240,6 +240,7 @@ def ols_summary(spark, fit: Fit, level: float = 0.95) -> OlsSummary:
 
 def group_overlap(rows: DataFrame) -> DataFrame:
     """Groups found on both sides of a split; none are expected."""
-    test = rows.where(F.col("is_test")).select("seed", GROUP).distinct()
-    train = rows.where(~F.col("is_test")).select("seed", GROUP).distinct()
-    return train.join(test, ["seed", GROUP], "left_semi")
+    sides = rows.groupBy("seed", GROUP).agg(
+        F.min("is_test").alias("_least"), F.max("is_test").alias("_most")
+    )
+    return sides.where(F.col("_least") != F.col("_most")).select("seed", GROUP)

@@ -487,7 +487,15 @@ ROUNDED = f"n, {near('r2')} AS r2, {near('mae')} AS mae, {near('rmse')} AS rmse"
 ORACLES["baseline_eval"] = f"""{held()},
 e AS (SELECT seed, model, {ACCURACY} FROM pred WHERE model = 'baseline' GROUP BY seed, model)
 SELECT seed, model, {ROUNDED} FROM e"""
-ORACLES["model_eval"] = f"{held()},\ne AS (SELECT model, {ACCURACY} FROM pred GROUP BY model)\n" + _union(
+GAPS = FRAME.replace(
+    "score::DOUBLE AS target, nullif(measure, 0.0) AS measure",
+    "CASE WHEN item % 5 <> 0 THEN score::DOUBLE END AS target, "
+    "CASE WHEN item % 7 <> 0 THEN nullif(measure, 0.0) END AS measure",
+)
+# rows without a target take part in the split, not in fits and metrics
+HELD_GAPS = f"""{GAPS}, {folds()},
+known AS (SELECT * FROM rows_ WHERE target IS NOT NULL), {FITS.replace("rows_", "known")}"""
+MODEL_EVAL = "{held},\ne AS (SELECT model, {accuracy} FROM pred GROUP BY model)\n" + _union(
     [
         f"SELECT '{m}' AS metric, "
         + ", ".join(
@@ -498,6 +506,8 @@ ORACLES["model_eval"] = f"{held()},\ne AS (SELECT model, {ACCURACY} FROM pred GR
         for m in ("n", "r2", "mae", "rmse")
     ]
 )
+ORACLES["model_eval"] = MODEL_EVAL.format(held=held(), accuracy=ACCURACY)
+ORACLES["model_eval_gaps"] = MODEL_EVAL.format(held=HELD_GAPS, accuracy=ACCURACY)
 ORACLES["onehot_fit"] = f"""{FRAME}, {folds()},
 fit AS (SELECT segment, avg(target) AS y FROM rows_ WHERE NOT is_test GROUP BY segment)
 SELECT t.segment, {near("max(y)")} AS fitted, count(*) AS n

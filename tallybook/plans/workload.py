@@ -521,6 +521,22 @@ def model_eval(spark, folder):
     return neat(evaluate.results_table(results, ["baseline", "model_a", "model_b"]))
 
 
+@query
+def model_eval_gaps(spark, folder):
+    """As `model_eval` where a fifth of the items has no score and a seventh a NaN measure."""
+    features = [c for m in (MODEL_A, MODEL_B) for c in m.features]
+    fields = _fields(spark, folder, "row_id", "item", "creator", "creator_score", *features)
+    fields = fields.withColumns(
+        {
+            "score": F.when(F.col("item") % 5 != 0, F.col("score")),
+            "measure": F.when(F.col("item") % 7 == 0, float("nan")).otherwise(F.col("measure")),
+        }
+    )
+    frame = materialise(modeling_frame(fields, LINES, [MODEL_A, MODEL_B]))
+    results = modeling.hold_out(frame, [MODEL_A, MODEL_B]).metrics().drop("seed")
+    return neat(evaluate.results_table(results, ["baseline", "model_a", "model_b"]))
+
+
 @query
 def onehot_fit(spark, folder):
     model = ModelSpec("onehot", (), {"segment": "N"})
