@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # An input with at least this many splits is never redistributed.
 FEW_SPLITS = 32
+_folders: set[str] = set()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -53,8 +55,25 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; never reused, so never overwritten."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/tallybook/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder; never reused, so never overwritten.
+
+    All paths of an application lie in one folder, which goes when the driver exits.
+    """
+    application = spark.sparkContext.applicationId
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/tallybook/{application}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(remove, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if its session still lives."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
