@@ -512,6 +512,16 @@ ORACLES["onehot_fit"] = f"""{FRAME}, {folds()},
 fit AS (SELECT segment, avg(target) AS y FROM rows_ WHERE NOT is_test GROUP BY segment)
 SELECT t.segment, {near("max(y)")} AS fitted, count(*) AS n
 FROM rows_ t JOIN fit ON t.segment = fit.segment WHERE is_test GROUP BY t.segment"""
+# with one categorical only, the contrasts are differences of the levels' means
+ORACLES["coef_ends"] = f"""{FRAME}, {folds(seeds="[7, 42]")},
+lev AS (SELECT seed, category_ AS level, avg(target) AS y FROM rows_ WHERE NOT is_test GROUP BY seed, category_),
+c AS (SELECT a.seed, a.level, a.y - b.y AS coef FROM lev a JOIN lev b ON a.seed = b.seed AND b.level = 'Unknown'),
+e AS (SELECT * FROM c WHERE level <> 'Unknown'
+      QUALIFY row_number() OVER (PARTITION BY seed ORDER BY coef DESC, level) <= 2
+           OR row_number() OVER (PARTITION BY seed ORDER BY coef, level) <= 2)
+SELECT seed, 'levels' AS model, 'level' AS kind, 'category' AS feature, level, {near("coef")} AS coef FROM e
+UNION ALL
+SELECT seed, 'levels', 'reference', 'category', level, {near("coef")} FROM c WHERE level = 'Unknown'"""
 SWEEP = f"""{held(seeds=SEEDS)},
 e AS (SELECT seed, model, {ACCURACY} FROM pred GROUP BY seed, model),
 comp AS (SELECT seed, {num("NOT is_test")} AS n_train, {num("is_test")} AS n_test,

@@ -11,7 +11,6 @@ from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
 NO_TWIN = {
-    "coef_ends",
     "reduced_ols_inference",
     "sweep_wide",
 }
