@@ -106,11 +106,19 @@ def mark_test(frame: DataFrame, unit: str, seed: int, cut: str) -> DataFrame:
     return frame.withColumn("is_test", seeded_hash(seed, F.col(unit)) <= F.lit(cut))
 
 
-def folds(frame: DataFrame, unit: str, cuts: dict[int, str]) -> DataFrame:
-    """Every row once per seed, with `seed` and `is_test`."""
+def folds(
+    frame: DataFrame, unit: str, cuts: dict[int, str], only_test: bool = False
+) -> DataFrame:
+    """Every row once per seed, with `seed` and `is_test`.
+
+    With `only_test` a row appears for those seeds only that hold it out: the others are
+    never made.
+    """
     pairs = F.array(
         *(F.struct(F.lit(s).alias("seed"), F.lit(c).alias("cut")) for s, c in sorted(cuts.items()))
     )
+    if only_test:
+        pairs = F.filter(pairs, lambda p: seeded_hash(p["seed"], F.col(unit)) <= p["cut"])
     exploded = frame.select("*", F.explode(pairs).alias("_fold"))
     return exploded.select(
         *frame.columns,

@@ -58,7 +58,8 @@ def hold_out(
     cuts = find(frame, seeds, test_size)
     rows = folds(frame, unit, cuts)
     fits = fit_models(rows, [BASELINE, *models] if baseline else models, frame)
-    predictions = predict(rows.where(F.col("is_test")).drop("is_test"), fits)
+    held_out = folds(frame, unit, cuts, only_test=True).drop("is_test")
+    predictions = predict(held_out, fits)
     return Holdout(rows, cuts, fits, predictions)
 
 
