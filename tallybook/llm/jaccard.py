@@ -35,18 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.components import components
+from tallybook.llm.occurrences import repeated_values
 from tallybook.llm.text import pieces, run_hashes, windows, words
 from tallybook.session import is_small, materialise
 
 # Counters of the shingle order; a shingle counts into one of them by its hash.
-COUNTERS = 1 << 16
-# Min-hash values per set, multiplied out by odd constants.
-MINIMA = np.array(
-    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64
-)
+COUNTER_BITS = 18
+# Min-hash values per set, by multiplication with powers of an odd constant.
+MINIMA = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 7)], np.uint64)
+# A pivot must share this many of them with a set to be compared with it.
+AGREE = 2
 # Classes of the shingle universe; counts per class bound the difference of two sets.
 CLASSES = 128
+# Members of a cell, or pivots near it, that are compared at once.
+BLOCK = 4096
 LAST = 2**63 - 1
+# A table is broadcast only below this many measured bytes.
+SMALL = 16 << 20
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -60,24 +65,29 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield np.array([whole[i]], np.uint64) if i in whole else np.unique(hashes[a:b])
 
 
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
 def counter_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """How common the shingles of each counter are, as quarter octaves above the mean."""
+    """How common the shingles of each counter are, as eighths of octaves above the mean."""
+    counters = 1 << COUNTER_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int64)
         for batch in batches:
             for part in pieces(batch):
                 hashes, _ = windows(words(part.column("text"), fold=True), size)
-                total += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+                total += np.bincount(counter_of(hashes), minlength=counters)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["counter", "n"])
 
     counted = docs.select("text").mapInArrow(count, "counter long, n long")
     sums = counted.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS)
+    counts = np.zeros(counters)
     counts[sums["counter"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
     mean = max(counts.mean(), 1.0)
-    return np.floor(4 * np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
+    return np.floor(8 * np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
 
 
 def needed(n: int, percent: int) -> int:
@@ -86,20 +96,23 @@ def needed(n: int, percent: int) -> int:
 
 
 def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: `key, n, digest` of its set, the `prefix` of region shingles, its `minima`."""
+    """Per row: `key, n, digest` of its set, the `prefix` of region shingles, its `minima`
+    and `classes`, the counts of its shingles by class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                sizes, digests, prefixes, minima = [], [], [], []
+                sizes, digests, prefixes, minima, classes = [], [], [], [], []
                 for found in shingle_sets(part.column("text"), size):
                     n = len(found)
                     sizes.append(n)
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    common = levels[(found >> np.uint64(48)).astype(np.int64)]
+                    common = levels[counter_of(found)]
                     first = np.argsort(common, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
                     prefixes.append(found[first].view(np.int64))
                     minima.append([(found * m).min() for m in MINIMA] if n else [0] * len(MINIMA))
+                    held = np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                    classes.append(np.minimum(held, 65535).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
@@ -107,39 +120,34 @@ def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFr
                         pa.array(digests, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                         pa.array([r.view(np.int64) for r in np.array(minima, np.uint64)], pa.list_(pa.int64())),
+                        pa.array(classes, pa.binary()),
                     ],
-                    names=["key", "n", "digest", "prefix", "minima"],
+                    names=["key", "n", "digest", "prefix", "minima", "classes"],
                 )
 
     return docs.select("key", "text").mapInArrow(
-        read, "key long, n long, digest binary, prefix array<long>, minima array<long>"
+        read,
+        "key long, n long, digest binary, prefix array<long>, minima array<long>, classes binary",
     )
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: `key, n`, its whole `shingles` and `classes`, their counts by class."""
+    """Per row: `key` and its whole set of `shingles`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                found = list(shingle_sets(part.column("text"), size))
-                counts = [np.bincount((f & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for f in found]
+                found = [f.tobytes() for f in shingle_sets(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([f.tobytes() for f in found], pa.binary()),
-                        pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary()),
-                    ],
-                    names=["key", "n", "shingles", "classes"],
+                    [part.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"]
                 )
 
-    return docs.select("key", "text").mapInArrow(read, "key long, n long, shingles binary, classes binary")
+    return docs.select("key", "text").mapInArrow(read, "key long, shingles binary")
 
 
 def joined(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join with a written table that is broadcast only if it was measured small."""
-    return rows.join(F.broadcast(side) if is_small(side) else side, key, how)
+    return rows.join(F.broadcast(side) if is_small(side, SMALL) else side, key, how)
 
 
 def sided(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -150,12 +158,33 @@ def sided(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def distances(pairs: DataFrame, sets: DataFrame, reach: str = "100") -> DataFrame:
+def sets_of(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """The whole sets of the documents `key`; equal rows of one document count once."""
+    sets = full_sets(joined(rows, keys.select("key"), "key", "left_semi"), size)
+    many = materialise(
+        joined(rows.select("key"), keys.select("key"), "key", "left_semi")
+        .groupBy("key")
+        .agg(F.count("*").alias("rows"))
+        .where("rows > 1")
+        .select("key")
+    )
+    once = joined(sets, many, "key", "left_anti")
+    several = joined(sets, many, "key", "left_semi").dropDuplicates(["key", "shingles"])
+    return materialise(once.unionByName(several))
+
+
+def either(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.selectExpr("explode(array(a, b)) AS key").distinct())
+
+
+def distances(
+    pairs: DataFrame, rows: DataFrame, outlines: DataFrame, size: int, reach: str = "100"
+) -> DataFrame:
     """Distinct `pairs` with `overlap`, `n_a`, `n_b`; pairs surely farther than `reach` are left out.
 
     `reach` is an SQL expression over the pairs: a distance in percent. The counts by
-    class differ by at most the symmetric difference of two sets, so they rule most
-    unrelated pairs out before whole sets are brought together.
+    class (`outlines`: `key, n, classes`) differ by at most the symmetric difference of two
+    sets, so they rule most unrelated pairs out before whole sets are made.
     """
     pairs = pairs.withColumn("reach", F.expr(reach).cast("double"))
 
@@ -163,10 +192,10 @@ def distances(pairs: DataFrame, sets: DataFrame, reach: str = "100") -> DataFram
         for batch in batches:
             if batch.num_rows:
                 a, b = (
-                    np.frombuffer(b"".join(batch.column(f"classes_{s}").to_pylist()), np.int32).reshape(-1, CLASSES)
+                    np.frombuffer(b"".join(batch.column(f"classes_{s}").to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64)
                     for s in "ab"
                 )
-                total = (a.sum(axis=1) + b.sum(axis=1)).astype(float)
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 differ = np.abs(a - b).sum(axis=1)
                 # distance >= differ / largest possible union
                 bound = 200.0 * differ / np.maximum(total + differ, 1)
@@ -192,8 +221,10 @@ def distances(pairs: DataFrame, sets: DataFrame, reach: str = "100") -> DataFram
                     names=["a", "b", "overlap", "n_a", "n_b"],
                 )
 
-    close = sided(pairs, sets, "classes").select("a", "b", "reach", "classes_a", "classes_b")
-    close = materialise(close.mapInArrow(near, "a long, b long"))
+    close = sided(pairs, outlines, "n", "classes")
+    close = close.select("a", "b", "reach", "n_a", "n_b", "classes_a", "classes_b")
+    close = materialise(close.mapInArrow(near, "a long, b long").distinct())
+    sets = sets_of(rows, either(close), size)
     whole = sided(close, sets, "shingles").select("a", "b", "shingles_a", "shingles_b")
     found = whole.mapInArrow(overlap, "a long, b long, overlap long, n_a long, n_b long")
     return found.withColumn("distance", F.expr("100D * (n_a + n_b - 2 * overlap) / (n_a + n_b - overlap)"))
@@ -203,33 +234,41 @@ def linked(percent: int) -> str:
     return f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
 
 
-def cells(minima: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """`key, cell, far` (distance to the cell's pivot) of every set, and the links found.
+def cells(
+    alike: DataFrame, rows: DataFrame, outlines: DataFrame, size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """`key, cell, far` (distance to the cell's pivot) of sets in a cell of others, and links.
 
-    In each min-hash group the set with the smallest hash is a candidate pivot for the
-    others. A second round looks for pivots among the sets that the first left alone.
+    In each min-hash group the set with the fewest shingles of its `own` (in no other
+    prefix) is a pivot: of near copies the one next to their common source. Sets that
+    agree with it in several groups are compared with it. A second round looks for pivots
+    among the sets that the first left alone. Sets not named are their own cells.
     """
-    links, assigned = [], None
-    alone = minima.withColumn("order", F.xxhash64("key"))
+    links, assigned = [], []
+    alone = alike.withColumn("order", F.struct("own", F.xxhash64("key").alias("hash")))
     for _ in range(2):
-        grouped = alone.select("key", "order", F.posexplode("minima").alias("which", "value"))
+        grouped = alone.select("key", "n", "order", F.posexplode("minima").alias("which", "value"))
         pivots = grouped.groupBy("which", "value").agg(
-            F.min(F.struct("order", "key")).alias("pivot"), F.count("*").alias("held")
+            F.min(F.struct("order", "key", "n")).alias("pivot"), F.count("*").alias("held")
+        )
+        pivots = pivots.where("held > 1").selectExpr("which", "value", "pivot.key AS b", "pivot.n AS n_b")
+        pivots = materialise(pivots)
+        side = F.broadcast(pivots) if is_small(pivots, SMALL) else pivots
+        pairs = grouped.join(side, ["which", "value"]).where(
+            f"key <> b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
         )
-        pivots = materialise(pivots.where("held > 1").selectExpr("which", "value", "pivot.key AS b"))
-        side = F.broadcast(pivots) if is_small(pivots) else pivots
-        pairs = grouped.join(side, ["which", "value"]).where("key <> b").selectExpr("key AS a", "b").distinct()
-        found = materialise(distances(materialise(pairs), sets, str(100 - percent)).where(linked(percent)))
+        pairs = pairs.groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("agree"))
+        pairs = materialise(pairs.where(F.col("agree") >= AGREE).select("a", "b"))
+        found = distances(pairs, rows, outlines, size, str(100 - percent))
+        found = materialise(found.where(linked(percent)))
         links.append(found.select("a", "b"))
         # pivots keep their own cells
         own = materialise(found.select(F.col("b").alias("key")).distinct())
         nearest = found.groupBy(F.col("a").alias("key")).agg(F.min(F.struct("distance", "b")).alias("best"))
         nearest = joined(nearest, own, "key", "left_anti").selectExpr("key", "best.b AS cell", "best.distance AS far")
-        here = materialise(nearest.unionByName(own.selectExpr("key", "key AS cell", "0D AS far")))
-        assigned = here if assigned is None else assigned.unionByName(here)
-        alone = materialise(joined(alone, here.select("key"), "key", "left_anti"))
-    assigned = assigned.unionByName(alone.selectExpr("key", "key AS cell", "0D AS far"))
-    return materialise(assigned), links[0].unionByName(links[1])
+        assigned.append(materialise(nearest.unionByName(own.selectExpr("key", "key AS cell", "0D AS far"))))
+        alone = materialise(joined(alone, assigned[-1].select("key"), "key", "left_anti"))
+    return assigned[0].unionByName(assigned[1]), links[0].unionByName(links[1])
 
 
 def region_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -251,15 +290,84 @@ def region_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return met.where(fits).selectExpr("cell_a AS a", "cell_b AS b").distinct()
 
 
-def cell_links(pairs: DataFrame, assigned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose sides no path of links joins yet."""
+    known = materialise(components(links))
+    for side in "ab":
+        names = known.selectExpr(f"node AS {side}", f"component AS in_{side}")
+        pairs = joined(pairs, names, side, "left")
+    pairs = pairs.where("coalesce(in_a, a) <> coalesce(in_b, b)")
+    return materialise(pairs.drop("in_a", "in_b"))
+
+
+def members_near(both: DataFrame, assigned: DataFrame, outlines: DataFrame, radius: int) -> DataFrame:
+    """Members `a` of cells `p` that may link with members of the cell of pivot `b`.
+
+    `both` has pairs of cells `p`, `q`, their pivots' distance `apart` and the radius of q's
+    cell, `far_b`. A member must lie as far from its pivot as the triangle inequality asks
+    for, and its counts by class may not rule the link out. Cells are compared in blocks
+    of members and pivots, whatever their size; only what may link leaves a block.
+    """
+
+    def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if held.num_rows and asked.num_rows:
+            x, q = (
+                np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+                for t in (held, asked)
+            )
+            keys, sizes, far = (held.column(c).to_numpy() for c in ("key", "n", "far"))
+            rows = zip(*(asked.column(c).to_pylist() for c in ("q", "n", "apart", "far_b")))
+            for i, (pivot, n, apart, far_b) in enumerate(rows):
+                differ = np.abs(x - q[i]).sum(axis=1)
+                near = 200.0 * differ <= (radius + far_b + 1e-6) * np.maximum(sizes + n + differ, 1)
+                for j in np.flatnonzero(near & (far >= apart - radius - far_b - 1e-6)):
+                    out.append((keys[j], pivot, held.column("p")[0].as_py(), far[j], far_b))
+        names = ["a", "b", "p", "far_p", "far_q"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
+
+    blocks = assigned.groupBy(F.col("cell").alias("p")).agg(F.ceil(F.count("*") / BLOCK).alias("x_blocks"))
+    blocks = materialise(
+        blocks.join(both.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks")), "p")
+    )
+
+    def block(key: str, of: str):
+        return F.pmod(F.xxhash64(key), F.col(of)).alias(of[0])
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)).alias(of[0])
+
+    held = joined(assigned.where("key <> cell").withColumnRenamed("cell", "p"), blocks, "p").join(outlines, "key")
+    held = held.select("p", "key", "n", "far", "classes", block("key", "x_blocks"), "q_blocks")
+    held = held.select("p", "key", "n", "far", "classes", "x", every("q_blocks"))
+    asked = joined(both, blocks, "p").join(outlines.withColumnRenamed("key", "q"), "q")
+    asked = asked.withColumnRenamed("q", "pivot")
+    asked = asked.select("p", "pivot", "n", "apart", "far_b", "classes", block("pivot", "q_blocks"), "x_blocks")
+    asked = asked.select("p", "pivot", "n", "apart", "far_b", "classes", "q", every("x_blocks"))
+    asked = asked.withColumnsRenamed({"q": "q_block", "x": "x_block"}).withColumnRenamed("pivot", "q")
+    held = held.withColumnsRenamed({"q": "q_block", "x": "x_block"})
+    # written, so that both sides have columns of their own
+    asked = materialise(asked)
+    keys = ["p", "q_block", "x_block"]
+    found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
+        compare, "a long, b long, p long, far_p double, far_q double"
+    )
+    return found.distinct()
+
+
+def cell_links(
+    pairs: DataFrame, assigned: DataFrame, rows: DataFrame, outlines: DataFrame, size: int, percent: int
+) -> DataFrame:
     """At least one link `a, b` of every two cells that have links, from pairs of pivots."""
     radius = 100 - percent
     radii = materialise(assigned.groupBy(F.col("cell").alias("key")).agg(F.max("far").alias("far")))
     sides = pairs
     for side in "ab":
-        sides = sides.join(radii.selectExpr(f"key AS {side}", f"far AS far_{side}"), side)
-    sides = materialise(sides)
-    met = distances(sides, sets, f"{radius} + far_a + far_b")
+        names = radii.selectExpr(f"key AS {side}", f"far AS far_{side}")
+        sides = joined(sides, names, side, "left")
+    sides = materialise(sides.fillna(0.0, ["far_a", "far_b"]))
+    met = distances(sides, rows, outlines, size, f"{radius} + far_a + far_b")
     met = materialise(met.join(sides, ["a", "b"]))
     links = met.where(linked(percent)).select("a", "b")
     # pivots too far apart to link, near enough for members to
@@ -268,20 +376,15 @@ def cell_links(pairs: DataFrame, assigned: DataFrame, sets: DataFrame, percent:
     both = materialise(
         open_.unionByName(open_.selectExpr("q AS p", "p AS q", "apart", "far_b AS far_a", "far_a AS far_b"))
     )
-    # members x of cell p against pivot q
-    members = both.join(assigned.selectExpr("key AS x", "cell AS p", "far"), "p")
-    members = members.where(f"x <> p AND far >= apart - {radius} - far_b - 1e-6")
-    members = materialise(members.selectExpr("x AS a", "q AS b", "p", "far AS far_p", "far_b AS far_q"))
-    reached = distances(members.select("a", "b", "far_q").distinct(), sets, f"{radius} + far_q")
+    members = materialise(members_near(both, assigned, outlines, radius))
+    reached = distances(members.select("a", "b", "far_q").distinct(), rows, outlines, size, f"{radius} + far_q")
     reached = materialise(reached.join(members, ["a", "b"]))
     hits = reached.where(linked(percent))
     links = links.unionByName(hits.select("a", "b"))
-    done = materialise(
-        hits.selectExpr("least(p, b) AS lo", "greatest(p, b) AS hi").distinct()
-    )
+    done = materialise(hits.selectExpr("least(p, b) AS lo", "greatest(p, b) AS hi").distinct())
     rest = reached.where(f"NOT ({linked(percent)}) AND distance <= {radius} + far_q + 1e-6")
     rest = rest.selectExpr("least(p, b) AS lo", "greatest(p, b) AS hi", "a AS x", "p", "far_p", "distance AS far_q")
-    rest = materialise(rest.join(F.broadcast(done) if is_small(done) else done, ["lo", "hi"], "left_anti"))
+    rest = materialise(joined(rest, done, ["lo", "hi"], "left_anti"))
     # members of both cells, as far as each pivot's distances let them link
     left = rest.where("p = lo").selectExpr("lo", "hi", "x", "far_p AS x_lo", "far_q AS x_hi")
     right = rest.where("p = hi").selectExpr("lo", "hi", "x AS y", "far_q AS y_lo", "far_p AS y_hi")
@@ -289,7 +392,7 @@ def cell_links(pairs: DataFrame, assigned: DataFrame, sets: DataFrame, percent:
         f"abs(x_lo - y_lo) <= {radius} + 1e-6 AND abs(x_hi - y_hi) <= {radius} + 1e-6"
     )
     last = materialise(last.selectExpr("x AS a", "y AS b").distinct())
-    ended = distances(last, sets, str(radius)).where(linked(percent))
+    ended = distances(last, rows, outlines, size, str(radius)).where(linked(percent))
     return links.unionByName(ended.select("a", "b"))
 
 
@@ -304,26 +407,25 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     narrow = scanned.where("n > 0").select("key", "digest").join(firsts, "digest")
     same = materialise(narrow.where("key <> first").selectExpr("key AS a", "first AS b").distinct())
     first = scanned.join(firsts.selectExpr("first AS key", "digest"), ["key", "digest"])
-    distinct = materialise(first.select("key", "n", "digest", "prefix", "minima").dropDuplicates(["key", "digest"]))
+    distinct = first.select("key", "n", "digest", "prefix", "minima", "classes")
+    distinct = materialise(distinct.dropDuplicates(["key", "digest"]))
+    shared = materialise(repeated_values(distinct, "prefix").withColumnRenamed("value", "shingle"))
     postings = distinct.select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    shared = materialise(shared.select("shingle"))
-    postings = materialise(
-        joined(postings.selectExpr("shingle", "key", "n", "n - at AS room"), shared, "shingle", "left_semi")
+    # the shared shingles grow with the corpus: a shuffle join, at every size
+    postings = postings.selectExpr("shingle", "key", "n", "n - at AS room")
+    postings = materialise(postings.join(shared, "shingle", "left_semi"))
+    candidates = materialise(postings.groupBy("key", "n").agg(F.count("*").alias("with_others")))
+    alike = distinct.join(candidates, ["key", "n"])
+    alike = materialise(
+        alike.select("key", "n", "minima", "classes", (F.size("prefix") - F.col("with_others")).alias("own"))
     )
-    wanted = materialise(postings.select("key").distinct())
-    sets = full_sets(joined(rows, wanted, "key"), size)
-    # rows of one document: equal ones count once
-    many = scanned.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    many = materialise(many)
-    once = joined(sets, many, "key", "left_anti")
-    several = joined(sets, many, "key", "left_semi").dropDuplicates(["key", "shingles"])
-    sets = materialise(once.unionByName(several))
-    minima = materialise(joined(distinct.select("key", "minima"), wanted, "key", "left_semi"))
-    assigned, links = cells(minima, sets, percent)
-    in_cells = postings.join(assigned.select("key", "cell"), "key")
-    pairs = materialise(region_pairs(in_cells, percent))
-    links = links.unionByName(cell_links(pairs, assigned, sets, percent)).unionByName(same)
+    outlines = alike.select("key", "n", "classes")
+    assigned, links = cells(alike.drop("classes"), rows, outlines, size, percent)
+    links = links.unionByName(same)
+    named = assigned.select("key", "cell")
+    in_cells = joined(postings, materialise(named), "key", "left").withColumn("cell", F.coalesce("cell", "key"))
+    pairs = apart(materialise(region_pairs(in_cells, percent)), links)
+    links = links.unionByName(cell_links(pairs, assigned, rows, outlines, size, percent))
     found = materialise(components(links))
     out = joined(scanned.select("key", "n"), found.withColumnRenamed("node", "key"), "key", "left")
     out = out.withColumn("component", F.coalesce("component", "key"))
