@@ -28,9 +28,11 @@ def measured(docs: DataFrame) -> DataFrame:
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network rejects go."""
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), ~held_out())
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    scored = toxicity.score(docs.select("text", own.alias("own")), model)
-    return scored.where("toxic_flag = 0").select("own.*")
+    # numbered names cannot clash with those of the score; the text goes through once
+    names = {c: c if c == "text" else f"own_{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    kept = toxicity.score(numbered, model).where("toxic_flag = 0")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

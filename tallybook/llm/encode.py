@@ -11,8 +11,8 @@ import pyarrow as pa
 
 from tallybook.llm.text import FOLD, run_hashes, text_bytes
 
-# Distinct parts whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+# Distinct parts whose ids a worker remembers before it forgets those met once.
+REMEMBERED = 1_500_000
 # Parts encoded in one call.
 ROW_PARTS = 2000
 
@@ -58,8 +58,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.white = re.compile(r"\s")
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        # remembered parts by hash: where their ids lie in the pool, and how often they came
+        self.hashes = np.empty(0, np.uint64)
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
         self.line = self.plain(["\n"])[0]
         self.lowers = self.plain(["A"]) == self.plain(["a"])
 
@@ -96,41 +100,65 @@ class Encoder:
         hashes = run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
         hashes ^= KINDS[kinds]
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        held = self.recall(distinct.tolist(), starts[at], ends[at], kinds[at], data)
-        pool = np.frombuffer(b"".join(held), "<u4")
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        first, sizes = self.recall(distinct, starts[at], ends[at], kinds[at], data)
         counts = sizes[which]
         total = np.cumsum(counts)
-        begin = (np.cumsum(sizes) - sizes)[which] - total + counts
-        ids = pool[np.repeat(begin, counts) + np.arange(total[-1])]
+        ids = self.pool[np.repeat(first[which] - total + counts, counts) + np.arange(total[-1])]
         per_text = np.bincount(text, weights=counts, minlength=len(limits) - 1).astype(np.int64)
         found = Ids(ids, np.concatenate([[0], np.cumsum(per_text)]))
         return self.replaced(found, texts, odd_texts) if len(odd_texts) else found
 
-    def recall(self, keys: list[int], starts, ends, kinds, data) -> list[bytes]:
-        """Ids of distinct parts, encoding those not remembered."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        held = list(map(self.known.get, keys))
-        missing = [i for i, ids in enumerate(held) if ids is None]
-        if self.older:
-            for i in missing:
-                held[i] = self.older.get(keys[i])
-        new = [i for i in missing if held[i] is None]
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-        odd = [not p or self.white.search(p) is not None for p in texts]
-        for kind, gap in enumerate((" ", "\n")):
-            some = [j for j, i in enumerate(new) if kinds[i] == kind and not odd[j]]
+    def recall(self, distinct, starts, ends, kinds, data) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the distinct parts lie in the pool; new parts are encoded."""
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            held = self.encoded(texts, kinds[new])
+            sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+            first = len(self.pool) + np.cumsum(sizes) - sizes
+            at = place[new]
+            self.hashes = np.insert(self.hashes, at, distinct[new])
+            self.starts = np.insert(self.starts, at, first)
+            self.sizes = np.insert(self.sizes, at, sizes)
+            self.seen = np.insert(self.seen, at, 0)
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(held), "<u4")])
+            place = np.searchsorted(self.hashes, distinct)
+        self.seen[place] += 1
+        return self.starts[place], self.sizes[place]
+
+    def encoded(self, texts: list[str], kinds: np.ndarray) -> list[bytes]:
+        """Ids of distinct parts."""
+        held: list[bytes] = [b""] * len(texts)
+        odd = np.array([not p or self.white.search(p) is not None for p in texts], bool)
+        for kind, gap in ((SPACED, " "), (FIRST, "\n")):
+            some = np.flatnonzero((kinds == kind) & ~odd).tolist()
             for j, ids in zip(some, self.rows([texts[j] for j in some], gap)):
-                held[new[j]] = ids
-        rest = [j for j, i in enumerate(new) if kinds[i] == 2 or odd[j]]
-        alone = [(" " if kinds[new[j]] == 0 else "") + texts[j] for j in rest]
+                held[j] = ids
+        rest = np.flatnonzero((kinds == NEXT) | odd).tolist()
+        alone = [(" " if kinds[j] == SPACED else "") + texts[j] for j in rest]
         for j, ids in zip(rest, self.plain(alone)):
-            held[new[j]] = ids
-        self.known.update((keys[i], held[i]) for i in missing)
+            held[j] = ids
         return held
 
+    def forget(self) -> None:
+        """Drop the parts met once, or all if that frees too little."""
+        keep = self.seen > 1
+        if 2 * keep.sum() > REMEMBERED:
+            keep[:] = False
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        self.pool = self.pool[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(total)]
+        self.hashes, self.starts, self.sizes = self.hashes[keep], ends - sizes, sizes
+        self.seen = np.zeros(len(sizes), np.int64)
+
     def replaced(self, found: Ids, texts: pa.Array, which: np.ndarray) -> Ids:
         """`found` with the ids of some texts encoded whole."""
         chosen = texts.take(pa.array(which)).to_pylist()

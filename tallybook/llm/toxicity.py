@@ -226,13 +226,20 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model | None:
     kind = (np.arange(len(texts)) % FOLDS) * 2 + toxic
     pairs = np.unique(doc * len(lexicon.slots) + lexicon.which)
     pair_doc, pair_word = np.divmod(pairs, max(1, len(lexicon.slots)))
-    tables = []
-    widths = np.diff(lexicon.gram_bounds)[pair_word]
-    place = np.repeat(lexicon.gram_bounds[pair_word] - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
-    gram_pairs = np.unique(np.repeat(pair_doc, widths) * SLOTS + lexicon.grams[place])
-    for of, slot in ((pair_doc, lexicon.slots[pair_word]), np.divmod(gram_pairs, SLOTS)):
-        held = np.bincount(kind[of] * SLOTS + slot, minlength=2 * FOLDS * SLOTS)
-        tables.append(held.reshape(FOLDS, 2, SLOTS).astype(np.float32))
+    cells = 2 * FOLDS * SLOTS
+    held = [np.bincount(kind[pair_doc] * SLOTS + lexicon.slots[pair_word], minlength=cells)]
+    held.append(np.zeros(cells, np.int64))
+    # a few documents at a time: they have many grams
+    for first in range(0, len(texts), 100):
+        some = slice(*np.searchsorted(pair_doc, [first, first + 100]))
+        docs_here, words_here = pair_doc[some], pair_word[some]
+        widths = np.diff(lexicon.gram_bounds)[words_here]
+        begin = lexicon.gram_bounds[words_here] - np.cumsum(widths) + widths
+        place = np.repeat(begin, widths) + np.arange(widths.sum())
+        grams_here = np.unique(np.repeat(docs_here, widths) * SLOTS + lexicon.grams[place])
+        of, slot = np.divmod(grams_here, SLOTS)
+        held[1] += np.bincount(kind[of] * SLOTS + slot, minlength=cells)
+    tables = [h.reshape(FOLDS, 2, SLOTS).astype(np.float32) for h in held]
     share = float(toxic.mean())
     fold_inputs = [
         lexicon.inputs(*(odds(t.sum(axis=0)[1] - t[f][1], t.sum(axis=0)[0] - t[f][0], share) for t in tables))
