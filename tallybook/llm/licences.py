@@ -1,11 +1,18 @@
 """Licence scan: passages compared with licence templates by Dice over word bigrams.
 
-A text's passages are its lines and, if it has several, the whole text. Normalised, a
+A text's passages are its lines, the whole text if it has several, and every window of as
+many words as a template has, from any word on and across line breaks. Normalised, a
 passage is its words of ASCII letters and digits, A-Z lower-cased. For bigram multisets
 A and B the Dice coefficient is 2 |A n B| / (|A| + |B|); it cannot reach the threshold
-unless 2 min(|A|, |B|) does, so templates of unfitting size are never compared. A
-passage carries the template with the highest coefficient at or above the threshold, the
-first by name of equals.
+unless 2 min(|A|, |B|) does, so templates of unfitting size are never compared. A line
+or whole text carries the template with the highest coefficient at or above the
+threshold, the first by name of equals.
+
+Windows are compared with the template of their size, if enough of their bigrams occur
+in it. Of those at or above the threshold the largest come first, then the highest
+coefficient, the first in the text, the first by name. A window that shares a bigram with
+a passage taken before it (lines and whole texts are) is part of that passage if both
+carry one template or the passage's template itself holds such a window.
 
 A passage with fewer than two words has no bigrams and carries nothing, and so does a
 null or empty text. Repeated rows get the same result. An empty table gives an empty
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +61,58 @@ TEMPLATES = {
         " without restriction"
     ),
 }
+# Whole licence texts.
+TEXTS = {
+    f"{name}-text": (files("tallybook.llm") / "licence_texts" / f"{name}.txt").read_text("utf-8")
+    for name in ("Apache-2.0", "BSD", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+}
+EVERY = TEMPLATES | TEXTS
 THRESHOLD = 0.8
 
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
+def bigram_list(text: str) -> list[int]:
+    return windows(words(pa.array([text]), fold=True, gaps=GAPS), 2)[0].tolist()
+
+
 def bigrams(text: str) -> Counter:
-    found = windows(words(pa.array([text]), fold=True, gaps=GAPS), 2)[0]
-    return Counter(found.tolist())
+    return Counter(bigram_list(text))
+
+
+def common_at(grams: list[int], starts: list[int], template: Counter, size: int) -> Iterator[int]:
+    """How many bigrams the window of `size` from each of the ascending `starts` has in common."""
+    held: Counter = Counter()
+    low = high = common = 0
+    for start in starts:
+        if start >= high:
+            held, low, high, common = Counter(), start, start, 0
+        for gram in grams[low:start]:
+            if gram in template:
+                held[gram] -= 1
+                common -= held[gram] < template[gram]
+        low = start
+        for gram in grams[high : start + size]:
+            if gram in template:
+                common += held[gram] < template[gram]
+                held[gram] += 1
+        high = start + size
+        yield common
+
+
+def parts_of(templates: dict[str, list[int]], threshold: float) -> dict[str, list[str]]:
+    """The templates that have a window at the threshold in each template, itself included."""
+    found = {}
+    for name, grams in templates.items():
+        found[name] = [name]
+        for other, part in templates.items():
+            size = len(part)
+            if other != name and 0 < size <= len(grams):
+                starts = list(range(len(grams) - size + 1))
+                if max(common_at(grams, starts, Counter(part), size)) / size >= threshold:
+                    found[name].append(other)
+    return found
 
 
 def lines_of(found: Words, limits: np.ndarray) -> np.ndarray:
@@ -74,15 +125,20 @@ def lines_of(found: Words, limits: np.ndarray) -> np.ndarray:
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
+    docs: DataFrame, templates: dict[str, str] = EVERY, threshold: float = THRESHOLD
 ) -> DataFrame:
     """A row per passage that carries a licence: `doc_id, whole, first_word, licence, score`.
 
-    `whole` tells a whole text from a line; `first_word` numbers its first word in the text.
+    `whole` tells a whole text from other passages; `first_word` numbers its first word in
+    the text.
     """
-    known = {name: bigrams(templates[name]) for name in sorted(templates)}
-    sizes = {name: sum(b.values()) for name, b in known.items()}
+    listed = {name: bigram_list(templates[name]) for name in sorted(templates)}
+    known = {name: Counter(grams) for name, grams in listed.items()}
+    sizes = {name: len(grams) for name, grams in listed.items()}
     every = np.array(sorted(set().union(*known.values())), np.uint64)
+    # which bigrams each template has, by their place in `every`; one more place for none of them
+    member = {name: np.append(np.isin(every, np.array([*b], np.uint64)), False) for name, b in known.items()}
+    parts = parts_of(listed, threshold)
 
     def best(passage: np.ndarray) -> tuple[str, float] | None:
         held, found = None, (None, 0.0)
@@ -97,6 +153,22 @@ def scan(
                 found = (name, score)
         return found if found[0] else None
 
+    def near_windows(grams: np.ndarray, place: np.ndarray, text: np.ndarray) -> list[tuple[int, float, int, str]]:
+        """`size, score, first bigram, name` of all windows at or above the threshold, best first."""
+        found, plain = [], None
+        for name, size in sizes.items():
+            if not 0 < size <= len(grams):
+                continue
+            hits = np.concatenate([[0], np.cumsum(member[name][place])])
+            enough = (hits[size:] - hits[:-size]) / size >= threshold
+            starts = np.flatnonzero(enough & (text[size - 1 :] == text[: len(text) - size + 1])).tolist()
+            if starts:
+                plain = grams.tolist() if plain is None else plain
+                for start, common in zip(starts, common_at(plain, starts, known[name], size)):
+                    if common / size >= threshold:
+                        found.append((size, common / size, start, name))
+        return sorted(found, key=lambda w: (-w[0], -w[1], w[2], w[3]))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
@@ -108,13 +180,18 @@ def scan(
                 first = np.arange(len(grams)) - bounds[:-1][text]
                 at = found.bounds[:-1][text] + first
                 same = line[at] == line[at + 1] if len(at) else np.zeros(0, bool)
-                hit = np.isin(grams, every)
+                place = np.searchsorted(every, grams)
+                hit = np.append(every, np.uint64(0))[place] == grams
+                hit &= place < len(every)
+                place[~hit] = len(every)
+                taken = []
                 keys = part.column("doc_id").to_pylist()
                 for whole, use in ((False, same), (True, np.ones(len(grams), bool))):
                     group = (text if whole else line[at])[use]
                     held, begin, size = np.unique(group, return_index=True, return_counts=True)
                     if not len(held):
                         continue
+                    used = np.flatnonzero(use)
                     hits = np.add.reduceat(hit[use].astype(np.int64), begin)
                     # at best all hits are in common with a template no larger than they are
                     for g in np.flatnonzero((hits > 0) & (2 * hits >= threshold * size)):
@@ -125,6 +202,22 @@ def scan(
                         match = best(grams[use][rows])
                         if match:
                             out.append((keys[i], whole, int(first[use][begin[g]]), *match))
+                            start = int(used[begin[g]])
+                            taken.append((start, start + int(size[g]), match[0]))
+                near = near_windows(grams, place, text)
+                covered = {name: np.zeros(len(grams), bool) for name in {w[3] for w in near}}
+
+                def cover(start: int, stop: int, licence: str) -> None:
+                    for name in parts[licence]:
+                        if name in covered:
+                            covered[name][start:stop] = True
+
+                for passage in taken:
+                    cover(*passage)
+                for size, score, start, name in near:
+                    if not covered[name][start : start + size].any():
+                        out.append((keys[text[start]], False, int(first[start]), name, score))
+                        cover(start, start + size, name)
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.float64()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
                 yield pa.RecordBatch.from_arrays(
@@ -137,7 +230,7 @@ def scan(
 
 
 def document_licences(
-    docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
+    docs: DataFrame, templates: dict[str, str] = EVERY, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Per document `doc_id`: `n_passages` with a licence, their `licences`, the `best_score`.
 
