@@ -2,7 +2,8 @@
 
 d(x, y) = 1 - |x n y| / |x u y| is a metric. The join has these steps:
 
-1. Equal sets are one (their rows keep it as their class).
+1. Equal sets are one, named by a 64-bit hash of one of its texts; the smallest document
+   that holds it stands for it. All further steps work on these sets, not on documents.
 2. Regions. Plain document pivots cannot part texts: unrelated texts lie at distance 1
    from every pivot, so a window of twice the radius replicates all of them. The coarse
    regions are therefore those of single shingles: sets ordered by a fixed order of all
@@ -18,9 +19,10 @@ d(x, y) = 1 - |x n y| / |x u y| is a metric. The join has these steps:
 No link between two components is lost; all distances that decide are exact.
 
 A text with fewer words than a shingle has its whole word sequence as one. A text
-without words, or null, has an empty set and links with nothing. Rows with one `doc_id`
-are one document, which links if any of its rows does. A null `doc_id` comes last and
-is one document too; its component is the smallest other `doc_id`, or null. Only
+without words, or null, has an empty set and links with nothing. For `link_documents`
+rows with one `doc_id` are one document, which links if any of its rows does. A null
+`doc_id` comes last and is one document too; its component is the smallest other
+`doc_id`, or null. For `link_rows` ids link nothing, only texts do. Only
 `doc_id` and `text` are read. An empty table gives an empty result.
 """
 
@@ -96,7 +98,7 @@ def needed(n: int, percent: int) -> int:
 
 
 def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: `key, n, digest` of its set, the `prefix` of region shingles, its `minima`
+    """Per row: `doc, key`, `n, digest` of its set, the `prefix` of region shingles, its `minima`
     and `classes`, the counts of its shingles by class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +117,7 @@ def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFr
                     classes.append(np.minimum(held, 65535).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("doc"),
                         part.column("key"),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
@@ -122,12 +125,12 @@ def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFr
                         pa.array([r.view(np.int64) for r in np.array(minima, np.uint64)], pa.list_(pa.int64())),
                         pa.array(classes, pa.binary()),
                     ],
-                    names=["key", "n", "digest", "prefix", "minima", "classes"],
+                    names=["doc", "key", "n", "digest", "prefix", "minima", "classes"],
                 )
 
-    return docs.select("key", "text").mapInArrow(
+    return docs.select("doc", "key", "text").mapInArrow(
         read,
-        "key long, n long, digest binary, prefix array<long>, minima array<long>, classes binary",
+        "doc long, key long, n long, digest binary, prefix array<long>, minima array<long>, classes binary",
     )
 
 
@@ -145,7 +148,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(read, "key long, shingles binary")
 
 
-def joined(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def joined(rows: DataFrame, side: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join with a written table that is broadcast only if it was measured small."""
     return rows.join(F.broadcast(side) if is_small(side, SMALL) else side, key, how)
 
@@ -159,10 +162,10 @@ def sided(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """The whole sets of the documents `key`; equal rows of one document count once."""
-    sets = full_sets(joined(rows, keys.select("key"), "key", "left_semi"), size)
+    """The whole sets `key`, each from its document `doc`, whose equal rows count once."""
+    sets = full_sets(joined(rows, keys, ["doc", "key"], "left_semi"), size)
     many = materialise(
-        joined(rows.select("key"), keys.select("key"), "key", "left_semi")
+        joined(rows.select("doc", "key"), keys, ["doc", "key"], "left_semi")
         .groupBy("key")
         .agg(F.count("*").alias("rows"))
         .where("rows > 1")
@@ -173,8 +176,10 @@ def sets_of(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     return materialise(once.unionByName(several))
 
 
-def either(pairs: DataFrame) -> DataFrame:
-    return materialise(pairs.selectExpr("explode(array(a, b)) AS key").distinct())
+def either(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The sets `key` of the pairs and the documents `doc` that stand for them."""
+    keys = pairs.selectExpr("explode(array(a, b)) AS key").distinct()
+    return materialise(keys.join(outlines.select("key", "doc"), "key").select("doc", "key"))
 
 
 def distances(
@@ -183,7 +188,7 @@ def distances(
     """Distinct `pairs` with `overlap`, `n_a`, `n_b`; pairs surely farther than `reach` are left out.
 
     `reach` is an SQL expression over the pairs: a distance in percent. The counts by
-    class (`outlines`: `key, n, classes`) differ by at most the symmetric difference of two
+    class (`outlines`: `key, doc, n, classes`) differ by at most the symmetric difference of two
     sets, so they rule most unrelated pairs out before whole sets are made.
     """
     pairs = pairs.withColumn("reach", F.expr(reach).cast("double"))
@@ -224,7 +229,7 @@ def distances(
     close = sided(pairs, outlines, "n", "classes")
     close = close.select("a", "b", "reach", "n_a", "n_b", "classes_a", "classes_b")
     close = materialise(close.mapInArrow(near, "a long, b long").distinct())
-    sets = sets_of(rows, either(close), size)
+    sets = sets_of(rows, either(close, outlines), size)
     whole = sided(close, sets, "shingles").select("a", "b", "shingles_a", "shingles_b")
     found = whole.mapInArrow(overlap, "a long, b long, overlap long, n_a long, n_b long")
     return found.withColumn("distance", F.expr("100D * (n_a + n_b - 2 * overlap) / (n_a + n_b - overlap)"))
@@ -396,18 +401,20 @@ def cell_links(
     return links.unionByName(ended.select("a", "b"))
 
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: `doc_id`, `n_shingles` of its set, and `component_id`."""
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("key"), "text")
+def link_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: `doc` (its id, `LAST` if null), `text_id` (a hash of its text), `n_shingles` of
+    its set and `part`, which names the component of the set; null if it is empty."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
+    rows = docs.select(doc, F.xxhash64("text").alias("key"), "text")
     levels = counter_levels(rows, size)
     scanned = materialise(scan(rows, size, percent, levels))
-    # equal sets: the smallest key stands for them
-    firsts = materialise(scanned.where("n > 0").groupBy("digest").agg(F.min("key").alias("first")))
-    narrow = scanned.where("n > 0").select("key", "digest").join(firsts, "digest")
-    same = materialise(narrow.where("key <> first").selectExpr("key AS a", "first AS b").distinct())
-    first = scanned.join(firsts.selectExpr("first AS key", "digest"), ["key", "digest"])
-    distinct = first.select("key", "n", "digest", "prefix", "minima", "classes")
+    # equal sets: a text of the smallest document stands for them
+    firsts = scanned.where("n > 0").groupBy("digest").agg(
+        F.min_by("key", "doc").alias("key"), F.min("doc").alias("doc")
+    )
+    firsts = materialise(firsts)
+    first = scanned.join(firsts, ["doc", "key", "digest"])
+    distinct = first.select("doc", "key", "n", "digest", "prefix", "minima", "classes")
     distinct = materialise(distinct.dropDuplicates(["key", "digest"]))
     shared = materialise(repeated_values(distinct, "prefix").withColumnRenamed("value", "shingle"))
     postings = distinct.select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -417,18 +424,33 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     candidates = materialise(postings.groupBy("key", "n").agg(F.count("*").alias("with_others")))
     alike = distinct.join(candidates, ["key", "n"])
     alike = materialise(
-        alike.select("key", "n", "minima", "classes", (F.size("prefix") - F.col("with_others")).alias("own"))
+        alike.select("doc", "key", "n", "minima", "classes", (F.size("prefix") - F.col("with_others")).alias("own"))
     )
-    outlines = alike.select("key", "n", "classes")
-    assigned, links = cells(alike.drop("classes"), rows, outlines, size, percent)
-    links = links.unionByName(same)
+    outlines = alike.select("doc", "key", "n", "classes")
+    assigned, links = cells(alike.drop("classes", "doc"), rows, outlines, size, percent)
     named = assigned.select("key", "cell")
     in_cells = joined(postings, materialise(named), "key", "left").withColumn("cell", F.coalesce("cell", "key"))
     pairs = apart(materialise(region_pairs(in_cells, percent)), links)
     links = links.unionByName(cell_links(pairs, assigned, rows, outlines, size, percent))
     found = materialise(components(links))
-    out = joined(scanned.select("key", "n"), found.withColumnRenamed("node", "key"), "key", "left")
-    out = out.withColumn("component", F.coalesce("component", "key"))
+    parts = joined(firsts.select("digest", "key"), found.withColumnRenamed("node", "key"), "key", "left")
+    parts = materialise(parts.select("digest", F.coalesce("component", "key").alias("part")))
+    out = joined(scanned.select("doc", "key", "n", "digest"), parts, "digest", "left")
+    return out.selectExpr("doc", "key AS text_id", "n AS n_shingles", "part")
+
+
+def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: `doc_id`, `n_shingles` of its set, and `component_id`."""
+    rows = materialise(link_rows(docs, size, percent).select("doc", "n_shingles", "part"))
+    # the documents of a part hang on its smallest; documents in several parts join them
+    heads = rows.where("part IS NOT NULL").groupBy("part").agg(
+        F.min("doc").alias("head"), F.max("doc").alias("tail")
+    )
+    heads = materialise(heads.where("head < tail").select("part", "head"))
+    links = joined(rows, heads, "part").where("doc <> head").selectExpr("doc AS a", "head AS b")
+    found = materialise(components(links))
+    out = joined(rows.select("doc", "n_shingles"), found.withColumnRenamed("node", "doc"), "doc", "left")
+    out = out.withColumn("component", F.coalesce("component", "doc"))
     return out.selectExpr(
-        f"nullif(key, {LAST}L) AS doc_id", "n AS n_shingles", f"nullif(component, {LAST}L) AS component_id"
+        f"nullif(doc, {LAST}L) AS doc_id", "n_shingles", f"nullif(component, {LAST}L) AS component_id"
     )
