@@ -36,24 +36,30 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 the first one stays."""
-    linked = jaccard.link_documents(docs, size=5, percent=80)
-    gone = linked.where("doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id")
-    gone = materialise(gone.distinct())
-    # documents without an id are one document; it goes if another one is like it
-    nulls = linked.where("doc_id IS NULL").agg(F.max(F.col("component_id").isNotNull())).first()[0]
+    """Of texts linked by five-word shingles at a similarity of 0.8 the first one stays.
+
+    A row is its id and its text: rows equal in both are one. Ids link nothing, so rows
+    without one, or with a repeated one, go only if another text is like theirs. The
+    first of a component is its smallest id, null last.
+    """
+    row = ["doc", "text_id"]
+    linked = materialise(jaccard.link_rows(docs, size=5, percent=80).select(*row, "part"))
+    first = linked.where("part IS NOT NULL").groupBy("part").agg(
+        F.min(F.struct(*row)).alias("first"), F.max(F.struct(*row)).alias("last")
+    )
+    first = materialise(first.where("first <> last").select("part", "first"))
+    alike = linked.join(F.broadcast(first) if is_small(first) else first, "part")
+    gone = materialise(alike.where(F.struct(*row) != F.col("first")).select(*row).distinct())
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
-    rows = docs.select(own, "doc_id", "text")
-    kept = rows.join(F.broadcast(gone) if is_small(gone) else gone, "doc_id", "left_anti")
-    kept = kept.where("doc_id IS NOT NULL") if nulls else kept
-    # rows that share a doc_id are one document: its first text stays
-    many = linked.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    many = materialise(many.select(F.col("doc_id").alias("many")))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.LAST)).alias("doc")
+    rows = docs.select(own, doc, F.xxhash64("text").alias("text_id"))
+    kept = rows.join(F.broadcast(gone) if is_small(gone) else gone, row, "left_anti")
+    many = linked.groupBy(*row).agg(F.count("*").alias("rows")).where("rows > 1")
+    many = materialise(many.select(*row))
     side = F.broadcast(many) if is_small(many) else many
-    same = F.col("doc_id").eqNullSafe(F.col("many"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    several = kept.join(side, same, "left_semi").withColumn("place", F.row_number().over(first))
-    once = kept.join(side, same, "left_anti").select("own.*")
+    order = Window.partitionBy(*row).orderBy(F.xxhash64(F.to_json("own")))
+    several = kept.join(side, row, "left_semi").withColumn("place", F.row_number().over(order))
+    once = kept.join(side, row, "left_anti").select("own.*")
     return once.unionByName(several.where("place = 1").select("own.*"))
 
 
