@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import disclosure, jaccard, licences, mixing, neighbours, packing, repeats, shards, topk, toxicity
+from tallybook.llm import (
+    disclosure,
+    jaccard,
+    licences,
+    mixing,
+    neighbours,
+    packing,
+    repeats,
+    shards,
+    topk,
+    toxicity,
+    whitening,
+)
 from tallybook.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +128,8 @@ def op6_disclosure(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.document_licences(table(spark, folder, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), count=4, scale=256.0)
