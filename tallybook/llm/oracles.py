@@ -164,3 +164,31 @@ SELECT DISTINCT d.doc_id, coalesce(n_passages, 0)::BIGINT AS n_passages,
        coalesce(licences, '') AS licences, best_score
 FROM documents AS d LEFT JOIN single AS s ON d.doc_id = s.doc_id
 """
+
+ORACLES["op11_near_vectors"] = r"""
+WITH RECURSIVE vectors AS (
+    SELECT row_number() OVER () AS node, vec_id, label,
+           list_transform(embedding, lambda x: x::DOUBLE) AS vec
+    FROM embeddings
+), usable AS (
+    SELECT *, sqrt(list_inner_product(vec, vec)) AS norm
+    FROM vectors
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(vec) > 0
+      AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(vec, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.node AS x, b.node AS y, b.vec_id AS other
+    FROM usable AS a JOIN usable AS b ON a.label = b.label AND len(a.vec) = len(b.vec) AND a.node <> b.node
+    WHERE list_inner_product(a.vec, b.vec) / (a.norm * b.norm) >= 0.98
+), reach AS (
+    SELECT node, node AS seen FROM vectors
+    UNION
+    SELECT node, y FROM reach JOIN links ON x = seen
+), least AS (
+    SELECT r.node, min(v.vec_id) AS component_id FROM reach AS r JOIN vectors AS v ON v.node = r.seen
+    GROUP BY r.node
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.node)::BIGINT AS n_links, component_id,
+       coalesce(v.vec_id = component_id, true) AS kept
+FROM vectors AS v JOIN least USING (node)
+"""

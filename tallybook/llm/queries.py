@@ -15,6 +15,7 @@ from tallybook.llm import (
     mixing,
     neighbours,
     packing,
+    quantisation,
     repeats,
     shards,
     topk,
@@ -133,3 +134,8 @@ def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"), count=4, scale=256.0)
+
+
+@query
+def op11_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return quantisation.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
