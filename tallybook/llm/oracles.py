@@ -192,3 +192,40 @@ SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.node)::BIGINT AS n_link
        coalesce(v.vec_id = component_id, true) AS kept
 FROM vectors AS v JOIN least USING (node)
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i+k-1] AS gram, count(*)::BIGINT AS f
+    FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i
+          FROM lists, (VALUES (1), (2), (3)) AS s(k))
+    GROUP BY ALL
+), sizes AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT * FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.phrase, c.k, c.gram, c.f AS a, l.f AS l, r.f AS r,
+           (1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f))::BIGINT AS score, cut
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) AS c
+    JOIN grams AS l ON l.lang = c.lang AND l.gram = c.gram[1:cut]
+    JOIN grams AS r ON r.lang = c.lang AND r.gram = c.gram[cut + 1:]
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1
+), inside AS (
+    SELECT DISTINCT s.lang, s.gram
+    FROM (SELECT lang, f, unnest([gram[1:2], gram[2:3]]) AS gram FROM candidates WHERE k = 3) AS o
+    JOIN scored AS s ON s.lang = o.lang AND s.gram = o.gram AND 100 * o.f >= 50 * s.a
+), ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, score
+    FROM scored ANTI JOIN inside USING (lang, gram)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

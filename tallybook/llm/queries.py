@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import (
+    collocations,
     disclosure,
     jaccard,
     licences,
@@ -139,3 +140,8 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return quantisation.near_vectors(table(spark, folder, "embeddings"), cosine=0.98)
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), limit=2000, least=10)
