@@ -43,8 +43,9 @@ from tallybook.session import is_small, materialise
 
 # Pairs grown in one round, over all languages.
 ROUND = 1 << 18
-# Text bytes worked on at once.
-BLOCK = 1 << 21
+# Text bytes worked on at once, and rows of phrases merged before they leave a task.
+BLOCK = 1 << 18
+MERGED = 1 << 21
 SCALE = 1_000_000
 
 BREAK = np.zeros(256, bool)
@@ -150,8 +151,8 @@ def words_of(found: Block) -> Words:
     return Words(starts, ends, part, new, follows, hashes)
 
 
-def counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place and the number of all places for each distinct pair of hashes."""
+def grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs of hashes together, and where each begins in it."""
     order = np.argsort(first, kind="stable")
     a, b = first[order], second[order]
     same = a[1:] == a[:-1]
@@ -160,7 +161,37 @@ def counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarr
         a, b = first[order], second[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     begins = np.concatenate([[0], np.flatnonzero(~same) + 1]) if len(a) else np.empty(0, np.int64)
-    return order[begins], np.diff(np.append(begins, len(a)))
+    return order, begins
+
+
+class Held:
+    """Phrases of one size from several blocks, merged before they leave the task."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.parts: list[tuple] = []
+        self.rows = 0
+
+    def add(self, lang: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray, phrase: pa.Array):
+        self.parts.append((lang, first, second, n, phrase))
+        self.rows += len(n)
+
+    def merged(self, langs: pa.Array) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        lang, first, second, n = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        phrase = pa.concat_arrays([p[4] for p in self.parts])
+        order, begins = grouped(first, second)
+        pick = order[begins]
+        yield batch_of(langs.take(pa.array(lang[pick])), self.size, phrase.take(pa.array(pick)), np.add.reduceat(n[order], begins))
+        self.parts, self.rows = [], 0
+
+
+def batch_of(lang: pa.Array, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    kinds = pa.array(np.full(len(n), size, np.int32))
+    return pa.RecordBatch.from_arrays(
+        [lang, kinds, phrase, pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"]
+    )
 
 
 def phrases(found: Block, words: Words, at: np.ndarray, size: int) -> pa.Array:
@@ -194,47 +225,53 @@ def grams(docs: DataFrame, sizes: tuple[int, ...], block: int, grown: np.ndarray
     """`lang, size, phrase, n` of all phrases of these sizes; with `grown`, sorted hashes of
     pairs, only those that begin with one of them. Size 0: all words of a language."""
 
-    def one(found: Block, langs: pa.Array, codes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def one(found: Block, held: list[Held], codes: np.ndarray, keys: np.ndarray, total: np.ndarray) -> None:
         words = words_of(found)
         lang = codes[found.rows][words.part]
         second = run_hashes(SECOND[found.data], words.starts, words.ends)
-        for size in sizes:
-            if size == 0:
-                n = np.bincount(lang[words.new], minlength=len(langs))
-                columns = [langs, pa.nulls(len(langs), pa.string()), pa.array(n)]
-            else:
-                fine = np.zeros(len(words.starts), bool)
-                last = len(fine) - size + 1
-                if last > 0:
-                    fine[:last] = words.new[size - 1 :]
-                    for step in range(size - 1):
-                        fine[:last] &= words.follows[step : step + last]
-                at = np.flatnonzero(fine)
-                if grown is not None:
-                    pair = pair_hashes(words.hashes, at, keys[lang[at]])
-                    place = np.minimum(np.searchsorted(grown, pair), len(grown) - 1)
-                    at = at[grown[place] == pair]
-                if not len(at):
-                    continue
-                own = run_hashes(words.hashes, at, at + size) ^ keys[lang[at]]
-                pick, n = counted(own, run_hashes(second, at, at + size) ^ keys[lang[at]])
-                at = at[pick]
-                columns = [langs.take(pa.array(lang[at])), phrases(found, words, at, size), pa.array(n)]
-            kinds = pa.array(np.full(len(columns[0]), size, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [columns[0], kinds, columns[1], columns[2].cast(pa.int64())],
-                names=["lang", "size", "phrase", "n"],
-            )
+        total += np.bincount(lang[words.new], minlength=len(total))
+        for some in held:
+            size = some.size
+            fine = np.zeros(len(words.starts), bool)
+            last = len(fine) - size + 1
+            if last > 0:
+                fine[:last] = words.new[size - 1 :]
+                for step in range(size - 1):
+                    fine[:last] &= words.follows[step : step + last]
+            at = np.flatnonzero(fine)
+            if grown is not None and len(at):
+                pair = pair_hashes(words.hashes, at, keys[lang[at]])
+                place = np.minimum(np.searchsorted(grown, pair), len(grown) - 1)
+                at = at[grown[place] == pair]
+            if not len(at):
+                continue
+            key = keys[lang[at]]
+            first = run_hashes(words.hashes, at, at + size) ^ key
+            other = run_hashes(second, at, at + size) ^ key
+            order, begins = grouped(first, other)
+            n = np.diff(np.append(begins, len(order)))
+            pick = order[begins]
+            some.add(lang[at[pick]], first[pick], other[pick], n, phrases(found, words, at[pick], size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Held(size) for size in sizes if size > 0]
         for batch in batches:
             if not batch.num_rows:
                 continue
             coded = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
             langs = coded.dictionary.cast(pa.string())
             keys = np.array([language_hash(x) for x in langs.to_pylist()], np.uint64)
+            total = np.zeros(len(langs), np.int64)
             for found in blocks(batch.column(1), block):
-                yield from one(found, langs, coded.indices.to_numpy(), keys)
+                one(found, held, coded.indices.to_numpy(), keys, total)
+                if sum(some.rows for some in held) >= MERGED:
+                    for some in held:
+                        yield from some.merged(langs)
+            # languages are numbered anew in the next batch
+            for some in held:
+                yield from some.merged(langs)
+            if 0 in sizes:
+                yield batch_of(langs, 0, pa.nulls(len(langs), pa.string()), total)
 
     texts = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = texts.mapInArrow(count, "lang string, size int, phrase string, n long")
@@ -289,13 +326,10 @@ def queued(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     number = F.col("ahead") + F.col("at") - F.col("least")
     placed = held.join(sizes.drop("held"), "part").withColumn("number", number)
-    languages = materialise(
-        placed.groupBy("lang").agg(F.min("number").alias("begin"), F.count("*").alias("held"))
-    )
-    side = F.broadcast(languages) if is_small(languages) else languages
-    placed = placed.join(side, "lang").withColumn("place", F.col("number") - F.col("begin"))
-    names = ["lang", "phrase", "first", "second", "a", "l", "r", "score", "priority", "place"]
-    return materialise(placed.select(*names)), languages.select("lang", "held")
+    languages = materialise(placed.groupBy("lang").agg(F.min("number").alias("begin")))
+    placed = placed.join(spread_out(languages), "lang").withColumn("place", F.col("number") - F.col("begin"))
+    names = ["lang", "phrase", "a", "l", "r", "score", "priority", "place"]
+    return materialise(placed.select(*names)), languages.select("lang")
 
 
 def hashes_of(frontier: DataFrame) -> np.ndarray:
@@ -348,6 +382,12 @@ def grown(docs: DataFrame, frontier: DataFrame, pairs: DataFrame, least: int, bl
     )
 
 
+def spread_out(values: DataFrame) -> DataFrame:
+    """A table with one row per language, to be sent to all rows if it was measured to fit."""
+    held = materialise(values)
+    return F.broadcast(held) if is_small(held) else held
+
+
 def survivors(pairs: DataFrame, longer: DataFrame) -> DataFrame:
     """Known candidates without the pairs that lie in a known longer one half as frequent."""
     around = longer.selectExpr("lang", "prefix AS phrase", "a AS most")
@@ -369,14 +409,14 @@ def collocations(
     open_languages, done = languages, 0
     while (waiting := open_languages.count()) > 0:
         step = max(1, per_round // waiting)
-        queue = pairs.join(open_languages, "lang", "left_semi").where(F.col("place") >= done)
+        queue = pairs.join(spread_out(open_languages), "lang", "left_semi").where(F.col("place") >= done)
         frontier = materialise(queue.where(F.col("place") < done + step))
         more = grown(docs, frontier, pairs, least, block)
         known = more if known is None else known.unionByName(more)
         done += step
         # the best that still waits; a language without such a row is settled
         ahead = pairs.where(F.col("place") == done).select("lang", F.col("priority").alias("next"))
-        ahead = open_languages.select("lang").join(ahead, "lang")
+        ahead = spread_out(ahead.join(spread_out(open_languages), "lang", "left_semi"))
         above = survivors(pairs, known).join(ahead, "lang").where("score > next")
         settled = above.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
         open_languages = materialise(ahead.join(settled, "lang", "left_anti").select("lang"))
@@ -389,6 +429,6 @@ def collocations(
     totals = counts.where("size = 0").select("lang", "n")
     return (
         ranked.where(F.col("rank") <= limit)
-        .join(totals, "lang")
+        .join(spread_out(totals), "lang")
         .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     )
