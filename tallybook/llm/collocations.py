@@ -43,9 +43,11 @@ from tallybook.session import is_small, materialise
 
 # Pairs grown in one round, over all languages.
 ROUND = 1 << 18
-# Text bytes worked on at once, and rows of phrases merged before they leave a task.
+# Text bytes worked on at once, rows of phrases merged before they leave a task, and rows
+# that leave it at once.
 BLOCK = 1 << 18
-MERGED = 1 << 21
+MERGED = 1 << 19
+SENT = 1 << 15
 SCALE = 1_000_000
 
 BREAK = np.zeros(256, bool)
@@ -183,8 +185,12 @@ class Held:
         phrase = pa.concat_arrays([p[4] for p in self.parts])
         order, begins = grouped(first, second)
         pick = order[begins]
-        yield batch_of(langs.take(pa.array(lang[pick])), self.size, phrase.take(pa.array(pick)), np.add.reduceat(n[order], begins))
+        n = np.add.reduceat(n[order], begins)
         self.parts, self.rows = [], 0
+        for at in range(0, len(pick), SENT):
+            some = pick[at : at + SENT]
+            own = langs.take(pa.array(lang[some]))
+            yield batch_of(own, self.size, phrase.take(pa.array(some)), n[at : at + SENT])
 
 
 def batch_of(lang: pa.Array, size: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
