@@ -431,10 +431,10 @@ def collocations(
     if known is None:
         return spark.createDataFrame([], names)
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = survivors(pairs, known).withColumn("rank", F.row_number().over(best).cast("long"))
+    ranked = survivors(pairs, known).withColumn("rank", F.row_number().over(best))
     totals = counts.where("size = 0").select("lang", "n")
     return (
         ranked.where(F.col("rank") <= limit)
         .join(spread_out(totals), "lang")
-        .select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        .select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
     )
