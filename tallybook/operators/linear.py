@@ -1,14 +1,17 @@
 """Least squares with train-only preprocessing, for many holdouts at once.
 
-A fit needs only sums over the training rows: of the target, the features and
-their products. Spark computes these for all seeds in one aggregate; the sums
-are as many as the square of the design's width, whatever the number of rows.
-The small normal equations are then solved per seed and model.
+A fit needs only sums over the training rows: of the target, the features and their
+products. Rows are summed once per cell of the categories and of the seeds' test mask;
+the sums of a seed's training side are those of the masks that leave its bit unset. A gap
+in a feature is a feature of its own until the seed's median fills it, so rows are never
+copied per seed. A narrow design is solved by its normal equations; of a wide one only
+vectors as long as the design come to the driver (see `wide`).
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,12 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybook.operators import wide
 from tallybook.operators.frame import TARGET
 from tallybook.operators.quantiles import exact_quantiles
+from tallybook.operators.splits import MASK, by_seed
+from tallybook.session import BROADCAST_BYTES, materialise
 from tallybook.spec import ModelSpec
 
-# Sums that may come to the driver; wider designs are refused.
-MAX_MARGINS = 200_000
+# Cells of the Gram matrices of all seeds that the driver holds; beyond them it holds vectors only.
+GRAM_CELLS = 4_000_000
+# Bytes of one line of contrasts, about.
+LINE_BYTES = 64
 BASELINE = ModelSpec("baseline")
 
 
@@ -55,9 +63,9 @@ class Fit:
     fills: dict[str, float]
     means: dict[str, float]
     sds: dict[str, float]
-    # Gram matrix with constant, its right-hand side, and sum of squares
-    gram: np.ndarray = field(repr=False)
-    moment: np.ndarray = field(repr=False)
+    # Gram matrix with constant (none of a wide design), its right-hand side, and sum of squares
+    gram: np.ndarray | None = field(repr=False)
+    moment: np.ndarray | None = field(repr=False)
     squares: float = field(repr=False)
 
     @property
@@ -76,127 +84,160 @@ class Fit:
 
 @dataclass
 class _Sums:
-    """Training sums of one seed, numeric features shifted by a constant."""
+    """Training sums of one seed; features shifted by a constant, 0 and a mark at gaps."""
 
     n: float = 0.0
     y: float = 0.0
     yy: float = 0.0
-    x: dict = field(default_factory=dict)
-    xx: dict = field(default_factory=dict)
-    xy: dict = field(default_factory=dict)
-    levels: dict = field(default_factory=dict)  # (cat, level) -> row of sums
+    z: np.ndarray | None = None  # sums of features and gap marks
+    zz: np.ndarray | None = None
+    zy: np.ndarray | None = None
+    levels: dict = field(default_factory=dict)  # (cat, level) -> (n, y, sums of z)
     pairs: dict = field(default_factory=dict)  # (cat, level, cat, level) -> n
 
 
+@dataclass(frozen=True)
+class _Rows:
+    """Training rows counted by `key`, and how counts reach the seeds they belong to."""
+
+    rows: DataFrame
+    key: str
+    expand: Callable[[DataFrame], DataFrame] | None
+    seeds: list[int]
+
+
 def _union(models: list[ModelSpec], pick) -> list[str]:
     return list(dict.fromkeys(c for m in models for c in pick(m)))
 
 
-def _profile(frame: DataFrame, numeric: list[str]) -> tuple[dict[str, float], dict[str, int]]:
-    """A constant near the mean of each feature; distinct values of those with gaps."""
+def _profile(frame: DataFrame, numeric: list[str]) -> tuple[dict[str, float], list[str]]:
+    """A constant near the mean of each feature; the features with gaps."""
     if not numeric:
-        return {}, {}
+        return {}, []
     facts = frame.agg(
         *(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)),
         *(F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(numeric)),
-        *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(numeric)),
     ).first()
     shifts = {c: facts[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
-    return shifts, {c: facts[f"d{i}"] for i, c in enumerate(numeric) if facts[f"g{i}"]}
+    return shifts, [c for i, c in enumerate(numeric) if facts[f"g{i}"]]
 
 
-def train_medians(train: DataFrame, features: dict[str, int]) -> dict[int, dict[str, float]]:
-    """Median of each feature over the training rows of each seed.
-
-    `features` gives a bound on the distinct values of each.
-    """
+def train_medians(train: _Rows, features: list[str]) -> dict[int, dict[str, float]]:
+    """Median of each feature over the training rows of each seed."""
     medians: dict[int, dict[str, float]] = {}
-    for feature, distinct in features.items():
-        found = exact_quantiles(
-            train, feature, {"median": 0.5}, ["seed"], distinct=distinct, few_groups=True
-        )
-        for row in found.collect():
-            medians.setdefault(row.seed, {})[feature] = row.median
+    if not features:
+        return medians
+    numbers = train.rows.select(train.key, *(F.col(c).cast("double").alias(c) for c in features))
+    long = numbers.unpivot([train.key], features, "_feature", "_v")
+    keys = ["_feature", "seed"]
+    found = exact_quantiles(long, "_v", {"median": 0.5}, ["_feature", train.key], train.expand, keys)
+    for row in found.collect():
+        medians.setdefault(row.seed, {})[row["_feature"]] = row.median
     return medians
 
 
-def _filled(column: str, fills: dict[int, dict[str, float]]) -> Column:
-    """The feature with its gaps closed by the seed's training median."""
-    value = F.col(column)
-    if not any(column in f for f in fills.values()):
-        return value
-    fill = F.create_map(*(F.lit(v) for s in fills for v in (s, fills[s][column])))
-    return F.coalesce(value, F.element_at(fill, F.col("seed")))
-
+def _cells(train: _Rows, numeric: list[str], gaps: list[str], categorical: list[str], shifts: dict) -> DataFrame:
+    """One row per cell of the key and the categories: counts, sums and products.
 
-def _training_sums(
-    train: DataFrame,
-    numeric: list[str],
-    categorical: list[str],
-    shifts: dict[str, float],
-    fills: dict[int, dict[str, float]],
-) -> dict[int, _Sums]:
-    x = [f"x{i}" for i in range(len(numeric))]
+    The features are z0, z1, ...: shifted values with 0 at gaps, then a mark per feature with gaps.
+    """
+    z = [F.coalesce(F.col(f) - F.lit(shifts[f]), F.lit(0.0)) for f in numeric]
+    z += [F.col(f).isNull().cast("double") for f in gaps]
+    names = [f"z{i}" for i in range(len(z))]
     c = [f"c{i}" for i in range(len(categorical))]
-    rows = train.select(
-        "seed",
+    rows = train.rows.select(
+        F.col(train.key).alias("_key"),
         F.col(TARGET).alias("y"),
-        *((_filled(f, fills) - F.lit(shifts[f])).alias(a) for f, a in zip(numeric, x)),
+        *(value.alias(a) for value, a in zip(z, names)),
         *(F.col(f).alias(a) for f, a in zip(categorical, c)),
     )
-    products = list(itertools.combinations_with_replacement(range(len(x)), 2))
-    # per cell of the categories first, on the map side; then their margins
-    cells = rows.groupBy("seed", *c).agg(
+    products = itertools.combinations_with_replacement(range(len(z)), 2)
+    # on the map side first: a cell is sent once per task
+    cells = rows.groupBy("_key", *c).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("y").alias("y"),
         F.sum(F.col("y") * F.col("y")).alias("yy"),
-        *(F.sum(a).alias(a) for a in x),
-        *(F.sum(F.col(a) * F.col("y")).alias(f"{a}y") for a in x),
-        *(F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}_{j}") for i, j in products),
+        *(F.sum(a).alias(a) for a in names),
+        *(F.sum(F.col(a) * F.col("y")).alias(f"{a}y") for a in names),
+        *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in products),
     )
-    sets = [["seed"], *(["seed", a] for a in c)]
-    sets += [["seed", a, b] for a, b in itertools.combinations(c, 2)]
-    sums = [name for name in cells.columns if name not in ("seed", *c)]
-    grouped = [[F.col(name) for name in group] for group in sets]
-    margins = cells.groupingSets(grouped, "seed", *c).agg(
+    return materialise(cells)
+
+
+def _margins(train: _Rows, cells: DataFrame, sets: list[list[str]], c: list[str], sums: list[str]) -> list:
+    """Sums of every seed over the margins of the cells that `sets` names."""
+    grouped = [[F.col(name) for name in ["_key", *group]] for group in sets]
+    margins = cells.groupingSets(grouped, "_key", *c).agg(
         F.grouping_id().alias("_set"), *(F.sum(name).alias(name) for name in sums)
     )
-    collected = margins.limit(MAX_MARGINS + 1).collect()
-    if len(collected) > MAX_MARGINS:
-        raise DesignError("too many category levels for a linear design")
+    if train.expand is None:
+        margins = margins.withColumnRenamed("_key", "seed")
+    else:
+        margins = train.expand(margins.withColumnRenamed("_key", train.key))
+        margins = margins.groupBy("seed", "_set", *c).agg(*(F.sum(name).alias(name) for name in sums))
+    return margins.collect()
+
+
+def _training_sums(train: _Rows, cells: DataFrame, k: int, n_cat: int) -> dict[int, _Sums]:
+    """Sums of each seed, the pairs of levels left out: as many as the design is wide."""
+    c = [f"c{i}" for i in range(n_cat)]
+    sums = [name for name in cells.columns if name not in ("_key", *c)]
     result: dict[int, _Sums] = {}
-    for row in collected:
+    for row in _margins(train, cells, [[], *([a] for a in c)], c, sums):
         s = result.setdefault(row.seed, _Sums())
+        z = np.array([row[f"z{i}"] for i in range(k)])
         # a set bit of the grouping id means the column is summed over
-        used = [i for i in range(len(c)) if not row["_set"] >> (len(c) - 1 - i) & 1]
-        if len(used) == 2:
-            i, j = used
-            s.pairs[i, row[c[i]], j, row[c[j]]] = row.n
-        elif used:
-            s.levels[used[0], row[c[used[0]]]] = row
-        else:
-            s.n, s.y, s.yy = float(row.n), row.y, row.yy
-            for i, a in enumerate(x):
-                s.x[i], s.xy[i] = row[a], row[f"{a}y"]
-            for i, j in products:
-                s.xx[i, j] = s.xx[j, i] = row[f"p{i}_{j}"]
+        used = [i for i in range(n_cat) if not row["_set"] >> (n_cat - 1 - i) & 1]
+        if used:
+            s.levels[used[0], row[c[used[0]]]] = (float(row.n), row.y, z)
+            continue
+        s.n, s.y, s.yy, s.z = float(row.n), row.y, row.yy, z
+        s.zy = np.array([row[f"z{i}y"] for i in range(k)])
+        s.zz = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        s.zz = s.zz.reshape(k, k)
     return result
 
 
-def _solve(
-    seed: int,
-    model: ModelSpec,
-    sums: _Sums,
-    numeric: list[str],
-    categorical: list[str],
-    shifts: dict[str, float],
-    fills: dict[str, float],
-) -> Fit:
-    """Standardised design of one model, solved by its normal equations.
+def _add_pairs(train: _Rows, cells: DataFrame, result: dict[int, _Sums], n_cat: int) -> None:
+    """Row counts of pairs of levels."""
+    c = [f"c{i}" for i in range(n_cat)]
+    sets = [list(pair) for pair in itertools.combinations(c, 2)]
+    if not sets:
+        return
+    for row in _margins(train, cells, sets, c, ["n"]):
+        i, j = (i for i in range(n_cat) if not row["_set"] >> (n_cat - 1 - i) & 1)
+        result[row.seed].pairs[i, row[c[i]], j, row[c[j]]] = row.n
+
+
+@dataclass(frozen=True)
+class Design:
+    """The standardised columns of one seed's training rows, for all features of a query.
 
-    On aliased columns the solution of least norm is taken.
+    Standardised feature i is `turn[i] @ z + base[i]` of the sums' features z.
     """
-    xs = [numeric.index(f) for f in model.numeric]
+
+    turn: np.ndarray
+    base: np.ndarray
+    means: np.ndarray
+    sds: np.ndarray
+
+
+def _design(sums: _Sums, numeric: list[str], gaps: list[str], shifts: dict, fills: dict) -> Design:
+    p, n = len(numeric), max(sums.n, 1.0)
+    turn = np.zeros((p, p + len(gaps)))
+    turn[:, :p] = np.eye(p)
+    for g, feature in enumerate(gaps):
+        turn[numeric.index(feature), p + g] = fills.get(feature, shifts[feature]) - shifts[feature]
+    center = turn @ sums.z / n if p else np.zeros(0)
+    square = np.diag(turn @ sums.zz @ turn.T) if p else np.zeros(0)
+    variance = square / n - center**2
+    scale = np.where(variance > 1e-12 * np.maximum(1.0, center**2), np.sqrt(np.maximum(variance, 0)), 1.0)
+    means = np.array([shifts[f] for f in numeric]) + center
+    return Design(turn / scale[:, None], -center / scale, means, scale)
+
+
+def _columns(model: ModelSpec, sums: _Sums, categorical: list[str]) -> tuple[list, list[Term]]:
+    """The dummies of a model, and the reference levels left out of them."""
     dummies: list[tuple[int, str]] = []
     references: list[Term] = []
     for feature, reference in model.categorical.items():
@@ -206,85 +247,139 @@ def _solve(
             raise DesignError(f"reference level {reference!r} of {feature} not among training rows")
         dummies += [(i, level) for level in levels if level != reference]
         references.append(Term("reference", feature, reference, 0.0))
+    return dummies, references
 
-    k, width = len(xs), len(xs) + len(dummies)
-    total, gram, moment = np.zeros(width), np.zeros((width, width)), np.zeros(width)
-    for a, i in enumerate(xs):
-        total[a], moment[a] = sums.x[i], sums.xy[i]
-        for b, j in enumerate(xs):
-            gram[a, b] = sums.xx[i, j]
-    for b, (i, level) in enumerate(dummies, start=k):
-        margin = sums.levels[i, level]
-        total[b], moment[b], gram[b, b] = margin.n, margin.y, margin.n
-        for a, j in enumerate(xs):
-            gram[a, b] = gram[b, a] = margin[f"x{j}"]
-    for (a, (i, li)), (b, (j, lj)) in itertools.combinations(enumerate(dummies, start=k), 2):
-        if i != j:
-            key = (i, li, j, lj) if i < j else (j, lj, i, li)
-            gram[a, b] = gram[b, a] = sums.pairs.get(key, 0)
 
-    # numeric columns to mean 0 and population standard deviation 1
-    center, scale = np.zeros(width), np.ones(width)
-    for a in range(k):
-        center[a] = total[a] / sums.n
-        variance = gram[a, a] / sums.n - center[a] ** 2
-        scale[a] = np.sqrt(variance) if variance > 1e-12 * max(1.0, center[a] ** 2) else 1.0
-    n = sums.n
-    shifted = gram - np.outer(total, center) - np.outer(center, total) + n * np.outer(center, center)
-    design = shifted / np.outer(scale, scale)
-    design_total = (total - n * center) / scale
-    design_moment = (moment - center * sums.y) / scale
-
-    centered = design - np.outer(design_total, design_total) / n
-    right = design_moment - design_total * sums.y / n
-    coefs = np.linalg.pinv(centered, rcond=1e-11, hermitian=True) @ right if width else right
-    intercept = (sums.y - design_total @ coefs) / n
-
-    full = np.empty((width + 1, width + 1))
-    full[0, 0], full[0, 1:], full[1:, 0], full[1:, 1:] = n, design_total, design_total, design
+def _fit(
+    seed: int, model: ModelSpec, sums: _Sums, made: Design, numeric: list[str], categorical: list[str],
+    fills: dict[str, float], intercept: float, coefs: np.ndarray, gram=None, moment=None,
+) -> Fit:
+    dummies, references = _columns(model, sums, categorical)
+    k = len(model.numeric)
     terms = [Term("numeric", f, None, float(coefs[a])) for a, f in enumerate(model.numeric)]
     terms += [
-        Term("level", categorical[i], level, float(coefs[b]))
-        for b, (i, level) in enumerate(dummies, start=k)
+        Term("level", categorical[i], level, float(coefs[b])) for b, (i, level) in enumerate(dummies, start=k)
     ]
-    means = {f: float(shifts[f] + center[a]) for a, f in enumerate(model.numeric)}
+    at = {f: numeric.index(f) for f in model.numeric}
+    means = {f: float(made.means[i]) for f, i in at.items()}
     return Fit(
         seed=seed,
         model=model,
-        n=int(n),
+        n=int(sums.n),
         intercept=float(intercept),
         terms=terms + references,
         # gaps only occur where a training median was taken
         fills={f: fills.get(f, means[f]) for f in model.numeric},
         means=means,
-        sds={f: float(scale[a]) for a, f in enumerate(model.numeric)},
-        gram=full,
-        moment=np.concatenate([[sums.y], design_moment]),
+        sds={f: float(made.sds[i]) for f, i in at.items()},
+        gram=gram,
+        moment=moment,
         squares=float(sums.yy),
     )
 
 
-def fit_models(
-    rows: DataFrame, models: list[ModelSpec], frame: DataFrame | None = None
-) -> list[Fit]:
-    """Fit every model on the training rows of every seed.
+def _solve(
+    seed: int, model: ModelSpec, sums: _Sums, made: Design, numeric: list[str], categorical: list[str],
+    fills: dict[str, float],
+) -> Fit:
+    """One model solved by its normal equations; on aliased columns with least norm."""
+    dummies, _ = _columns(model, sums, categorical)
+    xs = [numeric.index(f) for f in model.numeric]
+    turn, base, n = made.turn[xs], made.base[xs], sums.n
+    k, width = len(xs), len(xs) + len(dummies)
+    total, gram, moment = np.zeros(width), np.zeros((width, width)), np.zeros(width)
+    if k:
+        across = np.outer(turn @ sums.z, base)
+        total[:k] = turn @ sums.z + n * base
+        gram[:k, :k] = turn @ sums.zz @ turn.T + across + across.T + n * np.outer(base, base)
+        moment[:k] = turn @ sums.zy + sums.y * base
+    for b, key in enumerate(dummies, start=k):
+        count, y, z = sums.levels[key]
+        total[b], moment[b], gram[b, b] = count, y, count
+        if k:
+            gram[:k, b] = gram[b, :k] = turn @ z + count * base
+    for (a, (i, li)), (b, (j, lj)) in itertools.combinations(enumerate(dummies, start=k), 2):
+        if i != j:
+            key = (i, li, j, lj) if i < j else (j, lj, i, li)
+            gram[a, b] = gram[b, a] = sums.pairs.get(key, 0)
+    centered = gram - np.outer(total, total) / n
+    right = moment - total * sums.y / n
+    coefs = np.linalg.pinv(centered, rcond=1e-11, hermitian=True) @ right if width else right
+    intercept = (sums.y - total @ coefs) / n
+    full = np.empty((width + 1, width + 1))
+    full[0, 0], full[0, 1:], full[1:, 0], full[1:, 1:] = n, total, total, gram
+    return _fit(
+        seed, model, sums, made, numeric, categorical, fills, intercept, coefs,
+        full, np.concatenate([[sums.y], moment]),
+    )
 
-    `rows` are modeling rows with `seed` and `is_test` (see `splits.folds`);
-    `frame`, if given, is the same rows once. Medians, means, deviations and level vocabularies come from training rows.
-    """
+
+def _fit_all(train: _Rows, models: list[ModelSpec], frame: DataFrame) -> list[Fit]:
     numeric = _union(models, lambda m: m.numeric)
     categorical = _union(models, lambda m: m.categorical)
-    # a row without a target teaches nothing
-    train = rows.where(~F.col("is_test") & F.col(TARGET).isNotNull())
     # the shift only keeps the sums well conditioned; it cancels in the fit
-    shifts, gaps = _profile(rows if frame is None else frame, numeric)
+    shifts, gaps = _profile(frame, numeric)
     fills = train_medians(train, gaps)
-    sums = _training_sums(train, numeric, categorical, shifts, fills)
-    return [
-        _solve(seed, model, s, numeric, categorical, shifts, fills.get(seed, {}))
+    cells = _cells(train, numeric, gaps, categorical, shifts)
+    sums = _training_sums(train, cells, len(numeric) + len(gaps), len(categorical))
+    made = {
+        seed: _design(s, numeric, gaps, shifts, fills.get(seed, {})) for seed, s in sums.items()
+    }
+    width = max((len(s.levels) + len(numeric) for s in sums.values()), default=0)
+    if len(sums) * width * width <= GRAM_CELLS:
+        _add_pairs(train, cells, sums, len(categorical))
+        return [
+            _solve(seed, model, s, made[seed], numeric, categorical, fills.get(seed, {}))
+            for seed, s in sorted(sums.items())
+            for model in models
+        ]
+    systems = [
+        wide.System(
+            seed,
+            s.n,
+            [numeric.index(f) for f in model.numeric],
+            _columns(model, s, categorical)[0],
+            made[seed].turn,
+            made[seed].base,
+            s,
+        )
         for seed, s in sorted(sums.items())
         for model in models
     ]
+    test = (lambda keys, seed: keys == seed) if train.expand is None else (
+        lambda keys, seed: (keys >> train.seeds.index(seed)) & 1 == 0
+    )
+    try:
+        solved = wide.solve(cells, systems, len(numeric) + len(gaps), len(categorical), test)
+    except ArithmeticError as error:
+        raise DesignError(str(error)) from error
+    models_of = [model for _ in sums for model in models]
+    return [
+        _fit(
+            system.seed, model, sums[system.seed], made[system.seed], numeric, categorical,
+            fills.get(system.seed, {}), beta[0], beta[1:],
+        )
+        for system, model, beta in zip(systems, models_of, solved)
+    ]
+
+
+def fit_models(rows: DataFrame, models: list[ModelSpec], frame: DataFrame | None = None) -> list[Fit]:
+    """Fit every model on the training rows of every seed.
+
+    `rows` are modeling rows with `seed` and `is_test` (see `splits.folds`); `frame`, if
+    given, is the same rows once. Medians, means, deviations and level vocabularies come
+    from training rows.
+    """
+    # a row without a target teaches nothing
+    train = rows.where(~F.col("is_test") & F.col(TARGET).isNotNull())
+    return _fit_all(_Rows(train, "seed", None, []), models, rows if frame is None else frame)
+
+
+def fit_masked(masked: DataFrame, seeds: list[int], models: list[ModelSpec]) -> list[Fit]:
+    """As `fit_models`, on rows with a mask of the seeds that hold them out: no row is copied."""
+    train = masked.where(F.col(TARGET).isNotNull())
+    rows = _Rows(train, MASK, lambda counts: by_seed(counts, seeds, False), sorted(seeds))
+    return _fit_all(rows, models, masked)
 
 
 def coefficient_rows(spark: SparkSession, fits: list[Fit]) -> DataFrame:
@@ -320,8 +415,9 @@ def level_coefficients(spark: SparkSession, fits: list[Fit], top: int | None = N
 def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
     """Raw predictions of every model for the rows of its seed.
 
-    Adds `model` and `prediction`; a level unseen in training adds nothing.
-    The joined tables hold one line per fit or per level, bounded by the design.
+    Adds `model` and `prediction`; a level unseen in training adds nothing. The joined
+    tables hold one line per fit or per level; they were made here and are sent to all rows
+    if they fit.
     """
     spark = rows.sparkSession
     numeric = _union([f.model for f in fits], lambda m: m.numeric)
@@ -355,6 +451,7 @@ def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
         table = spark.createDataFrame(
             contrasts, f"seed int, model string, {c} string, _contrast{i} double"
         )
-        scored = scored.join(F.broadcast(table), ["seed", "model", c], "left")
+        side = F.broadcast(table) if len(contrasts) * LINE_BYTES <= BROADCAST_BYTES else table
+        scored = scored.join(side, ["seed", "model", c], "left")
         prediction = prediction + F.coalesce(F.col(f"_contrast{i}"), F.lit(0.0))
     return scored.select(*rows.columns, "model", prediction.alias("prediction"))

@@ -1,40 +1,51 @@
-"""Exact quantiles of wide-valued columns without one task holding them all.
-
-`median` and `percentile` keep a value-to-count map of the whole group in one
-buffer, which suits a score of a hundred values. A group with more distinct
-values is reduced to value counts and sorted, which can spill; and one too wide
-for a single sort is first narrowed to a bracket around each wanted rank.
+"""Exact quantiles by radix selection, in four counting passes whatever the data.
+
+The 64 bits of a double, the lower 63 flipped where it is negative, order like the number.
+A pass counts the next 16 bits of the values that share the bits found so far around a
+wanted rank; running counts tell where the rank lies and how far into the next digit.
+After four passes the value is known to the last bit. Nothing is sorted but at most
+65,536 counts per group and rank, no sketch is used, and the counts are combined on the
+map side.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.session import is_small, join_null_safe, materialise
+from tallybook.session import join_null_safe, materialise
+
+DIGIT = 16
+FIRST = 64 - DIGIT
+LOWER_BITS = 2**63 - 1
 
-# Distinct values per group up to which an aggregation buffer, then a sort, serves.
-BUFFER_VALUES = 10_000
-SORT_VALUES = 4_000_000
-# Cut points a sketch gives per pass, and its rank precision.
-GRID = 512
-PRECISION = 20_000
-MAX_PASSES = 8
+_V, _I, _N, _D = "_value", "_image", "_count", "_digit"
+_PREFIX, _TOTAL, _RANK, _PROB, _SIDE = "_prefix", "_total", "_rank", "_prob", "_side"
 
-_V, _N, _ALL = "_value", "_count", "_all"
 
+def ordered_image(value: Column) -> Column:
+    """A long that orders like the double; -0.0 as 0.0, NaN last."""
+    name = (F.lit("java.lang.Double"), F.lit("doubleToLongBits"))
+    bits = F.call_function("java_method", *name, value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(LOWER_BITS))).otherwise(bits)
 
-def _rank_of(p: Column, total: Column, take) -> Column:
-    """0-based rank at or next to position p*(n-1)."""
-    return take(p * (total - 1).cast("double")).cast("bigint")
 
+def _wanted(probs: list[float]) -> Column:
+    """Both ranks around each position p * (n - 1), 0-based."""
+    ranks = []
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col(_TOTAL) - 1).cast("double")
+        for side, take in enumerate((F.floor, F.ceil)):
+            rank = take(position).cast("bigint")
+            ranks.append(F.struct(F.lit(i).alias(_PROB), F.lit(side).alias(_SIDE), rank.alias(_RANK)))
+    return F.array(*ranks)
 
-def _interpolate(low: Column, high: Column, p: Column, total: Column) -> Column:
-    position = p * (total - 1).cast("double")
-    return low + (high - low) * (position - F.floor(position))
+
+def _running(keys: list[str]):
+    order = Window.partitionBy(*keys).orderBy(_D)
+    return F.sum(_N).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def exact_quantiles(
@@ -42,38 +53,74 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     by: list[str] | tuple[str, ...] = (),
-    sort_values: int = SORT_VALUES,
-    distinct: int | None = None,
-    few_groups: bool = False,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles, one row per group of `by`, one column per
-    entry of `probs`, plus `n`, the number of values that are not NULL.
+    """Linear-interpolated quantiles, one row per group of `by`, one column per entry of
+    `probs`, plus `n`, the number of values that are not NULL.
 
-    `distinct` bounds the distinct values per group where the caller knows it;
-    otherwise they are estimated first. `few_groups` says that the groups are
-    bounded by the query (a list of columns, of seeds), so that one row per group
-    may be broadcast.
+    With `expand` values are counted by `by`, and `expand` turns each row of counts into
+    rows of the groups in `keys` that it belongs to: overlapping groups need no copies of
+    the values.
     """
     by = list(by)
+    keys = by if keys is None else list(keys)
+    shared = [k for k in by if k in keys]
     values = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
-    if distinct is None:
-        sizes = values.groupBy(*by).agg(F.approx_count_distinct(_V).alias("n"))
-        distinct = sizes.agg(F.max("n")).first()[0] or 0
-    if distinct <= min(BUFFER_VALUES, sort_values):
-        # counting values first spares the buffer an update per row
-        picked = _value_counts(values, by).groupBy(*by).agg(
-            F.sum(_N).alias("n"), F.percentile(_V, list(probs.values()), F.col(_N)).alias("_q")
+    held = materialise(values.withColumn(_I, ordered_image(F.col(_V))))
+
+    def regrouped(counts: DataFrame, groups: list[str], *facts: Column) -> DataFrame:
+        if expand is None:
+            return counts
+        return expand(counts).groupBy(*groups, _D).agg(F.sum(_N).alias(_N), *facts)
+
+    counts = held.groupBy(*by, F.shiftright(_I, FIRST).alias(_D)).agg(F.count(F.lit(1)).alias(_N))
+    counts = regrouped(counts, keys)
+    whole = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", _running(keys)).withColumn(_TOTAL, F.sum(_N).over(whole))
+    before = F.col("_upto") - F.col(_N)
+    inside = F.filter(_wanted(list(probs.values())), lambda r: (r[_RANK] >= before) & (r[_RANK] < F.col("_upto")))
+    state = ranked.select(*keys, _TOTAL, F.col(_D).alias(_PREFIX), before.alias("_before"), F.inline(inside))
+    state = state.withColumn(_RANK, F.col(_RANK) - F.col("_before")).drop("_before")
+    for step in range(FIRST - DIGIT, -1, -DIGIT):
+        state = materialise(state)
+        marked = held.withColumn(_PREFIX, F.shiftright(_I, step + DIGIT))
+        near = state.select(*shared, _PREFIX).distinct()
+        near = join_null_safe(marked, near, [*shared, _PREFIX], "left_semi")
+        digit = F.shiftright(_I, step).bitwiseAND(F.lit(2**DIGIT - 1))
+        counts = near.groupBy(*by, _PREFIX, digit.alias(_D)).agg(
+            F.count(F.lit(1)).alias(_N), F.max(_V).alias(_V)
         )
-        at = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
-        return picked.select(*by, "n", *at)
-    if not by:
-        # a generated key stays a join key; a literal would be folded away
-        values = values.select("*", F.explode(F.array(F.lit(1))).alias(_ALL))
-    if distinct <= sort_values:
-        found = _quantiles_by_sort(values, probs, by or [_ALL], few_groups or not by)
-    else:
-        found = _quantiles_by_bracket(values, probs, by or [_ALL], sort_values)
-    return found.select(*by, "n", *probs)
+        counts = regrouped(counts, [*keys, _PREFIX], F.max(_V).alias(_V))
+        ranked = counts.withColumn("_upto", _running([*keys, _PREFIX]))
+        facts = ranked.select(*keys, _PREFIX, _D, _N, "_upto", _V)
+        met = join_null_safe(state.drop(_V), facts, [*keys, _PREFIX], "inner")
+        met = met.where((F.col(_RANK) < F.col("_upto")) & (F.col(_RANK) >= before))
+        state = met.select(
+            *keys,
+            _TOTAL,
+            (F.shiftleft(_PREFIX, DIGIT) + F.col(_D)).alias(_PREFIX),
+            _PROB,
+            _SIDE,
+            (F.col(_RANK) - before).alias(_RANK),
+            _V,
+        )
+    return _interpolated(state, probs, keys)
+
+
+def _interpolated(state: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    def side(i: int, which: int) -> Column:
+        return F.max(F.when((F.col(_PROB) == i) & (F.col(_SIDE) == which), F.col(_V)))
+
+    ends = [side(i, s).alias(f"_v{i}_{s}") for i in range(len(probs)) for s in (0, 1)]
+    found = state.groupBy(*keys).agg(F.coalesce(F.max(_TOTAL), F.lit(0)).alias("n"), *ends)
+    out = []
+    for i, (name, p) in enumerate(probs.items()):
+        low, high = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
+        position = F.lit(float(p)) * (F.col("n") - 1).cast("double")
+        between = low + (high - low) * (position - F.floor(position))
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
+    return found.select(*keys, "n", *out)
 
 
 def exact_medians(
@@ -81,149 +128,5 @@ def exact_medians(
 ) -> DataFrame:
     """Median of each column, as `label, value` rows."""
     numbers = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
-    distinct = max(numbers.agg(*(F.approx_count_distinct(c) for c in columns)).first())
-    long = numbers.unpivot([], columns, label, _V)
-    found = exact_quantiles(long, _V, {value: 0.5}, [label], distinct=distinct, few_groups=True)
+    found = exact_quantiles(numbers.unpivot([], columns, label, _V), _V, {value: 0.5}, [label])
     return found.select(label, value)
-
-
-def _value_counts(values: DataFrame, keys: list[str]) -> DataFrame:
-    return values.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N))
-
-
-def _running(keys: list[str]):
-    return (
-        Window.partitionBy(*keys)
-        .orderBy(_V)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-
-
-def _covers(rank: Column) -> Column:
-    """The run of copies of this value covers the rank."""
-    return (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col(_N))
-
-
-def _at_rank(rank: Column) -> Column:
-    return F.max(F.when(_covers(rank), F.col(_V)))
-
-
-def _quantiles_by_sort(
-    values: DataFrame, probs: dict[str, float], by: list[str], few_groups: bool
-) -> DataFrame:
-    counts = _value_counts(values, by)
-    ranked = counts.withColumn("_upto", F.sum(_N).over(_running(by)))
-    sizes = counts.groupBy(*by).agg(F.sum(_N).alias("n"))
-    ranked = join_null_safe(ranked, sizes, by, "inner", broadcast=few_groups)
-    ranks = {
-        name: [_rank_of(F.lit(float(p)), F.col("n"), take) for take in (F.floor, F.ceil)]
-        for name, p in probs.items()
-    }
-    wanted = reduce(or_, (_covers(rank) for pair in ranks.values() for rank in pair))
-    picked = ranked.where(wanted).groupBy(*by, "n").agg(
-        *(
-            F.struct(_at_rank(low).alias("low"), _at_rank(high).alias("high")).alias(name)
-            for name, (low, high) in ranks.items()
-        )
-    )
-    quantiles = [
-        _interpolate(F.col(f"{name}.low"), F.col(f"{name}.high"), F.lit(float(p)), F.col("n"))
-        for name, p in probs.items()
-    ]
-    return picked.select(*by, "n", *(q.alias(name) for q, name in zip(quantiles, probs)))
-
-
-def _bracketed(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
-    """Each value with the brackets of its group."""
-    small = is_small(brackets)
-    return join_null_safe(values, brackets, by, "inner", broadcast=small)
-
-
-def _quantiles_by_bracket(
-    values: DataFrame, probs: dict[str, float], by: list[str], sort_values: int
-) -> DataFrame:
-    """Narrow [low, high] around each wanted pair of ranks, then sort inside.
-
-    A sketch proposes where to cut; exact counts decide whether the ranks lie
-    inside, so its error can cost a pass but never the result.
-    """
-    pairs = [F.struct(F.lit(k).alias("_prob"), F.lit(float(p)).alias("_p")) for k, p in probs.items()]
-    wanted = F.explode(F.array(*pairs))
-    brackets = (
-        values.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("_total"),
-            F.min(_V).alias("_low"),
-            F.max(_V).alias("_high"),
-            F.approx_count_distinct(_V).alias("_distinct"),
-        )
-        .select("*", wanted.alias("_w"))
-        .select(*by, "_total", "_low", "_high", "_distinct", "_w._prob", "_w._p")
-        .withColumn("_from", _rank_of(F.col("_p"), F.col("_total"), F.floor))
-        .withColumn("_to", _rank_of(F.col("_p"), F.col("_total"), F.ceil))
-        .withColumn("_before", F.lit(0).cast("bigint"))
-        .withColumn("_inside", F.col("_total"))
-    )
-    brackets = materialise(brackets)
-    for _ in range(MAX_PASSES):
-        too_wide = F.col("_distinct") > sort_values
-        if brackets.where(too_wide).limit(1).count() == 0:
-            break
-        brackets = materialise(_narrowed(values, brackets, by, sort_values))
-    inside = _bracketed(values, brackets, by).where(F.col(_V).between(F.col("_low"), F.col("_high")))
-    keys = [*by, "_prob"]
-    facts = ["_p", "_total", "_from", "_to", "_before"]
-    counts = _value_counts(inside, [*keys, *facts])
-    ranked = counts.withColumn("_upto", F.col("_before") + F.sum(_N).over(_running(keys)))
-    picked = ranked.groupBy(*keys, "_p", "_total").agg(
-        _at_rank(F.col("_from")).alias("_a"), _at_rank(F.col("_to")).alias("_b")
-    )
-    result = picked.withColumn(
-        "_q", _interpolate(F.col("_a"), F.col("_b"), F.col("_p"), F.col("_total"))
-    )
-    return result.groupBy(*by).agg(
-        F.max("_total").alias("n"),
-        *(F.max(F.when(F.col("_prob") == name, F.col("_q"))).alias(name) for name in probs),
-    )
-
-
-def _narrowed(values: DataFrame, brackets: DataFrame, by: list[str], sort_values: int) -> DataFrame:
-    """One narrowing pass over the brackets that are still too wide."""
-    keys = [*by, "_prob"]
-    state = [c for c in brackets.columns if c not in keys]
-    wide = brackets.where(F.col("_distinct") > sort_values)
-    inside = _bracketed(values, wide, by).where(F.col(_V).between(F.col("_low"), F.col("_high")))
-    grid = [i / GRID for i in range(GRID + 1)]
-    cuts = inside.groupBy(*keys, *state).agg(F.percentile_approx(_V, grid, PRECISION).alias("_cuts"))
-    # one grid step of room on either side of the cells that hold the ranks
-    low_cell = F.floor((F.col("_from") - F.col("_before")) * GRID / F.col("_inside")) - 1
-    high_cell = F.floor((F.col("_to") - F.col("_before")) * GRID / F.col("_inside")) + 2
-    proposed = materialise(
-        cuts.withColumn("_cut_low", F.get("_cuts", F.greatest(low_cell, F.lit(0)).cast("int")))
-        .withColumn("_cut_high", F.get("_cuts", F.least(high_cell, F.lit(GRID)).cast("int")))
-        .drop("_cuts")
-    )
-    between = F.col(_V).between(F.col("_cut_low"), F.col("_cut_high"))
-    counted = (
-        _bracketed(values, proposed, by)
-        .where(F.col(_V).between(F.col("_low"), F.col("_high")))
-        .groupBy(*keys, *state, "_cut_low", "_cut_high")
-        .agg(
-            F.count_if(F.col(_V) < F.col("_cut_low")).alias("_below"),
-            F.count_if(between).alias("_kept"),
-            F.approx_count_distinct(F.when(between, F.col(_V))).alias("_left"),
-        )
-    )
-    first = F.col("_before") + F.col("_below")
-    holds = (first <= F.col("_from")) & (F.col("_to") < first + F.col("_kept"))
-    renewed = counted.select(
-        *keys,
-        "_total", "_p", "_from", "_to",
-        F.when(holds, F.col("_cut_low")).otherwise(F.col("_low")).alias("_low"),
-        F.when(holds, F.col("_cut_high")).otherwise(F.col("_high")).alias("_high"),
-        F.when(holds, F.col("_left")).otherwise(F.col("_distinct")).alias("_distinct"),
-        F.when(holds, first).otherwise(F.col("_before")).alias("_before"),
-        F.when(holds, F.col("_kept")).otherwise(F.col("_inside")).alias("_inside"),
-    )
-    done = brackets.where(F.col("_distinct") <= sort_values)
-    return done.unionByName(renewed.select(*brackets.columns))

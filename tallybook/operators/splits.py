@@ -8,7 +8,9 @@ column expression without a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import content_key, count_where, rounded
@@ -24,6 +26,10 @@ TOP_GROUPS = 10
 GROUP = "group_id"
 ROW = "row_key"
 ROW_GROUP = "__row_"
+# One bit per seed: set if the seed holds the unit out.
+MASK = "test_mask"
+# Seeds that share a mask; it takes at most 2**MASK_SEEDS values.
+MASK_SEEDS = 10
 
 
 def is_recognised(creator: Column, spec: CatalogSpec) -> Column:
@@ -127,6 +133,40 @@ def folds(
     )
 
 
+def unit_mask(unit: Column, cuts: dict[int, str]) -> Column:
+    """The sides of a unit under at most MASK_SEEDS seeds, in ascending order, as bits."""
+    bits = (
+        F.when(seeded_hash(seed, unit) <= F.lit(cut), F.lit(1 << i)).otherwise(F.lit(0))
+        for i, (seed, cut) in enumerate(sorted(cuts.items()))
+    )
+    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("int")
+
+
+def mask_sides(spark: SparkSession, seeds: list[int]) -> DataFrame:
+    """`test_mask, seed, is_test` for every value a mask can take: at most 10 * 1,024 rows."""
+    if len(seeds) > MASK_SEEDS:
+        raise ValueError(f"at most {MASK_SEEDS} seeds share a mask")
+    sides = F.array(
+        *(
+            F.struct(
+                F.lit(seed).alias("seed"),
+                (F.shiftright(MASK, i).bitwiseAND(F.lit(1)) == 1).alias("is_test"),
+            )
+            for i, seed in enumerate(sorted(seeds))
+        )
+    )
+    masks = spark.range(1 << len(seeds)).select(F.col("id").cast("int").alias(MASK))
+    return masks.select(MASK, F.inline(sides))
+
+
+def by_seed(rows: DataFrame, seeds: list[int], is_test: bool | None = None) -> DataFrame:
+    """Rows of each seed, or of one side of it, told by their mask alone."""
+    sides = mask_sides(rows.sparkSession, seeds)
+    if is_test is not None:
+        sides = sides.where(F.col("is_test") == is_test).drop("is_test")
+    return rows.join(F.broadcast(sides), MASK).drop(MASK)
+
+
 def group_size_summary(frame: DataFrame) -> DataFrame:
     """How large the groups are, the ten largest among them.
 
@@ -170,22 +210,60 @@ def placeholder_census(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
 
 def split_checks(frame: DataFrame, cuts: dict[int, str], test_size: float) -> DataFrame:
-    """Per seed: exact size, both sides of every row and purity of the groups."""
-    marked = folds(frame.select(GROUP), GROUP, cuts)
-    by_group = marked.groupBy("seed", GROUP).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test")
-    )
-    test_groups = F.count_if(F.col("n_test") > 0)
-    return (
-        by_group.groupBy("seed")
-        .agg(
-            F.sum(F.col("n") - F.col("n_test")).alias("n_train"),
-            F.sum("n_test").alias("n_test"),
-            F.count_if(F.col("n_test") == 0).alias("n_train_groups"),
+    """Per seed: exact size, both sides of every row and purity of the groups.
+
+    Each row has its own mask. A group is summed once; under a seed it is pure if the bit
+    is the same in all its rows.
+    """
+    checked = None
+    for seeds in seed_batches(cuts):
+        some = {seed: cuts[seed] for seed in seeds}
+        groups = group_sides(frame, some)
+        ones = {seed: F.sum(F.shiftright(MASK, i).bitwiseAND(F.lit(1))) for i, seed in enumerate(seeds)}
+        rows = frame.select(GROUP, unit_mask(F.col(GROUP), some).alias(MASK)).agg(
+            F.count(F.lit(1)).alias("n"), *(n.alias(f"t{seed}") for seed, n in ones.items())
+        )
+        lines = [
+            F.struct(F.lit(s).alias("seed"), (F.col("n") - F.col(f"t{s}")).alias("n_train"), F.col(f"t{s}").alias("n_test"))
+            for s in seeds
+        ]
+        sizes = rows.select(F.inline(F.array(*lines)))
+        # groups meet their seeds by the bits all their rows share, and by those some have
+        sides = mask_sides(frame.sparkSession, seeds)
+        every = groups.groupBy("every", "some").agg(F.count(F.lit(1)).alias("groups"))
+        every = every.join(F.broadcast(sides.withColumnsRenamed({MASK: "every", "is_test": "all_out"})), "every")
+        some_out = sides.withColumnsRenamed({MASK: "some", "is_test": "any_out"})
+        every = every.join(F.broadcast(some_out), ["some", "seed"])
+        test_groups = F.sum(F.when(F.col("any_out"), F.col("groups")).otherwise(0))
+        purity = every.groupBy("seed").agg(
+            F.sum(F.when(F.col("any_out"), 0).otherwise(F.col("groups"))).alias("n_train_groups"),
             test_groups.alias("n_test_groups"),
-            (test_groups == F.ceil(F.lit(float(test_size)) * F.count(F.lit(1)))).alias("exact_size"),
-            F.every((F.col("n_test") == 0) | (F.col("n_test") == F.col("n"))).alias("groups_pure"),
+            (test_groups == F.ceil(F.lit(float(test_size)) * F.sum("groups"))).alias("exact_size"),
+            F.every(F.col("any_out") == F.col("all_out")).alias("groups_pure"),
         )
-        .orderBy("seed")
-    )
+        both = sizes.join(F.broadcast(purity), "seed")
+        checked = both if checked is None else checked.unionByName(both)
+    return checked.orderBy("seed")
+
+
+def seed_batches(seeds) -> list[list[int]]:
+    """The seeds in ascending order, as many at once as share a mask."""
+    ordered = sorted(set(seeds))
+    return [ordered[i : i + MASK_SEEDS] for i in range(0, len(ordered), MASK_SEEDS)]
+
+
+def group_sides(frame: DataFrame, cuts: dict[int, str]) -> DataFrame:
+    """Per group the bits that all its rows' masks share (`every`) and that some have (`some`)."""
+    marked = frame.select(GROUP, unit_mask(F.col(GROUP), cuts).alias(MASK))
+    return marked.groupBy(GROUP).agg(F.bit_and(MASK).alias("every"), F.bit_or(MASK).alias("some"))
+
 
+def group_overlap(frame: DataFrame, cuts: dict[int, str]) -> DataFrame:
+    """`seed, group_id` of groups found on both sides of a split; none are expected."""
+    found = None
+    for seeds in seed_batches(cuts):
+        differ = F.col("every").bitwiseXOR(F.col("some")).alias(MASK)
+        split = group_sides(frame, {s: cuts[s] for s in seeds}).select(GROUP, differ).where(F.col(MASK) != 0)
+        rows = by_seed(split, seeds, True).select("seed", GROUP)
+        found = rows if found is None else found.unionByName(rows)
+    return found

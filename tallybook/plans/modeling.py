@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.distributions import f_upper, t_critical, t_two_sided
 from tallybook.operators.evaluate import accuracy, bounds
 from tallybook.operators.frame import TARGET, modeling_frame
-from tallybook.operators.linear import BASELINE, DesignError, Fit, fit_models, predict
+from tallybook.operators.linear import BASELINE, DesignError, Fit, fit_masked, predict
+from tallybook.operators.lookup import join_key_values
 from tallybook.operators.splits import (
     GROUP,
+    MASK,
     ROW,
     SEED,
     SWEEP_SEEDS,
     TEST_SIZE,
-    folds,
+    by_seed,
     grouped_cuts,
-    row_cuts,
+    seed_batches,
+    split_cuts,
+    unit_mask,
 )
 from tallybook.session import materialise
 from tallybook.spec import CatalogSpec, ModelSpec
@@ -29,12 +34,16 @@ from tallybook.spec import CatalogSpec, ModelSpec
 
 @dataclass(frozen=True)
 class Holdout:
-    """Fits on the training side and raw predictions for the test side."""
+    """Fits on the training side and raw predictions for the test side.
+
+    `rows` are all rows once per seed with `is_test`; nothing makes them unless asked.
+    """
 
     rows: DataFrame
     cuts: dict[int, str]
     fits: list[Fit]
     predictions: DataFrame
+    composition: DataFrame
 
     def metrics(self) -> DataFrame:
         return accuracy(self.predictions, ["seed", "model"]).orderBy("seed", "model")
@@ -50,34 +59,61 @@ def hold_out(
 ) -> Holdout:
     """Split, fit and predict for every seed and model.
 
-    The seeds share one pass over the rows per step: cuts, medians, sums and
-    predictions. `frame` should be materialised or read from a table.
+    Units are hashed once; rows carry one bit per seed. The seeds share one pass over the
+    rows per step: medians, sums and predictions. Only predictions have a row per seed
+    that holds the row out. `frame` should be materialised or read from a table.
     """
-    seeds = seeds or [SEED]
-    find = grouped_cuts if unit == GROUP else row_cuts
-    cuts = find(frame, seeds, test_size)
-    rows = folds(frame, unit, cuts)
-    fits = fit_models(rows, [BASELINE, *models] if baseline else models, frame)
-    held_out = folds(frame, unit, cuts, only_test=True).drop("is_test")
-    predictions = predict(held_out, fits)
-    return Holdout(rows, cuts, fits, predictions)
-
+    fitted = [BASELINE, *models] if baseline else models
+    units = materialise(
+        frame.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("y"))
+        if unit == GROUP
+        else frame.select(ROW, F.lit(1).cast("bigint").alias("n"), F.col(TARGET).alias("y"))
+    )
+    cuts = split_cuts(units, unit, seeds or [SEED], test_size)
+    parts = [_hold_out(frame, units, fitted, {s: cuts[s] for s in some}, unit) for some in seed_batches(cuts)]
+    return Holdout(
+        reduce(DataFrame.unionByName, (p.rows for p in parts)),
+        cuts,
+        [f for p in parts for f in p.fits],
+        reduce(DataFrame.unionByName, (p.predictions for p in parts)),
+        reduce(DataFrame.unionByName, (p.composition for p in parts)),
+    )
 
-def split_composition(frame: DataFrame, cuts: dict[int, str]) -> DataFrame:
-    """Rows, groups and mean target on each side, per seed.
 
-    Groups are summed once; their side under each seed follows from the hash.
-    """
-    groups = frame.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("y"))
+def _hold_out(
+    frame: DataFrame, units: DataFrame, models: list[ModelSpec], cuts: dict[int, str], unit: str
+) -> Holdout:
+    seeds = sorted(cuts)
+    sides = units.withColumn(MASK, unit_mask(F.col(unit), cuts))
+    if unit == GROUP:
+        sides = materialise(sides)
+        masked = join_key_values(frame, sides.select(GROUP, MASK, "n"), [GROUP], "n").drop("n")
+    else:
+        masked = frame.withColumn(MASK, unit_mask(F.col(unit), cuts))
+    masked = materialise(masked)
+    fits = fit_masked(masked, seeds, models)
+    predictions = predict(by_seed(masked, seeds, True), fits)
+    return Holdout(by_seed(masked, seeds), cuts, fits, predictions, _composition(sides, seeds))
+
+
+def _composition(units: DataFrame, seeds: list[int]) -> DataFrame:
+    """Rows, units and mean target on each side, per seed, from sums per mask."""
+    by_mask = units.groupBy(MASK).agg(
+        F.count(F.lit(1)).alias("units"), F.sum("n").alias("n"), F.sum("y").alias("y")
+    )
     is_test = F.col("is_test")
+
+    def total(column: str, side) -> Column:
+        return F.sum(F.when(side, F.col(column)).otherwise(0))
+
     return (
-        folds(groups, GROUP, cuts)
+        by_seed(by_mask, seeds)
         .groupBy("seed")
         .agg(
-            F.sum(F.when(~is_test, F.col("n")).otherwise(0)).alias("n_train"),
-            F.sum(F.when(is_test, F.col("n")).otherwise(0)).alias("n_test"),
-            F.count_if(~is_test).alias("n_train_groups"),
-            F.count_if(is_test).alias("n_test_groups"),
+            total("n", ~is_test).alias("n_train"),
+            total("n", is_test).alias("n_test"),
+            total("units", ~is_test).alias("n_train_groups"),
+            total("units", is_test).alias("n_test_groups"),
             (F.sum(F.when(is_test, F.col("y"))) / F.sum(F.when(is_test, F.col("n")))).alias(
                 "test_mean_target"
             ),
@@ -101,7 +137,7 @@ def sweep(
         .pivot("model", names)
         .agg(*(F.first(m).alias(m) for m in metrics))
     )
-    return split_composition(frame, held.cuts).join(wide, "seed").orderBy("seed")
+    return held.composition.join(wide, "seed").orderBy("seed")
 
 
 def summarise_sweep(swept: DataFrame, models: list[ModelSpec]) -> DataFrame:
@@ -188,8 +224,8 @@ def reduced_ols(
     not: read the coefficients as descriptive.
     """
     spark = frame.sparkSession
-    rows = folds(frame, GROUP, grouped_cuts(frame, [seed], test_size))
-    fit = fit_models(rows, [model], frame)[0]
+    masked = frame.withColumn(MASK, unit_mask(F.col(GROUP), grouped_cuts(frame, [seed], test_size)))
+    fit = fit_masked(masked, [seed], [model])[0]
     return ols_summary(spark, fit, level)
 
 
@@ -197,6 +233,8 @@ def ols_summary(spark, fit: Fit, level: float = 0.95) -> OlsSummary:
     names = ["const", *fit.feature_names]
     beta = np.array([fit.intercept, *fit.coefficients])
     n, width = fit.n, len(names)
+    if fit.gram is None:
+        raise DesignError("the design is too wide for standard errors")
     spread = np.linalg.eigvalsh(fit.gram)
     if spread[0] <= 1e-10 * spread[-1]:
         raise DesignError("the design has aliased columns; drop one of them")
@@ -237,11 +275,3 @@ def ols_summary(spark, fit: Fit, level: float = 0.95) -> OlsSummary:
         [(k, float(v)) for k, v in facts.items()], "statistic string, value double"
     )
     return OlsSummary(coefficients, statistics)
-
-
-def group_overlap(rows: DataFrame) -> DataFrame:
-    """Groups found on both sides of a split; none are expected."""
-    sides = rows.groupBy("seed", GROUP).agg(
-        F.min("is_test").alias("_least"), F.max("is_test").alias("_most")
-    )
-    return sides.where(F.col("_least") != F.col("_most")).select("seed", GROUP)

@@ -486,7 +486,7 @@ def split_checks(spark, folder):
 def split_overlap(spark, folder):
     frame = materialise(_order_frame(spark, folder).select(splits.GROUP))
     cuts = splits.grouped_cuts(frame, splits.SWEEP_SEEDS)
-    overlap = modeling.group_overlap(splits.folds(frame, splits.GROUP, cuts))
+    overlap = splits.group_overlap(frame, cuts)
     return overlap.agg(F.count(F.lit(1)).alias("groups_on_both_sides"))
 
 

@@ -188,18 +188,21 @@ def test_top_categories_keep_ties(spark):
         ("low", "a"), ("low", "b"), ("low", "c"), ("high", "a")]
 
 
-@pytest.mark.parametrize("sort_values", [4_000_000, 200, 3])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantile_routes_agree_with_percentile(spark, sort_values, by, monkeypatch):
-    monkeypatch.setattr(quantiles, "BUFFER_VALUES", 100)
-    monkeypatch.setattr(quantiles, "GRID", 16)
-    value = F.when(F.col("id") < 700, F.lit(5.25)).otherwise(F.col("id") * F.col("id") / 7)
-    df = spark.range(2100).select(
+@pytest.mark.parametrize("kind", ["copies", "wide", "signs"])
+def test_quantiles_agree_with_percentile(spark, by, kind):
+    value = {
+        "copies": F.when(F.col("id") < 700, F.lit(5.25)).otherwise(F.col("id") * F.col("id") / 7),
+        # every exponent of a double, of both signs
+        "wide": F.pow(F.lit(-2.0), F.col("id") - 1050),
+        "signs": F.when(F.col("id") % 5 == 0, F.lit(-0.0)).otherwise((F.col("id") % 9) - 4.0),
+    }[kind]
+    df = spark.range(2070).select(
         F.when(F.col("id") % 3 == 0, F.lit(None).cast("string")).otherwise("b").alias("g"),
         F.when(F.col("id") != 1500, value).alias("v"),
     )
     probs = {"p0": 0.0, "p30": 0.3, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    found = quantiles.exact_quantiles(df, "v", probs, by, sort_values=sort_values).collect()
+    found = quantiles.exact_quantiles(df, "v", probs, by).collect()
     wanted = df.groupBy(*by).agg(
         F.count("v").alias("n"), *(F.percentile("v", p).alias(k) for k, p in probs.items())
     )
@@ -209,6 +212,26 @@ def test_quantile_routes_agree_with_percentile(spark, sort_values, by, monkeypat
         assert [got[k] for k in probs] == pytest.approx([want[k] for k in probs])
 
 
+def test_quantiles_of_overlapping_groups(spark):
+    df = spark.range(500).select((F.col("id") % 4).alias("mask"), (F.col("id") * 37 % 101 - 50.5).alias("v"))
+
+    def expand(counts):
+        sides = F.expr("filter(array(0, 1), b -> shiftright(mask, b) % 2 = 0)")
+        return counts.withColumn("bit", F.explode(sides))
+
+    found = quantiles.exact_quantiles(df, "v", {"q": 0.5}, ["mask"], expand, ["bit"])
+    for bit, masks in ((0, [0, 2]), (1, [0, 1])):
+        want = df.where(F.col("mask").isin(masks)).agg(F.percentile("v", 0.5), F.count("v")).first()
+        got = found.where(F.col("bit") == bit).first()
+        assert (got.q, got.n) == (want[0], want[1])
+
+
+def test_quantiles_of_no_values(spark):
+    empty = spark.createDataFrame([(None, "a")], "v double, g string")
+    assert quantiles.exact_quantiles(empty, "v", {"q": 0.5}).collect() == [(0, None)]
+    assert quantiles.exact_quantiles(empty, "v", {"q": 0.5}, ["g"]).collect() == []
+
+
 def test_expressions(spark):
     row = spark.range(1).select(
         X.rounded(F.lit(2.345), 2).alias("r"),

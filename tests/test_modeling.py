@@ -195,7 +195,7 @@ def test_grouped_split_is_exact_pure_and_complete(grouped):
     for row in splits.split_checks(grouped, cuts, 0.2).collect():
         assert row.n_test_groups == math.ceil(0.2 * n) and row.exact_size and row.groups_pure
         assert row.n_train + row.n_test == 1503
-    assert modeling.group_overlap(splits.folds(grouped, "group_id", cuts)).count() == 0
+    assert splits.group_overlap(grouped, cuts).count() == 0
 
 
 def test_splits_repeat_per_seed_and_differ_between_seeds(grouped):
