@@ -1,11 +1,11 @@
-"""Exact quantiles by radix selection, in four counting passes whatever the data.
+"""Exact quantiles by radix selection, in at most four counting passes whatever the data.
 
 The 64 bits of a double, the lower 63 flipped where it is negative, order like the number.
 A pass counts the next 16 bits of the values that share the bits found so far around a
 wanted rank; running counts tell where the rank lies and how far into the next digit.
-After four passes the value is known to the last bit. Nothing is sorted but at most
-65,536 counts per group and rank, no sketch is used, and the counts are combined on the
-map side.
+After four passes the value is known to the last bit, and before that wherever all values
+around the rank are equal. Nothing is sorted but at most 65,536 counts per group and rank,
+no sketch is used, and the counts are combined on the map side.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ LOWER_BITS = 2**63 - 1
 
 _V, _I, _N, _D = "_value", "_image", "_count", "_digit"
 _PREFIX, _TOTAL, _RANK, _PROB, _SIDE = "_prefix", "_total", "_rank", "_prob", "_side"
+_LOW, _HIGH = "_low", "_high"
 
 
 def ordered_image(value: Column) -> Column:
@@ -69,48 +70,52 @@ def exact_quantiles(
     values = df.select(*by, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
     held = materialise(values.withColumn(_I, ordered_image(F.col(_V))))
 
-    def regrouped(counts: DataFrame, groups: list[str], *facts: Column) -> DataFrame:
-        if expand is None:
-            return counts
-        return expand(counts).groupBy(*groups, _D).agg(F.sum(_N).alias(_N), *facts)
+    def counted(rows: DataFrame, groups: list[str], digit: Column) -> DataFrame:
+        """Values per group and digit, with the least and the greatest of them."""
+        out = [*keys, *(g for g in groups if g not in by)]
+        counts = rows.groupBy(*groups, digit.alias(_D)).agg(
+            F.count(F.lit(1)).alias(_N), F.min(_V).alias(_LOW), F.max(_V).alias(_HIGH)
+        )
+        if expand is not None:
+            counts = expand(counts).groupBy(*out, _D).agg(
+                F.sum(_N).alias(_N), F.min(_LOW).alias(_LOW), F.max(_HIGH).alias(_HIGH)
+            )
+        return counts.withColumn("_upto", _running(out))
 
-    counts = held.groupBy(*by, F.shiftright(_I, FIRST).alias(_D)).agg(F.count(F.lit(1)).alias(_N))
-    counts = regrouped(counts, keys)
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_upto", _running(keys)).withColumn(_TOTAL, F.sum(_N).over(whole))
     before = F.col("_upto") - F.col(_N)
+    ranked = counted(held, by, F.shiftright(_I, FIRST))
+    ranked = ranked.withColumn(_TOTAL, F.sum(_N).over(Window.partitionBy(*keys)))
     inside = F.filter(_wanted(list(probs.values())), lambda r: (r[_RANK] >= before) & (r[_RANK] < F.col("_upto")))
-    state = ranked.select(*keys, _TOTAL, F.col(_D).alias(_PREFIX), before.alias("_before"), F.inline(inside))
+    state = ranked.select(
+        *keys, _TOTAL, F.col(_D).alias(_PREFIX), _LOW, _HIGH, before.alias("_before"), F.inline(inside)
+    )
     state = state.withColumn(_RANK, F.col(_RANK) - F.col("_before")).drop("_before")
+    found = None
     for step in range(FIRST - DIGIT, -1, -DIGIT):
         state = materialise(state)
-        marked = held.withColumn(_PREFIX, F.shiftright(_I, step + DIGIT))
+        known = state.where(F.col(_LOW) >= F.col(_HIGH))
+        found = known if found is None else found.unionByName(known)
+        state = state.where(F.col(_LOW) < F.col(_HIGH))
+        if state.isEmpty():
+            return _interpolated(found, probs, keys)
         near = state.select(*shared, _PREFIX).distinct()
-        near = join_null_safe(marked, near, [*shared, _PREFIX], "left_semi")
+        marked = held.withColumn(_PREFIX, F.shiftright(_I, step + DIGIT))
+        marked = join_null_safe(marked, near, [*shared, _PREFIX], "left_semi")
         digit = F.shiftright(_I, step).bitwiseAND(F.lit(2**DIGIT - 1))
-        counts = near.groupBy(*by, _PREFIX, digit.alias(_D)).agg(
-            F.count(F.lit(1)).alias(_N), F.max(_V).alias(_V)
-        )
-        counts = regrouped(counts, [*keys, _PREFIX], F.max(_V).alias(_V))
-        ranked = counts.withColumn("_upto", _running([*keys, _PREFIX]))
-        facts = ranked.select(*keys, _PREFIX, _D, _N, "_upto", _V)
-        met = join_null_safe(state.drop(_V), facts, [*keys, _PREFIX], "inner")
+        facts = counted(marked, [*by, _PREFIX], digit)
+        met = join_null_safe(state.drop(_LOW, _HIGH), facts, [*keys, _PREFIX], "inner")
         met = met.where((F.col(_RANK) < F.col("_upto")) & (F.col(_RANK) >= before))
+        prefix = F.shiftleft(_PREFIX, DIGIT) + F.col(_D)
+        rank = F.col(_RANK) - before
         state = met.select(
-            *keys,
-            _TOTAL,
-            (F.shiftleft(_PREFIX, DIGIT) + F.col(_D)).alias(_PREFIX),
-            _PROB,
-            _SIDE,
-            (F.col(_RANK) - before).alias(_RANK),
-            _V,
+            *keys, _TOTAL, prefix.alias(_PREFIX), _LOW, _HIGH, _PROB, _SIDE, rank.alias(_RANK)
         )
-    return _interpolated(state, probs, keys)
+    return _interpolated(found.unionByName(state), probs, keys)
 
 
 def _interpolated(state: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
     def side(i: int, which: int) -> Column:
-        return F.max(F.when((F.col(_PROB) == i) & (F.col(_SIDE) == which), F.col(_V)))
+        return F.max(F.when((F.col(_PROB) == i) & (F.col(_SIDE) == which), F.col(_HIGH)))
 
     ends = [side(i, s).alias(f"_v{i}_{s}") for i in range(len(probs)) for s in (0, 1)]
     found = state.groupBy(*keys).agg(F.coalesce(F.max(_TOTAL), F.lit(0)).alias("n"), *ends)
