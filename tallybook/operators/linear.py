@@ -346,11 +346,9 @@ def _fit_all(train: _Rows, models: list[ModelSpec], frame: DataFrame) -> list[Fi
         for seed, s in sorted(sums.items())
         for model in models
     ]
-    test = (lambda keys, seed: keys == seed) if train.expand is None else (
-        lambda keys, seed: (keys >> train.seeds.index(seed)) & 1 == 0
-    )
+    bits = None if train.expand is None else train.seeds
     try:
-        solved = wide.solve(cells, systems, len(numeric) + len(gaps), len(categorical), test)
+        solved = wide.solve(cells, systems, len(numeric) + len(gaps), len(categorical), bits)
     except ArithmeticError as error:
         raise DesignError(str(error)) from error
     models_of = [model for _ in sums for model in models]

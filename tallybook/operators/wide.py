@@ -10,7 +10,7 @@ scale, with the same predictions as any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -59,9 +59,12 @@ def solve(
     systems: list[System],
     n_z: int,
     n_cat: int,
-    trains: Callable[[np.ndarray, int], np.ndarray],
+    bits: list[int] | None,
 ) -> list[np.ndarray]:
-    """Coefficients of every system. `trains(keys, seed)` tells which cells a seed learns from."""
+    """Coefficients of every system.
+
+    A cell's key is a test mask, whose bits stand for the seeds in `bits`, or the seed itself.
+    """
     levels = [sorted({lv for s in systems for i, lv in s.dummies if i == c}) for c in range(n_cat)]
     places = [{level: place for place, level in enumerate(known)} for known in levels]
     scales = [1 / np.sqrt(s.diagonal()) for s in systems]
@@ -77,7 +80,7 @@ def solve(
             return [scale * v for scale, v in zip(scales, x)]
         chosen = [systems[i] for i in waiting]
         vectors = [scales[i] * step[i] for i in waiting]
-        products = _multiply(cells, chosen, vectors, levels, places, n_z, trains)
+        products = _multiply(cells, chosen, vectors, levels, places, n_z, bits)
         for i, product in zip(waiting, products):
             product = scales[i] * product
             alpha = size[i] / float(step[i] @ product)
@@ -96,7 +99,7 @@ def _multiply(
     levels: list[list[str]],
     places: list[dict[str, int]],
     n_z: int,
-    trains: Callable[[np.ndarray, int], np.ndarray],
+    bits: list[int] | None,
 ) -> list[np.ndarray]:
     """Gram matrix times vector of every system, in one pass over the cells."""
     k = len(systems)
@@ -110,7 +113,8 @@ def _multiply(
             slopes[:, at] = system.turn[chosen].T @ v[1 : 1 + p]
         for (c, level), value in zip(system.dummies, v[1 + p :].tolist()):
             contrasts[c][places[c][level], at] = value
-    seeds = [s.seed for s in systems]
+    seeds = np.array([s.seed for s in systems])
+    places_of = np.array([0 if bits is None else bits.index(s.seed) for s in systems])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [pa.array(values, pa.string()) for values in levels]
@@ -121,7 +125,7 @@ def _multiply(
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
             keys, n = column("_key"), column("n").astype(float)
-            inside = np.column_stack([trains(keys, seed) for seed in seeds]).astype(float)
+            inside = (keys[:, None] == seeds if bits is None else (keys[:, None] >> places_of) & 1 == 0).astype(float)
             index = []
             for c, values in enumerate(known):
                 found = pc.fill_null(pc.index_in(batch.column(f"c{c}"), value_set=values), len(values))

@@ -563,6 +563,19 @@ ORACLES["model_conditions"] = f"{FRAME}, {folds()}\n" + _union(
         for name, c in (("segment", "segment"), ("category", "category_"), ("period", "period"))
     ]
 )
+_WIDE_FRAME = FRAME.replace("size_scaled, creator,", "size_scaled, coalesce(creator, 'Unknown') AS seller, item AS part,")
+ORACLES["wide_fit"] = f"{_WIDE_FRAME}, {folds('row_key', SEEDS)}\n" + _union(
+    [
+        f"""SELECT seed, '{c}' AS feature, 1::BIGINT AS n_levels, count(*) AS n_train, true AS is_zero
+            FROM rows_ WHERE NOT is_test GROUP BY seed"""
+        for c in ("measure", "m1")
+    ]
+    + [
+        f"""SELECT seed, '{c}', count(DISTINCT {c}), count(*), true FROM rows_ WHERE NOT is_test
+            GROUP BY seed"""
+        for c in ("seller", "part")
+    ]
+)
 CONTRASTS = f"""
 con AS (SELECT lev.seed, lev.segment, lev.n, lev.m1_, lev.m2_, lev.my, ref.n AS ref_n,
           ref.m1_ AS ref_m1, lev.my - a1 * lev.m1_ - (ref.my - a1 * ref.m1_) AS ca,

@@ -593,6 +593,44 @@ def model_conditions(spark, folder):
     )
 
 
+@query
+def wide_fit(spark, folder):
+    """First-order conditions of a fit with a level per seller and per part, under ten row
+    splits: in every seed's training rows the residuals average to zero."""
+    model = ModelSpec("wide", ("measure", "m1"), {"seller": "Unknown", "part": "1"})
+    fields = _fields(spark, folder, "row_id", "item", "creator", "m1")
+    fields = fields.withColumns({"seller": F.col("creator"), "part": F.col("item").cast("string")})
+    frame = materialise(modeling_frame(fields, LINES, [model]))
+    held = modeling.hold_out(frame, [model], splits.SWEEP_SEEDS, unit=splits.ROW, baseline=False)
+    train = linear.predict(held.rows.where(~F.col("is_test")), held.fits)
+    residual = F.col(TARGET) - F.col("prediction")
+    facts = {(f.seed, c): (f.fills[c], f.means[c], f.sds[c]) for f in held.fits for c in model.numeric}
+
+    def scaled(c: str):
+        of_seed = F.create_map(
+            *(x for (seed, name), v in facts.items() if name == c for x in (F.lit(seed), F.array(*map(F.lit, v))))
+        )[F.col("seed")]
+        return (F.coalesce(F.col(c), of_seed[0]) - of_seed[1]) / of_seed[2]
+
+    sets = train.select("seed", "seller", "part", residual.alias("r"), *(scaled(c).alias(c) for c in model.numeric))
+    numeric = sets.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("n"), *(F.abs(F.avg(F.col("r") * F.col(c))).alias(c) for c in model.numeric)
+    )
+    lines = [
+        F.struct(F.lit(c).alias("feature"), F.lit(1).cast("bigint").alias("n_levels"), F.col("n").alias("n_train"), F.col(c).alias("far"))
+        for c in model.numeric
+    ]
+    found = numeric.select("seed", F.inline(F.array(*lines)))
+    for c in model.categorical:
+        levels = sets.groupBy("seed", c).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("r")).alias("far"))
+        found = found.unionByName(
+            levels.groupBy("seed").agg(
+                F.lit(c).alias("feature"), F.count(F.lit(1)).alias("n_levels"), F.sum("n").alias("n_train"), F.max("far").alias("far")
+            )
+        )
+    return found.select("seed", "feature", "n_levels", "n_train", (F.col("far") < 1e-6).alias("is_zero"))
+
+
 @query
 def coefs(spark, folder):
     held = _held(spark, folder, baseline=False)

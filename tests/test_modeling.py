@@ -93,6 +93,58 @@ def test_fit_equals_spark_ml(spark, rows):
     assert facts["condition_number"] == pytest.approx(singular[0] / singular[-1])
 
 
+def test_wide_route_equals_normal_equations(rows, monkeypatch):
+    frame = rows.drop("seed", "is_test")
+    models = [LEVELS, ModelSpec("small", ("x2",), {"d": "1"}), ModelSpec("none", ("x1",))]
+    near = modeling.hold_out(frame, models, [1, 2, 3])
+    one = linear.fit_models(rows, models)
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    far = modeling.hold_out(frame, models, [1, 2, 3])
+    for a, b in zip([*near.fits, *one], [*far.fits, *linear.fit_models(rows, models)], strict=True):
+        assert (a.seed, a.name, a.n, a.feature_names) == (b.seed, b.name, b.n, b.feature_names)
+        assert b.intercept == pytest.approx(a.intercept, rel=1e-7)
+        assert b.coefficients == pytest.approx(a.coefficients, rel=1e-6, abs=1e-6)
+    with pytest.raises(linear.DesignError, match="too wide"):
+        modeling.ols_summary(rows.sparkSession, far.fits[1])
+
+
+def test_wide_route_on_aliased_columns_predicts_the_same(rows, monkeypatch):
+    doubled = rows.withColumns({"x3": F.col("x2") * 2, "k": F.lit(4.0), "e": F.col("c")})
+    model = ModelSpec("m", ("x2", "x3", "k"), {"c": "r", "e": "r"})
+    near = linear.predict(rows.where("is_test").withColumns({"x3": F.col("x2") * 2, "k": F.lit(4.0), "e": F.col("c")}),
+                          linear.fit_models(doubled, [model])).agg(F.sum("prediction")).first()[0]
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    far = linear.predict(doubled.where("is_test"), linear.fit_models(doubled, [model]))
+    assert far.agg(F.sum("prediction")).first()[0] == pytest.approx(near, rel=1e-8)
+
+
+def test_two_thousand_levels_twice_under_ten_seeds(spark):
+    number = F.xxhash64("id")
+    frame = spark.range(0, 60_000, 1, 4).select(
+        F.concat(F.lit("a"), F.pmod(number, F.lit(2000))).alias("a"),
+        F.concat(F.lit("b"), F.pmod(F.shiftright(number, 20), F.lit(2000))).alias("b"),
+        F.pmod(F.shiftright(number, 40), F.lit(97)).cast("double").alias("x"),
+        F.col("id").cast("string").alias("row_key"),
+        (F.pmod(number, F.lit(13)) + F.pmod(F.shiftright(number, 30), F.lit(11))).cast("double").alias("target"),
+    )
+    model = ModelSpec("wide", ("x",), {"a": "a0", "b": "b0"})
+    held = modeling.hold_out(frame, [model], splits.SWEEP_SEEDS, unit=splits.ROW, baseline=False)
+    assert len(held.fits) == 10 and all(f.gram is None and len(f.terms) == 4001 for f in held.fits)
+    train = linear.predict(held.rows.where("NOT is_test AND seed IN (7, 512)"), held.fits)
+    for c in ("a", "b"):
+        means = train.groupBy("seed", c).agg(F.avg(F.col("target") - F.col("prediction")).alias("r"))
+        assert means.agg(F.max(F.abs("r"))).first()[0] < 1e-6
+
+
+def test_more_seeds_than_a_mask_holds(rows):
+    frame = rows.drop("seed", "is_test")
+    held = modeling.hold_out(frame, [LEVELS], list(range(1, 13)), baseline=False)
+    alone = modeling.hold_out(frame, [LEVELS], [12], baseline=False)
+    assert [f.seed for f in held.fits] == list(range(1, 13))
+    assert held.fits[-1].coefficients == pytest.approx(alone.fits[0].coefficients)
+    assert held.composition.count() == 12 and held.metrics().count() == 12
+
+
 def test_vocabulary_is_from_training_rows_and_unseen_levels_add_nothing(rows):
     fit = linear.fit_models(rows, [LEVELS])[0]
     assert "c=only_test" not in fit.feature_names
