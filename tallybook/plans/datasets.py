@@ -12,16 +12,21 @@ from tallybook.operators.dedup import exact_repeat_stats, repeats_left
 from tallybook.operators.derive import primary_with_stats, sensitivity_dataset
 from tallybook.sources.csv import CsvLayout, load_raw
 from tallybook.sources.manifest import file_digests, validate_manifest
-from tallybook.sources.publish import publish_tables, publish_views, write_datasets
+from tallybook.sources.publish import new_version, publish_tables, publish_views, write_datasets
 from tallybook.spec import CatalogSpec
 
 
+class BuildError(Exception):
+    """The built datasets break their own rules; nothing was published."""
+
+
 @dataclass(frozen=True)
 class Built:
     primary: DataFrame
     sensitivity: DataFrame
     # rows in duplicate groups, rows removed, rows before and after
     dedup_stats: DataFrame
+    folder: str
 
 
 def build_datasets(raw: DataFrame, spec: CatalogSpec, folder: str) -> Built:
@@ -33,7 +38,7 @@ def build_datasets(raw: DataFrame, spec: CatalogSpec, folder: str) -> Built:
     primary, stats = primary_with_stats(raw, spec)
     primary = write_datasets({"primary": primary}, folder)["primary"]
     sensitivity = write_datasets({"sensitivity": sensitivity_dataset(primary, spec)}, folder)
-    return Built(primary, sensitivity["sensitivity"], stats)
+    return Built(primary, sensitivity["sensitivity"], stats, folder)
 
 
 def build_from_files(
@@ -45,16 +50,28 @@ def build_from_files(
     tables: dict[str, str],
     manifest: DataFrame | None = None,
     as_tables: bool = False,
+    check_digests: bool = True,
 ) -> Built:
-    """Check digests, load, clean, write and publish.
+    """Check digests, load, clean, write, check the result and publish.
 
-    `tables` maps `primary` and `sensitivity` to the published names.
+    `tables` maps `primary` and `sensitivity` to the published names. Files without a
+    `manifest` (`file, digest`) are refused unless `check_digests` is off. Every build
+    writes a version of its own below `folder` and publishes it last: one that fails
+    leaves the tables of the build before it readable.
     """
-    if manifest is not None:
+    if check_digests:
+        if manifest is None:
+            raise ValueError("a manifest of file digests is needed, or check_digests=False")
         validate_manifest(file_digests(spark, path), manifest)
-    built = build_datasets(load_raw(spark, path, layout), spec, folder)
-    named = {tables["primary"]: built.primary, tables["sensitivity"]: built.sensitivity}
-    (publish_tables if as_tables else publish_views)(named)
+    built = build_datasets(load_raw(spark, path, layout), spec, new_version(folder))
+    broken = post_checks(built, spec).where("violations > 0").collect()
+    if broken:
+        told = ", ".join(f"{r.dataset} {r.check}: {r.violations}" for r in broken)
+        raise BuildError(f"the built datasets break their rules ({told})")
+    if as_tables:
+        publish_tables({tables[k]: f"{built.folder}/{k}.parquet" for k in ("primary", "sensitivity")}, spark)
+    else:
+        publish_views({tables["primary"]: built.primary, tables["sensitivity"]: built.sensitivity})
     return built
 
 

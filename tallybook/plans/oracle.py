@@ -345,6 +345,24 @@ SELECT o_orderkey AS orderkey, o_custkey AS custkey, nullif(o_orderstatus, 'P')
        o_totalprice AS price, CAST(nullif(year(o_orderdate), 1996) AS INTEGER) AS year,
        nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority
 FROM orders"""
+ORACLES["ingest_line_breaks"] = """
+SELECT o_orderkey AS orderkey, o_custkey AS custkey, nullif(o_orderstatus, 'P') AS status,
+       o_totalprice AS price, CAST(nullif(year(o_orderdate), 1996) AS INTEGER) AS year,
+       CASE o_orderpriority WHEN '1-URGENT' THEN '1-URGENT' || chr(10) || 'of ' || o_custkey || ',x'
+            WHEN '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority END AS priority
+FROM orders"""
+ORACLES["ingest_counts"] = """
+SELECT count(*) FILTER (WHERE o_orderpriority <> '1-URGENT') AS n_rows,
+       count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n_malformed, CAST(1 AS BIGINT) AS n_headers,
+       count(*) FILTER (WHERE o_orderpriority <> '1-URGENT' AND year(o_orderdate) = 1996) AS years_not_parsed
+FROM orders"""
+ORACLES["build_from_files"] = "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS dataset, count(*) AS n_rows, sum(floor(o_totalprice / 5000)::BIGINT % 101)::BIGINT AS total_score,
+       count(DISTINCT nullif(c_name, 'Customer#000000002')) AS n_creators,
+       count(nullif(c_mktsegment, 'MACHINERY')) AS n_categories
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+    for name in ("primary", "sensitivity")
+)
 ORACLES["ingest_schema_check"] = """
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, CAST(0 AS BIGINT) AS n_files_without_header
 FROM orders"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,6 +381,91 @@ def ingest_standardise(spark, folder):
     return csv.load_raw(spark, _order_files(spark, folder), ORDER_LAYOUT)
 
 
+@query
+def ingest_line_breaks(spark, folder):
+    """Files whose lines are split beside files with quoted line breaks, in one load."""
+    path = scratch_path(spark, "orders-both")
+    rows = _order_text(spark, folder)
+    urgent = F.col("priority") == "1-URGENT"
+    plain = rows.where(~F.coalesce(urgent, F.lit(False)))
+    torn = rows.where(urgent).withColumn("priority", F.concat("priority", F.lit("\nof "), "custkey", F.lit(",x")))
+    for name, some in (("plain", plain), ("torn", torn)):
+        some.write.option("header", True).csv(f"{path}/{name}")
+    return csv.load_raw(spark, f"{path}/*", ORDER_LAYOUT)
+
+
+@query
+def ingest_counts(spark, folder):
+    """Counts of a load whose row number is declared, with lines that are too wide."""
+    path = scratch_path(spark, "orders-counted")
+    orders = tables.table(spark, folder, "orders")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    line = F.concat_ws(
+        ",",
+        *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")),
+        F.when(F.year("o_orderdate") == 1996, "soon").otherwise(F.year("o_orderdate").cast("string")),
+        "o_orderpriority",
+        F.when(urgent, ",extra"),
+    )
+    header = spark.createDataFrame([(",".join(ORDER_LAYOUT.names),)], "line string")
+    header.unionByName(orders.select(line.alias("line"))).coalesce(1).write.text(path)
+    layout = replace(ORDER_LAYOUT, expected_rows=orders.where(~urgent).count())
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = csv.load_counted(spark, path, layout).counts
+    names = "n_rows long, n_malformed long, n_headers long, years_not_parsed long"
+    line = (found.n_rows, found.n_malformed, found.n_headers, found.failed["year"])
+    return spark.createDataFrame([line], names)
+
+
+ORDER_TABLES = {"primary": "built_orders_primary", "sensitivity": "built_orders_sensitivity"}
+ORDER_FIELDS = csv.CsvLayout(
+    columns=(
+        ("row_id", "string"),
+        ("item", "bigint"),
+        ("creator", "string"),
+        ("creator_score", "double"),
+        ("score", "int"),
+        ("category", "string"),
+        ("segment", "string"),
+        ("year_raw", "int"),
+        ("period_raw", "int"),
+        ("measure", "double"),
+        ("size_units", "double"),
+    ),
+    required=("row_id", "score"),
+)
+
+
+@query
+def build_from_files(spark, folder):
+    """Files with copies of a fifth of their rows, checked, loaded, cleaned and published as
+    tables, which are then read by SQL."""
+    path = scratch_path(spark, "orders-build")
+    # scores of the test orders go beyond the bounds that the build holds them to
+    rows = tables.orders(spark, folder).withColumn("score", F.pmod("score", F.lit(101)))
+    rows = rows.unionByName(rows.where("item % 5 = 0"))
+    text = rows.select(*(F.col(n).cast("string").alias(n) for n in ORDER_FIELDS.names))
+    text.write.option("header", True).option("nullValue", "NA").csv(path)
+    listed = manifest.file_digests(spark, path).where("file LIKE '%.csv'").select("file", "digest")
+    datasets.build_from_files(
+        spark,
+        path,
+        ORDER_FIELDS,
+        ORDERS,
+        scratch_path(spark, "orders-built"),
+        ORDER_TABLES,
+        manifest=materialise(listed),
+        as_tables=True,
+    )
+    parts = [
+        f"SELECT '{k}' AS dataset, count(*) AS n_rows, sum(score) AS total_score, "
+        f"count(DISTINCT creator) AS n_creators, count(category) AS n_categories FROM {name}"
+        for k, name in ORDER_TABLES.items()
+    ]
+    return publish.run_query(spark, " UNION ALL ".join(parts))
+
+
 @query
 def ingest_schema_check(spark, folder):
     path = _order_files(spark, folder)

@@ -3,15 +3,19 @@
 Nothing is inferred: every field is read as text under the declared names,
 then missing tokens become NULL and fields are cast to their declared types.
 The files are read in parallel splits, so header and type-declaration lines
-are told from data by their content, not by line number.
+are told from data by their content, not by line number. Files in which a quoted
+field goes on over a line break are found by it and read again, each as a whole.
 """
 
 from __future__ import annotations
 
+import re
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +57,8 @@ class CsvLayout:
     missing: tuple[str, ...] = tuple(dict.fromkeys(LITERAL_MISSING + DEFAULT_MISSING))
     type_words: tuple[str, ...] = TYPE_WORDS
     separator: str = ","
-    # Quoted line breaks need whole-file parsing, which gives up splitting.
+    # Whole-file parsing of every file, which gives up splitting. Without it only files
+    # with quoted line breaks are read so.
     multi_line: bool = False
 
     @property
@@ -179,101 +184,165 @@ def _line_counts(header: Column, kinds: Column, wide: Column) -> list[Column]:
     ]
 
 
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
 def has_open_quote(layout: CsvLayout) -> Column:
-    """A quote that the line does not close: a quoted line break was taken for the end."""
+    """A quote that the line does not close, or a field with a stray one: a quoted line
+    break may have been taken for the end. Then the file is worth a whole reading."""
+    stray = [F.coalesce(F.instr(F.col(name), '"') > 0, F.lit(False)) for name in layout.names]
+    return reduce(or_, stray) | flag(_quotes(F.col(_LINE)) % 2 == 1)
 
-    def odd(text: Column) -> Column:
-        return (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
 
-    # a line of the right width keeps the quote in its last field
-    last = F.col(layout.names[-1])
-    return flag(odd(F.col(_LINE))) | flag(last.startswith('"') & odd(last))
+def _unclosed(layout: CsvLayout) -> Column:
+    """A quote that a file read as a whole does not close: the last field swallowed at least
+    one whole line up to the file's end."""
+    line = f"\n([^\n]*{re.escape(layout.separator)}){{{len(layout.columns) - 1}}}[^\n]*\n$"
+    return flag(F.col(layout.names[-1]).rlike(line)) | flag(_quotes(F.col(_LINE)) % 2 == 1)
 
 
-def load_raw(
-    spark: SparkSession, path: str, layout: CsvLayout, validate_shape: bool = True
-) -> DataFrame:
-    """Typed rows of all files under `path`, written once to the shared folder.
-
-    The text is parsed a single time: all lines are written with their kind and file,
-    and counted per file on these narrow columns. Lines with too many fields are left out
-    with a warning that counts them, values that do not parse are NULL with a warning that
-    counts them per column. A line that leaves a quote open raises `RawDataError`: set
-    `multi_line` for such files. With `validate_shape`, a wrong column list, header, row
-    count or more than one type line in a file raises `SchemaError`; check digests
-    beforehand with `sources.manifest`.
-    """
-    if validate_shape:
-        check_columns(header_of(spark, path, layout), layout)
-    fields = read_fields(spark, path, layout)
+@dataclass(frozen=True)
+class LoadCounts:
+    """What a load found: lines by kind, and values that do not parse by column."""
+
+    n_rows: int
+    n_malformed: int
+    n_headers: int
+    n_type_lines: int
+    n_open: int
+    example: str | None
+    failed: dict[str, int]
+
+    def plus(self, other: LoadCounts) -> LoadCounts:
+        return LoadCounts(
+            *(getattr(self, f.name) + getattr(other, f.name) for f in fields(self)[:5]),
+            min((e for e in (self.example, other.example) if e is not None), default=None),
+            {c: self.failed[c] + other.failed[c] for c in self.failed},
+        )
+
+
+@dataclass(frozen=True)
+class Loaded:
+    rows: DataFrame
+    counts: LoadCounts
+
+
+def _facts(layout: CsvLayout, failed: dict[str, Column]) -> list[Column]:
+    """The counts of a load as aggregates; `failed` tells rows whose value does not parse."""
+    kinds = [count_where(F.col(_KIND) == k).alias(k) for k in ("data", "wide", "header", "types", "open")]
+    bad = [count_where(failed[name]).alias(f"f{i}") for i, name in enumerate(layout.names)]
+    return [*kinds, F.min(_LINE).alias("example"), *bad]
+
+
+def _counts(found: dict, layout: CsvLayout) -> LoadCounts:
+    return LoadCounts(
+        *(found.get(k) or 0 for k in ("data", "wide", "header", "types", "open")),
+        found.get("example"),
+        {name: found.get(f"f{i}") or 0 for i, name in enumerate(layout.names)},
+    )
+
+
+def _written(lines: DataFrame, layout: CsvLayout) -> tuple[DataFrame, LoadCounts]:
+    """All lines with kind and file, written once; they are counted as they are written."""
+    opened = _unclosed(layout) if layout.multi_line else has_open_quote(layout)
     kind = (
         F.when(is_header(layout), "header")
         .when(is_type_line(layout), "types")
+        .when(opened, "open")
         .when(is_too_wide(layout), "wide")
-        .when(has_open_quote(layout) & F.lit(not layout.multi_line), "open")
         .otherwise("data")
     )
-    known = standardise_missing(fields.withColumn(_KIND, kind), layout.missing)
+    known = standardise_missing(lines.withColumn(_KIND, kind), layout.missing)
     typed = {name: _typed(name, kind) for name, kind in layout.columns}
-    is_data = F.col(_KIND) == "data"
-    failed = F.filter(
-        F.array(
-            *(F.when(is_data & F.col(n).isNotNull() & t.isNull(), F.lit(n)) for n, t in typed.items())
-        ),
-        lambda name: name.isNotNull(),
-    )
-    lines = materialise(
-        known.select(
-            *(t.alias(n) for n, t in typed.items()),
-            _KIND,
-            _FILE,
-            F.when(F.col(_KIND).isin("wide", "open"), F.col(_LINE)).alias(_LINE),
-            F.when(F.size(failed) > 0, failed).alias(_FAILED),
-        )
+    failed = {
+        name: (F.col(_KIND) == "data") & F.col(name).isNotNull() & value.isNull() for name, value in typed.items()
+    }
+    odd = F.coalesce(F.col(_LINE), F.col(layout.names[-1]))
+    known = known.withColumn(_LINE, F.when(F.col(_KIND).isin("wide", "open"), odd))
+    names = F.filter(F.array(*(F.when(f, F.lit(n)) for n, f in failed.items())), lambda n: n.isNotNull())
+    seen = Observation()
+    table = known.observe(seen, *_facts(layout, failed)).select(
+        *(value.alias(name) for name, value in typed.items()),
+        _KIND,
+        _FILE,
+        _LINE,
+        F.when(F.size(names) > 0, names).alias(_FAILED),
     )
-    _check_lines(lines, path, layout, validate_shape)
-    return lines.where(is_data).select(*layout.names)
+    table = materialise(table)
+    return table, _counts(seen.get, layout)
+
+
+def load_counted(
+    spark: SparkSession, path: str | list[str], layout: CsvLayout, validate_shape: bool = True
+) -> Loaded:
+    """Typed rows of all files under `path`, and the counts of what was found.
+
+    The text is parsed a single time: all lines are written with their kind and file, and
+    counted on the way. If lines leave a quote open, their files are read again as whole
+    files and take the place of what was read of them. Lines with too many fields are left
+    out with a warning that counts them, values that do not parse are NULL with a warning
+    that counts them per column. A quote that is never closed raises `RawDataError`. With
+    `validate_shape`, a wrong column list, header, row count or more than one type line in
+    a file raises `SchemaError`; check digests beforehand with `sources.manifest`.
+    """
+    if validate_shape:
+        check_columns(header_of(spark, path, layout), layout)
+    source = read_fields(spark, path, layout)
+    lines, counts = _written(source, layout)
+    if counts.n_open and not layout.multi_line:
+        torn = [r[_FILE] for r in lines.where(F.col(_KIND) == "open").select(_FILE).distinct().collect()]
+        whole = replace(layout, multi_line=True)
+        again, counts = _written(read_fields(spark, torn, whole), whole)
+        lines = lines.where(~F.col(_FILE).isin(torn))
+        failed = {n: F.coalesce(F.array_contains(_FAILED, n), F.lit(False)) for n in layout.names}
+        counts = counts.plus(_counts(lines.agg(*_facts(layout, failed)).first().asDict(), layout))
+        lines = lines.unionByName(again)
+    _check_counts(lines, len(source.inputFiles()), counts, path, layout, validate_shape)
+    return Loaded(lines.where(F.col(_KIND) == "data").select(*layout.names), counts)
 
 
-def _check_lines(lines: DataFrame, path: str, layout: CsvLayout, validate_shape: bool) -> None:
-    """Warn of lines and values left out; raise if the files cannot be trusted."""
+def load_raw(
+    spark: SparkSession, path: str | list[str], layout: CsvLayout, validate_shape: bool = True
+) -> DataFrame:
+    """The rows of `load_counted`."""
+    return load_counted(spark, path, layout, validate_shape).rows
 
-    def of(kind: str) -> Column:
-        return count_where(F.col(_KIND) == kind)
 
-    by_file = lines.groupBy(_FILE).agg(
-        *(of(k).alias(k) for k in ("header", "types", "wide", "open", "data")),
-        F.min(_LINE).alias("example"),
-    )
-    found = by_file.agg(
-        *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("wide", "open", "data")),
-        F.min("example").alias("example"),
-        count_where(F.col("header") != 1).alias("without_header"),
-        count_where(F.col("types") > 1).alias("many_types"),
-    ).first()
-    if found["open"] and not layout.multi_line:
+def _check_counts(
+    lines: DataFrame, files: int, counts: LoadCounts, path, layout: CsvLayout, validate_shape: bool
+) -> None:
+    """Warn of lines and values left out; raise if the files cannot be trusted."""
+    if counts.n_open:
         raise RawDataError(
-            f"{found['open']} line(s) of {path} leave a quote open, one of them "
-            f"{found['example']!r}: read files with quoted line breaks with multi_line"
+            f"{counts.n_open} record(s) of {path} never close a quote, one of them {counts.example!r}"
         )
-    if found["wide"]:
+    if counts.n_malformed:
         warnings.warn(
-            f"{found['wide']} malformed row(s) left out of {path}; "
-            f"one of them: {found['example']!r}",
-            stacklevel=3,
+            f"{counts.n_malformed} malformed row(s) left out of {path}; one of them: {counts.example!r}",
+            stacklevel=4,
         )
-    failed = lines.where(F.col(_FAILED).isNotNull()).select(F.explode(_FAILED).alias("column"))
-    counts = failed.groupBy("column").count().orderBy("column").collect()
-    if counts:
-        told = ", ".join(f"{r['column']}: {r['count']}" for r in counts)
-        warnings.warn(f"value(s) of {path} that do not parse are NULL ({told})", stacklevel=3)
-    if validate_shape:
-        if found["without_header"]:
-            raise SchemaError(f"{found['without_header']} file(s) without the header line")
-        if found["many_types"]:
-            raise SchemaError(f"{found['many_types']} file(s) with more than one type line")
-        if layout.expected_rows is not None and found["data"] != layout.expected_rows:
-            raise SchemaError(f"expected {layout.expected_rows} rows, found {found['data']}")
+    failed = {c: n for c, n in sorted(counts.failed.items()) if n}
+    if failed:
+        told = ", ".join(f"{c}: {n}" for c, n in failed.items())
+        warnings.warn(f"value(s) of {path} that do not parse are NULL ({told})", stacklevel=4)
+    if not validate_shape:
+        return
+    if files > 1 or counts.n_headers != 1 or counts.n_type_lines > 1:
+        # told apart by file where totals could hide a fault: few lines, two narrow columns
+        by_file = lines.where(F.col(_KIND).isin("header", "types")).groupBy(_FILE).agg(
+            count_where(F.col(_KIND) == "header").alias("headers"),
+            count_where(F.col(_KIND) == "types").alias("types"),
+        )
+        found = by_file.agg(
+            count_where(F.col("headers") == 1).alias("headed"), count_where(F.col("types") > 1).alias("typed")
+        ).first()
+        if found.headed != files:
+            raise SchemaError(f"{files - found.headed} file(s) without the header line")
+        if found.typed:
+            raise SchemaError(f"{found.typed} file(s) with more than one type line")
+    if layout.expected_rows is not None and counts.n_rows != layout.expected_rows:
+        raise SchemaError(f"expected {layout.expected_rows} rows, found {counts.n_rows}")
 
 
 def malformed_rows(spark: SparkSession, path: str, layout: CsvLayout) -> DataFrame:

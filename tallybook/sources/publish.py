@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,30 @@ def publish_views(datasets: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def publish_tables(datasets: dict[str, DataFrame]) -> None:
-    """Save the datasets as catalog tables, replacing earlier ones."""
-    for name, df in datasets.items():
-        df.write.mode("overwrite").saveAsTable(name)
+def new_version(folder: str) -> str:
+    """A folder below `folder` that no earlier build wrote to."""
+    return f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+
+
+def publish_tables(datasets: dict[str, str], spark: SparkSession) -> None:
+    """Name written Parquet folders as catalog tables.
+
+    A table that exists with the same columns is switched by one change of its location:
+    readers see the former rows or the new ones, never none. The former folder stays as it
+    is. All folders are read before the first table is switched, so one that is not there
+    or not Parquet leaves every table alone.
+    """
+    schemas = {name: spark.read.parquet(path).schema for name, path in datasets.items()}
+    for name, path in datasets.items():
+        location = path.replace("'", "\\'")
+        if spark.catalog.tableExists(name):
+            if spark.table(name).schema == schemas[name]:
+                spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
+                spark.catalog.refreshTable(name)
+                continue
+            # other columns make another table
+            spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{location}'")
 
 
 def published_tables(spark: SparkSession) -> list[str]:

@@ -129,15 +129,32 @@ def test_files_are_told_by_their_relative_names(spark, tmp_path, monkeypatch):
     manifest.validate_manifest(found, found.select("file", "digest"))
 
 
-def test_quoted_line_breaks_are_not_split(spark, tmp_path):
-    for line in ('1,2.5,"two', '1,"two'):
-        path = write(tmp_path, HEADER, KINDS, line, 'lines",3.0', "4,5.0,x")
-        with pytest.raises(csv.RawDataError, match="quote open"):
-            csv.load_raw(spark, path, LAYOUT)
-    path = write(tmp_path, HEADER, KINDS, '1,2.5,"two', 'lines"', "4,5.0,x")
-    whole = replace(LAYOUT, multi_line=True)
-    rows = csv.load_raw(spark, path, whole).collect()
-    assert sorted(map(tuple, rows)) == [(1, 2.5, "two\nlines"), (4, 5.0, "x")]
+def test_quoted_line_breaks_are_read_in_the_default_load(spark, tmp_path):
+    folder = tmp_path / "both"
+    folder.mkdir()
+    write(folder, HEADER, KINDS, "7,1.5,plain", "8,2.5,x", "9,9,9,9", "oops,1,y", name="plain.csv")
+    write(folder, HEADER, KINDS, '1,2.5,"two', 'lines, of"', "4,5.0,x", name="last.csv")
+    write(folder, HEADER, '2,3.5,"a', 'b,c,d"', '"3",4.5,"x ""q"" y"', name="shape.csv")
+    with pytest.warns(UserWarning) as told:
+        loaded = csv.load_counted(spark, str(folder), LAYOUT)
+    assert sorted(map(tuple, loaded.rows.collect()), key=str) == sorted(
+        [(7, 1.5, "plain"), (8, 2.5, "x"), (None, 1.0, "y"), (1, 2.5, "two\nlines, of"), (4, 5.0, "x"),
+         (2, 3.5, "a\nb,c,d"), (3, 4.5, 'x "q" y')], key=str)
+    found = loaded.counts
+    assert (found.n_rows, found.n_malformed, found.n_headers, found.n_type_lines) == (7, 1, 3, 2)
+    assert found.failed == {"a": 1, "b": 0, "c": 0}
+    assert sum(issubclass(w.category, UserWarning) for w in told) == 2
+
+
+def test_a_quote_that_is_never_closed_is_an_error(spark, tmp_path):
+    for line in ('1,2.5,"two', '1,"two', '1,2,3,"two'):
+        path = write(tmp_path, HEADER, KINDS, line, "4,5.0,x", "5,6.0,y")
+        with pytest.raises(csv.RawDataError, match="never close"):
+            csv.load_raw(spark, path, replace(LAYOUT, multi_line=True))
+    # torn lines show it in the default load where a line's width or a stray quote does
+    path = write(tmp_path, HEADER, KINDS, '1,"two', "4,5.0,x")
+    with pytest.raises(csv.RawDataError, match="never close"):
+        csv.load_raw(spark, path, LAYOUT)
 
 
 def test_values_that_do_not_parse_are_counted(spark, tmp_path):
@@ -171,12 +188,24 @@ def test_publish_replaces_earlier_tables(spark):
     assert publish.run_query(spark, count).first().n == 1
 
 
-def test_saved_tables_are_replaced(spark):
+def test_saved_tables_are_switched(spark, tmp_path):
     rows = _music(spark, [("a", "x", 10, None), ("b", "y", 50, "pop")])
-    for expected in (rows, rows.limit(1)):
-        publish.publish_tables({"saved_catalog": expected})
-        assert spark.table("saved_catalog").count() == expected.count()
-    spark.sql("DROP TABLE saved_catalog")
+    other = rows.select("track")
+    for i, expected in enumerate((rows, rows.limit(1), other)):
+        paths = {}
+        for name in ("saved_one", "saved_two"):
+            paths[name] = f"{publish.new_version(str(tmp_path))}/it's {name}.parquet"
+            expected.write.parquet(paths[name])
+        publish.publish_tables(paths, spark)
+        for name in paths:
+            assert sorted(spark.table(name).collect()) == sorted(expected.collect())
+        if i == 0:
+            held = spark.table("saved_one")
+            with pytest.raises(Exception, match="(?i)path"):
+                publish.publish_tables({"saved_one": paths["saved_one"], "saved_two": f"{tmp_path}/none"}, spark)
+            assert held.count() == spark.table("saved_two").count() == 2
+    for name in ("saved_one", "saved_two"):
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_reconcile_finds_lost_rows_and_bad_scores(spark):
@@ -220,3 +249,37 @@ def test_build_from_files_end_to_end(spark, tmp_path):
     # the earliest release is kept, not the most popular
     kept = spark.sql("SELECT * FROM tracks_sensitivity WHERE track = 't'").first()
     assert kept.popularity_score == 5 and not kept.track_artist_duplicate_flag
+
+
+def test_a_failing_build_leaves_the_former_tables(spark, tmp_path):
+    head = [",".join(MUSIC_LAYOUT.names), ",".join(["string"] * 34)]
+    layout = csv.CsvLayout(MUSIC_LAYOUT.columns, MUSIC_LAYOUT.required)
+    names = {"primary": "kept_primary", "sensitivity": "kept_sensitivity"}
+    base = dict(artist_1="X", release_date="2005.0", album_type="album", duration_ms=120000, popularity="2high")
+
+    def build(*lines, **options):
+        path = write(tmp_path, *head, *lines)
+        digests = manifest.file_digests(spark, path)
+        options = {"manifest": digests, **options}
+        return datasets.build_from_files(
+            spark, path, layout, MUSIC, str(tmp_path / "out"), names, as_tables=True, **options
+        )
+
+    def published():
+        return [spark.table(n).count() for n in names.values()]
+
+    build(_catalog_line(track="t", popularity_score=80, **base), _catalog_line(track="u", popularity_score=80, **base))
+    assert published() == [2, 2]
+    with pytest.raises(datasets.BuildError, match="score_out_of_range: 1"):
+        build(_catalog_line(track="t", popularity_score=800, **base))
+    with pytest.raises(ValueError, match="manifest"):
+        build(manifest=None)
+    wrong = spark.createDataFrame([("data.csv", "0")], "file string, digest string")
+    with pytest.raises(manifest.HashMismatchError):
+        build(manifest=wrong)
+    assert published() == [2, 2]
+    build(_catalog_line(track="t", popularity_score=80, **base))
+    assert published() == [1, 1]
+    build(manifest=None, check_digests=False)
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
