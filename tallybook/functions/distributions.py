@@ -1,65 +1,27 @@
-"""Tail areas of Student's t and Fisher's F, for one summary table's rows.
-
-Both follow from the regularised incomplete beta function, evaluated by its
-continued fraction.
-"""
+"""Tail areas of Student's t and Fisher's F, from the mathematics library that Spark ships."""
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import SparkSession
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """I_x(a, b) by the continued fraction, on the side where it converges."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - incomplete_beta(b, a, 1.0 - x)
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    tiny = 1e-300
-    fraction, upper, lower = 1.0, 1.0, 0.0
-    for step in range(0, 10_000):
-        half = step // 2
-        if step == 0:
-            term = 1.0
-        elif step % 2 == 0:
-            term = half * (b - half) * x / ((a + 2 * half - 1) * (a + 2 * half))
-        else:
-            term = -(a + half) * (a + b + half) * x / ((a + 2 * half) * (a + 2 * half + 1))
-        lower = 1.0 + term * lower
-        lower = 1.0 / (lower if abs(lower) > tiny else tiny)
-        upper = 1.0 + term / upper
-        upper = upper if abs(upper) > tiny else tiny
-        fraction *= upper * lower
-        if abs(1.0 - upper * lower) < 1e-14:
-            break
-    return math.exp(log_front) * (fraction - 1.0) / a
+def _beta(spark: SparkSession, x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function."""
+    library = spark.sparkContext._jvm.org.apache.commons.math3.special.Beta
+    return float(library.regularizedBeta(float(x), float(a), float(b)))
 
 
-def t_two_sided(t: float, df: float) -> float:
+def t_two_sided(spark: SparkSession, t: float, df: float) -> float:
     """P(|T| >= |t|)."""
-    return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    return _beta(spark, df / (df + t * t), df / 2.0, 0.5)
 
 
-def f_upper(f: float, df1: float, df2: float) -> float:
+def f_upper(spark: SparkSession, f: float, df1: float, df2: float) -> float:
     """P(F >= f)."""
-    return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f))
+    return _beta(spark, df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0)
 
 
-def t_critical(level: float, df: float) -> float:
-    """The t whose two-sided tail area is `1 - level`, by bisection."""
-    low, high = 0.0, 1.0
-    while t_two_sided(high, df) > 1.0 - level:
-        high *= 2.0
-    for _ in range(200):
-        middle = (low + high) / 2.0
-        if t_two_sided(middle, df) > 1.0 - level:
-            low = middle
-        else:
-            high = middle
-    return (low + high) / 2.0
+def t_critical(spark: SparkSession, level: float, df: float) -> float:
+    """The t whose two-sided tail area is `1 - level`."""
+    made = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution
+    return float(made(float(df)).inverseCumulativeProbability((1.0 + level) / 2.0))

@@ -380,6 +380,54 @@ def fit_masked(masked: DataFrame, seeds: list[int], models: list[ModelSpec]) ->
     return _fit_all(rows, models, masked)
 
 
+SAVED = (
+    "seed int, model string, place int, kind string, feature string, level string, coef double, "
+    "fill double, mean double, sd double, n long, squares double"
+)
+
+
+def save_fits(spark: SparkSession, fits: list[Fit], path: str) -> None:
+    """Write fits as a table: an intercept and every term, features with fill, mean and deviation."""
+    lines = []
+    for f in fits:
+        lines.append((f.seed, f.name, -1, "intercept", None, None, f.intercept, None, None, None, f.n, f.squares))
+        for place, t in enumerate(f.terms):
+            facts = (None, None, None)
+            if t.kind == "numeric":
+                facts = (f.fills[t.feature], f.means[t.feature], f.sds[t.feature])
+            lines.append((f.seed, f.name, place, t.kind, t.feature, t.level, t.coef, *facts, None, None))
+    spark.createDataFrame(lines, SAVED).write.mode("overwrite").parquet(path)
+
+
+def load_fits(spark: SparkSession, path: str) -> list[Fit]:
+    """Fits as `save_fits` wrote them, ready to predict; without the sums behind standard errors."""
+    fits: list[Fit] = []
+    rows = spark.read.schema(SAVED).parquet(path).orderBy("seed", "model", "place").collect()
+    for (seed, name), group in itertools.groupby(rows, key=lambda r: (r.seed, r.model)):
+        head, *lines = group
+        if head.kind != "intercept":
+            raise DesignError(f"the saved fit of {name!r} under seed {seed} has no intercept")
+        terms = [Term(r.kind, r.feature, r.level, r.coef) for r in lines]
+        numeric = [r for r in lines if r.kind == "numeric"]
+        references = {t.feature: t.level for t in terms if t.kind == "reference"}
+        fits.append(
+            Fit(
+                seed=seed,
+                model=ModelSpec(name, tuple(r.feature for r in numeric), references),
+                n=head.n,
+                intercept=head.coef,
+                terms=terms,
+                fills={r.feature: r["fill"] for r in numeric},
+                means={r.feature: r["mean"] for r in numeric},
+                sds={r.feature: r["sd"] for r in numeric},
+                gram=None,
+                moment=None,
+                squares=head.squares,
+            )
+        )
+    return fits
+
+
 def coefficient_rows(spark: SparkSession, fits: list[Fit]) -> DataFrame:
     """Every term of every fit, references with their 0."""
     schema = "seed int, model string, kind string, feature string, level string, coef double"

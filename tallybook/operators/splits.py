@@ -209,6 +209,24 @@ def placeholder_census(df: DataFrame, spec: CatalogSpec) -> DataFrame:
     return counts.select(F.inline(F.array(*lines)))
 
 
+def placeholder_search(df: DataFrame, spec: CatalogSpec) -> DataFrame:
+    """`label, pattern, n_rows, is_listed` of every creator whose whole name, in lower case
+    and without spaces around it, matches one of the patterns; the first that does counts.
+
+    Rows are counted per creator first, so a pattern is tried once per label.
+    """
+    creators = df.groupBy(F.col(spec.creator).alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+    plain = F.lower(F.trim("label"))
+    # a pattern without anchors still has to match the whole label
+    matched = F.coalesce(
+        F.lit(None).cast("string"),
+        *(F.when(plain.rlike(f"^(?:{p})$"), F.lit(p)) for p in spec.placeholder_patterns),
+    )
+    listed = F.col("label").isin(*spec.placeholder_creators) if spec.placeholder_creators else F.lit(False)
+    found = creators.withColumn("pattern", matched).where(F.col("pattern").isNotNull())
+    return found.select("label", "pattern", "n_rows", listed.alias("is_listed")).orderBy(F.desc("n_rows"), "label")
+
+
 def split_checks(frame: DataFrame, cuts: dict[int, str], test_size: float) -> DataFrame:
     """Per seed: exact size, both sides of every row and purity of the groups.
 

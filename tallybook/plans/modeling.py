@@ -246,9 +246,9 @@ def ols_summary(spark, fit: Fit, level: float = 0.95) -> OlsSummary:
     r2 = 1.0 - error / total
     covariance = error / df_error * np.linalg.inv(fit.gram)
     se = np.sqrt(np.diag(covariance))
-    reach = t_critical(level, df_error)
+    reach = t_critical(spark, level, df_error)
     lines = [
-        (name, b, s, b / s, t_two_sided(b / s, df_error), b - reach * s, b + reach * s)
+        (name, b, s, b / s, t_two_sided(spark, b / s, df_error), b - reach * s, b + reach * s)
         for name, b, s in zip(names, beta.tolist(), se.tolist())
     ]
     coefficients = spark.createDataFrame(
@@ -265,7 +265,7 @@ def ols_summary(spark, fit: Fit, level: float = 0.95) -> OlsSummary:
         "r2": r2,
         "adj_r2": 1 - (1 - r2) * (n - 1) / df_error,
         "f_value": f_value,
-        "f_p_value": f_upper(f_value, df_model, df_error),
+        "f_p_value": f_upper(spark, f_value, df_model, df_error),
         "log_likelihood": log_likelihood,
         "aic": -2 * log_likelihood + 2 * width,
         "bic": -2 * log_likelihood + math.log(n) * width,

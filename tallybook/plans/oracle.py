@@ -581,6 +581,40 @@ ORACLES["model_conditions"] = f"{FRAME}, {folds()}\n" + _union(
         for name, c in (("segment", "segment"), ("category", "category_"), ("period", "period"))
     ]
 )
+ORACLES["placeholder_search"] = f"""WITH {LINES},
+c AS (SELECT creator AS label, count(*) AS n_rows FROM lines GROUP BY creator),
+m AS (SELECT *, CASE WHEN regexp_matches(lower(trim(label)), '^supplier#0+[0-3]$') THEN '^supplier#0+[0-3]$'
+                     WHEN regexp_matches(lower(trim(label)), '^supplier#0*1?5$') THEN '^supplier#0*1?5$' END AS pattern
+      FROM c)
+SELECT label, pattern, n_rows, label IN {PLACEHOLDERS} AS is_listed FROM m WHERE pattern IS NOT NULL"""
+ORACLES["saved_model_eval"] = ORACLES["model_eval"]
+# two standardised features: everything follows from three correlations
+PAIR = f"""{FRAME}, {folds()},
+s AS (SELECT count(*)::DOUBLE AS n, avg(target) AS my, var_pop(target) AS vy, corr(target, m1) AS a,
+             corr(target, creator_score) AS b, corr(m1, creator_score) AS r FROM rows_ WHERE NOT is_test),
+q AS (SELECT *, (a * a + b * b - 2 * a * b * r) / (1 - r * r) AS r2, n - 3 AS df FROM s),
+v AS (SELECT *, n * vy * (1 - r2) / df AS s2 FROM q)"""
+ORACLES["ols_pair_inference"] = f"""{PAIR},
+t AS (SELECT 'const' AS term, my AS coef, sqrt(s2 / n) AS se, df FROM v UNION ALL
+      SELECT 'm1', sqrt(vy) * (a - r * b) / (1 - r * r), sqrt(s2 / n / (1 - r * r)), df FROM v UNION ALL
+      SELECT 'creator_score', sqrt(vy) * (b - r * a) / (1 - r * r), sqrt(s2 / n / (1 - r * r)), df FROM v),
+-- the tail by Simpson's rule, the critical value by its expansion around the normal one
+p AS (SELECT term, sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
+             * pow(1 + pow(abs(coef / se) + i * 0.005, 2) / df, -(df + 1) / 2)) * 2 * 0.005 / 3 AS p_value
+      FROM t, (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w
+               FROM range(4001) AS x(i)) GROUP BY term),
+k AS (SELECT *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) AS reach
+      FROM t, (SELECT 1.959963984540054 AS z))
+SELECT term, {near("coef")} AS coef, {near("se")} AS std_error, {near("coef / se")} AS t_value,
+       {near("p_value")} AS p_value, {near("coef - reach * se")} AS ci_low, {near("coef + reach * se")} AS ci_high
+FROM k JOIN p USING (term)"""
+# with two features the tail of F has a closed form
+ORACLES["ols_pair_statistics"] = f"""{PAIR},
+fv AS (SELECT *, r2 / 2 / ((1 - r2) / df) AS fvalue FROM v)
+SELECT 'f_value' AS statistic, {near("fvalue")} AS value FROM fv UNION ALL
+SELECT 'f_p_value', {near("pow(1 + 2 * fvalue / df, -df / 2)")} FROM fv UNION ALL
+SELECT 'r2', {near("r2")} FROM fv UNION ALL
+SELECT 'condition_number', {near("sqrt((1 + abs(r)) / (1 - abs(r)))")} FROM fv"""
 _WIDE_FRAME = FRAME.replace("size_scaled, creator,", "size_scaled, coalesce(creator, 'Unknown') AS seller, item AS part,")
 ORACLES["wide_fit"] = f"{_WIDE_FRAME}, {folds('row_key', SEEDS)}\n" + _union(
     [

@@ -33,6 +33,7 @@ LINES = CatalogSpec(
     cutoff_year=1998,
     min_group_rows=10_000,
     placeholder_creators=("Supplier#000000000", "Supplier#000000001"),
+    placeholder_patterns=("^supplier#0+[0-3]$", "^supplier#0*1?5$", "^none$"),
 )
 LINE_PAIRS = {"aux_name": "aux_score"}
 

@@ -547,6 +547,11 @@ def placeholder_census(spark, folder):
     return splits.placeholder_census(tables.lines(spark, folder, "creator"), LINES)
 
 
+@query
+def placeholder_search(spark, folder):
+    return splits.placeholder_search(tables.lines(spark, folder, "creator"), LINES)
+
+
 @query
 def grouped_split(spark, folder):
     frame = materialise(_line_frame(spark, folder).select(splits.GROUP, splits.ROW))
@@ -608,6 +613,19 @@ def model_eval(spark, folder):
     return neat(evaluate.results_table(results, ["baseline", "model_a", "model_b"]))
 
 
+@query
+def saved_model_eval(spark, folder):
+    """As `model_eval`, predicted by fits that were written and read again."""
+    frame = materialise(_line_frame(spark, folder))
+    held = modeling.hold_out(frame, [MODEL_A, MODEL_B])
+    path = scratch_path(spark, "fits")
+    linear.save_fits(spark, held.fits, path)
+    test = held.rows.where("is_test").drop("is_test")
+    predictions = linear.predict(test, linear.load_fits(spark, path))
+    results = evaluate.accuracy(predictions)
+    return neat(evaluate.results_table(results, ["baseline", "model_a", "model_b"]))
+
+
 @query
 def model_eval_gaps(spark, folder):
     """As `model_eval` where a fifth of the items has no score and a seventh a NaN measure."""
@@ -748,6 +766,24 @@ def reduced_ols_statistics(spark, folder):
     return neat(statistics.where(F.col("statistic").isin(checked)), 4)
 
 
+def _pair(spark: SparkSession, folder: str) -> modeling.OlsSummary:
+    model = ModelSpec("pair", ("m1", "creator_score"))
+    return modeling.reduced_ols(materialise(_line_frame(spark, folder, model)), model)
+
+
+@query
+def ols_pair_inference(spark, folder):
+    """P-values and intervals of a fit on two features."""
+    return neat(_pair(spark, folder).coefficients)
+
+
+@query
+def ols_pair_statistics(spark, folder):
+    """Its F value with p-value, and the condition number."""
+    found = _pair(spark, folder).statistics
+    return neat(found.where(F.col("statistic").isin("f_value", "f_p_value", "condition_number", "r2")))
+
+
 @query
 def reduced_ols_inference(spark, folder):
     """P-values and intervals for all numeric features and the segment."""

@@ -87,6 +87,8 @@ MUSIC = CatalogSpec(
     zero_label="zero_tempo",
     # Credits that do not name one performer.
     placeholder_creators=("Various Artists", "Original Cast", "Unknown", "Unknown Artist"),
+    # The patterns that the labels above were searched with.
+    placeholder_patterns=("^various artists?$", "^unknown( artist)?$", "^n/?a$", "^original cast$"),
     year_value="release_year",
     period="release_decade_clean",
     size_scaled="track_duration_minutes",

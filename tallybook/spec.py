@@ -42,6 +42,8 @@ class CatalogSpec:
     min_group_rows: int = 50
     zero_label: str = "zero"
     placeholder_creators: tuple[str, ...] = ()
+    # whole labels, in lower case, that name no one creator
+    placeholder_patterns: tuple[str, ...] = ()
     unknown_category: str = "Unknown"
 
     year_value: str = "year_value"
