@@ -11,8 +11,12 @@ import pyarrow as pa
 
 from tallybook.llm.text import FOLD, run_hashes, text_bytes
 
-# Distinct parts whose ids a worker remembers before it forgets those met once.
-REMEMBERED = 1_500_000
+# Distinct parts whose ids a worker remembers before it forgets those met once, and those
+# gathered before they join the others.
+REMEMBERED = 500_000
+RECENT = 50_000
+# Text bytes worked on at once: some dozens of bytes of temporaries for each of them.
+SEGMENT = 1 << 17
 # Parts encoded in one call.
 ROW_PARTS = 2000
 
@@ -42,6 +46,71 @@ KINDS = np.array([0, 0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 _loaded: dict[str, Encoder] = {}
 
 
+def safe_cuts(data: np.ndarray, start: int, stop: int) -> list[int]:
+    """Places inside a long text where parts begin anyway: at a space between two characters
+    that are no white space."""
+    found = []
+    at = start
+    while stop - at > SEGMENT:
+        low, high = at + SEGMENT // 2, at + SEGMENT
+        while True:
+            high = min(high, stop - 1)
+            white = WHITE[data[low - 1 : high - 1]] | WHITE[data[low + 1 : high + 1]]
+            white |= LEADS_TWO[data[low - 2 : high - 2]] | LEADS_THREE[data[low - 3 : high - 3]]
+            places = np.flatnonzero((data[low:high] == 32) & ~white)
+            if len(places) or high >= stop - 1:
+                break
+            # a run without such a space stays whole
+            low, high = high, high + SEGMENT
+        if not len(places):
+            break
+        at = low + int(places[-1])
+        found.append(at)
+    return found
+
+
+class Memory:
+    """Ids of parts by hash: sorted hashes, and where their ids lie in a pool."""
+
+    def __init__(self):
+        self.hashes = np.empty(0, np.uint64)
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+        self.seen = np.empty(0, np.int64)
+        self.pool = np.empty(0, "<u4")
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the wanted hashes, and which of them are held."""
+        place = np.searchsorted(self.hashes, wanted)
+        known = np.zeros(len(wanted), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == wanted[inside]
+        return place, known
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, pool: np.ndarray, seen: np.ndarray) -> None:
+        """Sorted hashes that are not held yet, with their ids end to end."""
+        first = len(self.pool) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, first)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.seen = np.insert(self.seen, at, seen)
+        self.pool = np.concatenate([self.pool, pool])
+
+    def ids(self, which: np.ndarray) -> np.ndarray:
+        """The ids of the parts at some places, end to end."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(total)]
+
+    def keep(self, some: np.ndarray) -> None:
+        which = np.flatnonzero(some)
+        pool, sizes = self.ids(which), self.sizes[which]
+        self.hashes, self.starts, self.sizes = self.hashes[which], np.cumsum(sizes) - sizes, sizes
+        self.seen, self.pool = np.zeros(len(which), np.int64), pool
+
+
 class Encoder:
     """Ids of whole texts as unsigned 32-bit integers, equal to the library's.
 
@@ -58,12 +127,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.white = re.compile(r"\s")
-        # remembered parts by hash: where their ids lie in the pool, and how often they came
-        self.hashes = np.empty(0, np.uint64)
-        self.starts = np.empty(0, np.int64)
-        self.sizes = np.empty(0, np.int64)
-        self.seen = np.empty(0, np.int64)
-        self.pool = np.empty(0, "<u4")
+        # remembered parts, and the last ones, which join them a batch at a time
+        self.old, self.recent = Memory(), Memory()
         self.line = self.plain(["\n"])[0]
         self.lowers = self.plain(["A"]) == self.plain(["a"])
 
@@ -90,8 +155,35 @@ class Encoder:
         return out
 
     def __call__(self, texts: pa.Array) -> Ids:
-        """Ids of all texts; a null text has none."""
+        """Ids of all texts; a null text has none.
+
+        Work goes through SEGMENT bytes at a time; a longer text is cut where parts begin.
+        """
         data, limits = text_bytes(texts)
+        inner = [
+            c
+            for start, stop in zip(limits[:-1].tolist(), limits[1:].tolist())
+            if stop - start > SEGMENT
+            for c in safe_cuts(data, start, stop)
+        ]
+        bounds = np.sort(np.concatenate([limits, np.array(inner, np.int64)]), kind="stable")
+        pieces, counts = [np.empty(0, "<u4")], np.zeros(len(bounds) - 1, np.int64)
+        first = 0
+        while first < len(bounds) - 1:
+            last = int(np.searchsorted(bounds, bounds[first] + SEGMENT, "right")) - 1
+            last = max(first + 1, last)
+            found = self.segment(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+            pieces.append(found.ids)
+            counts[first:last] = np.diff(found.bounds)
+            first = last
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # a text ends where the segment that ends with it does; empty ones add nothing
+        at = np.searchsorted(bounds, limits, "right") - 1
+        return Ids(np.concatenate(pieces), ends[at])
+
+    def segment(self, data: np.ndarray, limits: np.ndarray) -> Ids:
+        """Ids of texts or parts of texts that lie end to end."""
+        raw = data
         if not len(data):
             return Ids(np.empty(0, "<u4"), np.zeros(len(limits), np.int64))
         if self.lowers:
@@ -100,38 +192,50 @@ class Encoder:
         hashes = run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
         hashes ^= KINDS[kinds]
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        first, sizes = self.recall(distinct, starts[at], ends[at], kinds[at], data)
+        pool, sizes = self.recall(distinct, starts[at], ends[at], kinds[at], data)
+        first = np.cumsum(sizes) - sizes
         counts = sizes[which]
         total = np.cumsum(counts)
-        ids = self.pool[np.repeat(first[which] - total + counts, counts) + np.arange(total[-1])]
+        ids = pool[np.repeat(first[which] - total + counts, counts) + np.arange(total[-1])]
         per_text = np.bincount(text, weights=counts, minlength=len(limits) - 1).astype(np.int64)
         found = Ids(ids, np.concatenate([[0], np.cumsum(per_text)]))
-        return self.replaced(found, texts, odd_texts) if len(odd_texts) else found
+        return self.replaced(found, raw, limits, odd_texts) if len(odd_texts) else found
 
     def recall(self, distinct, starts, ends, kinds, data) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of the distinct parts lie in the pool; new parts are encoded."""
-        if len(self.hashes) > REMEMBERED:
-            self.forget()
-        place = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
+        """The ids of the distinct parts end to end, and their numbers; new parts are encoded."""
+        if len(self.recent.hashes) > RECENT:
+            self.join()
+        late, is_late = self.recent.find(distinct)
+        place, is_old = self.old.find(distinct)
+        new = np.flatnonzero(~is_late & ~is_old)
         if len(new):
             raw = data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
             held = self.encoded(texts, kinds[new])
             sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
-            first = len(self.pool) + np.cumsum(sizes) - sizes
-            at = place[new]
-            self.hashes = np.insert(self.hashes, at, distinct[new])
-            self.starts = np.insert(self.starts, at, first)
-            self.sizes = np.insert(self.sizes, at, sizes)
-            self.seen = np.insert(self.seen, at, 0)
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(held), "<u4")])
-            place = np.searchsorted(self.hashes, distinct)
-        self.seen[place] += 1
-        return self.starts[place], self.sizes[place]
+            pool = np.frombuffer(b"".join(held), "<u4")
+            self.recent.add(distinct[new], sizes, pool, np.zeros(len(new), np.int64))
+            late, is_late = self.recent.find(distinct)
+        self.recent.seen[late[is_late]] += 1
+        self.old.seen[place[is_old]] += 1
+        sizes = np.empty(len(distinct), np.int64)
+        sizes[is_late] = self.recent.sizes[late[is_late]]
+        sizes[is_old] = self.old.sizes[place[is_old]]
+        out = np.empty(int(sizes.sum()), "<u4")
+        from_old = np.repeat(is_old, sizes)
+        out[from_old] = self.old.ids(place[is_old])
+        out[~from_old] = self.recent.ids(late[is_late])
+        return out, sizes
+
+    def join(self) -> None:
+        """The last parts join the others; too many, and those met once are forgotten."""
+        if len(self.old.hashes) > REMEMBERED:
+            often = self.old.seen > 1
+            if 2 * often.sum() > REMEMBERED:
+                often[:] = False
+            self.old.keep(often)
+        recent, self.recent = self.recent, Memory()
+        self.old.add(recent.hashes, recent.sizes, recent.ids(np.arange(len(recent.hashes))), recent.seen)
 
     def encoded(self, texts: list[str], kinds: np.ndarray) -> list[bytes]:
         """Ids of distinct parts."""
@@ -147,21 +251,9 @@ class Encoder:
             held[j] = ids
         return held
 
-    def forget(self) -> None:
-        """Drop the parts met once, or all if that frees too little."""
-        keep = self.seen > 1
-        if 2 * keep.sum() > REMEMBERED:
-            keep[:] = False
-        sizes = self.sizes[keep]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        self.pool = self.pool[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(total)]
-        self.hashes, self.starts, self.sizes = self.hashes[keep], ends - sizes, sizes
-        self.seen = np.zeros(len(sizes), np.int64)
-
-    def replaced(self, found: Ids, texts: pa.Array, which: np.ndarray) -> Ids:
+    def replaced(self, found: Ids, data: np.ndarray, limits: np.ndarray, which: np.ndarray) -> Ids:
         """`found` with the ids of some texts encoded whole."""
-        chosen = texts.take(pa.array(which)).to_pylist()
+        chosen = [data[limits[i] : limits[i + 1]].tobytes().decode() for i in which.tolist()]
         whole = dict(zip(which.tolist(), self.plain(chosen)))
         rows = [
             np.frombuffer(whole[i], "<u4") if i in whole else found.ids[a:b]

@@ -38,10 +38,14 @@ class Words(NamedTuple):
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base; those that a piece needs are kept."""
     if len(_powers[base]) < n:
         grown = np.full(max(n, PIECE_BYTES + 64), base, np.uint64)
         grown[0] = 1
-        _powers[base] = np.multiply.accumulate(grown)
+        np.multiply.accumulate(grown, out=grown)
+        if n > 4 * PIECE_BYTES:
+            return grown
+        _powers[base] = grown
     return _powers[base][:n]
 
 

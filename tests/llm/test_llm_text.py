@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tallybook.llm import text as T
+from tallybook.llm import encode as encode_module
 from tallybook.llm.encode import encoder
 
 TEXTS = [
@@ -44,6 +45,39 @@ def test_ids_equal_the_library(name):
             assert ids == encode.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_are_encoded_in_segments(name, monkeypatch):
+    monkeypatch.setattr(encode_module, "SEGMENT", 64)
+    monkeypatch.setattr(encode_module, "RECENT", 20)
+    monkeypatch.setattr(encode_module, "REMEMBERED", 60)
+    encode = encode_module.Encoder(public_tokenizers.path(name))
+    made = random.Random(4)
+    alphabet = ["ab", "Wo", " ", " ", " ", "  ", "\n", ".", "é", "ж", "世 界", "7", "\u3000", " x", "word"]
+    for _ in range(60):
+        texts = ["".join(made.choices(alphabet, k=made.choice([0, 5, 80, 600]))) for _ in range(6)] + [None]
+        found = encode(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            ids = found.ids[found.bounds[i] : found.bounds[i + 1]].tolist()
+            assert ids == encode.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert len(encode.old.hashes) and len(encode.old.hashes) <= 60 + 2 * 600
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    made = random.Random(5)
+    words = ["".join(made.choices("abcdefgh", k=made.randint(2, 9))) for _ in range(4000)]
+    text = " ".join(made.choices(words, k=1_000_000))
+    encode(pa.array([text[:100_000]]))
+    tracemalloc.start()
+    found = encode(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # ids of a text take up to four bytes a character twice, all else a segment's share
+    assert len(found.ids) > 1_000_000 and peak < 60 * encode_module.SEGMENT * 2 + 10 * len(text)
+
+
 def test_pieces_keep_all_rows_and_their_order():
     batch = pa.record_batch([pa.array(["x" * n for n in (5, 3_000_000, 0, 7)])], names=["text"])
     parts = list(T.pieces(batch))
