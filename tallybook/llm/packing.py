@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.encode import Ids, encoder
-from tallybook.llm.text import pieces
+from tallybook.llm.text import pieces, release
 from tallybook.session import is_small, materialise
 
 UNIT = 32
@@ -78,6 +78,7 @@ def cut_documents(
                         start += n
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)]
                 yield pa.RecordBatch.from_arrays(columns, schema=PIECES)
+        release()
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, task long, place long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)

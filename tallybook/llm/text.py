@@ -6,6 +6,7 @@ occur inside a UTF-8 sequence, so texts are worked on as bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -88,6 +89,29 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words of bytes, about PIECE_BYTES of them at a time."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + PIECE_BYTES, "right")))
+        values = data[low : ends[last - 1]].astype(np.uint64)
+        values += np.uint64(1)
+        out[first:last] = run_hashes(values, starts[first:last] - low, ends[first:last] - low)
+        first = last
+    return out
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE) -> Words:
     """All words of the texts; `fold` lower-cases A-Z first, `gaps` marks the bytes between words."""
     data, limits = text_bytes(texts)
@@ -102,7 +126,7 @@ def words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE) -> Word
     after[limits[1:][limits[1:] > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    hashes = run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+    hashes = word_hashes(data, starts, ends)
     return Words(np.searchsorted(starts, limits), hashes, starts, ends, data)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tallybook.llm.text import Words, mix, pieces, words
+from tallybook.llm.text import Words, mix, pieces, release, words
 
 SAMPLE = 4000
 FOLDS = 4
@@ -331,6 +331,8 @@ def train_model(docs: DataFrame, labels: DataFrame, may_learn: Column) -> bytes:
             toxic = table.column("toxic").to_numpy() > 0
             text = table.column("text")
             model = train(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks), toxic)
+        held = []
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     fitted = ordered.mapInArrow(fit, "model binary").first()
@@ -356,6 +358,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = 0.7) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(found), pa.array(flag)], names=[*names, "toxic_score", "toxic_flag"]
                 )
+        release()
 
     added = [StructField("toxic_score", DoubleType()), StructField("toxic_flag", IntegerType())]
     return docs.mapInArrow(read, StructType([*docs.schema.fields, *added]))
