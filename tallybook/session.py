@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # An input with at least this many splits is never redistributed.
 FEW_SPLITS = 32
+# Seconds between two requests to collect the driver's garbage.
+COLLECT_EVERY = 15.0
 _folders: set[str] = set()
+_collected = [0.0]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -41,9 +45,23 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
+    drop_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    It does so when the driver's garbage collector finds them unused, which a driver with
+    memory to spare may not do before the disks are full. Asked for now and then, as jobs
+    of many steps shuffle several times their input.
+    """
+    now = time.monotonic()
+    if now - _collected[0] >= COLLECT_EVERY:
+        _collected[0] = now
+        spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal an input of a few splits to all cores; larger inputs stay as read.
 
