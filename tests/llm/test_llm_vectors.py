@@ -84,3 +84,46 @@ def test_probe_order_is_by_expected_success():
     order = neighbours.probe_order(3, 20)
     assert order[:2] == [(), (0,)] and len(set(order)) == len(order)
     assert all(5 - r not in ranks for ranks in order for r in ranks)
+
+
+def test_equal_vectors_tie_by_id_wherever_they_lie(spark, monkeypatch):
+    made = np.random.default_rng(6)
+    vectors = made.standard_normal((700, 24)).astype(np.float32)
+    for i in range(0, 700, 3):  # a third of all rows is one vector, a seventh another one
+        vectors[i] = vectors[0]
+    for i in range(1, 700, 7):
+        vectors[i] = vectors[0] * np.float32(0.5)
+    rows = table(spark, vectors).repartition(5)
+    wanted = neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20).collect()
+    # buckets cut small: heavy ones go to many tasks, and nothing changes
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 256)
+    found = neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, wanted))
+    same = [i for i in range(700) if (vectors[i] == vectors[0]).all()]
+    by_query: dict = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        by_query.setdefault(r.query_id, []).append(r)
+    assert len(by_query) == 35
+    for q, held in by_query.items():
+        assert [r.rank for r in held] == list(range(1, 21))
+        assert held == sorted(held, key=lambda r: (-r.score, r.vec_id)) and len({r.vec_id for r in held}) == 20
+        assert len({r.score for r in held if r.vec_id in same}) <= 1
+        if q in same:
+            assert [r.vec_id for r in held if r.vec_id in same] == [i for i in same if i != q][:20]
+
+
+def test_a_score_depends_on_its_pair_only():
+    made = np.random.default_rng(7)
+    vectors = made.standard_normal((64, 64))
+    vectors[made.integers(0, 64, 30)] = vectors[9]
+    queries = made.standard_normal((5, 64))
+    everyone = (np.arange(5), np.zeros(5, np.int64))
+    longest = float(np.sqrt((vectors**2).sum(axis=1)).max())
+    scores: dict = {}
+    for trial in range(50):
+        order = made.permutation(64)[: made.integers(30, 65)]
+        out = neighbours.best_of(np.arange(100, 105), queries, everyone, order, vectors[order], np.zeros(len(order), np.int64), 64, longest)
+        for q, c, s in zip(*out):
+            assert scores.setdefault((q, vectors[c].tobytes()), s) == s
+        assert len(out[0]) == 5 * len(order)
