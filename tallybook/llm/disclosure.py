@@ -3,17 +3,26 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by pattern:
 leftmost, non-overlapping for each kind, failing matches dropped. Each distinct value is
 a protected entity. The corpus tells how strongly a term reveals an entity: with
-p(e) the share of documents that hold the entity and p(e|t) the share of the term's
-documents in which the term stands near it, the term discloses log(p(e|t) / p(e)) of the
--log p(e) nats that the entity is worth. Terms that disclose at least `threshold` of it,
-seen near it in at least `support` different texts, are spans of kind `term` wherever
-they occur in a document with that entity.
+p(e) the share of documents that hold the entity and p(e|t) that of the documents with
+the term that hold it, the term discloses log(p(e|t) / p(e)) of the -log p(e) nats that
+the entity is worth. Terms that disclose at least `threshold` of it, and share at least
+`support` different texts with it, are spans of kind `term` wherever they occur, also in
+documents without that entity.
+
+A term is a whole run of two or more letters or digits in any case; what looks like
+personal data holds none. Co-occurrence is that of whole documents. The bound prunes: as
+no more documents can share both than hold the entity, a term in more than
+p(e)^(threshold - 1) times as many cannot reveal it. What is left are the pairs of an
+entity seen in several texts with the rare terms of its documents, summed before they
+are shuffled.
 
 All counts are over all documents. Only DataFrame functions are used. Positions are code
-points, ends exclusive. A null text is empty. Repeated rows get the same result, copies
-of one text are no further evidence. An empty table gives an empty result. A null
-`doc_id` stays null. Columns besides `doc_id` and `text` are not read; `sanitised` keeps
-them, whatever their names (its own columns are nested in one it names freely).
+points, ends exclusive. A null text is empty; texts of any length are read whole, in one
+row. Repeated rows count as documents and get the same result, copies of one text are no
+further evidence. A term exactly at the threshold counts. An empty table gives an empty
+result. A null `doc_id` stays null. Columns besides `doc_id` and `text` are not read;
+`sanitised` keeps them, whatever their names (its own columns are nested in one it names
+freely).
 """
 
 from __future__ import annotations
@@ -34,9 +43,9 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-# Characters on either side of a value in which its terms are looked for.
-NEAR = 60
-WORD = r"\p{L}{3,}"
+WORD = r"[\p{L}\p{N}]{2,}+"
+# Values added up at once in running totals.
+RUN = 256
 
 SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
 
@@ -71,26 +80,53 @@ def may_hold(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def totals(values: Column) -> Column:
+    """Running totals of an array of ints, summed by blocks: an append copies its array."""
+    none = F.array().cast("array<int>")
+
+    def block(some: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), none.alias("sums"))
+
+        def step(done: Column, x: Column) -> Column:
+            total = done["total"] + x
+            return F.struct(total.alias("total"), F.array_append(done["sums"], total).alias("sums"))
+
+        return F.aggregate(some, start, step)
+
+    def joined(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("sums"))
+
+        def step(done: Column, x: Column) -> Column:
+            moved = F.transform(x["sums"], lambda s: s + done["total"])
+            return F.struct(
+                (done["total"] + x["total"]).alias("total"),
+                F.array_append(done["sums"], moved).alias("sums"),
+            )
+
+        return F.aggregate(blocks, start, step, lambda done: F.flatten(done["sums"]))
+
+    def summed(all_values: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(all_values), F.lit(RUN))
+        return joined(F.transform(firsts, lambda i: block(F.slice(all_values, i, RUN))))
+
+    # a lambda's argument is computed once
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, summed(v)).otherwise(none))[0]
+
+
 def placed(text: Column, pattern: Column, hits: Column, kind: str) -> Column:
     """Spans of the matches `hits` of `pattern`: the text between matches tells their places."""
     between = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    steps = F.arrays_zip(between.alias("gap"), hits.alias("hit"))
+    stops = totals(F.zip_with(between, hits, lambda gap, hit: F.length(gap) + F.length(hit)))
 
-    def step(done: Column, at: Column) -> Column:
-        start = done["stop"] + F.length(at["gap"])
-        stop = start + F.length(at["hit"])
-        span = F.struct(
+    def span(stop: Column, hit: Column) -> Column:
+        return F.struct(
             F.lit(kind).alias("kind"),
-            start.alias("start"),
+            (stop - F.length(hit)).alias("start"),
             stop.alias("stop"),
-            at["hit"].alias("value"),
+            hit.alias("value"),
         )
-        return F.struct(stop.alias("stop"), F.array_append(done["spans"], span).alias("spans"))
 
-    nothing = F.array().cast(SPANS)
-    first = F.struct(F.lit(0).alias("stop"), nothing.alias("spans"))
-    folded = F.aggregate(steps, first, step, lambda done: done["spans"])
-    return F.when(F.size(hits) > 0, folded).otherwise(nothing)
+    return F.when(F.size(hits) > 0, F.zip_with(stops, hits, span)).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -119,39 +155,66 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(F.coalesce(plain, span["value"])))
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast only if measured to be small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def own_words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    hits = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(hits, F.lower))
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """`row_id, text_id, base, words` of every row; words in personal data do not count."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    plain = text
+    for kind, pattern in PATTERNS.items():
+        plain = F.when(may_hold(kind, text), F.regexp_replace(plain, pattern, " ")).otherwise(plain)
+    words = F.when(F.size("base") > 0, own_words(plain)).otherwise(own_words(text))
+    return base_spans(rows).select("row_id", "text_id", "base", words.alias("words"))
+
+
 def revealing_terms(
-    docs: DataFrame, found: DataFrame, threshold: float, support: int
+    corpus: DataFrame, found: DataFrame, threshold: float, support: int
 ) -> DataFrame:
     """`entity, term` of all terms that disclose an entity by at least the threshold.
 
-    `found` are the documents with base spans: `row_id, text, base`.
+    `corpus` are all rows with their `words`; `found` the different ones with base spans:
+    `row_id, text_id, base, words, copies`.
     """
-    mentions = found.withColumn("span", F.explode("base")).withColumn("entity", entity(F.col("span")))
-    start, stop = F.col("span.start"), F.col("span.stop")
-    before = F.substring(F.col("text"), F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
-    after = F.substring(F.col("text"), stop + 1, F.lit(NEAR))
-    near = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" @ ", before, after)), F.lit(WORD), F.lit(0)))
-    held = mentions.select("entity", "row_id").distinct()
-    held = held.groupBy("entity").agg(F.count("*").alias("texts"))
-    # row_id is a text of a document: copies of the text are told by its hash
-    close = mentions.select("entity", "row_id", "text_id", F.explode(near).alias("term")).distinct()
-    texts = close.select("entity", "term", "text_id").distinct()
-    texts = texts.groupBy("entity", "term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support)
-    documents = close.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    pairs = materialise(texts.join(documents, ["entity", "term"]).drop("texts"))
-    terms = materialise(pairs.select("term").distinct())
-    if terms.isEmpty():
-        return pairs.select("entity", "term")
-    # documents with each candidate term, over the whole corpus
-    own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    words = docs.select(F.explode(own).alias("term"))
-    side = F.broadcast(terms) if is_small(terms) else terms
-    term_counts = words.join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.count()
-    known = pairs.join(term_counts, "term").join(held.withColumnRenamed("texts", "with_entity"), "entity")
-    worth = -F.log(F.col("with_entity") / total)
-    told = F.log(F.col("together") / F.col("with_term")) + worth
-    return materialise(known.where((worth > 0) & (told >= threshold * worth)).select("entity", "term"))
+    total = corpus.count()
+    own = F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")
+    held = materialise(found.select("row_id", "text_id", "copies", own))
+    texts = held.groupBy("entity", "text_id").agg(F.sum("copies").alias("copies"))
+    worth = F.log(F.lit(float(max(total, 1))) / F.col("with_entity"))
+    entities = (
+        texts.groupBy("entity")
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+        .withColumn("worth", worth)
+        .where((F.col("texts") >= support) & (F.col("worth") > 0))
+        .withColumn("most", F.col("with_entity") * F.exp((1 - threshold) * F.col("worth")))
+        .drop("texts")
+    )
+    entities = materialise(entities)
+    # rounding may not lose a pair: the exact condition follows
+    most = (entities.agg(F.max("most")).first()[0] or 0.0) * (1 + 1e-9)
+    # documents with each word, over the whole corpus
+    counts = corpus.select(F.explode("words").alias("term")).groupBy("term")
+    counts = counts.agg(F.count("*").alias("with_term"))
+    rare = materialise(counts.where((F.col("with_term") >= support) & (F.col("with_term") <= most)))
+    held = materialise(held.join(sent(entities), "entity"))
+    ids = materialise(held.select("row_id").distinct())
+    words = found.join(sent(ids), "row_id", "left_semi").select("row_id", F.explode("words").alias("term"))
+    pairs = words.join(sent(rare), "term").join(held, "row_id")
+    pairs = pairs.where(F.col("with_term") <= F.col("most") * (1 + 1e-9))
+    pair = ["entity", "term", "worth", "with_term"]
+    together = pairs.groupBy(*pair, "text_id").agg(F.sum("copies").alias("copies"))
+    together = together.groupBy(*pair).agg(F.count("*").alias("texts"), F.sum("copies").alias("together"))
+    told = F.log(F.col("together") / F.col("with_term")) + F.col("worth")
+    enough = (F.col("texts") >= support) & (told >= threshold * F.col("worth"))
+    return materialise(together.where(enough).select("entity", "term"))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -159,36 +222,41 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_id", text_id).withColumn("row_id", F.xxhash64("doc_id", "text_id"))
 
 
+def term_spans(rows: DataFrame, corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """`row_id, terms`: the spans of the words in `terms` in every row that has any."""
+    words = corpus.select("row_id", F.explode("words").alias("term"))
+    holders = materialise(words.join(terms, "term", "left_semi").select("row_id").distinct())
+    texts = rows.join(sent(holders), "row_id", "left_semi").groupBy("row_id").agg(F.first("text").alias("text"))
+    hits = texts.withColumn("hits", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    spans = hits.select("row_id", F.explode(placed(F.col("text"), F.lit(WORD), F.col("hits"), TERM)).alias("span"))
+    marked = spans.withColumn("term", F.lower("span.value")).join(terms, "term", "left_semi")
+    order = F.sort_array(F.collect_list(F.struct("span.start", "span")))
+    return marked.groupBy("row_id").agg(order["span"].alias("terms"))
+
+
 def all_spans(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """Per row: `doc_id, row_id`, the `base` spans, and the `terms` spans that the method adds.
 
     Term spans that overlap a base span are part of it and not listed.
     """
     rows = identified(docs.select("doc_id", "text"))
-    based = base_spans(rows)
-    found = materialise(based.where(F.size("base") > 0))
-    revealing = revealing_terms(rows, found, threshold, support)
-    entities = found.select("row_id", F.explode(F.transform("base", entity)).alias("entity")).distinct()
-    side = F.broadcast(revealing) if is_small(revealing) else revealing
-    wanted = entities.join(side, "entity").groupBy("row_id").agg(F.array_sort(F.collect_set("term")).alias("words"))
-    wanted = materialise(wanted)
-    distinct = found.dropDuplicates(["row_id"])
-    # a document's own terms, whole words in any case
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.concat_ws("|", "words"), F.lit(r")(?!\p{L})"))
-    marked = distinct.join(F.broadcast(wanted) if is_small(wanted) else wanted, "row_id")
-    marked = marked.withColumn("pattern", pattern)
-    marked = marked.withColumn("hits", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    spans = placed(F.col("text"), F.col("pattern"), F.col("hits"), TERM)
+    corpus = materialise(scanned(rows))
+    found = corpus.where(F.size("base") > 0).groupBy("row_id", "text_id")
+    found = found.agg(F.first("base").alias("base"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    found = materialise(found)
+    revealing = revealing_terms(corpus, found, threshold, support)
+    terms = materialise(revealing.select("term").distinct())
+    marked = materialise(term_spans(rows, corpus, sent(terms)))
+    nothing = F.array().cast(SPANS)
+    both = found.select("row_id", "base").join(marked, "row_id", "full")
+    both = both.select("row_id", F.coalesce("base", nothing).alias("base"), F.coalesce("terms", nothing).alias("terms"))
     clear = F.filter(
-        spans,
+        "terms",
         lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
-    terms = materialise(marked.select("row_id", clear.alias("terms")))
-    both = distinct.select("row_id", "base").join(terms, "row_id", "left")
-    both = materialise(both.withColumn("terms", F.coalesce("terms", F.array().cast(SPANS))))
+    both = materialise(both.withColumn("terms", clear))
     plain = rows.select("doc_id", "row_id")
-    out = plain.join(F.broadcast(both) if is_small(both) else both, "row_id", "left")
-    nothing = F.array().cast(SPANS)
+    out = plain.join(sent(both), "row_id", "left")
     return out.select(
         "doc_id",
         "row_id",
@@ -219,7 +287,8 @@ def sanitised(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> Data
         F.concat("base", "terms"),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]),
     )
-    found = spans.where(F.size("base") > 0).select("row_id", ordered.alias("spans"))
+    some = (F.size("base") > 0) | (F.size("terms") > 0)
+    found = spans.where(some).select("row_id", ordered.alias("spans"))
     found = materialise(found.dropDuplicates(["row_id"]))
     text_id = F.xxhash64(F.coalesce("text", F.lit("")))
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
