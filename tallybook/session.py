@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import time
 import uuid
 
@@ -18,6 +19,8 @@ FEW_SPLITS = 32
 COLLECT_EVERY = 15.0
 _folders: set[str] = set()
 _collected = [0.0]
+# Folders of the scratch files that each thread has made, in order.
+_made = threading.local()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -82,7 +85,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(remove, spark, folder)
-    return f"{folder}/{uuid.uuid4().hex}/{name}"
+    own = f"{folder}/{uuid.uuid4().hex}"
+    made_here().append(own)
+    return f"{own}/{name}"
+
+
+def made_here() -> list[str]:
+    if not hasattr(_made, "folders"):
+        _made.folders = []
+    return _made.folders
+
+
+def keep_last(spark: SparkSession, first: int) -> None:
+    """Delete this thread's scratch files made since there were `first`, all but the last.
+
+    For the driver of several steps that has just written a step's whole result: nothing
+    but that result may be read any more.
+    """
+    made = made_here()
+    for folder in made[first:-1]:
+        remove(spark, folder)
+    del made[first:-1]
 
 
 def remove(spark: SparkSession, folder: str) -> None:
