@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import disclosure, jaccard, mixing, packing, toxicity
 from tallybook.llm.queries import MIX_WEIGHTS, held_out, table
-from tallybook.session import is_small, materialise
+from tallybook.session import is_small, keep_last, made_here, materialise
 
 # Models and tokenizers are beyond SQL; the stages' operators have their own checks.
 ORACLE_SQL = None
@@ -92,7 +92,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Once a stage is written, all tables before it go."""
+    first = len(made_here())
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        keep_last(spark, first)
     return docs
