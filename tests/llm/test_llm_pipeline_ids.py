@@ -1,8 +1,10 @@
 """The pipeline's near-duplicate stage with null and repeated ids."""
 
+import os
 import random
 
 import corpus_pipeline
+import pytest
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -22,3 +24,15 @@ def test_ids_link_no_texts(spark):
     assert kept.columns == docs.columns
     wanted = [(5, five), (9, nine), (None, lone), (None, other), (None, None), (None, ""), *rows[9:12], (4, None)]
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables absent")
+def test_run_leaves_the_last_table_only(spark):
+    import corpus_pipeline
+    from tallybook.session import made_here
+
+    first = len(made_here())
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(made_here()) == first + 1
+    pieces = found.collect()
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) > 0
