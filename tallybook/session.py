@@ -7,6 +7,7 @@ import tempfile
 import threading
 import time
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ _folders: set[str] = set()
 _collected = [0.0]
 # Folders of the scratch files that each thread has made, in order.
 _made = threading.local()
+# The folder of every table that `materialise` returned.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -49,7 +52,18 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     drop_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path.rsplit("/", 1)[0]
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` returned; nothing may read them any more."""
+    for table in tables:
+        folder = _written.pop(table)
+        remove(table.sparkSession, folder)
+        if folder in made_here():
+            made_here().remove(folder)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
