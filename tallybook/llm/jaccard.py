@@ -33,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.components import components
 from tallybook.llm.occurrences import repeated_values
 from tallybook.llm.text import pieces, run_hashes, windows, words
-from tallybook.session import is_small, materialise
+from tallybook.session import discard, is_small, keep_last, made_here, materialise
 
 # Counters of the shingle order; a shingle counts into one of them by its hash.
 COUNTER_BITS = 18
@@ -47,8 +48,11 @@ COUNTER_BITS = 18
 MINIMA = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 7)], np.uint64)
 # A pivot must share this many of them with a set to be compared with it.
 AGREE = 2
-# Classes of the shingle universe; counts per class bound the difference of two sets.
+# Least classes of the shingle universe; counts per class bound the difference of two sets.
+# A set has at most two shingles a class, so that long unrelated sets differ as clearly as short ones.
 CLASSES = 128
+# Counts that a task compares at once.
+COUNTS = 1 << 21
 # Members of a cell, or pivots near it, that are compared at once.
 BLOCK = 4096
 LAST = 2**63 - 1
@@ -92,6 +96,18 @@ def counter_levels(docs: DataFrame, size: int) -> np.ndarray:
     return np.floor(8 * np.log2(np.maximum(counts / mean, 1.0))).astype(np.uint8)
 
 
+def class_counts(found: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each class; a power of two classes, by low bits."""
+    number = max(CLASSES, 1 << max(len(found) - 1, 1).bit_length() - 1)
+    held = np.bincount((found & np.uint64(number - 1)).astype(np.int64), minlength=number)
+    return held.astype(np.uint16)
+
+
+def folded(counts: np.ndarray, number: int) -> np.ndarray:
+    """The counts of fewer classes: their numbers are the low bits of the finer ones."""
+    return counts.reshape(-1, number).sum(axis=0, dtype=np.int32)
+
+
 def needed(n: int, percent: int) -> int:
     """The least overlap of a set of n with any set it links with."""
     return -(-percent * n // 100)
@@ -113,8 +129,7 @@ def scan(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFr
                     first = np.argsort(common, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
                     prefixes.append(found[first].view(np.int64))
                     minima.append([(found * m).min() for m in MINIMA] if n else [0] * len(MINIMA))
-                    held = np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                    classes.append(np.minimum(held, 65535).astype(np.uint16).tobytes())
+                    classes.append(class_counts(found).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"),
@@ -196,12 +211,12 @@ def distances(
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (
-                    np.frombuffer(b"".join(batch.column(f"classes_{s}").to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64)
-                    for s in "ab"
-                )
                 total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                differ = np.abs(a - b).sum(axis=1)
+                differ = np.empty(batch.num_rows)
+                for i, sides in enumerate(zip(batch.column("classes_a"), batch.column("classes_b"))):
+                    a, b = (np.frombuffer(side.as_py(), np.uint16) for side in sides)
+                    number = min(len(a), len(b))
+                    differ[i] = np.abs(folded(a, number) - folded(b, number)).sum()
                 # distance >= differ / largest possible union
                 bound = 200.0 * differ / np.maximum(total + differ, 1)
                 keep = bound <= batch.column("reach").to_numpy() + 1e-6
@@ -226,7 +241,8 @@ def distances(
                     names=["a", "b", "overlap", "n_a", "n_b"],
                 )
 
-    close = sided(pairs, outlines, "n", "classes")
+    wanted = materialise(pairs.selectExpr("explode(array(a, b)) AS key").distinct())
+    close = sided(pairs, joined(outlines, wanted, "key", "left_semi"), "n", "classes")
     close = close.select("a", "b", "reach", "n_a", "n_b", "classes_a", "classes_b")
     close = materialise(close.mapInArrow(near, "a long, b long").distinct())
     sets = sets_of(rows, either(close, outlines), size)
@@ -252,6 +268,7 @@ def cells(
     links, assigned = [], []
     alone = alike.withColumn("order", F.struct("own", F.xxhash64("key").alias("hash")))
     for _ in range(2):
+        before = len(made_here())
         grouped = alone.select("key", "n", "order", F.posexplode("minima").alias("which", "value"))
         pivots = grouped.groupBy("which", "value").agg(
             F.min(F.struct("order", "key", "n")).alias("pivot"), F.count("*").alias("held")
@@ -266,6 +283,7 @@ def cells(
         pairs = materialise(pairs.where(F.col("agree") >= AGREE).select("a", "b"))
         found = distances(pairs, rows, outlines, size, str(100 - percent))
         found = materialise(found.where(linked(percent)))
+        keep_last(rows.sparkSession, before)
         links.append(found.select("a", "b"))
         # pivots keep their own cells
         own = materialise(found.select(F.col("b").alias("key")).distinct())
@@ -317,8 +335,11 @@ def members_near(both: DataFrame, assigned: DataFrame, outlines: DataFrame, radi
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if held.num_rows and asked.num_rows:
+            number = min(pc.min(pc.binary_length(t.column("classes"))).as_py() // 2 for t in (held, asked))
+            # rounded down to a power of two: larger blocks compare coarser counts
+            number = min(number, max(CLASSES, 1 << (COUNTS // held.num_rows).bit_length() - 1))
             x, q = (
-                np.frombuffer(b"".join(t.column("classes").to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+                np.stack([folded(np.frombuffer(c.as_py(), np.uint16), number) for c in t.column("classes")])
                 for t in (held, asked)
             )
             keys, sizes, far = (held.column(c).to_numpy() for c in ("key", "n", "far"))
@@ -343,10 +364,12 @@ def members_near(both: DataFrame, assigned: DataFrame, outlines: DataFrame, radi
     def every(of: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)).alias(of[0])
 
-    held = joined(assigned.where("key <> cell").withColumnRenamed("cell", "p"), blocks, "p").join(outlines, "key")
+    held = materialise(joined(assigned.where("key <> cell").withColumnRenamed("cell", "p"), blocks, "p"))
+    held = joined(outlines, held, "key")
     held = held.select("p", "key", "n", "far", "classes", block("key", "x_blocks"), "q_blocks")
     held = held.select("p", "key", "n", "far", "classes", "x", every("q_blocks"))
-    asked = joined(both, blocks, "p").join(outlines.withColumnRenamed("key", "q"), "q")
+    asked = materialise(joined(both, blocks, "p"))
+    asked = joined(outlines.withColumnRenamed("key", "q"), asked, "q")
     asked = asked.withColumnRenamed("q", "pivot")
     asked = asked.select("p", "pivot", "n", "apart", "far_b", "classes", block("pivot", "q_blocks"), "x_blocks")
     asked = asked.select("p", "pivot", "n", "apart", "far_b", "classes", "q", every("x_blocks"))
@@ -366,6 +389,7 @@ def cell_links(
 ) -> DataFrame:
     """At least one link `a, b` of every two cells that have links, from pairs of pivots."""
     radius = 100 - percent
+    before = len(made_here())
     radii = materialise(assigned.groupBy(F.col("cell").alias("key")).agg(F.max("far").alias("far")))
     sides = pairs
     for side in "ab":
@@ -374,8 +398,10 @@ def cell_links(
     sides = materialise(sides.fillna(0.0, ["far_a", "far_b"]))
     met = distances(sides, rows, outlines, size, f"{radius} + far_a + far_b")
     met = materialise(met.join(sides, ["a", "b"]))
+    keep_last(rows.sparkSession, before)
     links = met.where(linked(percent)).select("a", "b")
     # pivots too far apart to link, near enough for members to
+    before = len(made_here())
     open_ = met.where(f"NOT ({linked(percent)}) AND far_a + far_b > 0 AND distance <= {radius} + far_a + far_b + 1e-6")
     open_ = materialise(open_.selectExpr("a AS p", "b AS q", "distance AS apart", "far_a", "far_b"))
     both = materialise(
@@ -384,6 +410,7 @@ def cell_links(
     members = materialise(members_near(both, assigned, outlines, radius))
     reached = distances(members.select("a", "b", "far_q").distinct(), rows, outlines, size, f"{radius} + far_q")
     reached = materialise(reached.join(members, ["a", "b"]))
+    keep_last(rows.sparkSession, before)
     hits = reached.where(linked(percent))
     links = links.unionByName(hits.select("a", "b"))
     done = materialise(hits.selectExpr("least(p, b) AS lo", "greatest(p, b) AS hi").distinct())
@@ -404,6 +431,7 @@ def cell_links(
 def link_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: `doc` (its id, `LAST` if null), `text_id` (a hash of its text), `n_shingles` of
     its set and `part`, which names the component of the set; null if it is empty."""
+    spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
     rows = docs.select(doc, F.xxhash64("text").alias("key"), "text")
     levels = counter_levels(rows, size)
@@ -415,7 +443,10 @@ def link_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     firsts = materialise(firsts)
     first = scanned.join(firsts, ["doc", "key", "digest"])
     distinct = first.select("doc", "key", "n", "digest", "prefix", "minima", "classes")
-    distinct = materialise(distinct.dropDuplicates(["key", "digest"]))
+    # a digest has one `doc` and `key` here: the join's partitioning serves
+    distinct = materialise(distinct.dropDuplicates(["doc", "key", "digest"]))
+    known = materialise(scanned.select("doc", "key", "n", "digest"))
+    discard(scanned)
     shared = materialise(repeated_values(distinct, "prefix").withColumnRenamed("value", "shingle"))
     postings = distinct.select("key", "n", F.posexplode("prefix").alias("at", "shingle"))
     # the shared shingles grow with the corpus: a shuffle join, at every size
@@ -426,16 +457,21 @@ def link_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     alike = materialise(
         alike.select("doc", "key", "n", "minima", "classes", (F.size("prefix") - F.col("with_others")).alias("own"))
     )
+    discard(distinct, shared, candidates)
     outlines = alike.select("doc", "key", "n", "classes")
     assigned, links = cells(alike.drop("classes", "doc"), rows, outlines, size, percent)
     named = assigned.select("key", "cell")
     in_cells = joined(postings, materialise(named), "key", "left").withColumn("cell", F.coalesce("cell", "key"))
-    pairs = apart(materialise(region_pairs(in_cells, percent)), links)
+    before = len(made_here())
+    met = materialise(region_pairs(in_cells, percent))
+    keep_last(spark, before)
+    discard(postings)
+    pairs = apart(met, links)
     links = links.unionByName(cell_links(pairs, assigned, rows, outlines, size, percent))
     found = materialise(components(links))
     parts = joined(firsts.select("digest", "key"), found.withColumnRenamed("node", "key"), "key", "left")
     parts = materialise(parts.select("digest", F.coalesce("component", "key").alias("part")))
-    out = joined(scanned.select("doc", "key", "n", "digest"), parts, "digest", "left")
+    out = joined(known, parts, "digest", "left")
     return out.selectExpr("doc", "key AS text_id", "n AS n_shingles", "part")
 
 

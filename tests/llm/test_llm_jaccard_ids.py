@@ -87,3 +87,21 @@ def test_a_row_in_a_cell_does_not_hide_another_of_its_id(spark):
         rows += [(100 + n, " ".join([*base[:-1], f"more{n}"])), (100 + n, b), (200 + n, y)]
     found = jaccard.link_documents(spark.createDataFrame(rows, SCHEMA), 2, 60).collect()
     assert {r.doc_id: r.component_id for r in found} == {k: 0 for k, _ in rows}
+
+
+def test_class_counts_never_overstate_a_difference():
+    """Folded counts bound the symmetric difference; long unrelated sets are told apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 1), (1, 1), (128, 129), (300, 4000), (5000, 4100), (70000, 69000)):
+        one = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([one[: n // 2], rng.integers(0, 2**63, m, dtype=np.uint64)]))
+        counts = jaccard.class_counts(one), jaccard.class_counts(other)
+        number = min(map(len, counts))
+        differ = int(np.abs(jaccard.folded(counts[0], number) - jaccard.folded(counts[1], number)).sum())
+        assert differ <= len(np.setxor1d(one, other))
+        assert [int(c.sum()) for c in counts] == [len(one), len(other)]
+    a, b = (jaccard.class_counts(rng.integers(0, 2**63, 4000, dtype=np.uint64)) for _ in range(2))
+    differ = int(np.abs(a.astype(int) - b.astype(int)).sum())
+    assert 200 * differ > 50 * (8000 + differ)
