@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import content_key
-from tallybook.operators.lookup import join_key_values, key_counts
+from tallybook.operators.lookup import join_key_values, key_counts, mark_keys, split_by_keys
 from tallybook.session import join_null_safe, materialise
 from tallybook.spec import CatalogSpec
 
@@ -29,9 +29,20 @@ def _split_by_suspicion(df: DataFrame, columns: list[str]) -> tuple[DataFrame, D
     if not suspects.limit(1).count():
         return df, None
     hashed = df.withColumn(_HASH, F.xxhash64(*columns))
-    marked = join_key_values(hashed, suspects, [_HASH], _COPIES).drop(_HASH)
-    is_shared = F.col(_COPIES).isNotNull()
-    return marked.where(~is_shared).drop(_COPIES), marked.where(is_shared).drop(_COPIES)
+    alone, shared = split_by_keys(hashed, suspects, [_HASH], _COPIES)
+    return alone.drop(_HASH), shared.drop(_HASH)
+
+
+def split_by_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with a key of their own, and the rows that share theirs, if any.
+
+    Keys are counted on `keys` alone. Equal rows share their key, so that whatever is done
+    about repeats concerns the second part only.
+    """
+    repeated = materialise(key_counts(df, keys, _COPIES).where(F.col(_COPIES) > 1))
+    if not repeated.limit(1).count():
+        return df, None
+    return split_by_keys(df, repeated, keys, _COPIES)
 
 
 @dataclass(frozen=True)
@@ -95,8 +106,7 @@ def flag_key_repeats(
         weights = df.select(*keys, F.lit(1).alias(_COPIES))
     counts = weights.groupBy(*keys).agg(F.sum(_COPIES).alias(_COPIES))
     repeated = materialise(counts.where(F.col(_COPIES) > 1))
-    marked = join_key_values(df, repeated, keys, _COPIES)
-    return marked.withColumn(name, F.col(_COPIES).isNotNull()).drop(_COPIES)
+    return mark_keys(df, repeated, keys, _COPIES, name)
 
 
 def flag_keys_of_distinct(df: DataFrame, distinct: Distinct, keys: list[str], name: str) -> DataFrame:
@@ -158,14 +168,16 @@ def one_row_per_key(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
     The order never looks at the score. Rows that tie on it are told apart by a
     digest of the identifying columns, then by the row hash, neither of which
-    follows the score's size.
+    follows the score's size. Rows with a key of their own are not moved; `df`
+    is read more than once.
     """
     raw = spec.raw_columns(df.columns)
     order = [F.asc_nulls_last(spec.year), F.asc_nulls_last(spec.segment)]
     if spec.identity:
         order.append(content_key(list(spec.identity)))
     order.append(F.xxhash64(*raw))
-    kept = first_per_key(df, spec.key, order)
+    alone, shared = split_by_key(df, spec.key)
+    kept = alone if shared is None else alone.unionByName(first_per_key(shared, spec.key, order))
     # recomputed: one row per key leaves no repeats
     return kept.withColumn(spec.key_repeat, F.lit(False))
 

@@ -9,11 +9,12 @@ from tallybook.functions.expressions import flag, period_of, tier_of
 from tallybook.operators.dedup import (
     distinct_rows,
     flag_exact_repeats,
-    flag_key_repeats,
     flag_keys_of_distinct,
     one_row_per_key,
     repeat_stats,
+    split_by_key,
 )
+from tallybook.session import materialise
 from tallybook.spec import CatalogSpec
 
 
@@ -50,26 +51,34 @@ def add_row_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
 
 
 def add_derived_fields(df: DataFrame, spec: CatalogSpec) -> DataFrame:
-    """All derived columns, both duplicate flags included."""
+    """All derived columns, both duplicate flags included.
+
+    Equal rows share their key: only rows with a repeated key are compared.
+    """
     columns = spec.raw_columns(df.columns)
-    raw = df.select(*columns)
-    flagged = flag_key_repeats(
-        flag_exact_repeats(raw, columns, spec.exact_repeat),
-        spec.key,
-        spec.key_repeat,
-        raw.select(*spec.key, F.lit(1).alias("_copies")),
-    )
+    alone, shared = split_by_key(df.select(*columns), spec.key)
+    no = F.lit(False)
+    flagged = alone.withColumn(spec.exact_repeat, no).withColumn(spec.key_repeat, no)
+    if shared is not None:
+        repeated = flag_exact_repeats(materialise(shared), columns, spec.exact_repeat)
+        flagged = flagged.unionByName(repeated.withColumn(spec.key_repeat, F.lit(True)))
     return add_row_fields(flagged, spec)
 
 
 def primary_with_stats(raw: DataFrame, spec: CatalogSpec) -> tuple[DataFrame, DataFrame]:
     """Exact duplicates removed, key repeats kept and flagged; and what was removed."""
     raw = raw.select(*spec.raw_columns(raw.columns))
-    distinct = distinct_rows(raw, raw.columns)
-    flagged = flag_keys_of_distinct(raw, distinct, spec.key, spec.key_repeat)
+    alone, shared = split_by_key(raw, spec.key)
+    flagged, groups = alone.withColumn(spec.key_repeat, F.lit(False)), None
+    if shared is not None:
+        shared = materialise(shared)
+        distinct = distinct_rows(shared, raw.columns)
+        groups = distinct.groups
+        kept = flag_keys_of_distinct(shared, distinct, spec.key, spec.key_repeat)
+        flagged = flagged.unionByName(kept)
     # distinct rows cannot repeat, so their flag needs no further pass
     primary = add_row_fields(flagged.withColumn(spec.exact_repeat, F.lit(False)), spec)
-    return primary, repeat_stats(raw, distinct.groups)
+    return primary, repeat_stats(raw, groups)
 
 
 def primary_dataset(raw: DataFrame, spec: CatalogSpec) -> DataFrame:

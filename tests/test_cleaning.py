@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import expressions as X
 from tallybook.operators import audit, dedup, derive, lookup, metrics, quantiles, segments
 from tallybook.presets import MUSIC
+from tallybook.session import materialise
 
 SCHEMA = (
     "track string, artist_1 string, release_date int, release_decade int, album_type string, "
@@ -295,3 +296,70 @@ def test_audit_of_bands_and_missing_values(raw):
     assert all(r.is_disjoint for r in audit.band_recovery(banded, MUSIC).collect())
     crossed = raw.withColumn("popularity", F.when(F.col("popularity_score") == 33, "x").otherwise("y"))
     assert not all(r.is_disjoint for r in audit.band_recovery(crossed, MUSIC).collect())
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_with_a_key_of_their_own_stay(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    rows = spark.range(4000).select(
+        "id",
+        F.when(F.col("id") % 500 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"),
+        F.lit("x" * 50).alias("v"),
+    )
+    alone, shared = dedup.split_by_key(rows, ["k"])
+    assert {r.id for r in shared.collect()} == set(range(0, 4000, 500))
+    assert {r.id for r in alone.collect()} == set(range(4000)) - set(range(0, 4000, 500))
+    assert alone.columns == shared.columns == rows.columns
+    flagged = dedup.flag_key_repeats(rows, ["k"], "again")
+    assert flagged.where("again").count() == 8 and flagged.count() == 4000
+
+
+def test_full_filter_loses_no_row(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    monkeypatch.setattr(lookup, "FILTER_BYTES", lookup.CHUNK_BITS // 8)
+    monkeypatch.setattr(lookup, "KEY_BITS", 100)
+    rows = spark.range(60_000).select((F.col("id") % 40_000).alias("k"))
+    flagged = dedup.flag_key_repeats(rows, ["k"], "again")
+    wrong = flagged.where(F.col("again") != (F.col("k") < 20_000)).count()
+    assert flagged.count() == 60_000 and wrong == 0
+
+
+def moved_rows(spark, name, make):
+    """Rows that the exchanges of the final plan of `make()` wrote."""
+    df = make()
+    df.write.format("noop").mode("overwrite").save()
+    seen, rows = set(), 0
+    plans = [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while plans:
+        plan = plans.pop()
+        kind = plan.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            plans.append(plan.executedPlan())
+            continue
+        if kind == "Exchange" and plan.id() not in seen:
+            seen.add(plan.id())
+            metric = plan.metrics().get(name)
+            rows += metric.get().value() if metric.isDefined() else 0
+        children = plan.children() if "QueryStage" not in kind else None
+        if children is None:
+            plans.append(plan.plan())
+        else:
+            plans += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_few_repeats_move_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    rows = [(f"t{i // 2 if i < 100 else i}", "x", 2000 + i % 9, 2000, "album", i % 100, 0.1, None, 60_000, 0.0)
+            for i in range(5000)]
+    rows += rows[:10]
+    raw = materialise(spark.createDataFrame(rows, SCHEMA))
+    for make, n in (
+        (lambda: derive.add_derived_fields(raw, MUSIC), 5010),
+        (lambda: derive.primary_dataset(raw, MUSIC), 5000),
+        (lambda: derive.sensitivity_dataset(raw, MUSIC), 4950),
+    ):
+        assert make().count() == n
+        assert moved_rows(spark, "shuffleRecordsWritten", make) < 1500
