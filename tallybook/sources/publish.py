@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.expressions import flag
+from tallybook.session import COMPRESSION
 from tallybook.spec import CatalogSpec
 
 
@@ -19,7 +20,7 @@ def write_datasets(datasets: dict[str, DataFrame], folder: str) -> dict[str, Dat
     written = {}
     for name, df in datasets.items():
         path = f"{folder.rstrip('/')}/{name}.parquet"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
         written[name] = df.sparkSession.read.schema(df.schema).parquet(path)
     return written
 
