@@ -88,7 +88,8 @@ def dq_missing_selected(spark, folder):
 
 @query
 def dq_flag_counts(spark, folder):
-    fields = _fields(spark, folder, "item", "creator")
+    # written, as keys are counted before rows are flagged
+    fields = materialise(_fields(spark, folder, "item", "creator"))
     flagged = dedup.flag_key_repeats(fields, LINES.key, LINES.key_repeat)
     return audit.flag_counts(flagged, LINES)
 
@@ -215,7 +216,8 @@ def primary_dataset(spark, folder):
 
 @query
 def sensitivity_dataset(spark, folder):
-    rows = derive.add_row_fields(tables.lines(spark, folder), LINES)
+    # written, as keys are counted before rows are chosen
+    rows = derive.add_row_fields(materialise(tables.lines(spark, folder)), LINES)
     return derive.sensitivity_dataset(rows, LINES)
 
 
