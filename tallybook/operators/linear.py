@@ -11,11 +11,12 @@ vectors as long as the design come to the driver (see `wide`).
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +38,7 @@ class DesignError(ValueError):
     """The training rows do not support the design."""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Term:
     """One column of the design and its coefficient (0 for a reference)."""
 
@@ -92,7 +93,7 @@ class _Sums:
     z: np.ndarray | None = None  # sums of features and gap marks
     zz: np.ndarray | None = None
     zy: np.ndarray | None = None
-    levels: dict = field(default_factory=dict)  # (cat, level) -> (n, y, sums of z)
+    levels: dict = field(default_factory=dict)  # (cat, level) -> (n, y, sums of z, None in a wide design)
     pairs: dict = field(default_factory=dict)  # (cat, level, cat, level) -> n
 
 
@@ -164,8 +165,10 @@ def _cells(train: _Rows, numeric: list[str], gaps: list[str], categorical: list[
     return materialise(cells)
 
 
-def _margins(train: _Rows, cells: DataFrame, sets: list[list[str]], c: list[str], sums: list[str]) -> list:
-    """Sums of every seed over the margins of the cells that `sets` names."""
+def _margins(
+    train: _Rows, cells: DataFrame, sets: list[list[str]], c: list[str], sums: list[str]
+) -> Iterator[Row]:
+    """Sums of every seed over the margins of the cells that `sets` names, a partition at a time."""
     grouped = [[F.col(name) for name in ["_key", *group]] for group in sets]
     margins = cells.groupingSets(grouped, "_key", *c).agg(
         F.grouping_id().alias("_set"), *(F.sum(name).alias(name) for name in sums)
@@ -175,7 +178,7 @@ def _margins(train: _Rows, cells: DataFrame, sets: list[list[str]], c: list[str]
     else:
         margins = train.expand(margins.withColumnRenamed("_key", train.key))
         margins = margins.groupBy("seed", "_set", *c).agg(*(F.sum(name).alias(name) for name in sums))
-    return margins.collect()
+    return materialise(margins).toLocalIterator()
 
 
 def _training_sums(train: _Rows, cells: DataFrame, k: int, n_cat: int) -> dict[int, _Sums]:
@@ -183,13 +186,18 @@ def _training_sums(train: _Rows, cells: DataFrame, k: int, n_cat: int) -> dict[i
     c = [f"c{i}" for i in range(n_cat)]
     sums = [name for name in cells.columns if name not in ("_key", *c)]
     result: dict[int, _Sums] = {}
+    # one key per level, however many seeds have it
+    known: dict[tuple, tuple] = {}
     for row in _margins(train, cells, [[], *([a] for a in c)], c, sums):
         s = result.setdefault(row.seed, _Sums())
-        z = np.array([row[f"z{i}"] for i in range(k)])
         # a set bit of the grouping id means the column is summed over
         used = [i for i in range(n_cat) if not row["_set"] >> (n_cat - 1 - i) & 1]
+        # only the Gram matrix needs a level's sums of features, and a wide design has none
+        is_wide = len(s.levels) ** 2 > GRAM_CELLS
+        z = None if used and is_wide else np.array([row[f"z{i}"] for i in range(k)])
         if used:
-            s.levels[used[0], row[c[used[0]]]] = (float(row.n), row.y, z)
+            key = (used[0], row[c[used[0]]])
+            s.levels[known.setdefault(key, key)] = (float(row.n), row.y, z)
             continue
         s.n, s.y, s.yy, s.z = float(row.n), row.y, row.yy, z
         s.zy = np.array([row[f"z{i}y"] for i in range(k)])
@@ -242,10 +250,11 @@ def _columns(model: ModelSpec, sums: _Sums, categorical: list[str]) -> tuple[lis
     references: list[Term] = []
     for feature, reference in model.categorical.items():
         i = categorical.index(feature)
-        levels = sorted(level for k, level in sums.levels if k == i)
-        if reference not in levels:
+        # the keys themselves: they are shared by all seeds
+        levels = sorted((key for key in sums.levels if key[0] == i), key=lambda key: key[1])
+        if (i, reference) not in sums.levels:
             raise DesignError(f"reference level {reference!r} of {feature} not among training rows")
-        dummies += [(i, level) for level in levels if level != reference]
+        dummies += [key for key in levels if key[1] != reference]
         references.append(Term("reference", feature, reference, 0.0))
     return dummies, references
 
@@ -458,6 +467,19 @@ def level_coefficients(spark: SparkSession, fits: list[Fit], top: int | None = N
     return rows.orderBy("seed", "model", F.desc("coef"), "feature", "level")
 
 
+def _contrasts(fit: Fit, feature: str) -> pa.Table:
+    """The level contrasts of one feature, as columns and not as a row object each."""
+    terms = [t for t in fit.terms if t.kind == "level" and t.feature == feature]
+    return pa.table(
+        {
+            "seed": pa.array([fit.seed] * len(terms), pa.int32()),
+            "model": pa.array([fit.name] * len(terms), pa.string()),
+            "level": pa.array([t.level for t in terms], pa.string()),
+            "contrast": pa.array([t.coef for t in terms], pa.float64()),
+        }
+    )
+
+
 def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
     """Raw predictions of every model for the rows of its seed.
 
@@ -488,16 +510,10 @@ def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
         known = F.coalesce(F.col(c), F.col(f"_fill{i}"))
         prediction = prediction + F.col(f"_weight{i}") * (known - F.col(f"_mean{i}"))
     for i, c in enumerate(categorical):
-        contrasts = [
-            (f.seed, f.name, t.level, t.coef)
-            for f in fits
-            for t in f.terms
-            if t.kind == "level" and t.feature == c
-        ]
-        table = spark.createDataFrame(
-            contrasts, f"seed int, model string, {c} string, _contrast{i} double"
-        )
-        side = F.broadcast(table) if len(contrasts) * LINE_BYTES <= BROADCAST_BYTES else table
+        parts = [_contrasts(f, c) for f in fits]
+        contrasts = pa.concat_tables(parts).rename_columns(["seed", "model", c, f"_contrast{i}"])
+        table = spark.createDataFrame(contrasts)
+        side = F.broadcast(table) if contrasts.num_rows * LINE_BYTES <= BROADCAST_BYTES else table
         scored = scored.join(side, ["seed", "model", c], "left")
         prediction = prediction + F.coalesce(F.col(f"_contrast{i}"), F.lit(0.0))
     return scored.select(*rows.columns, "model", prediction.alias("prediction"))

@@ -67,6 +67,7 @@ def solve(
     """
     levels = [sorted({lv for s in systems for i, lv in s.dummies if i == c}) for c in range(n_cat)]
     places = [{level: place for place, level in enumerate(known)} for known in levels]
+    at = [_level_places(s, places) for s in systems]
     scales = [1 / np.sqrt(s.diagonal()) for s in systems]
     x = [np.zeros(s.width) for s in systems]
     residual = [scale * s.right_side() for s, scale in zip(systems, scales)]
@@ -80,7 +81,7 @@ def solve(
             return [scale * v for scale, v in zip(scales, x)]
         chosen = [systems[i] for i in waiting]
         vectors = [scales[i] * step[i] for i in waiting]
-        products = _multiply(cells, chosen, vectors, levels, places, n_z, bits)
+        products = _multiply(cells, chosen, vectors, levels, [at[i] for i in waiting], n_z, bits)
         for i, product in zip(waiting, products):
             product = scales[i] * product
             alpha = size[i] / float(step[i] @ product)
@@ -92,12 +93,20 @@ def solve(
     raise ArithmeticError("the wide design did not converge")
 
 
+def _level_places(system: System, places: list[dict[str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per category the dummies of the system and the places of their levels."""
+    category = np.array([c for c, _ in system.dummies], dtype=np.int32)
+    place = np.array([places[c][level] for c, level in system.dummies], dtype=np.int64)
+    own = [np.flatnonzero(category == c) for c in range(len(places))]
+    return [(some, place[some]) for some in own]
+
+
 def _multiply(
     cells: DataFrame,
     systems: list[System],
     vectors: list[np.ndarray],
     levels: list[list[str]],
-    places: list[dict[str, int]],
+    places: list[list[tuple[np.ndarray, np.ndarray]]],
     n_z: int,
     bits: list[int] | None,
 ) -> list[np.ndarray]:
@@ -111,8 +120,8 @@ def _multiply(
         constant[at] = v[0] + (system.base[chosen] @ v[1 : 1 + p] if p else 0.0)
         if p:
             slopes[:, at] = system.turn[chosen].T @ v[1 : 1 + p]
-        for (c, level), value in zip(system.dummies, v[1 + p :].tolist()):
-            contrasts[c][places[c][level], at] = value
+        for values, (own, place) in zip(contrasts, places[at]):
+            values[place, at] = v[1 + p + own]
     seeds = np.array([s.seed for s in systems])
     places_of = np.array([0 if bits is None else bits.index(s.seed) for s in systems])
 
@@ -155,6 +164,8 @@ def _multiply(
     for at, system in enumerate(systems):
         p = len(system.numeric)
         features = system.turn[system.numeric] @ whole[1 : 1 + n_z, at] + system.base[system.numeric] * whole[0, at]
-        dummies = [whole[begins[c] + places[c][level], at] for c, level in system.dummies]
+        dummies = np.empty(len(system.dummies))
+        for begin, (own, place) in zip(begins, places[at]):
+            dummies[own] = whole[begin + place, at]
         out.append(np.concatenate([[whole[0, at]], features if p else [], dummies]))
     return out

@@ -359,3 +359,23 @@ def test_density_counts_every_row(spark):
     cells = evaluate.density(_predictions(spark, pairs), MUSIC).collect()
     assert sum(c.n for c in cells) == 4
     assert {(c.bin_target, c.bin_prediction) for c in cells} == {(0, 0), (39, 39), (20, 20), (19, 20)}
+
+
+def test_wide_sums_hold_no_features_per_level(rows, monkeypatch):
+    made = []
+    sums = linear._training_sums
+    monkeypatch.setattr(linear, "_training_sums", lambda *a: made.append(sums(*a)) or made[-1])
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    frame = rows.drop("seed", "is_test")
+    held = modeling.hold_out(frame, [LEVELS], [1, 2, 3], baseline=False)
+    kept = [s.levels for s in made[0].values()]
+    # past the first level no array is kept, and seeds share their keys
+    assert all(sum(z is not None for _, _, z in levels.values()) <= 1 for levels in kept)
+    assert len({id(key) for levels in kept for key in levels}) == len({key for levels in kept for key in levels})
+    assert held.predictions.where("prediction IS NULL").count() == 0
+
+
+def test_a_feature_of_one_level_has_no_contrasts(rows):
+    one = rows.withColumn("f", F.lit("only"))
+    fits = linear.fit_models(one, [ModelSpec("m", ("x1",), {"f": "only"})])
+    assert linear.predict(one, fits).where("prediction IS NULL AND x1 IS NOT NULL").count() == 0
