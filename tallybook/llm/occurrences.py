@@ -10,10 +10,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.llm.text import release
+
 # Values one bucket holds, about.
 BUCKET_VALUES = 250_000
 
 
+def blocks(held: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket, the distinct values of a task: those it has once and those it has again."""
+    if not held:
+        return
+    values, counts = np.unique(np.concatenate(held), return_counts=True)
+    bucket = ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    numbers, begin = np.unique(bucket[order], return_index=True)
+    for number, some in zip(numbers.tolist(), np.split(order, begin[1:])):
+        single = counts[some] == 1
+        sent = [values[some][single].tobytes(), values[some][~single].tobytes()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in sent)],
+            names=["bucket", "once", "often"],
+        )
+
+
 def repeated_values(rows: DataFrame, column: str) -> DataFrame:
     """`value` of every long that occurs at least twice in `column`, arrays of longs.
 
@@ -24,22 +43,10 @@ def repeated_values(rows: DataFrame, column: str) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_VALUES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [
-            pc.list_flatten(b.column(0)).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches
-        ]
-        if not held:
-            return
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        bucket = ((values >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        numbers, begin = np.unique(bucket[order], return_index=True)
-        for number, some in zip(numbers.tolist(), np.split(order, begin[1:])):
-            single = counts[some] == 1
-            blocks = [values[some][single].tobytes(), values[some][~single].tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), *(pa.array([b], pa.binary()) for b in blocks)],
-                names=["bucket", "once", "often"],
-            )
+        held = [pc.list_flatten(b.column(0)).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
+        yield from blocks(held, buckets)
+        held = None  # the worker lives on, idle, while others need its memory
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         once = np.frombuffer(b"".join(table.column("once").to_pylist()), np.uint64)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.occurrences import repeated_values
-from tallybook.llm.text import Words, pieces, text_bytes, windows, words
+from tallybook.llm.text import Words, pieces, release, text_bytes, windows, words
 from tallybook.session import is_small, materialise
 
 SEED_WORDS = 6
@@ -75,37 +75,44 @@ def anchors(found: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return seeds, place[starts] if len(starts) else starts, ends
 
 
+def scan_piece(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    """A piece's rows of `scan`."""
+    texts = part.column("text")
+    found = words(texts)
+    data, limits = text_bytes(texts)
+    digests = [
+        hashlib.sha256(b" ".join(data[a:b].tobytes().split())).digest()
+        for a, b in zip(limits[:-1], limits[1:])
+    ]
+    seeds, place, ends = anchors(found, size)
+    # the anchors of a text's windows never move left
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    new[ends[:-1][ends[:-1] < len(place)]] = True
+    offsets = np.concatenate([[0], np.cumsum(new)])[ends].astype(np.int32)
+    values = pa.array(seeds[place[new]].view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("key"),
+            part.column("has_id"),
+            part.column("row_id"),
+            pa.array(np.diff(found.bounds).astype(np.int64)),
+            pa.array(digests, pa.binary()),
+            pa.ListArray.from_arrays(pa.array(offsets), values),
+        ],
+        names=["key", "has_id", "row_id", "n_words", "digest", "anchors"],
+    )
+
+
 def scan(docs: DataFrame, size: int) -> DataFrame:
     """Per row: `key, has_id, row_id, n_words, digest` of all words, and its `anchors`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                texts = part.column("text")
-                found = words(texts)
-                data, limits = text_bytes(texts)
-                digests = [
-                    hashlib.sha256(b" ".join(data[a:b].tobytes().split())).digest()
-                    for a, b in zip(limits[:-1], limits[1:])
-                ]
-                seeds, place, ends = anchors(found, size)
-                # the anchors of a text's windows never move left
-                new = np.ones(len(place), bool)
-                new[1:] = place[1:] != place[:-1]
-                new[ends[:-1][ends[:-1] < len(place)]] = True
-                offsets = np.concatenate([[0], np.cumsum(new)])[ends].astype(np.int32)
-                values = pa.array(seeds[place[new]].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("key"),
-                        part.column("has_id"),
-                        part.column("row_id"),
-                        pa.array(np.diff(found.bounds).astype(np.int64)),
-                        pa.array(digests, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), values),
-                    ],
-                    names=["key", "has_id", "row_id", "n_words", "digest", "anchors"],
-                )
+                yield scan_piece(part, size)
+        batch = part = None  # the worker lives on, idle, while others need its memory
+        release()
 
     has_id = F.col("doc_id").isNotNull().alias("has_id")
     return docs.select("key", has_id, "row_id", "text").mapInArrow(
@@ -113,6 +120,22 @@ def scan(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
+def windows_at(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...] | None:
+    """Hash, check, key, row and start of each window of a piece whose anchor is a seed of its row's piece."""
+    found = words(part.column("text"))
+    seeds, place, ends = anchors(found, size)
+    wanted = pc.list_flatten(part.column("seeds")).to_numpy(zero_copy_only=False)
+    use = np.isin(seeds[place], wanted.view(np.uint64)) if len(place) else np.zeros(0, bool)
+    if not use.any():
+        return None
+    hashes, _ = windows(found, size)
+    text = np.repeat(np.arange(part.num_rows), np.diff(ends))[use]
+    start = (np.arange(len(place)) - np.repeat(ends[:-1], np.diff(ends)))[use]
+    check = (seeds[place[use]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    key = part.column("key").to_numpy()[text]
+    return hashes[use], check, key, part.column("row_id").to_numpy()[text], start.astype(np.int32)
+
+
 def compare_windows(docs: DataFrame, size: int) -> DataFrame:
     """Windows at the seeds of `docs`, compared within the task.
 
@@ -148,24 +171,18 @@ def compare_windows(docs: DataFrame, size: int) -> DataFrame:
         held, count = [], 0
         for batch in batches:
             for part in pieces(batch):
-                found = words(part.column("text"))
-                seeds, place, ends = anchors(found, size)
-                wanted = pc.list_flatten(part.column("seeds")).to_numpy(zero_copy_only=False)
-                use = np.isin(seeds[place], wanted.view(np.uint64)) if len(place) else np.zeros(0, bool)
-                if not use.any():
+                some = windows_at(part, size)
+                if some is None:
                     continue
-                hashes, _ = windows(found, size)
-                text = np.repeat(np.arange(part.num_rows), np.diff(ends))[use]
-                start = (np.arange(len(place)) - np.repeat(ends[:-1], np.diff(ends)))[use]
-                check = (seeds[place[use]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                key = part.column("key").to_numpy()[text]
-                held.append((hashes[use], check, key, part.column("row_id").to_numpy()[text], start.astype(np.int32)))
-                count += len(start)
+                held.append(some)
+                count += len(some[0])
                 if count > WINDOWS_HELD:
                     yield from flush(held)
                     held, count = [], 0
         if held:
             yield from flush(held)
+        batch = part = some = held = None
+        release()
 
     return docs.select("key", "row_id", "text", "seeds").mapInArrow(
         read, "hash long, check int, key long, row_id long, first int, last int"
@@ -223,6 +240,36 @@ def repeated_spans(docs: DataFrame, scanned: DataFrame, size: int = 20) -> DataF
     return spans.unionByName(whole).groupBy("row_id").agg(F.collect_set("span").alias("spans"))
 
 
+def cut_piece(part: pa.RecordBatch) -> pa.RecordBatch:
+    """A piece's rows of `cut_spans`."""
+    data, limits = text_bytes(part.column("text"))
+    held = part.column("spans").to_pylist()
+    total, removed, kept = [], [], []
+    for spans, a, b in zip(held, limits[:-1], limits[1:]):
+        found = data[a:b].tobytes().split()
+        gone = 0
+        total.append(len(found))
+        if spans:
+            edges = np.zeros(len(found) + 1, np.int64)
+            np.add.at(edges, [s["first"] for s in spans], 1)
+            np.add.at(edges, [s["last"] + 1 for s in spans], -1)
+            keep = np.cumsum(edges[:-1]) == 0
+            found = list(compress(found, keep))
+            gone = len(keep) - len(found)
+        removed.append(gone)
+        kept.append(b" ".join(found))
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("doc_id"),
+            part.column("row_id"),
+            pa.array(total, pa.int64()),
+            pa.array(removed, pa.int64()),
+            pa.array(kept, pa.binary()).cast(pa.string()),
+        ],
+        names=["doc_id", "row_id", "n_words", "n_removed", "kept"],
+    )
+
+
 def cut_spans(marked: DataFrame) -> DataFrame:
     """Per row `doc_id, row_id, n_words, n_removed, kept`: the words outside `spans`, joined
     by one space."""
@@ -230,32 +277,9 @@ def cut_spans(marked: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                data, limits = text_bytes(part.column("text"))
-                held = part.column("spans").to_pylist()
-                total, removed, kept = [], [], []
-                for spans, a, b in zip(held, limits[:-1], limits[1:]):
-                    found = data[a:b].tobytes().split()
-                    gone = 0
-                    total.append(len(found))
-                    if spans:
-                        edges = np.zeros(len(found) + 1, np.int64)
-                        np.add.at(edges, [s["first"] for s in spans], 1)
-                        np.add.at(edges, [s["last"] + 1 for s in spans], -1)
-                        keep = np.cumsum(edges[:-1]) == 0
-                        found = list(compress(found, keep))
-                        gone = len(keep) - len(found)
-                    removed.append(gone)
-                    kept.append(b" ".join(found))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("row_id"),
-                        pa.array(total, pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array(kept, pa.binary()).cast(pa.string()),
-                    ],
-                    names=["doc_id", "row_id", "n_words", "n_removed", "kept"],
-                )
+                yield cut_piece(part)
+        batch = part = None
+        release()
 
     return marked.select("doc_id", "row_id", "text", "spans").mapInArrow(
         read, "doc_id long, row_id long, n_words long, n_removed long, kept string"

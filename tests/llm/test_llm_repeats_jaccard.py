@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.llm import components, jaccard, licences, repeats
+from tallybook.llm import components, jaccard, licences, occurrences, repeats
+from tallybook.llm.text import words
 
 SCHEMA = "doc_id long, text string, key string, spans int"
 
@@ -137,3 +140,52 @@ def test_licences_are_found_in_lines_and_whole_texts(spark):
     assert found == {1: (1, "MIT"), 2: (1, "MIT-header"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (0, ""),
                      7: (2, "Apache-2.0,CC-BY-NC"), 8: (1, "MIT")}
     assert licences.document_licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+class Task:
+    """Stands in for a table and keeps the function that its tasks would run."""
+
+    def mapInArrow(self, read, schema):
+        self.read = read
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = applyInArrow = agg = select
+
+    def first(self):
+        return [1000]
+
+
+@pytest.mark.parametrize("step", ["scan", "compare_windows", "cut_spans", "repeated_values"])
+def test_a_task_lets_go_of_its_rows_before_it_gives_memory_back(spark, monkeypatch, step):
+    held, left = [], []
+    for module in (repeats, occurrences):
+        monkeypatch.setattr(module, "release", lambda: left.append([r() for r in held if r() is not None]), raising=False)
+    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 10, 40, 40)]
+    columns = {
+        "anchors": pa.array([[1, 2], [], [2, 3], None], pa.list_(pa.int64())),
+        "doc_id": [1, 2, 3, 4], "key": [1, 2, 3, 4], "has_id": [True] * 4, "row_id": [5, 6, 7, 8], "text": texts,
+        "spans": pa.array([None, [], [{"first": 0, "last": 19}], [{"first": 2, "last": 30}]], span),
+    }
+
+    def batches():
+        for _ in range(2):
+            seeds, _, _ = repeats.anchors(words(pa.array(texts)), 20)
+            found = pa.array([seeds.view("int64").tolist()] * 4, pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_pydict(columns | {"seeds": found})
+            held.append(weakref.ref(batch))
+            yield batch
+
+    task = Task()
+    if step == "repeated_values":
+        occurrences.repeated_values(task, "anchors")
+    else:
+        getattr(repeats, step)(task, *([] if step == "cut_spans" else [20]))
+    for nothing in (iter([]), iter([pa.RecordBatch.from_pydict(columns | {"seeds": columns["anchors"]}).slice(0, 0)])):
+        assert sum(b.num_rows for b in task.read(nothing)) == 0
+    left.clear()
+    assert sum(b.num_rows for b in task.read(batches())) > 0
+    assert left == [[]]
