@@ -511,7 +511,9 @@ def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
         prediction = prediction + F.col(f"_weight{i}") * (known - F.col(f"_mean{i}"))
     for i, c in enumerate(categorical):
         parts = [_contrasts(f, c) for f in fits]
-        contrasts = pa.concat_tables(parts).rename_columns(["seed", "model", c, f"_contrast{i}"])
+        # in one chunk: Spark reads no chunk that comes after an empty one
+        contrasts = pa.concat_tables(parts).combine_chunks()
+        contrasts = contrasts.rename_columns(["seed", "model", c, f"_contrast{i}"])
         table = spark.createDataFrame(contrasts)
         side = F.broadcast(table) if contrasts.num_rows * LINE_BYTES <= BROADCAST_BYTES else table
         scored = scored.join(side, ["seed", "model", c], "left")

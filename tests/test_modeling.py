@@ -379,3 +379,16 @@ def test_a_feature_of_one_level_has_no_contrasts(rows):
     one = rows.withColumn("f", F.lit("only"))
     fits = linear.fit_models(one, [ModelSpec("m", ("x1",), {"f": "only"})])
     assert linear.predict(one, fits).where("prediction IS NULL AND x1 IS NOT NULL").count() == 0
+
+
+def test_a_fit_without_levels_hides_none_of_later_fits(spark):
+    def fit(name, levels):
+        terms = [linear.Term("level", "c", level, coef) for level, coef in levels.items()]
+        model = ModelSpec(name, (), {"c": "r"} if levels else {})
+        return linear.Fit(7, model, 1, 10.0, terms, {}, {}, {}, None, None, 0.0)
+
+    fits = [fit("a", {"s": 1.0}), fit("none", {}), fit("b", {"s": 2.0, "t": 3.0})]
+    rows = spark.createDataFrame([(7, "r"), (7, "s"), (7, "t")], "seed int, c string")
+    found = {(r.model, r.c): r.prediction for r in linear.predict(rows, fits).collect()}
+    assert found == {("a", "r"): 10, ("a", "s"): 11, ("a", "t"): 10, ("none", "r"): 10, ("none", "s"): 10,
+                     ("none", "t"): 10, ("b", "r"): 10, ("b", "s"): 12, ("b", "t"): 13}
