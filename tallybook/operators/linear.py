@@ -4,15 +4,17 @@ A fit needs only sums over the training rows: of the target, the features and th
 products. Rows are summed once per cell of the categories and of the seeds' test mask;
 the sums of a seed's training side are those of the masks that leave its bit unset. A gap
 in a feature is a feature of its own until the seed's median fills it, so rows are never
-copied per seed. A narrow design is solved by its normal equations; of a wide one only
-vectors as long as the design come to the driver (see `wide`).
+copied per seed. A narrow design is solved by its normal equations; the contrasts of a
+wide one are tables, of whose largest no level comes to the driver (see `wide`).
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,16 @@ from pyspark.sql import types as T
 
 from tallybook.operators import wide
 from tallybook.operators.frame import TARGET
+from tallybook.operators.lookup import join_key_values
 from tallybook.operators.quantiles import exact_quantiles
 from tallybook.operators.splits import MASK, by_seed
 from tallybook.session import BROADCAST_BYTES, materialise
 from tallybook.spec import ModelSpec
 
-# Cells of the Gram matrices of all seeds that the driver holds; beyond them it holds vectors only.
+# Cells of the Gram matrices of all seeds that the driver holds; beyond them no matrix is made.
 GRAM_CELLS = 4_000_000
+# Columns of rows that bring the contrasts of their levels with them.
+BROUGHT = "_contrasts_"
 # Bytes of one line of contrasts, about.
 LINE_BYTES = 64
 BASELINE = ModelSpec("baseline")
@@ -52,6 +57,64 @@ class Term:
         return self.feature if self.level is None else f"{self.feature}={self.level}"
 
 
+@dataclass(frozen=True, eq=False)
+class Contrasts:
+    """The level contrasts of the fits of a wide design, shared by them.
+
+    A feature's table has `level, n, coefs`: `n` rows of the level, and a contrast for each
+    system (seed and model), NULL if the level is its reference or not among its training rows.
+    """
+
+    tables: dict[str, DataFrame]
+    systems: list[tuple[int, str]]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex[:8])
+
+    def column(self, feature: str) -> str:
+        return f"{BROUGHT}{self.key}_{list(self.tables).index(feature)}"
+
+    def lines(self, fits: list[Fit]) -> DataFrame:
+        """`seed, model, feature, level, coef` of the given fits."""
+        own = {self.systems.index((f.seed, f.name)): f for f in fits}
+        found = None
+        for feature, table in self.tables.items():
+            of_fit = F.array(
+                *(
+                    F.struct(F.lit(f.seed).alias("seed"), F.lit(f.name).alias("model"), F.col("coefs")[at].alias("coef"))
+                    for at, f in own.items()
+                )
+            )
+            long = table.select(F.lit(feature).alias("feature"), "level", F.inline(of_fit))
+            long = long.where(F.col("coef").isNotNull()).select("seed", "model", "feature", "level", "coef")
+            found = long if found is None else found.unionByName(long)
+        return found
+
+    def terms(self, seed: int, model: ModelSpec) -> list[Term]:
+        """The contrasts of one fit, in the order of its features and of their levels."""
+        at, terms = self.systems.index((seed, model.name)), []
+        for feature in model.categorical:
+            known = self.tables[feature].select("level", F.col("coefs")[at].alias("coef")).dropna(subset="coef")
+            terms += [Term("level", feature, r.level, r.coef) for r in sorted(known.collect(), key=lambda r: r.level)]
+        return terms
+
+
+class WideTerms(Sequence):
+    """Terms of a wide fit: contrasts come to the driver only if someone asks for them."""
+
+    def __init__(self, seed: int, model: ModelSpec, head: list[Term], contrasts: Contrasts):
+        self.head, self._made_by = head, lambda: contrasts.terms(seed, model)
+
+    @cached_property
+    def _all(self) -> list[Term]:
+        numeric = [t for t in self.head if t.kind == "numeric"]
+        return numeric + self._made_by() + [t for t in self.head if t.kind == "reference"]
+
+    def __len__(self) -> int:
+        return len(self._all)
+
+    def __getitem__(self, at):
+        return self._all[at]
+
+
 @dataclass(frozen=True)
 class Fit:
     """A fitted model: numeric features standardised, levels against a reference."""
@@ -60,7 +123,7 @@ class Fit:
     model: ModelSpec
     n: int
     intercept: float
-    terms: list[Term]
+    terms: Sequence[Term]
     fills: dict[str, float]
     means: dict[str, float]
     sds: dict[str, float]
@@ -68,11 +131,18 @@ class Fit:
     gram: np.ndarray | None = field(repr=False)
     moment: np.ndarray | None = field(repr=False)
     squares: float = field(repr=False)
+    # of a wide design the terms of levels, which `terms` brings to the driver
+    contrasts: Contrasts | None = field(default=None, repr=False)
 
     @property
     def name(self) -> str:
         return self.model.name
 
+    @property
+    def held(self) -> Sequence[Term]:
+        """The terms that the driver holds anyway: all of a narrow design, of a wide one no levels."""
+        return self.terms.head if isinstance(self.terms, WideTerms) else self.terms
+
     @property
     def feature_names(self) -> list[str]:
         """Names in coefficient order, references left out."""
@@ -93,7 +163,7 @@ class _Sums:
     z: np.ndarray | None = None  # sums of features and gap marks
     zz: np.ndarray | None = None
     zy: np.ndarray | None = None
-    levels: dict = field(default_factory=dict)  # (cat, level) -> (n, y, sums of z, None in a wide design)
+    levels: dict = field(default_factory=dict)  # (cat, level) -> (n, y, sums of z), none in a wide design
     pairs: dict = field(default_factory=dict)  # (cat, level, cat, level) -> n
 
 
@@ -111,16 +181,20 @@ def _union(models: list[ModelSpec], pick) -> list[str]:
     return list(dict.fromkeys(c for m in models for c in pick(m)))
 
 
-def _profile(frame: DataFrame, numeric: list[str]) -> tuple[dict[str, float], list[str]]:
-    """A constant near the mean of each feature; the features with gaps."""
-    if not numeric:
-        return {}, []
+def _profile(
+    frame: DataFrame, numeric: list[str], categorical: list[str]
+) -> tuple[dict[str, float], list[str], list[int]]:
+    """A constant near the mean of each feature; the features with gaps; about how many levels a category has."""
+    if not numeric and not categorical:
+        return {}, [], []
     facts = frame.agg(
         *(F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)),
         *(F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(numeric)),
+        *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)),
     ).first()
     shifts = {c: facts[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
-    return shifts, [c for i, c in enumerate(numeric) if facts[f"g{i}"]]
+    gaps = [c for i, c in enumerate(numeric) if facts[f"g{i}"]]
+    return shifts, gaps, [facts[f"d{i}"] for i in range(len(categorical))]
 
 
 def train_medians(train: _Rows, features: list[str]) -> dict[int, dict[str, float]]:
@@ -137,22 +211,26 @@ def train_medians(train: _Rows, features: list[str]) -> dict[int, dict[str, floa
     return medians
 
 
-def _cells(train: _Rows, numeric: list[str], gaps: list[str], categorical: list[str], shifts: dict) -> DataFrame:
-    """One row per cell of the key and the categories: counts, sums and products.
+def _sum_rows(train: _Rows, numeric: list[str], gaps: list[str], categorical: list[str], shifts: dict) -> DataFrame:
+    """The rows by key, with target, features and categories.
 
     The features are z0, z1, ...: shifted values with 0 at gaps, then a mark per feature with gaps.
     """
     z = [F.coalesce(F.col(f) - F.lit(shifts[f]), F.lit(0.0)) for f in numeric]
     z += [F.col(f).isNull().cast("double") for f in gaps]
-    names = [f"z{i}" for i in range(len(z))]
-    c = [f"c{i}" for i in range(len(categorical))]
-    rows = train.rows.select(
+    return train.rows.select(
         F.col(train.key).alias("_key"),
         F.col(TARGET).alias("y"),
-        *(value.alias(a) for value, a in zip(z, names)),
-        *(F.col(f).alias(a) for f, a in zip(categorical, c)),
+        *(value.alias(f"z{i}") for i, value in enumerate(z)),
+        *(F.col(f).alias(f"c{i}") for i, f in enumerate(categorical)),
     )
-    products = itertools.combinations_with_replacement(range(len(z)), 2)
+
+
+def _cells(train: _Rows, numeric: list[str], gaps: list[str], categorical: list[str], shifts: dict) -> DataFrame:
+    """One row per cell of the key and the categories: counts, sums and products."""
+    rows = _sum_rows(train, numeric, gaps, categorical, shifts)
+    c, names = [f"c{i}" for i in range(len(categorical))], [f"z{i}" for i in range(len(numeric) + len(gaps))]
+    products = itertools.combinations_with_replacement(range(len(names)), 2)
     # on the map side first: a cell is sent once per task
     cells = rows.groupBy("_key", *c).agg(
         F.count(F.lit(1)).alias("n"),
@@ -192,9 +270,7 @@ def _training_sums(train: _Rows, cells: DataFrame, k: int, n_cat: int) -> dict[i
         s = result.setdefault(row.seed, _Sums())
         # a set bit of the grouping id means the column is summed over
         used = [i for i in range(n_cat) if not row["_set"] >> (n_cat - 1 - i) & 1]
-        # only the Gram matrix needs a level's sums of features, and a wide design has none
-        is_wide = len(s.levels) ** 2 > GRAM_CELLS
-        z = None if used and is_wide else np.array([row[f"z{i}"] for i in range(k)])
+        z = np.array([row[f"z{i}"] for i in range(k)])
         if used:
             key = (used[0], row[c[used[0]]])
             s.levels[known.setdefault(key, key)] = (float(row.n), row.y, z)
@@ -262,13 +338,19 @@ def _columns(model: ModelSpec, sums: _Sums, categorical: list[str]) -> tuple[lis
 def _fit(
     seed: int, model: ModelSpec, sums: _Sums, made: Design, numeric: list[str], categorical: list[str],
     fills: dict[str, float], intercept: float, coefs: np.ndarray, gram=None, moment=None,
+    contrasts: Contrasts | None = None,
 ) -> Fit:
-    dummies, references = _columns(model, sums, categorical)
     k = len(model.numeric)
-    terms = [Term("numeric", f, None, float(coefs[a])) for a, f in enumerate(model.numeric)]
-    terms += [
-        Term("level", categorical[i], level, float(coefs[b])) for b, (i, level) in enumerate(dummies, start=k)
-    ]
+    terms: Sequence[Term] = [Term("numeric", f, None, float(coefs[a])) for a, f in enumerate(model.numeric)]
+    if contrasts is None:
+        dummies, references = _columns(model, sums, categorical)
+        terms += [
+            Term("level", categorical[i], level, float(coefs[b])) for b, (i, level) in enumerate(dummies, start=k)
+        ]
+        terms += references
+    else:
+        terms += [Term("reference", f, reference, 0.0) for f, reference in model.categorical.items()]
+        terms = WideTerms(seed, model, terms, contrasts)
     at = {f: numeric.index(f) for f in model.numeric}
     means = {f: float(made.means[i]) for f, i in at.items()}
     return Fit(
@@ -276,7 +358,7 @@ def _fit(
         model=model,
         n=int(sums.n),
         intercept=float(intercept),
-        terms=terms + references,
+        terms=terms,
         # gaps only occur where a training median was taken
         fills={f: fills.get(f, means[f]) for f in model.numeric},
         means=means,
@@ -284,6 +366,7 @@ def _fit(
         gram=gram,
         moment=moment,
         squares=float(sums.yy),
+        contrasts=contrasts,
     )
 
 
@@ -327,46 +410,55 @@ def _fit_all(train: _Rows, models: list[ModelSpec], frame: DataFrame) -> list[Fi
     numeric = _union(models, lambda m: m.numeric)
     categorical = _union(models, lambda m: m.categorical)
     # the shift only keeps the sums well conditioned; it cancels in the fit
-    shifts, gaps = _profile(frame, numeric)
+    shifts, gaps, sizes = _profile(frame, numeric, categorical)
     fills = train_medians(train, gaps)
-    cells = _cells(train, numeric, gaps, categorical, shifts)
-    sums = _training_sums(train, cells, len(numeric) + len(gaps), len(categorical))
+    k = len(numeric) + len(gaps)
+    # an estimate: a design near the limit is measured by its sums
+    is_wide = max(1, len(train.seeds)) * (sum(sizes) + len(numeric)) ** 2 > 4 * GRAM_CELLS
+    by = [] if is_wide else categorical
+    cells = _cells(train, numeric, gaps, by, shifts)
+    sums = _training_sums(train, cells, k, len(by))
     made = {
         seed: _design(s, numeric, gaps, shifts, fills.get(seed, {})) for seed, s in sums.items()
     }
     width = max((len(s.levels) + len(numeric) for s in sums.values()), default=0)
-    if len(sums) * width * width <= GRAM_CELLS:
+    if not is_wide and len(sums) * width * width <= GRAM_CELLS:
         _add_pairs(train, cells, sums, len(categorical))
         return [
             _solve(seed, model, s, made[seed], numeric, categorical, fills.get(seed, {}))
             for seed, s in sorted(sums.items())
             for model in models
         ]
+    if not sums:
+        return []
+    pairs = [(seed, model) for seed in sorted(sums) for model in models]
     systems = [
         wide.System(
             seed,
-            s.n,
             [numeric.index(f) for f in model.numeric],
-            _columns(model, s, categorical)[0],
+            {categorical.index(f): reference for f, reference in model.categorical.items()},
             made[seed].turn,
             made[seed].base,
-            s,
+            sums[seed],
         )
-        for seed, s in sorted(sums.items())
-        for model in models
+        for seed, model in pairs
     ]
+    rows = _sum_rows(train, numeric, gaps, categorical, shifts)
     bits = None if train.expand is None else train.seeds
     try:
-        solved = wide.solve(cells, systems, len(numeric) + len(gaps), len(categorical), bits)
-    except ArithmeticError as error:
+        solved = wide.solve(rows, systems, k, sizes, categorical, bits)
+    except (ArithmeticError, LookupError) as error:
         raise DesignError(str(error)) from error
-    models_of = [model for _ in sums for model in models]
+    # the most levels first: rows are not moved for them with the contrasts of others
+    widest_first = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    tables = {categorical[i]: solved.contrasts[i] for i in widest_first}
+    contrasts = Contrasts(tables, [(seed, model.name) for seed, model in pairs])
     return [
         _fit(
-            system.seed, model, sums[system.seed], made[system.seed], numeric, categorical,
-            fills.get(system.seed, {}), beta[0], beta[1:],
+            seed, model, sums[seed], made[seed], numeric, [], fills.get(seed, {}), head[0], head[1:],
+            contrasts=contrasts,
         )
-        for system, model, beta in zip(systems, models_of, solved)
+        for (seed, model), head in zip(pairs, solved.heads)
     ]
 
 
@@ -395,43 +487,79 @@ SAVED = (
 )
 
 
+def _of_contrasts(fits: list[Fit]) -> list[tuple[Contrasts, list[Fit]]]:
+    """The wide fits by the contrasts that they share."""
+    shared = {id(f.contrasts): f.contrasts for f in fits if f.contrasts is not None}
+    return [(c, [f for f in fits if f.contrasts is c]) for c in shared.values() if c.tables]
+
+
 def save_fits(spark: SparkSession, fits: list[Fit], path: str) -> None:
     """Write fits as a table: an intercept and every term, features with fill, mean and deviation."""
     lines = []
     for f in fits:
         lines.append((f.seed, f.name, -1, "intercept", None, None, f.intercept, None, None, None, f.n, f.squares))
-        for place, t in enumerate(f.terms):
+        for place, t in enumerate(f.held):
             facts = (None, None, None)
             if t.kind == "numeric":
                 facts = (f.fills[t.feature], f.means[t.feature], f.sds[t.feature])
             lines.append((f.seed, f.name, place, t.kind, t.feature, t.level, t.coef, *facts, None, None))
-    spark.createDataFrame(lines, SAVED).write.mode("overwrite").parquet(path)
+    table = spark.createDataFrame(lines, SAVED)
+    for contrasts, own in _of_contrasts(fits):
+        wide_lines = contrasts.lines(own).withColumn("kind", F.lit("level"))
+        table = table.unionByName(wide_lines, allowMissingColumns=True)
+    table.write.mode("overwrite").parquet(path)
 
 
 def load_fits(spark: SparkSession, path: str) -> list[Fit]:
-    """Fits as `save_fits` wrote them, ready to predict; without the sums behind standard errors."""
+    """Fits as `save_fits` wrote them, ready to predict; without the sums behind standard errors.
+
+    The contrasts of wide fits stay a table, which is written anew.
+    """
     fits: list[Fit] = []
-    rows = spark.read.schema(SAVED).parquet(path).orderBy("seed", "model", "place").collect()
-    for (seed, name), group in itertools.groupby(rows, key=lambda r: (r.seed, r.model)):
-        head, *lines = group
+    saved = spark.read.schema(SAVED).parquet(path)
+    # those of a wide fit have no place
+    long = saved.where(F.col("place").isNull())
+    kept = saved.where(F.col("place").isNotNull()).orderBy("seed", "model", "place").collect()
+    groups = [(key, list(group)) for key, group in itertools.groupby(kept, key=lambda r: (r.seed, r.model))]
+    wide_keys = {tuple(r) for r in long.select("seed", "model").distinct().collect()}
+    contrasts = None
+    if wide_keys:
+        systems = [key for key, _ in groups]
+        coefs = F.array(
+            *(F.max(F.when((F.col("seed") == s) & (F.col("model") == m), F.col("coef"))) for s, m in systems)
+        )
+        features = list(dict.fromkeys(r.feature for _, g in groups for r in g if r.kind == "reference"))
+        tables = {
+            feature: materialise(
+                long.where(F.col("feature") == feature)
+                .groupBy("level")
+                .agg(F.count(F.lit(1)).alias("n"), coefs.alias("coefs"))
+            )
+            for feature in features
+        }
+        contrasts = Contrasts(tables, systems)
+    for (seed, name), (head, *lines) in groups:
         if head.kind != "intercept":
             raise DesignError(f"the saved fit of {name!r} under seed {seed} has no intercept")
-        terms = [Term(r.kind, r.feature, r.level, r.coef) for r in lines]
+        terms: Sequence[Term] = [Term(r.kind, r.feature, r.level, r.coef) for r in lines]
         numeric = [r for r in lines if r.kind == "numeric"]
         references = {t.feature: t.level for t in terms if t.kind == "reference"}
+        model = ModelSpec(name, tuple(r.feature for r in numeric), references)
+        is_wide = (seed, name) in wide_keys
         fits.append(
             Fit(
                 seed=seed,
-                model=ModelSpec(name, tuple(r.feature for r in numeric), references),
+                model=model,
                 n=head.n,
                 intercept=head.coef,
-                terms=terms,
+                terms=WideTerms(seed, model, list(terms), contrasts) if is_wide else terms,
                 fills={r.feature: r["fill"] for r in numeric},
                 means={r.feature: r["mean"] for r in numeric},
                 sds={r.feature: r["sd"] for r in numeric},
                 gram=None,
                 moment=None,
                 squares=head.squares,
+                contrasts=contrasts if is_wide else None,
             )
         )
     return fits
@@ -440,8 +568,11 @@ def load_fits(spark: SparkSession, path: str) -> list[Fit]:
 def coefficient_rows(spark: SparkSession, fits: list[Fit]) -> DataFrame:
     """Every term of every fit, references with their 0."""
     schema = "seed int, model string, kind string, feature string, level string, coef double"
-    rows = [(f.seed, f.name, t.kind, t.feature, t.level, t.coef) for f in fits for t in f.terms]
-    return spark.createDataFrame(rows, schema)
+    rows = [(f.seed, f.name, t.kind, t.feature, t.level, t.coef) for f in fits for t in f.held]
+    table = spark.createDataFrame(rows, schema)
+    for contrasts, own in _of_contrasts(fits):
+        table = table.unionByName(contrasts.lines(own).withColumn("kind", F.lit("level")))
+    return table
 
 
 def numeric_coefficients(spark: SparkSession, fits: list[Fit]) -> DataFrame:
@@ -469,7 +600,7 @@ def level_coefficients(spark: SparkSession, fits: list[Fit], top: int | None = N
 
 def _contrasts(fit: Fit, feature: str) -> pa.Table:
     """The level contrasts of one feature, as columns and not as a row object each."""
-    terms = [t for t in fit.terms if t.kind == "level" and t.feature == feature]
+    terms = [t for t in fit.held if t.kind == "level" and t.feature == feature]
     return pa.table(
         {
             "seed": pa.array([fit.seed] * len(terms), pa.int32()),
@@ -480,37 +611,65 @@ def _contrasts(fit: Fit, feature: str) -> pa.Table:
     )
 
 
+def bring_contrasts(rows: DataFrame, fits: list[Fit]) -> DataFrame:
+    """The rows with the contrasts of their levels, if there are wide fits.
+
+    For rows that are predicted under many seeds: levels are looked up once per row before
+    the rows are copied. `predict` knows the columns and leaves them out of its result; it
+    looks up levels of rows without them itself.
+    """
+    for contrasts, _ in _of_contrasts(fits):
+        for feature in contrasts.tables:
+            rows = _look_up(rows, contrasts, feature)
+    return rows
+
+
+def _look_up(rows: DataFrame, contrasts: Contrasts, feature: str) -> DataFrame:
+    """Adds the contrasts of the rows' levels, and the levels that they were looked up by."""
+    name = contrasts.column(feature)
+    table = contrasts.tables[feature].withColumnsRenamed({"level": feature, "n": f"{name}_n", "coefs": name})
+    joined = join_key_values(rows, table, [feature], f"{name}_n").drop(f"{name}_n")
+    return joined.withColumn(f"{name}_of", F.col(feature))
+
+
 def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
     """Raw predictions of every model for the rows of its seed.
 
     Adds `model` and `prediction`; a level unseen in training adds nothing. The joined
-    tables hold one line per fit or per level; they were made here and are sent to all rows
-    if they fit.
+    tables hold one line per fit or per level; they are sent to all rows if they fit.
     """
     spark = rows.sparkSession
+    shown = [c for c in rows.columns if not c.startswith(BROUGHT)]
     numeric = _union([f.model for f in fits], lambda m: m.numeric)
-    categorical = _union([f.model for f in fits], lambda m: m.categorical)
+    narrow = [f for f in fits if f.contrasts is None]
+    of_contrasts = _of_contrasts(fits)
     parts = ["weight", "fill", "mean"]
     schema = T.StructType(
         [T.StructField("seed", T.IntegerType()), T.StructField("model", T.StringType())]
         + [T.StructField("_intercept", T.DoubleType())]
         + [T.StructField(f"_{p}{i}", T.DoubleType()) for i in range(len(numeric)) for p in parts]
+        + [T.StructField(f"_system{i}", T.IntegerType()) for i in range(len(of_contrasts))]
     )
     lines = []
     for f in fits:
-        weight = {t.feature: t.coef / f.sds[t.feature] for t in f.terms if t.kind == "numeric"}
+        weight = {t.feature: t.coef / f.sds[t.feature] for t in f.held if t.kind == "numeric"}
         line = [f.seed, f.name, f.intercept]
         for c in numeric:
             line += [weight.get(c, 0.0), f.fills.get(c, 0.0), f.means.get(c, 0.0)]
+        line += [c.systems.index((f.seed, f.name)) if f.contrasts is c else None for c, _ in of_contrasts]
         lines.append(tuple(line))
     base = F.broadcast(spark.createDataFrame(lines, schema))
+    for contrasts, _ in of_contrasts:
+        for feature in contrasts.tables:
+            if contrasts.column(feature) not in rows.columns:
+                rows = _look_up(rows, contrasts, feature)
     scored = rows.join(base, "seed")
     prediction = F.col("_intercept")
     for i, c in enumerate(numeric):
         known = F.coalesce(F.col(c), F.col(f"_fill{i}"))
         prediction = prediction + F.col(f"_weight{i}") * (known - F.col(f"_mean{i}"))
-    for i, c in enumerate(categorical):
-        parts = [_contrasts(f, c) for f in fits]
+    for i, c in enumerate(_union([f.model for f in narrow], lambda m: m.categorical)):
+        parts = [_contrasts(f, c) for f in narrow]
         # in one chunk: Spark reads no chunk that comes after an empty one
         contrasts = pa.concat_tables(parts).combine_chunks()
         contrasts = contrasts.rename_columns(["seed", "model", c, f"_contrast{i}"])
@@ -518,4 +677,11 @@ def predict(rows: DataFrame, fits: list[Fit]) -> DataFrame:
         side = F.broadcast(table) if contrasts.num_rows * LINE_BYTES <= BROADCAST_BYTES else table
         scored = scored.join(side, ["seed", "model", c], "left")
         prediction = prediction + F.coalesce(F.col(f"_contrast{i}"), F.lit(0.0))
-    return scored.select(*rows.columns, "model", prediction.alias("prediction"))
+    for i, (contrasts, _) in enumerate(of_contrasts):
+        for feature in contrasts.tables:
+            name = contrasts.column(feature)
+            changed = F.raise_error(F.lit(f"{feature} is not as it was when its contrasts were brought: drop {name}"))
+            same = F.col(feature).eqNullSafe(F.col(f"{name}_of")) | F.col(f"_system{i}").isNull()
+            coef = F.when(same, F.col(name)[F.col(f"_system{i}")]).otherwise(changed.cast("double"))
+            prediction = prediction + F.coalesce(coef, F.lit(0.0))
+    return scored.select(*shown, "model", prediction.alias("prediction"))

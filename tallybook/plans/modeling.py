@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.distributions import f_upper, t_critical, t_two_sided
 from tallybook.operators.evaluate import accuracy, bounds
 from tallybook.operators.frame import TARGET, modeling_frame
-from tallybook.operators.linear import BASELINE, DesignError, Fit, fit_masked, predict
+from tallybook.operators.linear import BASELINE, DesignError, Fit, bring_contrasts, fit_masked, predict
 from tallybook.operators.lookup import join_key_values
 from tallybook.operators.splits import (
     GROUP,
@@ -36,7 +36,8 @@ from tallybook.spec import CatalogSpec, ModelSpec
 class Holdout:
     """Fits on the training side and raw predictions for the test side.
 
-    `rows` are all rows once per seed with `is_test`; nothing makes them unless asked.
+    `rows` are all rows once per seed with `is_test`; nothing makes them unless asked. Those of
+    wide designs bring the contrasts of their levels for `predict`.
     """
 
     rows: DataFrame
@@ -64,15 +65,15 @@ def hold_out(
     that holds the row out. `frame` should be materialised or read from a table.
     """
     fitted = [BASELINE, *models] if baseline else models
-    units = materialise(
-        frame.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("y"))
-        if unit == GROUP
-        else frame.select(ROW, F.lit(1).cast("bigint").alias("n"), F.col(TARGET).alias("y"))
-    )
+    if unit == GROUP:
+        units = materialise(frame.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("y")))
+    else:
+        # the frame's own rows: not worth writing again
+        units = frame.select(ROW, F.lit(1).cast("bigint").alias("n"), F.col(TARGET).alias("y"))
     cuts = split_cuts(units, unit, seeds or [SEED], test_size)
     parts = [_hold_out(frame, units, fitted, {s: cuts[s] for s in some}, unit) for some in seed_batches(cuts)]
     return Holdout(
-        reduce(DataFrame.unionByName, (p.rows for p in parts)),
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.rows for p in parts)),
         cuts,
         [f for p in parts for f in p.fits],
         reduce(DataFrame.unionByName, (p.predictions for p in parts)),
@@ -92,6 +93,7 @@ def _hold_out(
         masked = frame.withColumn(MASK, unit_mask(F.col(unit), cuts))
     masked = materialise(masked)
     fits = fit_masked(masked, seeds, models)
+    masked = bring_contrasts(masked, fits)
     predictions = predict(by_seed(masked, seeds, True), fits)
     return Holdout(by_seed(masked, seeds), cuts, fits, predictions, _composition(sides, seeds))
 

@@ -392,3 +392,60 @@ def test_a_fit_without_levels_hides_none_of_later_fits(spark):
     found = {(r.model, r.c): r.prediction for r in linear.predict(rows, fits).collect()}
     assert found == {("a", "r"): 10, ("a", "s"): 11, ("a", "t"): 10, ("none", "r"): 10, ("none", "s"): 10,
                      ("none", "t"): 10, ("b", "r"): 10, ("b", "s"): 12, ("b", "t"): 13}
+
+
+def test_the_driver_holds_no_level_of_a_wide_design(rows, monkeypatch):
+    made = []
+    term = linear.Term
+    monkeypatch.setattr(linear, "Term", lambda *a: made.append(a) or term(*a))
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    frame = rows.drop("seed", "is_test")
+    held = modeling.hold_out(frame, [LEVELS], [1, 2, 3], baseline=False)
+    train = linear.predict(held.rows.where("NOT is_test"), held.fits)
+    assert train.where("prediction IS NULL").count() == 0
+    assert {a[0] for a in made} == {"numeric", "reference"}
+    # levels that rows bring along give what looking them up anew does
+    plain = held.rows.select("seed", "is_test", *frame.columns)
+    again = linear.predict(plain.where("NOT is_test"), held.fits)
+    assert again.columns == [*plain.columns, "model", "prediction"] and set(train.columns) == set(again.columns)
+    totals = [df.agg(F.sum("prediction"), F.sum(F.col("prediction") ** 2)).first() for df in (train, again)]
+    assert tuple(totals[0]) == pytest.approx(tuple(totals[1]))
+    with pytest.raises(Exception, match="not as it was"):
+        linear.predict(held.rows.withColumn("c", F.lit("s")), held.fits).agg(F.sum("prediction")).collect()
+
+
+@pytest.mark.parametrize("cells", [1, 95])
+def test_levels_too_heavy_to_eliminate_fit_the_same(rows, monkeypatch, cells):
+    near = linear.fit_models(rows, [LEVELS, ModelSpec("other", ("x2",), {"c": "s"})])
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    monkeypatch.setattr(linear.wide, "BLOCK_CELLS", cells)
+    far = linear.fit_models(rows, [LEVELS, ModelSpec("other", ("x2",), {"c": "s"})])
+    for a, b in zip(near, far, strict=True):
+        assert a.feature_names == b.feature_names
+        assert [b.intercept, *b.coefficients] == pytest.approx([a.intercept, *a.coefficients], rel=1e-6, abs=1e-6)
+
+
+def test_wide_fits_are_saved_and_listed_like_narrow_ones(spark, rows, monkeypatch, tmp_path):
+    models = [LEVELS, ModelSpec("small", ("x2",), {"d": "1"}), ModelSpec("none", ("x1",))]
+    near = linear.fit_models(rows, models)
+    listed = [tuple(r) for r in linear.level_coefficients(spark, near, top=1).collect()]
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    far = linear.fit_models(rows, models)
+    found = [tuple(r) for r in linear.level_coefficients(spark, far, top=1).collect()]
+    assert [r[:-1] for r in found] == [r[:-1] for r in listed]
+    assert [r[-1] for r in found] == pytest.approx([r[-1] for r in listed], rel=1e-6, abs=1e-6)
+    linear.save_fits(spark, far, str(tmp_path / "fits"))
+    loaded = sorted(linear.load_fits(spark, str(tmp_path / "fits")), key=lambda f: [m.name for m in models].index(f.name))
+    for a, b in zip(near, loaded, strict=True):
+        assert (a.seed, a.name, a.n, a.feature_names) == (b.seed, b.name, b.n, b.feature_names)
+        assert b.coefficients == pytest.approx(a.coefficients, rel=1e-6, abs=1e-6)
+    test = rows.where("is_test")
+    sums = [linear.predict(test, fits).agg(F.sum("prediction")).first()[0] for fits in (near, far, loaded)]
+    assert sums[1:] == pytest.approx([sums[0]] * 2, rel=1e-7)
+
+
+def test_an_absent_reference_of_a_wide_design_is_an_error(rows, monkeypatch):
+    monkeypatch.setattr(linear, "GRAM_CELLS", 0)
+    for reference in ({"c": "only_test", "d": "1"}, {"c": "r", "d": "nowhere"}):
+        with pytest.raises(linear.DesignError, match="reference level"):
+            linear.fit_models(rows, [ModelSpec("m", ("x2",), reference)])
