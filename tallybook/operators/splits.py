@@ -8,6 +8,7 @@ column expression without a join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,10 @@ SWEEP_SEEDS = [1, 7, 21, 42, 73, 101, 202, 314, 512, 999]
 SEED = 42
 # Hex digits counted: 65,536 prefixes, each with that share of the units.
 PREFIX = 4
+# Standard deviations around its expected place in which a cut is looked for first.
+REACH = 8
+# Marks that sort before and after all hashes.
+BEFORE, AFTER = "", "~"
 TOP_GROUPS = 10
 GROUP = "group_id"
 ROW = "row_key"
@@ -69,11 +74,40 @@ def split_cuts(
 
     `units` has one row per unit. Exactly `ceil(test_size * n)` of them fall at
     or below the cut. Only one hash per seed comes to the driver.
+
+    Hashes are spread evenly, so the cut is looked for near its expected place: one pass
+    counts the hashes before and keeps those around it. Only if a seed's cut lies elsewhere,
+    as it may if units repeat, hashes are counted by prefix, in two passes.
     """
+    n = units.count()
+    wanted = math.ceil(test_size * n)
+    reach = REACH * math.sqrt(test_size * (1 - test_size) / max(n, 1))
+    ends = ((test_size + by) * 16**PREFIX for by in (-reach, reach))
+    first, last = (f"{min(max(int(v), 0), 16**PREFIX - 1):0{PREFIX}x}" for v in ends)
+    prefix = F.coalesce("_prefix", F.lit(BEFORE))
+    # hashes around the place; the others under a mark that sorts before or after them
+    mark = F.when(prefix < first, F.lit(BEFORE)).when(prefix > last, F.lit(AFTER)).otherwise(F.col("_hash"))
+    around = _hashed(units, unit, seeds).select("seed", mark.alias("_hash"))
+    counted = around.groupBy("seed", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("seed").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0))
+    reached = counted.withColumn("_upto", upto).where(F.col("_upto") >= wanted)
+    found = reached.groupBy("seed").agg(F.min("_hash").alias("_hash")).collect()
+    cuts = {r.seed: r["_hash"] for r in found if r["_hash"] not in (BEFORE, AFTER)}
+    others = [r.seed for r in found if r.seed not in cuts]
+    return cuts | (_cuts_by_prefix(units, unit, others, test_size) if others else {})
+
+
+def _hashed(units: DataFrame, unit: str, seeds: list[int]) -> DataFrame:
+    """`seed, _hash, _prefix` of every unit under every seed."""
     hashed = units.select(
         F.explode(F.array(*(F.lit(s) for s in seeds))).alias("seed"), F.col(unit).alias("_unit")
     ).select("seed", seeded_hash(F.col("seed"), F.col("_unit")).alias("_hash"))
-    hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+    return hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+
+
+def _cuts_by_prefix(units: DataFrame, unit: str, seeds: list[int], test_size: float) -> dict[int, str]:
+    """The cuts, wherever they are: by the prefix in which they lie."""
+    hashed = _hashed(units, unit, seeds)
     by_seed = Window.partitionBy("seed")
     running = by_seed.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # at most 16**PREFIX rows per seed

@@ -449,3 +449,16 @@ def test_an_absent_reference_of_a_wide_design_is_an_error(rows, monkeypatch):
     for reference in ({"c": "only_test", "d": "1"}, {"c": "r", "d": "nowhere"}):
         with pytest.raises(linear.DesignError, match="reference level"):
             linear.fit_models(rows, [ModelSpec("m", ("x2",), reference)])
+
+
+def test_cuts_are_the_same_near_their_expected_place_and_elsewhere(spark, monkeypatch):
+    # 20,000 rows of their own, and a unit that comes 4,000 times
+    units = spark.range(24_000).select(F.when(F.col("id") < 20_000, F.col("id")).otherwise(7).cast("string").alias("u"))
+    seeds, tries = list(range(1, 9)), []
+    elsewhere = splits._cuts_by_prefix
+    wanted = elsewhere(units, "u", seeds, 0.2)
+    monkeypatch.setattr(splits, "_cuts_by_prefix", lambda *a: tries.append(a[2]) or elsewhere(*a))
+    assert splits.split_cuts(units, "u", seeds) == wanted and len(tries) == 1
+    own = units.distinct()
+    assert splits.split_cuts(own, "u", seeds) == elsewhere(own, "u", seeds, 0.2) and len(tries) == 1
+    assert splits.split_cuts(own.where("u IS NULL"), "u", seeds) == {}
